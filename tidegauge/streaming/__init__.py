@@ -1,0 +1 @@
+"""Nothing here: every workload this engine covers is a batch over stored history."""
