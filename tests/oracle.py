@@ -86,7 +86,7 @@ def compare(spark, con, fn, sql, sf):
 def session():
     from tidegauge.session import build_session
     spark = build_session(master="local[8]", **{
-        "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g", "spark.ui.enabled": "false"})
+        "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
