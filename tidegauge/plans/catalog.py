@@ -5,7 +5,7 @@ import importlib
 
 from tidegauge.plans.registry import ORACLE, QUERIES
 
-MODULES = ["rolling_queries", "signal_queries", "vintage_queries", "table_queries"]
+MODULES = ["rolling_queries", "signal_queries", "vintage_queries", "table_queries", "evaluation_queries"]
 
 
 def _load():
