@@ -1,13 +1,12 @@
 """One-to-one matching of predicted to true events and spells.
 
 Matching is greedy in time order, so it is sequential, but only among events close
-in time. Events are cut into islands no match can cross; each island is matched on
-its own by a small grouped map. An island holds at most the events of one run and
-class within one stretch of the calendar.
+in time. Events are cut into islands no match can cross, and each island is folded
+on its own with ``aggregate`` over its sorted events. An island holds at most the
+events of one run and class within one stretch of the calendar.
 """
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidegauge.operators.axis import Axis
@@ -49,27 +48,36 @@ def match_entries(df: DataFrame, ax: Axis = RUNS, early=EARLY, late=LATE):
     far = F.datediff(date, F.lag(date).over(key.base())) > max(early, late)
     both = both.withColumn("_far", F.when(far, 1).otherwise(0))
     both = both.withColumn("island", F.sum("_far").over(key.past())).drop("_far")
-    group = [*ax.by, "label", "island"]
-    types = {f.name: f.dataType.simpleString() for f in both.schema}
-    schema = ", ".join(f"`{c}` {types[c]}" for c in group) + ", true_date date, pred_date date, lag_days int"
-
-    def match(keys, pdf):
-        t = sorted(pdf.loc[pdf.is_true, date])
-        p = sorted(pdf.loc[~pdf.is_true, date])
-        rows = [(*keys, a, b, (b - a).days) for a, b in _nearest(t, p, early, late)]
-        return pd.DataFrame(rows, columns=[*group, "true_date", "pred_date", "lag_days"])
-
-    return both.groupBy(*group).applyInPandas(match, schema).drop("island")
-
-
-def _nearest(true, predicted, early, late):
-    free = list(predicted)
-    for t in true:
-        near = [(abs((p - t).days), p) for p in free if -early <= (p - t).days <= late]
-        if near:
-            p = min(near)[1]
-            free.remove(p)
-            yield t, p
+    found = _fold(both, [*ax.by, "label", "island"], F.struct(F.col(date).alias("at")), _nearest(early, late))
+    return found.select(*ax.by, "label", F.col("m.t.at").alias("true_date"), F.col("m.p.at").alias("pred_date")) \
+                .withColumn("lag_days", F.datediff("pred_date", "true_date"))
+
+
+def _nearest(early, late):
+    """Order of preference among free predictions for one true entry; NULL if unfit."""
+    def prefer(t, p):
+        lag = F.datediff(p["at"], t["at"])
+        return F.when(lag.between(-early, late), F.struct(F.abs(lag).alias("far"), p["at"].alias("at")))
+    return prefer
+
+
+def _fold(both, group, event, prefer):
+    """Each true event in order takes the free predicted one with the least ``prefer``."""
+    sides = both.groupBy(*group).agg(
+        F.array_sort(F.collect_list(F.when(F.col("is_true"), event))).alias("_t"),
+        F.array_sort(F.collect_list(F.when(~F.col("is_true"), event))).alias("_p"))
+
+    def step(acc, t):
+        ranked = F.transform(acc["free"], lambda p: F.struct(prefer(t, p).alias("k"), p.alias("p")))
+        best = F.array_min(F.filter(ranked, lambda r: r["k"].isNotNull()))
+        return F.when(best.isNull(), acc).otherwise(F.struct(
+            F.filter(acc["free"], lambda p: p != best["p"]).alias("free"),
+            F.concat(acc["m"], F.array(F.struct(t.alias("t"), best["p"].alias("p")))).alias("m")))
+    none = F.filter(F.transform("_t", lambda t: F.struct(t.alias("t"), t.alias("p"))), lambda m: F.lit(False))
+    start = F.struct(F.col("_p").alias("free"), none.alias("m"))
+    matches = F.aggregate("_t", start, step, lambda acc: acc["m"])
+    sides = sides.where((F.size("_t") > 0) & (F.size("_p") > 0))
+    return sides.select(*group, F.explode(matches).alias("m"))
 
 
 def entry_scores(df: DataFrame, classes, ax: Axis = RUNS, early=EARLY, late=LATE):
@@ -122,29 +130,15 @@ def overlapping_spells(df: DataFrame, ax: Axis = RUNS, min_days=5):
 def match_spells(df: DataFrame, ax: Axis = RUNS, min_days=5):
     """Each true spell takes the free predicted spell it overlaps longest, in time order."""
     both = _spell_islands(df, ax, min_days)
-    group = [*ax.by, "label", "island"]
-    types = {f.name: f.dataType.simpleString() for f in both.schema}
-    names = ["true_start", "true_end", "true_days", "pred_start", "pred_end", "pred_days"]
-    schema = ", ".join(f"`{c}` {types[c]}" for c in group) + ", " + ", ".join(
-        f"{n} {'int' if n.endswith('days') else 'date'}" for n in names)
-
-    def match(keys, pdf):
-        def of(flag):
-            rows = pdf[pdf.is_true == flag].sort_values("start")
-            return list(rows[["start", "end", "days"]].itertuples(index=False, name=None))
-        rows = [(*keys, *t, *p) for t, p in _longest_overlap(of(True), of(False))]
-        return pd.DataFrame(rows, columns=[*group, *names])
-
-    return both.groupBy(*group).applyInPandas(match, schema).drop("island")
-
-
-def _longest_overlap(true, predicted):
-    free = list(predicted)
-    for t in true:
-        shared = [((min(t[1], p[1]) - max(t[0], p[0])).days + 1, i) for i, p in enumerate(free)]
-        best = max(shared, key=lambda s: (s[0], -s[1]), default=(0, None))
-        if best[0] > 0:
-            yield t, free.pop(best[1])
+    spell = F.struct("start", "end", "days")
+    found = _fold(both, [*ax.by, "label", "island"], spell, _longest_overlap)
+    return found.select(*ax.by, "label", *[F.col(f"m.{s[0]}.{c}").alias(f"{s}_{c}")
+                                           for s in ("true", "pred") for c in ("start", "end", "days")])
+
+
+def _longest_overlap(t, p):
+    shared = F.datediff(F.least(t["end"], p["end"]), F.greatest(t["start"], p["start"])) + 1
+    return F.when(shared > 0, F.struct((-shared).alias("less"), p["start"].alias("at")))
 
 
 def spell_scores(df: DataFrame, classes, ax: Axis = RUNS, min_days=5, start_early=10, end_late=10):

@@ -18,3 +18,239 @@ def performance(df: DataFrame, state, price, ax: Axis = DAILY, by=()):
     return df.groupBy(*by, state).agg(
         F.count("_r").alias("n"), m.alias("mean_daily"), s.alias("std_daily"),
         (m * R.TRADING_DAYS).alias("mean_annual"), (s * R.TRADING_DAYS ** 0.5).alias("std_annual"))
+
+
+# -- hidden Markov labels ----------------------------------------------------
+# One task fits one (series, seed, number of states): expectation-maximisation needs
+# the series in order, many times over. A daily series has 366 rows a year, and the
+# many series, seeds and sizes run side by side.
+
+FIT_SCHEMA = """dates array<date>, states array<int>, means array<array<double>>,
+ variances array<array<double>>, transitions array<array<double>>, start array<double>, centre array<double>,
+ scale array<double>, log_likelihood double, n_iter int"""
+
+
+def fit_hidden_markov(df: DataFrame, features, ax: Axis = DAILY, states=(3,), seeds=(42,), drop_last=(0,),
+                      max_iter=100, tolerance=1e-2):
+    """One row per series, number of states, seed and number of last rows left out.
+
+    Features are standardised per series; means and variances are in those units,
+    ``centre`` and ``scale`` lead back. ``states[i]`` is the decoded state of ``dates[i]``.
+    """
+    features, date = list(features), ax.order[0]
+    plans = [(k, s, d) for k in states for s in seeds for d in drop_last]
+    runs = F.explode(F.array(*[F.struct(F.lit(k).alias("n_states"), F.lit(s).alias("seed"), F.lit(d).alias("drop_last"))
+                               for k, s, d in plans])).alias("_run")
+    rows = df.dropna(subset=features).select(*ax.by, date, *features, runs).select(*ax.by, date, *features, "_run.*")
+    group = [*ax.by, "n_states", "seed", "drop_last"]
+    types = {f.name: f.dataType.simpleString() for f in rows.schema}
+    schema = ", ".join(f"`{c}` {types[c]}" for c in group) + ", " + FIT_SCHEMA
+
+    def fit(key, pdf):
+        k, seed, out = (int(v) for v in key[-3:])
+        pdf = pdf.sort_values(date)
+        pdf = pdf.iloc[:len(pdf) - out]
+        x = pdf[features].to_numpy("float64")
+        columns = [*group, "dates", "states", "means", "variances", "transitions", "start", "centre", "scale",
+                   "log_likelihood", "n_iter"]
+        if len(x) < 10 * k:
+            return pd.DataFrame(columns=columns)
+        centre, scale = x.mean(0), x.std(0)
+        scale[scale == 0] = 1.0
+        z = (x - centre) / scale
+        start, trans, means, var, ll, n = _expectation_maximisation(z, k, seed, max_iter, tolerance)
+        path = _most_likely_path(_densities(z, means, var), start, trans)
+        row = [*key, list(pdf[date]), path.tolist(), means.tolist(), var.tolist(), trans.tolist(), start.tolist(),
+               centre.tolist(), scale.tolist(), float(ll), n]
+        return pd.DataFrame([row], columns=columns)
+
+    return rows.groupBy(*group).applyInPandas(fit, schema)
+
+
+def _densities(x, means, var):
+    """Log density of every row under every state's diagonal normal."""
+    d = x[:, None, :] - means[None]
+    return -0.5 * (np.log(2 * np.pi * var)[None] + d * d / var[None]).sum(2)
+
+
+def _seed_means(x, k, rng, rounds=10):
+    """A few rounds of k-means from random rows."""
+    means = x[rng.choice(len(x), k, replace=False)]
+    for _ in range(rounds):
+        near = ((x[:, None] - means[None]) ** 2).sum(2).argmin(1)
+        means = np.array([x[near == j].mean(0) if (near == j).any() else means[j] for j in range(k)])
+    return means
+
+
+def _expectation_maximisation(x, k, seed, max_iter, tolerance, floor=1e-3):
+    rng = np.random.default_rng(seed)
+    means, var = _seed_means(x, k, rng), np.tile(x.var(0) + floor, (k, 1))
+    start, trans = np.full(k, 1 / k), np.full((k, k), 1 / k)
+    before = -np.inf
+    for n in range(1, max_iter + 1):
+        log_b = _densities(x, means, var)
+        peak = log_b.max(1)
+        b = np.exp(log_b - peak[:, None])
+        a, c = np.empty_like(b), np.empty(len(x))
+        prior = start
+        for t in range(len(x)):                                  # forward, scaled
+            row = prior * b[t]
+            c[t] = row.sum()
+            a[t] = row / c[t]
+            prior = a[t] @ trans
+        beta = np.ones_like(b)
+        for t in range(len(x) - 2, -1, -1):                      # backward, same scale
+            beta[t] = trans @ (b[t + 1] * beta[t + 1]) / c[t + 1]
+        post = a * beta
+        post /= post.sum(1, keepdims=True)
+        moves = trans * (a[:-1].T @ (b[1:] * beta[1:] / c[1:, None]))
+        start = post[0] / post[0].sum()
+        trans = moves / moves.sum(1, keepdims=True)
+        weight = post.sum(0)[:, None] + 1e-300
+        means = post.T @ x / weight
+        var = np.maximum(post.T @ (x * x) / weight - means ** 2, 0) + floor
+        ll = (np.log(c) + peak).sum()
+        if ll - before < tolerance:
+            break
+        before = ll
+    return start, trans, means, var, ll, n
+
+
+def _most_likely_path(log_b, start, trans):
+    log_t = np.log(trans + 1e-300)
+    score = np.log(start + 1e-300) + log_b[0]
+    back = np.zeros(log_b.shape, dtype=int)
+    for t in range(1, len(log_b)):
+        options = score[:, None] + log_t
+        back[t] = options.argmax(0)
+        score = options.max(0) + log_b[t]
+    path = np.empty(len(log_b), dtype=int)
+    path[-1] = score.argmax()
+    for t in range(len(log_b) - 2, -1, -1):
+        path[t] = back[t + 1, path[t + 1]]
+    return path
+
+
+RUN = ("n_states", "seed", "drop_last")
+
+
+def decoded(fits: DataFrame, ax: Axis = DAILY, smoothing=None):
+    """One row per run and date; ``state_smoothed`` is a centred rolling mode."""
+    keys = [*ax.by, *RUN]
+    rows = fits.select(*keys, F.explode(F.arrays_zip("dates", "states")).alias("_r")) \
+               .select(*keys, F.col("_r.dates").alias(ax.order[0]), F.col("_r.states").alias("state_raw"))
+    if smoothing is None:
+        return rows
+    return rows.withColumn("state_smoothed", R.smoothed_state(Axis(tuple(keys), ax.order), "state_raw", smoothing))
+
+
+def state_summary(fits: DataFrame, features, ax: Axis = DAILY):
+    """Mean and deviation per state and feature in original units, and transition rows."""
+    keys = [*ax.by, *RUN]
+    each = F.explode(F.sequence(F.lit(0), F.col("n_states") - 1)).alias("state")
+    df = fits.select(*keys, "means", "variances", "centre", "scale", "transitions", each)
+
+    def at(col, j=None):
+        row = F.get(col, F.col("state"))
+        return row if j is None else F.get(row, F.lit(j))
+    cols = []
+    for j, f in enumerate(features):
+        c, s = F.get("centre", F.lit(j)), F.get("scale", F.lit(j))
+        cols += [(at("means", j) * s + c).alias(f"{f}_mean"), (F.sqrt(at("variances", j)) * s).alias(f"{f}_std")]
+    return df.select(*keys, "state", *cols, at("transitions").alias("transition_row"))
+
+
+def information_criteria(fits: DataFrame, n_features, ax: Axis = DAILY):
+    """AIC and BIC of each number of states."""
+    k = F.col("n_states")
+    params = k * (k - 1) + (k - 1) + 2 * k * n_features
+    return fits.select(*ax.by, *RUN, "log_likelihood", (2 * params - 2 * F.col("log_likelihood")).alias("aic"),
+                       (params * F.ln(F.size("dates")) - 2 * F.col("log_likelihood")).alias("bic"))
+
+
+# -- stability ---------------------------------------------------------------
+
+def state_mapping(means: DataFrame, reference, run="run", by=("series_id",), k=3):
+    """Which state of each run is which state of the reference run.
+
+    ``means``: by, run, ``means`` (one array of feature means per state). The mapping
+    is the assignment with the least total distance; the k! assignments are a constant.
+    """
+    by = list(by)
+    ref = means.where(F.col(run) == reference).select(*by, F.col("means").alias("_ref"))
+    df = means.join(ref, by)
+    orders = F.array(*[F.array(*[F.lit(i) for i in p]) for p in permutations(range(k))])
+
+    def distance(i, p):
+        a, b = F.get("_ref", i), F.get("means", F.get(p, i))
+        return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v))
+
+    def cost(p):
+        return F.aggregate(F.sequence(F.lit(0), F.lit(k - 1)), F.lit(0.0), lambda s, i: s + distance(i, p))
+    best = F.array_min(F.transform(orders, lambda p: F.struct(cost(p).alias("cost"), p.alias("order"))))
+    return df.select(*by, run, best["order"].alias("order"), best["cost"].alias("cost"))
+
+
+def remapped(states: DataFrame, mapping: DataFrame, run="run", by=("series_id",), state="state"):
+    """States renumbered as in the reference run. ``mapping`` has one row per run."""
+    df = states.join(mapping.select(*by, run, "order"), [*by, run])
+    return df.withColumn(state, (F.array_position("order", F.col(state)) - 1).cast("int")).drop("order")
+
+
+def agreement_with(states: DataFrame, reference, run="run", by=("series_id",), state="state", date="date"):
+    """Share of dates on which each run agrees with the reference run."""
+    ref = states.where(F.col(run) == reference).select(*by, date, F.col(state).alias("_ref"))
+    df = states.where(F.col(run) != reference).join(ref, [*by, date])
+    return df.groupBy(*by, run).agg(F.avg((F.col(state) == F.col("_ref")).cast("double")).alias("agreement"))
+
+
+def label_distribution(states: DataFrame, by=("series_id",), state="state", date="date"):
+    """Share of the runs in each state, by date."""
+    n = states.groupBy(*by, date, state).agg(F.count(F.lit(1)).alias("n"))
+    return n.withColumn("share", F.col("n") / F.sum("n").over(Axis((*by, date)).whole()))
+
+
+# -- clustering --------------------------------------------------------------
+
+def _scaled(df, features):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import StandardScaler, VectorAssembler
+    stages = [VectorAssembler(inputCols=list(features), outputCol="_raw"),
+              StandardScaler(inputCol="_raw", outputCol="features", withMean=True)]
+    rows = df.dropna(subset=list(features))
+    return Pipeline(stages=stages).fit(rows).transform(rows).drop("_raw")
+
+
+def kmeans_sizes(df: DataFrame, features, sizes=range(2, 8), seed=42):
+    """Inertia and silhouette for each number of clusters."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    x = _scaled(df, features)
+    out = []
+    for k in sizes:
+        model = KMeans(k=k, seed=seed).fit(x)
+        out.append((k, float(model.summary.trainingCost), float(ClusteringEvaluator().evaluate(model.transform(x)))))
+    return df.sparkSession.createDataFrame(out, "k int, inertia double, silhouette double")
+
+
+def kmeans_states(df: DataFrame, features, k=3, seed=42):
+    from pyspark.ml.clustering import KMeans
+    x = _scaled(df, features)
+    return KMeans(k=k, seed=seed, predictionCol="state").fit(x).transform(x).drop("features")
+
+
+def cluster_summary(labelled: DataFrame, features, state="state"):
+    return labelled.groupBy(state).agg(F.count(F.lit(1)).alias("n"), *[
+        a for f in features for a in (F.avg(f).alias(f"{f}_mean"), F.stddev_samp(f).alias(f"{f}_std"))])
+
+
+def mixture_sizes(df: DataFrame, features, sizes=range(2, 6), seed=42):
+    """AIC and BIC of Gaussian mixtures: regimes without memory, fitted on all rows at once."""
+    from pyspark.ml.clustering import GaussianMixture
+    x, d, out = _scaled(df, features), len(list(features)), []
+    n = x.count()
+    for k in sizes:
+        ll = float(GaussianMixture(k=k, seed=seed).fit(x).summary.logLikelihood)
+        params = (k - 1) + k * d + k * d * (d + 1) // 2
+        out.append((k, ll, 2 * params - 2 * ll, params * float(np.log(n)) - 2 * ll))
+    return df.sparkSession.createDataFrame(out, "k int, log_likelihood double, aic double, bic double")

@@ -5,7 +5,8 @@ import importlib
 
 from tidegauge.plans.registry import ORACLE, QUERIES
 
-MODULES = ["rolling_queries", "signal_queries", "vintage_queries", "table_queries", "evaluation_queries"]
+MODULES = ["rolling_queries", "signal_queries", "vintage_queries", "table_queries", "evaluation_queries",
+           "model_queries"]
 
 
 def _load():
