@@ -7,3 +7,9 @@ Layers:
 * ``sources``    readers, normalisers and sinks
 * ``plans``      registered queries over the TPC-H-shaped test tables
 """
+import sys
+
+from pyspark import cloudpickle
+
+# the few grouped maps travel with their helpers, so executors need not have the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -23,6 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidegauge.operators.axis import Axis
+from tidegauge.session import persist_plan
 
 TARGET_ROWS = 1_000_000
 MAX_CUTS = 4096
@@ -54,7 +55,7 @@ def lay_out(df: DataFrame, ax: Axis, target_rows=TARGET_ROWS) -> Layout:
 
     Rows that share that column's value stay together; make them one row first.
     """
-    by, first = list(ax.by), F.col(ax.order[0])
+    by = list(ax.by)
     counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     total = counts.agg(F.sum("_n")).first()[0] or 0
     limit = max(target_rows, math.ceil(total / MAX_CUTS))
@@ -63,6 +64,10 @@ def lay_out(df: DataFrame, ax: Axis, target_rows=TARGET_ROWS) -> Layout:
     if most is None:
         return Layout(df.withColumn(CHUNK, F.lit(0)), ax)
 
+    # the rows are read several times from here on: write them once, so that a costly
+    # plan is not repeated and every pass sees the same rows
+    df = persist_plan(df)
+    first = F.col(ax.order[0])
     pieces = math.ceil(most / limit)
     grid = [i / pieces for i in range(1, pieces)]
     wanted = F.ceil(F.col("_n") / limit).cast("int")

@@ -25,13 +25,15 @@ def interpolate(df: DataFrame, ax: Axis = DAILY, x="value", out="value"):
     return df.withColumn(out, filled).drop("_p", "_a", "_b")
 
 
-def sandwich(df: DataFrame, ax: Axis = DAILY, x="value", out="value", stepwise=F.lit(False), eligible=F.lit(True)):
+def sandwich(df: DataFrame, ax: Axis = DAILY, x="value", out="value", stepwise=None, eligible=None):
     """Fill NULLs that have valid rows on both sides.
 
     Step columns take the next value. Others take the mean of their neighbours, row
     after row, each seeing the fills before it: the i-th NULL between L and R becomes
     R - (R - L) / 2**i. NULL rows that are not ``eligible`` stay and do not count.
     """
+    stepwise = F.lit(False) if stepwise is None else stepwise
+    eligible = F.lit(True) if eligible is None else eligible
     null = F.col(x).isNull()
     df = df.withColumns({"_l": R.ffill(ax, x), "_r": R.bfill(ax, x),
                          "_run": F.count(F.col(x)).over(ax.past()),

@@ -225,11 +225,11 @@ def kmeans_sizes(df: DataFrame, features, sizes=range(2, 8), seed=42):
     """Inertia and silhouette for each number of clusters."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.evaluation import ClusteringEvaluator
-    x = _scaled(df, features)
-    out = []
+    x, out = _scaled(df, features).persist(), []            # read once per iteration
     for k in sizes:
         model = KMeans(k=k, seed=seed).fit(x)
         out.append((k, float(model.summary.trainingCost), float(ClusteringEvaluator().evaluate(model.transform(x)))))
+    x.unpersist()
     return df.sparkSession.createDataFrame(out, "k int, inertia double, silhouette double")
 
 
@@ -247,10 +247,11 @@ def cluster_summary(labelled: DataFrame, features, state="state"):
 def mixture_sizes(df: DataFrame, features, sizes=range(2, 6), seed=42):
     """AIC and BIC of Gaussian mixtures: regimes without memory, fitted on all rows at once."""
     from pyspark.ml.clustering import GaussianMixture
-    x, d, out = _scaled(df, features), len(list(features)), []
+    x, d, out = _scaled(df, features).persist(), len(list(features)), []
     n = x.count()
     for k in sizes:
         ll = float(GaussianMixture(k=k, seed=seed).fit(x).summary.logLikelihood)
         params = (k - 1) + k * d + k * d * (d + 1) // 2
         out.append((k, ll, 2 * params - 2 * ll, params * float(np.log(n)) - 2 * ll))
+    x.unpersist()
     return df.sparkSession.createDataFrame(out, "k int, log_likelihood double, aic double, bic double")

@@ -179,7 +179,8 @@ def _matrix(pairs, columns):
     """Square matrix from pair rows; the table's columns bound its size."""
     at = {c: i for i, c in enumerate(columns)}
     m = np.full((len(columns), len(columns)), np.nan)
-    for a, b, r in pairs.select("a", "b", "correlation").collect():
+    wanted = F.col("a").isin(list(columns)) & F.col("b").isin(list(columns))
+    for a, b, r in pairs.where(wanted).select("a", "b", "correlation").collect():
         m[at[a], at[b]] = m[at[b], at[a]] = np.nan if r is None else r
     return m
 
@@ -196,16 +197,26 @@ def prune_correlated(pairs: DataFrame, scores: dict, columns, threshold=0.9):
     return kept
 
 
+def _inflation(m):
+    """Diagonal of the inverse; the ridge only keeps exact copies finite (and huge).
+
+    A column that does not vary has no correlation with itself and counts as infinite.
+    """
+    flat = np.isnan(np.diag(m))
+    live = np.nan_to_num(m) + np.diag(np.where(flat, 1.0, 1e-12))
+    return np.where(flat, np.inf, np.diag(np.linalg.inv(live)))
+
+
 def inflation_factors(pairs: DataFrame, columns):
-    """Variance inflation per column: the diagonal of the inverse correlation matrix."""
-    return dict(zip(columns, np.diag(np.linalg.pinv(_matrix(pairs, columns)))))
+    """Variance inflation per column."""
+    return dict(zip(columns, _inflation(_matrix(pairs, columns))))
 
 
 def prune_inflated(pairs: DataFrame, columns, threshold=7.5):
     """Drop the most inflated column until all are within the threshold."""
     columns, m = list(columns), _matrix(pairs, columns)
     while len(columns) > 1:
-        vif = np.diag(np.linalg.pinv(m))
+        vif = _inflation(m)
         worst = int(vif.argmax())
         if vif[worst] <= threshold:
             break

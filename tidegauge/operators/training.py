@@ -13,7 +13,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tidegauge.functions import rolling as R
 from tidegauge.functions.scalars import clip, logit
@@ -64,8 +64,11 @@ def with_weights(df: DataFrame, balanced=True):
 
 def fit(train: DataFrame, model="logistic", params=None, balanced=True) -> PipelineModel:
     """``train`` has ``features`` and ``true_label`` coded 0..k-1."""
-    rows = train.count() if model == "logistic" else None
-    return Pipeline(stages=MODELS[model](params, rows)).fit(with_weights(train, balanced))
+    train = with_weights(train, balanced).persist()          # read once per iteration
+    try:
+        return Pipeline(stages=MODELS[model](params, train.count())).fit(train)
+    finally:
+        train.unpersist()
 
 
 def score(model: PipelineModel, df: DataFrame, n_classes):
@@ -141,7 +144,7 @@ def donors(df: DataFrame, keys, seed, rows_per_bucket=5000):
     h = F.xxhash64(*keys, F.lit(seed))
     df = df.withColumn("_h", h).withColumn("_b", F.pmod(F.xxhash64("_h", F.lit("bucket")), F.lit(max(1, n // rows_per_bucket))))
     ax = Axis(("_b",), ("_h", *keys))
-    around = F.last(FEATURES).over(ax.base().rowsBetween(-(2 ** 40), 2 ** 40))
+    around = F.last(FEATURES).over(ax.base().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     return df.withColumn("_donor", F.coalesce(F.lag(FEATURES).over(ax.base()), around)).drop("_h", "_b")
 
 

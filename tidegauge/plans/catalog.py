@@ -6,7 +6,7 @@ import importlib
 from tidegauge.plans.registry import ORACLE, QUERIES
 
 MODULES = ["rolling_queries", "signal_queries", "vintage_queries", "table_queries", "evaluation_queries",
-           "model_queries"]
+           "model_queries", "source_queries"]
 
 
 def _load():

@@ -1,8 +1,6 @@
 """Regime labels, feature selection, training and stacking."""
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from tidegauge.functions import rolling as R
@@ -11,7 +9,8 @@ from tidegauge.operators.axis import DAILY, Axis
 from tidegauge.plans import views as V
 from tidegauge.plans.registry import query
 from tidegauge.plans.rolling_queries import STATES, W, states
-from tidegauge.plans.table_queries import COLS, LONG, PAIRS
+from tidegauge.plans.table_queries import COLS, LONG
+from tidegauge.session import scratch
 
 # -- regimes -----------------------------------------------------------------
 
@@ -50,10 +49,11 @@ RUNS = STATES | {
     "v_runs": """select series_id, date, value, 'r0' as run, state from v_state join v_series using (series_id, date)
        union all select series_id, date, value, 'r1', case when day(date) % 7 = 0 then state else (state + 1) % 3 end from v_state join v_series using (series_id, date)
        union all select series_id, date, value, 'r2', case when day(date) % 5 = 0 then state else (state * 2) % 3 end from v_state join v_series using (series_id, date)""",
-    "v_means": "select series_id, run, " + ", ".join(f"avg(case when state = {c} then ln(value) end) as m{c}" for c in range(3)) + " from v_runs group by 1, 2",
+    "v_means": "select series_id, run, " + ", ".join(f"avg(case when state = {c} then ln(value) end) as m{c}, avg(case when state = {c} then day(date) end) as d{c}" for c in range(3)) + " from v_runs group by 1, 2",
     "v_perm": "select * from (values (0,1,2),(0,2,1),(1,0,2),(1,2,0),(2,0,1),(2,1,0)) p(a, b, c)",
-    "v_cost": """select m.series_id, m.run, a, b, c, abs(r.m0 - [m.m0, m.m1, m.m2][a + 1]) + abs(r.m1 - [m.m0, m.m1, m.m2][b + 1]) + abs(r.m2 - [m.m0, m.m1, m.m2][c + 1]) as cost
-       from v_means m join v_means r on m.series_id = r.series_id and r.run = 'r0', v_perm""",
+    "v_cost": "select m.series_id, m.run, a, b, c, " + " + ".join(
+        f"sqrt(pow(r.m{i} - [m.m0, m.m1, m.m2][{x} + 1], 2) + pow(r.d{i} - [m.d0, m.d1, m.d2][{x} + 1], 2))" for i, x in enumerate("abc")) +
+       " as cost from v_means m join v_means r on m.series_id = r.series_id and r.run = 'r0', v_perm",
     "v_map": "select * from (select *, row_number() over (partition by series_id, run order by cost, a, b, c) as k from v_cost) t where k = 1",
     "v_remap": "select s.series_id, s.run, s.date, case s.state when m.a then 0 when m.b then 1 else 2 end as state from v_runs s join v_map m using (series_id, run)"}
 
@@ -71,7 +71,8 @@ def labelings(spark, sf):
 def _mapped(spark, sf):
     rows = labelings(spark, sf)
     means = rows.groupBy("series_id", "run").agg(F.array(*[
-        F.array(F.avg(F.when(F.col("state") == c, F.ln("value")))) for c in range(3)]).alias("means"))
+        F.array(*[F.avg(F.when(F.col("state") == c, x)) for x in (F.ln("value"), F.dayofmonth("date").cast("double"))])
+        for c in range(3)]).alias("means"))
     return rows, G.state_mapping(means, "r0")
 
 
@@ -243,8 +244,7 @@ def m8_oof(spark, sf):
 
 @query("m9_final_fit")
 def m9(spark, sf):
-    from tidegauge.session import shared_folder
-    path = tempfile.mkdtemp(prefix="model-") if "://" not in shared_folder(spark) else f"{shared_folder(spark)}/final-logistic"
+    path = scratch(spark, "model")
     rows = learning_rows(spark, sf)
     T.fit_and_save(rows, FEATURES, path)
     return T.score(T.PipelineModel.load(path), T.vectors(rows, FEATURES), N).drop("features", "series_id")
