@@ -139,3 +139,21 @@ def test_scalar_texts(spark):
     df = spark.createDataFrame([("45.2%", "1,234.5", "-", "2024-02-30")], "a string, b string, c string, d string")
     r = df.select(C.percent_text("a"), C.grouped_number("b"), C.dashed_number("c"), C.date_text("d"), C.dashed_number(F.lit("0.65"))).first()
     assert tuple(r) == (45.2, 1234.5, None, None, 0.65)
+
+
+def test_running_averages_equal_plain_ones(spark):
+    df = series(spark, [1.1, 2.7, None, 4.2, 5.9, 6.3, 6.3, 6.3, 6.3, 1e9, 0.3, 0.3, 0.3])
+    df = R.with_running_averages(df, DAILY, "value", {"a": 2, "b": 3}).withColumns({
+        "x": R.sma(DAILY, "value", 2), "y": R.sma(DAILY, "value", 3)})
+    for r in df.collect():
+        assert (r.a is None) == (r.x is None) and (r.b is None) == (r.y is None)
+        if r.a is not None:
+            assert r.a == pytest.approx(r.x, rel=1e-6)
+    last = df.orderBy(F.desc("date")).first()
+    assert last.a == 0.3 and last.b == 0.3          # exactly, after the huge value left the frame
+
+
+def test_repeated_releases_are_settled(spark):
+    d = [DAY0 + dt.timedelta(days=i) for i in range(2)]
+    df = spark.createDataFrame([(d[0], d[1], 5.0), (d[0], d[1], 4.0)], "reference_date date, release_date date, value double")
+    assert vintage.first_release(vintage.one_per_release(df, ["value"]), ["value"]).first().value_pit == 4.0

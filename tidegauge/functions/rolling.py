@@ -77,6 +77,29 @@ def sma(ax: Axis, x, n, least=None) -> Column:
     return enough(ax, x, n, n if least is None else least, F.avg(x).over(ax.last(n)))
 
 
+def with_running_averages(df, ax: Axis, x, windows: dict):
+    """Full-window averages ``out -> n`` from running sums, for many or long windows.
+
+    ``sma`` re-adds its n rows at every row; this takes the difference of two running
+    sums instead, so the work per row does not grow with n, all in the series' one sort
+    order. A frame of equal values gives exactly that value, so that comparing a flat
+    series with its average stays decided.
+    """
+    base, past = ax.base(), ax.past()
+    v = _c(x)
+    df = df.withColumns({"_sum": F.sum(v).over(past), "_seen": F.count(v).over(past),
+                         "_row": F.row_number().over(base),
+                         "_moved": ~v.eqNullSafe(F.lag(v).over(base))})
+    df = df.withColumn("_since", F.max(F.when(F.col("_moved"), F.col("_row"))).over(past))
+
+    def within(col, n):
+        return F.col(col) - F.coalesce(F.lag(col, n).over(base), F.lit(0))
+    flat = {n: F.col("_row") - F.coalesce("_since", F.lit(1)) + 1 >= n for n in windows.values()}
+    out = {o: F.when(within("_seen", n) >= n, F.when(flat[n], v).otherwise(within("_sum", n) / n))
+           for o, n in windows.items()}
+    return df.withColumns(out).drop("_sum", "_seen", "_row", "_moved", "_since")
+
+
 def zscore(ax: Axis, x, n, least=None) -> Column:
     x, w = _c(x), ax.last(n)
     z = F.try_divide(x - F.avg(x).over(w), F.stddev_samp(x).over(w))

@@ -204,8 +204,15 @@ def by_chunk(df: DataFrame, ax: Axis, build, before: int, after: int = 0,
 
 
 def cumulative_by(df: DataFrame, by, order, weights: dict, target_rows=TARGET_ROWS) -> DataFrame:
-    """Cumulative sums over a frame already reduced to one row per ``by + order``."""
-    lay = lay_out(df, Axis(tuple(by), tuple(order)), target_rows)
+    """Cumulative sums over a frame already reduced to one row per ``by + order``.
+
+    ``target_rows=None`` says that groups are known to be short (one row per date, say)
+    and saves the pass that sizes them.
+    """
+    ax = Axis(tuple(by), tuple(order))
+    if target_rows is None:
+        return df.withColumns({o: F.sum(x).over(ax.past()) for o, x in weights.items()})
+    lay = lay_out(df, ax, target_rows)
     return lay.done(running_sum(lay, weights))
 
 

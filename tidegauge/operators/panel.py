@@ -15,9 +15,9 @@ TICKERS = Axis(("ticker",))
 
 def price_states(prices: DataFrame, ax=TICKERS, short=50, long=200):
     """Moving averages and daily direction of every ticker."""
+    df = R.with_running_averages(prices, ax, "close", {"sma_short": short, "sma_long": long})
     step = R.difference(ax, "close")
-    return prices.withColumns({"sma_short": R.sma(ax, "close", short), "sma_long": R.sma(ax, "close", long),
-                               "advancing": step > 0, "declining": step < 0})
+    return df.withColumns({"advancing": step > 0, "declining": step < 0})
 
 
 def daily_members(lists: DataFrame, last_price_date):

@@ -81,13 +81,17 @@ def null_counts(wide: DataFrame, columns):
         "column_name", "null_count", (100 * F.try_divide("null_count", "_rows")).alias("null_pct"))
 
 
-def describe(long: DataFrame, by=("column_name",), x="value"):
-    """count, mean, std, min, quartiles (linear interpolation) and max."""
+def describe(long: DataFrame, by=("column_name",), x="value", target_rows=None):
+    """count, mean, std, min, quartiles (linear interpolation) and max.
+
+    A column of a dated table has one value per date; for groups without such a bound
+    give ``target_rows`` (see ``chunks``).
+    """
     by = list(by)
     plain = long.groupBy(*by).agg(
         F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
         F.min(x).alias("min"), F.max(x).alias("max"))
-    quartiles = percentiles(long, by, x, {"p25": 0.25, "p50": 0.5, "p75": 0.75})
+    quartiles = percentiles(long, by, x, {"p25": 0.25, "p50": 0.5, "p75": 0.75}, target_rows)
     return plain.join(quartiles, by, "left")
 
 
@@ -244,6 +248,6 @@ def release_lags(df: DataFrame, date, reference, by):
     return describe(df.withColumn("value", days_between(date, reference).cast("double")), by)
 
 
-def five_numbers(long: DataFrame, by, x="value"):
+def five_numbers(long: DataFrame, by, x="value", target_rows=None):
     """min, quartiles and max per group."""
-    return describe(long, by, x).select(*by, "count", "min", "p25", "p50", "p75", "max")
+    return describe(long, by, x, target_rows).select(*by, "count", "min", "p25", "p50", "p75", "max")

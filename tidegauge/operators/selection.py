@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from tidegauge.operators.axis import Axis
-from tidegauge.operators.chunks import TARGET_ROWS, cumulative_by, percentiles
+from tidegauge.operators.chunks import cumulative_by, percentiles
 from tidegauge.operators.impute import interpolate
 from tidegauge.operators.profile import COLUMNS, moments
 
@@ -139,7 +139,7 @@ def statistics_slice(long: DataFrame, ax: Axis = COLUMNS):
 
 # -- mutual information ------------------------------------------------------
 
-def mutual_information(long: DataFrame, labels: DataFrame, bins=10, date="date", label="label", target_rows=TARGET_ROWS):
+def mutual_information(long: DataFrame, labels: DataFrame, bins=10, date="date", label="label", target_rows=None):
     """Plug-in mutual information of each column, in quantile bins, with the label.
 
     ``labels``: date, label. Cut points are exact quantiles, one row per column; the
@@ -160,7 +160,7 @@ def mutual_information(long: DataFrame, labels: DataFrame, bins=10, date="date",
 
 # -- redundancy --------------------------------------------------------------
 
-def average_ranks(long: DataFrame, target_rows=TARGET_ROWS):
+def average_ranks(long: DataFrame, target_rows=None):
     """Each value's rank in its column, ties averaged; ranked by counts per value."""
     counts = long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("_w"))
     placed = cumulative_by(counts, ["column_name"], ["value"], {"_upto": F.col("_w")}, target_rows)
@@ -168,7 +168,7 @@ def average_ranks(long: DataFrame, target_rows=TARGET_ROWS):
     return long.join(ranks, ["column_name", "value"])
 
 
-def spearman(long: DataFrame, columns, date="date", target_rows=TARGET_ROWS):
+def spearman(long: DataFrame, columns, date="date", target_rows=None):
     """Rank correlations of all column pairs (upper triangle) on a slice without gaps."""
     ranked = average_ranks(long, target_rows)
     wide = ranked.groupBy(date).agg(*[F.max(F.when(F.col("column_name") == c, F.col("rank"))).alias(c) for c in columns])

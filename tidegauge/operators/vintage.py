@@ -1,6 +1,9 @@
 """Bitemporal frames: what was published for a reference date, and when.
 
-All of these are aggregations, so they combine map-side and never sort a group.
+All of these are aggregations: they combine map-side and never gather a group. Input
+has one row per key, reference date and release date (``one_per_release`` makes it
+so). Values and dates then aggregate in fixed-width hash buffers; ordering by a struct
+would make Spark sort every input partition first.
 """
 from __future__ import annotations
 
@@ -9,30 +12,30 @@ from pyspark.sql import DataFrame, functions as F
 REF, REL = "reference_date", "release_date"
 
 
+def one_per_release(df: DataFrame, values, keys=()):
+    """Settle repeated releases: the smallest value per column."""
+    return df.groupBy(*keys, REF, REL).agg(*[F.min(v).alias(v) for v in values])
+
+
 def first_release(df: DataFrame, values, keys=(), suffix="_pit"):
     """First published value per reference date, per value column.
 
     Each column takes its earliest non-NULL value, so a value may come from a later
     release than the ``release_date`` shown, which is the earliest of all.
     """
-    earliest = [F.min_by(v, F.when(F.col(v).isNotNull(), F.struct(REL, v))).alias(v + suffix)
-                for v in values]
+    earliest = [F.min_by(v, F.when(F.col(v).isNotNull(), F.col(REL))).alias(v + suffix) for v in values]
     return df.groupBy(*keys, REF).agg(F.min(REL).alias(REL), *earliest)
 
 
 def first_complete_release(df: DataFrame, value="value", keys=()):
     """First release that has a value; value and date come from one row."""
     df = df.dropna(subset=[REF, REL, value])
-    return (df.groupBy(*keys, REF)
-              .agg(F.min(F.struct(REL, value)).alias("_r"))
-              .select(*keys, REF, f"_r.{REL}", f"_r.{value}"))
+    return df.groupBy(*keys, REF).agg(F.min(REL).alias(REL), F.min_by(value, REL).alias(value))
 
 
 def latest_reference(df: DataFrame, values, keys=()):
-    """Per release date the row with the latest reference date."""
-    row = F.struct(REF, *values)
-    return (df.groupBy(*keys, REL).agg(F.max_by(row, F.struct(REF, *values)).alias("_r"))
-              .select(*keys, REL, "_r.*"))
+    """Per release date the row with the latest reference date, NULL values included."""
+    return df.groupBy(*keys, REL).agg(F.max(REF).alias(REF), *[F.max_by(v, REF).alias(v) for v in values])
 
 
 def keep_first(df: DataFrame, keys, order):

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidegauge.functions.scalars import date_text, grouped_number, month_end, percent_text, quarter_label
-from tidegauge.operators.vintage import REF, REL, first_release, keep_first
+from tidegauge.operators.vintage import REF, REL, first_release, keep_first, one_per_release
 
 
 def _csv(spark: SparkSession, path) -> DataFrame:
@@ -171,7 +171,8 @@ def ingest_series(vintages: DataFrame, config: dict = SERIES):
         rows, "series_id string, table_name string, first_only boolean, spread_type string, by_quarter boolean")
     df = vintages.join(F.broadcast(table), "series_id")
     keys = ["series_id", "table_name", "spread_type", "by_quarter"]
-    cleaned = first_release(df.where("first_only").dropna(subset=[REF, REL]), ["value"], keys, suffix="")
+    dated = one_per_release(df.where("first_only").dropna(subset=[REF, REL]), ["value"], keys)
+    cleaned = first_release(dated, ["value"], keys, suffix="")
     whole = df.where("not first_only").select(*keys, REF, REL, "value")
     both = whole.unionByName(cleaned)
     return both.select("table_name", "series_id", REF, REL, "value", "spread_type",
