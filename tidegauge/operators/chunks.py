@@ -189,16 +189,19 @@ def with_halo(lay: Layout, before: int, after: int = 0) -> DataFrame:
               .drop("_home", "_pos", "_spans"))
 
 
-def by_chunk(df: DataFrame, ax: Axis, build, before: int, after: int = 0,
+def by_chunk(df: DataFrame, ax: Axis, build, before: int, after: int = 0, fill=(),
              target_rows=TARGET_ROWS) -> DataFrame:
-    """Run ``build(df, axis)`` with frames of bounded reach over long series.
+    """Run ``build(df, axis)`` over long series.
 
     ``before`` and ``after`` are the rows its frames (all steps together) look at.
-    ``build`` must pass ``axis.keys`` through and may not fill over unbounded gaps.
+    ``build`` must pass ``axis.keys`` through. Columns it fills forward are named in
+    ``fill``: they are filled here, across chunks, as ``_f_<column>``.
     """
     lay = lay_out(df, ax, target_rows)
     if not lay.hot:
         return build(df, ax)
+    if fill:
+        lay = Layout(fill_forward(lay, {f"_f_{c}": F.col(c) for c in fill}), ax, lay.cuts)
     out = build(with_halo(lay, before, after), lay.local.carrying("_halo"))
     return out.where(~F.col("_halo")).drop("_halo", CHUNK)
 

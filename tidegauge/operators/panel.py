@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 from tidegauge.functions import rolling as R
 from tidegauge.functions.scalars import member_list
 from tidegauge.operators.axis import Axis
-from tidegauge.operators.joins import asof, business_days
+from tidegauge.operators.joins import business_days, members_with_prices
 
 TICKERS = Axis(("ticker",))
 
@@ -20,44 +20,42 @@ def price_states(prices: DataFrame, ax=TICKERS, short=50, long=200):
     return df.withColumns({"advancing": step > 0, "declining": step < 0})
 
 
-def daily_members(lists: DataFrame, last_price_date):
-    """Index members of every business day from dated comma lists ``date, tickers``.
+def daily_members(lists: DataFrame, last_date):
+    """(date, ticker) of every business day from dated comma lists ``date, tickers``.
 
-    The list in force is the last one dated on a business day; lists dated on
-    weekends never come into force. Days are matched to list dates first, so only
-    dates, not lists, are carried forward. Returns ``(days, members)``: a day whose
-    list is empty is in ``days`` only.
+    A list is in force until the next one; lists dated on weekends never come into
+    force. Each list's stretch of days is generated from its own and the next list's
+    date, so no list is carried row by row. A day with an empty list keeps one row
+    without a ticker.
     """
-    one = F.lit(1).alias("_k")
-    in_force = lists.where(F.weekday("date") < 5)
-    # one row: the two ends of the calendar
-    ends = lists.agg(F.min("date").alias("start"), F.greatest(F.max("date"), F.lit(last_price_date)).alias("end"))
-    spine = business_days(ends).select(one, "date")
-    marks = in_force.select(one, F.col("date").alias("list_date")).distinct()
-    days = asof(spine, marks.withColumn("seen", F.col("list_date")), ["_k"], "date", "list_date", ["seen"]) \
-        .where("seen is not null").select("date", F.col("seen").alias("list_date"))
-    exploded = in_force.select(F.col("date").alias("list_date"), F.explode(member_list("tickers")).alias("ticker"))
-    return days, days.join(exploded, "list_date").select("date", "ticker")
+    marks = lists.select("date", (F.weekday("date") < 5).alias("_on")).distinct()
+    last = F.greatest(marks.agg(F.max("date")).scalar(), F.lit(last_date))
+    calendar = Axis((F.lit("index"),))                                  # one row per list
+    spans = marks.where("_on").select(
+        F.col("date").alias("list_date"), F.col("date").alias("start"),
+        F.coalesce(F.date_sub(F.lead("date").over(calendar.base()), 1), last).alias("end"))
+    days = business_days(spans)
+    exploded = lists.where(F.weekday("date") < 5).select(
+        F.col("date").alias("list_date"), F.explode_outer(member_list("tickers")).alias("ticker"))
+    return days.join(exploded, "list_date").select("date", "ticker")
 
 
 def index_breadth(lists: DataFrame, prices: DataFrame, short=50, long=200):
     """Share of members above their averages, advance/decline line and ratio by day.
 
-    One membership join on (date, ticker) and one aggregation per date; the line is
-    accumulated over the per-date totals only.
+    One membership join on (date, ticker) and one aggregation per date; days without
+    prices stay with empty counts. The line is accumulated over the per-date totals.
     """
     states = price_states(prices, short=short, long=long)
-    days, members = daily_members(lists, prices.agg(F.max("date")).scalar())
-    members = members.withColumn("ticker", F.col("ticker").cast(prices.schema["ticker"].dataType))
-    found = members.join(states, ["date", "ticker"])
-    counts = found.groupBy("date").agg(
+    members = daily_members(lists, prices.agg(F.max("date")).scalar())
+    members = members.withColumn("ticker", F.col("ticker").try_cast(prices.schema["ticker"].dataType))
+    counts = members_with_prices(members, states).groupBy("date").agg(
         F.count("sma_short").alias("n_short"), F.count("sma_long").alias("n_long"),
         F.count_if(F.col("close") > F.col("sma_short")).alias("above_short"),
         F.count_if(F.col("close") > F.col("sma_long")).alias("above_long"),
         F.count_if("advancing").alias("adv"), F.count_if("declining").alias("dec"))
-    df = days.select("date", F.lit("index").alias("index_id")).join(counts, "date", "left")
-    line = F.sum(F.coalesce(F.col("adv") - F.col("dec"), F.lit(0))).over(Axis(("index_id",)).past())
-    return df.select(
+    line = F.sum(F.col("adv") - F.col("dec")).over(Axis((F.lit("index"),)).past())
+    return counts.select(
         "date", (100 * F.try_divide("above_short", "n_short")).alias(f"pct_above_sma{short}"),
         (100 * F.try_divide("above_long", "n_long")).alias(f"pct_above_sma{long}"),
         line.alias("ad_line"), ad_ratio("adv", "dec").alias("ad_ratio"))

@@ -18,8 +18,12 @@ from tidegauge.operators.axis import DAILY, Axis
 
 
 def padded(df, ax: Axis, *cols):
-    """Add ``_f_<col>``: the column filled forward, the base of padded changes."""
-    return df.withColumns({f"_f_{c}": R.ffill(ax, c) for c in cols})
+    """Add ``_f_<col>``: the column filled forward, the base of padded changes.
+
+    Columns already there (``chunks.by_chunk`` fills long series) are left alone.
+    """
+    todo = {f"_f_{c}": R.ffill(ax, c) for c in cols if f"_f_{c}" not in df.columns}
+    return df.withColumns(todo) if todo else df
 
 
 def some_present(df, cols):

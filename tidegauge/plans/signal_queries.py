@@ -3,11 +3,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidegauge.operators import joins, signals as S
+from tidegauge.operators import chunks, joins, signals as S
 from tidegauge.operators.axis import DAILY, Axis
 from tidegauge.plans import views as V
 from tidegauge.plans.registry import query
-from tidegauge.plans.rolling_queries import RANK, UPTO, W, Z, ema_sql, last_n, pick
+from tidegauge.plans.rolling_queries import LONG, UPTO, W, Z, ema_sql, last_n, pick
 
 KEYS = "series_id, date"
 
@@ -83,6 +83,11 @@ def g6(spark, sf):
     return pick(S.oil(V.series(spark, sf)), 6, *G6)
 
 
+@query("g6_oil_long_series", select(G6, "g_base", any_present(G6)), ["v_series"], MONEY)
+def g6_long(spark, sf):
+    return pick(chunks.by_chunk(V.series(spark, sf), DAILY, S.oil, before=126, fill=("value",), target_rows=LONG), 6, *G6)
+
+
 G7 = {"pct_change_1m": roc("value", 21), "z_score_return_3m": z("r63", 63, 21),
       "ema_30_minus_ema_90": f"round({ema_sql('value', '(2.0::double / 31)', 30)} - {ema_sql('value', '(2.0::double / 91)', 90)}, 2)",
       "oil_ratio": f"round(value / nullif({fill('oil')}, 0), 6)"}
@@ -336,6 +341,12 @@ def g18(spark, sf):
     return df.select("series_id", "date", *[F.round(c, 4 if "sma" in c else 6).alias(c) for c in G18])
 
 
+@query("g18_put_call_second_stage_long_series", select(G18, "g_base"), ["v_gaps"], GAP_BASE)
+def g18_long(spark, sf):
+    df = chunks.by_chunk(V.gaps(spark, sf), DAILY, S.put_call_second, before=252, fill=("value",), target_rows=LONG)
+    return df.select("series_id", "date", *[F.round(c, 4 if "sma" in c else 6).alias(c) for c in G18])
+
+
 G20 = {"sma_5d": G18["sma_5d"], "sma_21d": G18["sma_21d"], "vs_sma21d_diff": G18["vs_sma21d_diff"], "roc_5d": roc("f", 5),
        "is_extreme_fear_signal": "coalesce(cast(value < 100000 as int), 0)",
        "is_extreme_greed_signal": "coalesce(cast(value > 500000 as int), 0)", "percentile_252d": rank("value", 252)}
