@@ -114,12 +114,11 @@ def percentile_rank(ax: Axis, x, n, least=None) -> Column:
     """
     x, w = _c(x), ax.last(n)
     frame = F.collect_list(x).over(w)
-    below = F.size(F.filter(frame, lambda v: v < x))
-    same = F.size(F.filter(frame, lambda v: v == x))
+    # a smaller value counts 1, an equal one 1/2, and the row itself rounds it up
+    rank = F.aggregate(frame, F.lit(0.5), lambda acc, v: acc + F.when(v < x, 1.0).when(v == x, 0.5).otherwise(0.0))
     rows = F.count(F.lit(1)).over(w)
     least = n // 2 if least is None else least
-    return F.when((F.count(x).over(w) == rows) & (rows >= least),
-                  (below + (same + 1) / 2) / rows)
+    return F.when((F.count(x).over(w) == rows) & (rows >= least), rank / rows)
 
 
 def volatility(ax: Axis, returns, n, least, population=False, per_year=TRADING_DAYS) -> Column:

@@ -227,11 +227,12 @@ def prune_inflated(pairs: DataFrame, columns, threshold=7.5):
 
 def reduce_features(long: DataFrame, labels: DataFrame, columns, correlation=0.9, inflation=7.5, bins=10):
     """Statistics slice, mutual information, rank-correlation and inflation pruning."""
-    part = statistics_slice(long)
+    part = statistics_slice(long).persist()                            # read four times below
     scores = {r[0]: r[1] for r in mutual_information(part, labels, bins).collect()}     # one row per column
     live = [c for c in columns if c in scores]
     kept = prune_correlated(spearman(part, live), scores, live, correlation)
     wide = part.groupBy("date").agg(*[F.max(F.when(F.col("column_name") == c, F.col("value"))).alias(c) for c in kept])
     final = set(prune_inflated(moments(wide, kept), kept, inflation))
+    part.unpersist()
     rows = [(c, scores.get(c), c in kept, c in final) for c in columns]
     return long.sparkSession.createDataFrame(rows, "column_name string, mutual_information double, kept_by_correlation boolean, selected boolean")

@@ -195,7 +195,7 @@ def draw(space: dict, trials, seed=42):
 
 def random_search(folds: DataFrame, features, n_classes, space, trials=50, model="logistic", seed=42, keys=("date",)):
     """Trials ranked by mean log-loss over folds; a failing trial scores infinity."""
-    rows = []
+    rows, folds = [], folds.persist()                       # read by every trial
     for i, params in enumerate(draw(space, trials, seed)):
         try:
             oof, _ = cross_validate(folds, features, n_classes, model, params, keys=keys)
@@ -203,6 +203,7 @@ def random_search(folds: DataFrame, features, n_classes, space, trials=50, model
         except Exception:
             loss = None
         rows.append((i, {k: str(v) for k, v in params.items()}, math.inf if loss is None else loss))
+    folds.unpersist()
     rows = [(p + 1, *r) for p, r in enumerate(sorted(rows, key=lambda r: (r[2], r[0])))]
     return folds.sparkSession.createDataFrame(rows, "place int, trial int, params map<string,string>, mean_log_loss double")
 

@@ -66,6 +66,17 @@ def m3(spark, sf):
     return P.class_weights(V.table(spark, sf, "embeddings"), "label").select("label", F.round("weight", 6).alias("weight"))
 
 
+@query("j11_weights_and_unseen_rows", """
+select vec_id, e.label, round(w.weight, 6) as weight from embeddings e join (
+  select label, sum(c) over () / (count(*) over () * c) as weight from (select label, count(*) * 1.0::double as c from embeddings group by label) t) w on e.label = w.label
+where vec_id not in (select vec_id from embeddings where vec_id % 5 = 0)""")
+def j11(spark, sf):
+    e = V.table(spark, sf, "embeddings").select("vec_id", "label")
+    left = e.join(e.where("vec_id % 5 = 0").select("vec_id"), "vec_id", "left_anti")
+    weights = P.class_weights(e, "label")
+    return left.join(F.broadcast(weights), "label").select("vec_id", "label", F.round("weight", 6).alias("weight"))
+
+
 @query("m4_label_codes", "select label, cast(dense_rank() over (order by label) - 1 as int) as code from (select distinct label from embeddings) t")
 def m4(spark, sf):
     return P.label_codes(V.table(spark, sf, "embeddings"), "label")
@@ -352,32 +363,32 @@ def importances(spark, sf):
 
 
 @query("t17_prune_features", """
-select theme, feature, round(avg(importance), 5) as mean_importance, round(avg(cast(importance > 0 as int)), 6) as positive_share from v_imp
+select theme, feature, round(avg(importance), 9) as mean_importance, round(avg(cast(importance > 0 as int)), 6) as positive_share from v_imp
 group by theme, feature having avg(importance) > 0 and avg(cast(importance > 0 as int)) >= 0.6""", [], IMP)
 def t17(spark, sf):
     df = E.prune_features(importances(spark, sf))
-    return df.select("theme", "feature", F.round("mean_importance", 5).alias("mean_importance"), F.round("positive_share", 6).alias("positive_share"))
+    return df.select("theme", "feature", F.round("mean_importance", 9).alias("mean_importance"), F.round("positive_share", 6).alias("positive_share"))
 
 
 @query("t18_theme_importance", """
-select theme, round(sum(importance), 5) as importance, round(100 * sum(importance) / sum(sum(importance)) over (), 5) as pct from v_imp group by theme""", [], IMP)
+select theme, round(sum(importance), 9) as importance, round(100 * sum(importance) / sum(sum(importance)) over (), 9) as pct from v_imp group by theme""", [], IMP)
 def t18(spark, sf):
-    return rounded(E.theme_importance(importances(spark, sf)), ["theme"], 5)
+    return rounded(E.theme_importance(importances(spark, sf)), ["theme"], 9)
 
 
 @query("t19_fold_summary", """
-select theme, feature as model, round(avg(importance), 5) as importance_mean, round(stddev_samp(importance), 5) as importance_std from v_imp group by 1, 2""", [], IMP)
+select theme, feature as model, round(avg(importance), 9) as importance_mean, round(stddev_samp(importance), 9) as importance_std from v_imp group by 1, 2""", [], IMP)
 def t19(spark, sf):
     df = E.fold_summary(importances(spark, sf).withColumnRenamed("feature", "model"), ["importance"])
-    return rounded(df, ["theme", "model"], 5)
+    return rounded(df, ["theme", "model"], 9)
 
 
 @query("t19_theme_ranking", """
-select theme, round(score, 5) as score, cast(row_number() over (order by score desc, theme) as int) as place from (
+select theme, round(score, 9) as score, cast(row_number() over (order by score desc, theme) as int) as place from (
  select theme, avg(m) as score from (select theme, feature, avg(importance) as m from v_imp group by 1, 2) t group by theme) u""", [], IMP)
 def t19_rank(spark, sf):
     s = E.fold_summary(importances(spark, sf).withColumnRenamed("feature", "model"), ["importance"])
-    return rounded(E.ranked(s, "importance_mean"), ["theme"], 5, exact=["place"])
+    return rounded(E.ranked(s, "importance_mean"), ["theme"], 9, exact=["place"])
 
 
 TOP = """(select theme, feature, row_number() over (partition by theme order by avg(importance) desc, feature) as k from v_imp group by 1, 2)"""
@@ -389,11 +400,11 @@ def o2(spark, sf):
 
 
 @query("o3_top_themes", """
-select theme, round(score, 5) as score, cast(place as int) as place from (select *, row_number() over (order by score desc, theme) as place from (
+select theme, round(score, 9) as score, cast(place as int) as place from (select *, row_number() over (order by score desc, theme) as place from (
  select theme, avg(m) as score from (select theme, feature, avg(importance) as m from v_imp group by 1, 2) t group by theme) u) w where place <= 3""", [], IMP)
 def o3(spark, sf):
     s = E.fold_summary(importances(spark, sf).withColumnRenamed("feature", "model"), ["importance"])
-    return rounded(E.ranked(s, "importance_mean").where("place <= 3"), ["theme"], 5, exact=["place"])
+    return rounded(E.ranked(s, "importance_mean").where("place <= 3"), ["theme"], 9, exact=["place"])
 
 
 @query("o4_union_of_frames", """

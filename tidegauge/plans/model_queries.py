@@ -269,7 +269,7 @@ def m26(spark, sf):
     return T.incremental_themes(folds(spark, sf, 2), list(themes), themes, N)
 
 
-CONTEXT_SQL = "select date, case when date_diff('day', date '2020-01-01', date) % 4 <> 0 then true_label * 1.5 end as pillar, case when date_diff('day', date '2020-01-01', date) > 3 then true_label end as target from v_pred where run = 'a'"
+CONTEXT_SQL = "select date, case when date_diff('day', date '2020-01-01', date) % 4 <> 0 then true_label * 1.5::double end as pillar, case when date_diff('day', date '2020-01-01', date) > 3 then true_label end as target from v_pred where run = 'a'"
 
 
 @query("g29_stacking_features", "select * from (select x.date, " + ", ".join(

@@ -295,12 +295,12 @@ def t10(spark, sf):
 
 
 DESCRIBE = ("count(value) as count, round(avg(value), 3) as mean, round(stddev_samp(value), 3) as std, min(value) as min, "
-            "round(quantile_cont(value, 0.25), 3) as p25, round(quantile_cont(value, 0.5), 3) as p50, round(quantile_cont(value, 0.75), 3) as p75, max(value) as max")
+            "round(quantile_cont(value, 0.25), 4) as p25, round(quantile_cont(value, 0.5), 4) as p50, round(quantile_cont(value, 0.75), 4) as p75, max(value) as max")
 
 
 def described(df, by):
     return df.select(*by, "count", *[F.round(c, 3).alias(c) for c in ("mean", "std")], "min",
-                     *[F.round(c, 3).alias(c) for c in ("p25", "p50", "p75")], "max")
+                     *[F.round(c, 4).alias(c) for c in ("p25", "p50", "p75")], "max")
 
 
 @query("t11_describe", f"select column_name, {DESCRIBE} from v_long group by column_name", ["v_gaps"], LONG)
@@ -309,8 +309,8 @@ def t11(spark, sf):
 
 
 PRICE_QUANTILES = """
-select l_returnflag as flag, round(quantile_cont(l_extendedprice, 0.25), 3) as p25, round(quantile_cont(l_extendedprice, 0.5), 3) as p50,
-  round(quantile_cont(l_extendedprice, 0.9), 3) as p90 from lineitem group by l_returnflag"""
+select l_returnflag as flag, round(quantile_cont(l_extendedprice, 0.25), 4) as p25, round(quantile_cont(l_extendedprice, 0.5), 4) as p50,
+  round(quantile_cont(l_extendedprice, 0.9), 4) as p90 from lineitem group by l_returnflag"""
 
 
 @query("t11_exact_percentiles_hot_groups", PRICE_QUANTILES)
@@ -318,7 +318,7 @@ def t11_hot(spark, sf):
     from tidegauge.operators.chunks import percentiles
     df = V.table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("flag"), "l_extendedprice")
     out = percentiles(df, ["flag"], "l_extendedprice", {"p25": 0.25, "p50": 0.5, "p90": 0.9}, target_rows=5000)
-    return out.select("flag", *[F.round(c, 3).alias(c) for c in ("p25", "p50", "p90")])
+    return out.select("flag", *[F.round(c, 4).alias(c) for c in ("p25", "p50", "p90")])
 
 
 PAIRS = {"pairs": " union all ".join(
@@ -437,6 +437,15 @@ def c10(spark, sf):
     return Q.classify(names, column="name").select("p_partkey", "name", "source_table")
 
 
+@query("c10_longest_prefix_themes", """
+select p_partkey, case p_partkey % 3 when 0 then 'Tbill' when 1 then 'Emerging' else 'Unknown' end as theme from part""")
+def c10_longest(spark, sf):
+    prefixes = {"em_": ("a", "Emerging"), "em_tbill_": ("b", "Tbill")}
+    k = F.col("p_partkey") % 3
+    name = F.concat(F.when(k == 0, "em_tbill_").when(k == 1, "em_").otherwise("zz_"), F.col("p_size").cast("string"))
+    return Q.classify(V.table(spark, sf, "part").select("p_partkey", name.alias("name")), prefixes, "name", longest=True).select("p_partkey", "theme")
+
+
 @query("t24_class_shares", """
 select label, n, round(n / sum(n) over (), 6) as share from (select label, count(*) as n from embeddings group by label) t""")
 def t24(spark, sf):
@@ -459,14 +468,14 @@ def t25(spark, sf):
 
 
 @query("t26_five_numbers_by_state", """
-select feature, state, count(value) as count, min(value) as min, round(quantile_cont(value, 0.25), 3) as p25,
-  round(quantile_cont(value, 0.5), 3) as p50, round(quantile_cont(value, 0.75), 3) as p75, max(value) as max
+select feature, state, count(value) as count, min(value) as min, round(quantile_cont(value, 0.25), 4) as p25,
+  round(quantile_cont(value, 0.5), 4) as p50, round(quantile_cont(value, 0.75), 4) as p75, max(value) as max
 from (select 'high' as feature, cast(floor(volume) as int) % 3 as state, high as value from v_bars
       union all select 'low', cast(floor(volume) as int) % 3, low from v_bars) t group by feature, state""", ["v_bars"])
 def t26(spark, sf):
     df = V.bars(spark, sf).select((F.floor("volume") % 3).cast("int").alias("state"), "high", "low")
     df = Q.five_numbers(df.unpivot(["state"], ["high", "low"], "feature", "value"), ["feature", "state"])
-    return df.select("feature", "state", "count", "min", *[F.round(c, 3).alias(c) for c in ("p25", "p50", "p75")], "max")
+    return df.select("feature", "state", "count", "min", *[F.round(c, 4).alias(c) for c in ("p25", "p50", "p75")], "max")
 
 
 @query("t26_parameter_counts", """

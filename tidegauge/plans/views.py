@@ -63,7 +63,7 @@ def members(spark, sf):
 def hourly(spark, sf):
     return (table(spark, sf, "events")
             .groupBy(F.col("event_type").alias("series_id"),
-                     F.date_trunc("hour", "ts").alias("ts_hour"))
+                     F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts_hour"))
             .agg(F.round(F.avg("value"), 4).alias("value"), F.count("*").alias("n")))
 
 
