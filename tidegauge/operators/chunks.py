@@ -88,7 +88,8 @@ def lay_out(df: DataFrame, ax: Axis, target_rows=TARGET_ROWS) -> Layout:
     return Layout(marked, ax, cuts)
 
 
-def _hot_rows(lay: Layout):
+def hot_rows(lay: Layout) -> DataFrame:
+    """The rows of the groups that were cut."""
     return lay.df.join(F.broadcast(lay.cuts.select(*lay.ax.by)), list(lay.ax.by), "left_semi")
 
 
@@ -114,7 +115,7 @@ def running_sum(lay: Layout, sums: dict) -> DataFrame:
     local = {o: F.sum(x).over(lay.local.past()) for o, x in sums.items()}
     if not lay.hot:
         return lay.df.withColumns(local)
-    part = (_hot_rows(lay).groupBy(*lay.ax.by, CHUNK)
+    part = (hot_rows(lay).groupBy(*lay.ax.by, CHUNK)
             .agg(*[F.sum(x).alias(o) for o, x in sums.items()]))
     df = _handed_over(lay, part, {
         f"_in_{o}": (lambda w, o=o: F.sum(o).over(w)) for o in sums})
@@ -136,7 +137,7 @@ def running_min(lay: Layout, out, x) -> DataFrame:
     local = F.min(x).over(lay.local.past())
     if not lay.hot:
         return lay.df.withColumn(out, local)
-    part = _hot_rows(lay).groupBy(*lay.ax.by, CHUNK).agg(F.min(x).alias("_m"))
+    part = hot_rows(lay).groupBy(*lay.ax.by, CHUNK).agg(F.min(x).alias("_m"))
     df = _handed_over(lay, part, {"_in": lambda w: F.min("_m").over(w)})
     df = df.withColumn(out, local)
     return df.withColumn(out, F.least(out, "_in")).drop("_in")
@@ -148,7 +149,7 @@ def fill_forward(lay: Layout, outs: dict) -> DataFrame:
     if not lay.hot:
         return lay.df.withColumns(local)
     key = _sorted_key(lay.ax)
-    part = (_hot_rows(lay).groupBy(*lay.ax.by, CHUNK)
+    part = (hot_rows(lay).groupBy(*lay.ax.by, CHUNK)
             .agg(*[F.max_by(x, F.when(_c(x).isNotNull(), key)).alias(o) for o, x in outs.items()]))
     df = _handed_over(lay, part, {
         f"_in_{o}": (lambda w, o=o: F.last(o, True).over(w)) for o in outs})
@@ -171,7 +172,7 @@ def with_halo(lay: Layout, before: int, after: int = 0) -> DataFrame:
         return lay.df.withColumn("_halo", F.lit(False))
     by = list(lay.ax.by)
     df = positions(lay, "_pos")
-    ends = (_hot_rows(lay).groupBy(*by, CHUNK).agg(F.count(F.lit(1)).alias("_n")))
+    ends = (hot_rows(lay).groupBy(*by, CHUNK).agg(F.count(F.lit(1)).alias("_n")))
     upto = Window.partitionBy(*by).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, 0)
     spans = (ends.withColumn("_to", F.sum("_n").over(upto))
              .groupBy(*by)

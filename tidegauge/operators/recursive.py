@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tidegauge.operators.axis import Axis
-from tidegauge.operators.chunks import CHUNK, lay_out
+from tidegauge.operators.chunks import CHUNK, hot_rows, lay_out
 
 
 def span(n):
@@ -77,7 +77,7 @@ def _smooth_chunks(lay, specs) -> DataFrame:
         return pd.DataFrame([row], columns=[f.name for f in line_schema])
 
     needed = sorted({col for col, _, _ in specs.values()})
-    lines = lay.df.select(*group, *order, *needed).groupBy(*group).applyInPandas(line, line_schema)
+    lines = hot_rows(lay).select(*group, *order, *needed).groupBy(*group).applyInPandas(line, line_schema)
 
     start = ("y", "gap", "n")
     start_schema = T.StructType([*base, *[
@@ -99,7 +99,7 @@ def _smooth_chunks(lay, specs) -> DataFrame:
     def run(pdf):
         pdf = pdf.sort_values(order)
         for out, (col, alpha, least) in specs.items():
-            y, gap, n = (float(pdf[f"_{out}_{s}"].iloc[0]) for s in start)
+            y, gap, n = (pdf[f"_{out}_{s}"].iloc[0] for s in start)
             x = pdf[col].astype("float64")
             seeded = not np.isnan(y)
             head = np.concatenate([[y], np.full(int(gap), np.nan)]) if seeded else []
@@ -109,7 +109,9 @@ def _smooth_chunks(lay, specs) -> DataFrame:
             pdf[out] = np.where(enough, values, np.nan)
         return pdf[names]
 
-    joined = lay.df.join(starts, group)
+    # one row per chunk of a hot series; the others start from nothing
+    joined = lay.df.join(F.broadcast(starts), group, "left").na.fill(
+        0.0, subset=[f"_{o}_{s}" for o in specs for s in ("gap", "n")])
     return joined.groupBy(*group).applyInPandas(run, schema).drop(CHUNK)
 
 
