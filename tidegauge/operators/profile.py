@@ -170,6 +170,7 @@ def cadence(long: DataFrame, ax=COLUMNS):
     span = business_day_count(F.col("first"), F.col("last"))
     daily = (F.try_divide("on_weekdays", "n") > 0.8) & (F.try_divide(F.col("n"), span) > 0.6)
     d, num = F.col("gap"), F.col("gap").cast("string")
+    # fixed values: bands of days and their names
     name = (F.when(F.col("n") < 2, "Insufficient data")
             .when(d.between(0, 3) & daily, "Daily (Business)")
             .when(d.between(0, 3), F.concat(F.lit("Daily-like (Mode: "), num, F.lit(" days)")))

@@ -83,6 +83,7 @@ def kpss_test(x):
 def verdict(adf_p, kpss_p, above, below):
     """Combined reading of both tests; a p-value off the table's end is nudged outwards."""
     adf_p, kpss_p = F.col(adf_p), F.col(kpss_p)
+    # fixed values: the five verdict texts
     real = F.when(F.col(below), kpss_p - 0.001).when(F.col(above), kpss_p + 0.001).otherwise(kpss_p)
     a, k = adf_p < 0.05, real >= 0.05
     return (F.when(adf_p.isNull() | kpss_p.isNull(), "Error in tests")

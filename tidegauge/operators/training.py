@@ -134,13 +134,13 @@ def fold_scores(oof: DataFrame, n_classes, by=("run", "fold")):
 
 # -- permutation importance --------------------------------------------------
 
-def donors(df: DataFrame, keys, seed, rows_per_bucket=5000):
+def donors(df: DataFrame, keys, seed, rows_per_bucket=5000, n=None):
     """Give every row another row's features: a seeded permutation of the rows.
 
     Rows are hashed into buckets of some thousand; within a bucket, in hash order,
     each takes the row before it and the first takes the last. No task sorts the whole.
     """
-    n = df.count()
+    n = df.count() if n is None else n
     h = F.xxhash64(*keys, F.lit(seed))
     df = df.withColumn("_h", h).withColumn("_b", F.pmod(F.xxhash64("_h", F.lit("bucket")), F.lit(max(1, n // rows_per_bucket))))
     ax = Axis(("_b",), ("_h", *keys))
@@ -156,9 +156,9 @@ def permutation_importance(model: PipelineModel, test: DataFrame, features, n_cl
     """
     classes = list(range(n_classes))
     base = E.log_loss(score(model, test, n_classes).withColumn("run", F.lit("base")), classes).select("log_loss")
-    parts = []
+    parts, n = [], test.count()
     for r in range(repeats):
-        d = donors(test, keys, seed + r)
+        d = donors(test, keys, seed + r, n=n)
         own, other = vector_to_array(FEATURES), vector_to_array("_donor")
         rows = d.withColumns({"_o": own, "_d": other}).select(
             *keys, E.TRUE, "_o", "_d", F.posexplode(F.array(*[F.lit(f) for f in features])).alias("_i", "feature"))
