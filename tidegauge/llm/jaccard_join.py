@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from tidegauge.llm.graphs import components
 from tidegauge.llm.words import U, as_bytes, mix, pack, shingle_sets, unpack
@@ -23,7 +23,7 @@ SMALLEST = 32                    # sets below it use one part a shingle
 LOADS = (1.0, 1.5, 2.0, 2.4)     # shingles a part at the top of each band; the last holds on
 SLOT_BITS = 20                   # width of a part of the sketch
 BUSY = 16                        # texts from which a part counts as common
-LOCAL = 2048                     # texts of a group resolved in one task
+LOCAL = 8192                     # texts of a group resolved in one task
 KEY_MASK = U((1 << 40) - 1)
 ROWS = "kind int, a long, b long, x int, y int, n int"
 
@@ -255,7 +255,7 @@ def _large_groups(texts, large):
         met = persist_plan(rows.mapInArrow(_against_lead, "component long, rep long, lead long, both long, united long"))
         near = F.expr(f"{LEAST[1]} * both >= {LEAST[0]} * united")
         new = met.where(near).select(F.col("lead").alias("a"), F.col("rep").alias("b"))
-        links = new if links is None else links.unionByName(new)
+        links = persist_plan(new if links is None else links.unionByName(new))
         gap = 1.0 - F.col("both") / F.greatest("united", F.lit(1))
         limit = met.where(~near).groupBy("component").agg(F.min(gap).alias("nearest"), F.min("rep").alias("next"))
         kept = persist_plan(met.where("rep <> lead").join(limit, "component")
@@ -269,6 +269,24 @@ def _large_groups(texts, large):
     return links, done
 
 
+def _common_links(rows, info):
+    """Candidate links over common parts, each text linked with the first owner of the part.
+
+    A pair has at most ``most`` differing parts, so a text with more uncommon parts than that
+    needs no common ones: one of the uncommon is shared too. Any other pair shares at least
+    ``filled - most`` parts, all of them common; if each side leaves out the owners of fewer
+    than half as many, one owner stays in both.
+    """
+    small = F.col("size_a") < SMALLEST * F.pow(F.lit(2.0), F.col("x") + 1)
+    most = F.when(small, F.floor(F.col("size_a") / 3)).otherwise(F.floor(2 * F.col("size_a") / 7))
+    owners = rows.where("kind = 2").groupBy("a", "x", "b").agg(F.sum("n").alias("n"))
+    per_text = Window.partitionBy("a", "x")
+    upto = per_text.orderBy("n", "b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    owners = owners.withColumn("upto", F.sum("n").over(upto)).withColumn("common", F.sum("n").over(per_text))
+    return (owners.join(info, ["a", "x"]).withColumn("most", most).where("free_a <= most")
+            .where("2 * upto >= free_a + common - most").where("a <> b").select("a", "b"))
+
+
 def shingle_classes(docs, buckets=None):
     """Near-duplicate classes of ``docs`` (``doc_id``, ``text``): doc_id, n_shingles, component_id.
 
@@ -295,8 +313,7 @@ def shingle_classes(docs, buckets=None):
     two = info.select(F.col("sign").alias("b"), F.col("band").alias("x"), F.col("size").alias("size_b"), F.col("free").alias("free_b"))
     pairs = pairs.join(one, ["a", "x"]).join(two, ["b", "x"]).where(
         "n >= greatest(free_a, free_b) - floor((size_a + size_b) / 7)").select("a", "b")
-    # only a text whose uncommon parts may all differ from a partner's needs its common parts
-    stars = rows.where("kind = 2 and a <> b").join(one, ["a", "x"]).where("21 * free_a <= 8 * size_a").select("a", "b")
+    stars = _common_links(rows, one)
     groups = components(pairs.unionByName(stars))
     members = persist_plan(groups.join(reps, groups.id == reps.sign).select("component", "rep"))
     sizes = persist_plan(members.groupBy("component").agg(F.count("*").alias("n")))
