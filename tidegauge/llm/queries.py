@@ -18,3 +18,9 @@ def table(spark, sf, name):
 def op6_ngram_jaccard_join(spark, sf):
     from tidegauge.llm.jaccard_join import shingle_classes
     return shingle_classes(table(spark, sf, "documents"))
+
+
+@query
+def op1_suffix_array_dedup(spark, sf):
+    from tidegauge.llm.suffix_dedup import remove_repeats
+    return remove_repeats(table(spark, sf, "documents"), with_text=False)
