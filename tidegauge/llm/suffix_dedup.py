@@ -22,7 +22,7 @@ ANCHOR = 16                      # bytes of an anchor
 STARTS = LENGTH - ANCHOR + 1     # places of an anchor in a string
 BUSY = 24                        # blocks from which an anchor counts as common and is split by context
 CONTEXT = 8                      # bytes of that context
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 16 << 20
 INDEX_BYTES = 1 << 19            # of one index; only a single anchor's stretches may exceed it
 
 
@@ -188,14 +188,14 @@ def block_stretches(texts, marks, buckets):
         yield a, b, data, offsets, *(np.concatenate(c) for c in zip(*parts))
 
 
-def distinct_stretches(texts, marks, buckets):
+def distinct_stretches(texts, marks, anchor_buckets, buckets):
     """Pieces as above, and the block's distinct stretches by bucket.
 
     Every stretch gets its number among the distinct ones, whose first holder is the earliest
     text. Returns (pieces with numbers, sizes, keys, holders, bytes, bucket ends).
     """
     got, code, size, key, holder, where = [], [], [], [], [], []
-    for a, b, data, offsets, text, first, last, own in block_stretches(texts, marks, buckets):
+    for a, b, data, offsets, text, first, last, own in block_stretches(texts, marks, anchor_buckets):
         got.append([a, b, data, offsets, text, first, last])
         code.append(span_hashes(data, first, last + LENGTH) ^ mix(own))
         size.append(last + LENGTH - first)
@@ -372,28 +372,30 @@ def index_bucket(table):
     key, size = keys[own], sizes[own]
     raw = data.tobytes()
     strings = [raw[a:b] for a, b in zip(at[own].tolist(), at[own + 1].tolist())]
-    spot = np.concatenate([[0], np.cumsum(size - LENGTH + 1)])  # starts of all distinct stretches
-    found = np.full(spot[-1], -1, np.int64)
+    del raw
+    by_number = np.argsort(number, kind="stable")
+    upto = np.searchsorted(number[by_number], np.arange(len(own) + 1))
+    bits = np.zeros(len(number), U)
     ends = np.flatnonzero(np.concatenate([key[1:] != key[:-1], [True]])) + 1
     total = np.cumsum(size)
     a = 0
-    while a < len(own):
+    while a < len(own):                                         # one index after the other, with all holders of its stretches
         goal = (total[a - 1] if a else 0) + INDEX_BYTES
-        b = ends[max(np.searchsorted(ends, a, "right"), min(np.searchsorted(total[ends - 1], goal), len(ends) - 1))]
-        part = np.arange(a, b)
-        part = part[np.argsort(docs[own[part]], kind="stable")]
+        b = int(ends[max(np.searchsorted(ends, a, "right"), min(np.searchsorted(total[ends - 1], goal), len(ends) - 1))])
+        part = a + np.argsort(docs[own[a:b]], kind="stable")
         index = RunIndex([strings[i] for i in part], size[part], docs[own[part]])
-        first = index.first_documents()
-        n = size[part] - LENGTH + 1
-        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        first = first[np.repeat(index.starts, n) + inner]      # without another place it is the stretch's first holder
-        found[np.repeat(spot[part], n) + inner] = np.where(first < 0, np.repeat(docs[own[part]], n), first)
+        starts = np.empty(b - a, np.int64)
+        starts[part - a] = index.starts
+        rows = by_number[upto[a]:upto[b]]
+        which = number[rows]
+        n = size[which] - LENGTH + 1
+        head = np.cumsum(n) - n
+        inner = np.arange(n.sum()) - np.repeat(head, n)
+        first = index.first_documents()[np.repeat(starts[which - a], n) + inner]
+        first = np.where(first < 0, np.repeat(docs[own[which]], n), first)     # no other place: the stretch's first holder
+        flag = first < np.repeat(docs[rows], n)
+        bits[rows] = np.bitwise_or.reduceat(flag.astype(U) << inner.astype(U), head)
         a = b
-    n = size[number] - LENGTH + 1
-    inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    first = found[np.repeat(spot[number], n) + inner]
-    flag = first < np.repeat(docs, n)
-    bits = np.bitwise_or.reduceat(flag.astype(U) << inner.astype(U), np.cumsum(n) - n)
     cut = np.concatenate([[0], np.cumsum(counts)])
     bucket = table.column("bucket")[0].as_py()
     return pa.table({"blk": pa.array(blocks, pa.int32()), "kind": pa.array([1] * len(blocks), pa.int32()),
@@ -407,11 +409,11 @@ def _marks(table, kind):
 
 
 def send_stretches(docs, marks, buckets):
-    """The distinct stretches of a block as one blob for each bucket."""
+    """The distinct stretches of a block as one blob for each of the index buckets, twice those of anchors."""
     ids, texts = sorted_block(docs)
     rows = []
     if marks.num_rows:
-        _, sizes, keys, holders, strings, ends = distinct_stretches(texts, _marks(marks, 0), buckets)
+        _, sizes, keys, holders, strings, ends = distinct_stretches(texts, _marks(marks, 0), buckets // 2, buckets)
         for k, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
             if b > a:
                 rows.append((k, squeeze(sizes[a:b].astype(np.uint8), keys[a:b], ids[holders[a:b]],
@@ -429,7 +431,7 @@ def cut_block(docs, marks, buckets, with_text):
     bits = np.zeros(0, U)
     holders = np.zeros(0, np.int64)
     if marks.num_rows:
-        got, _, _, holders, _, ends = distinct_stretches(texts, _marks(marks, 0), buckets)
+        got, _, _, holders, _, ends = distinct_stretches(texts, _marks(marks, 0), buckets // 2, buckets)
         bits = np.zeros(len(holders), U)
         for k, blob in _marks(marks, 1).items():
             bits[ends[k]:ends[k + 1]] = expand(blob, U)[0]
@@ -489,8 +491,8 @@ def remove_repeats(docs, with_text=True, buckets=None):
     row = "blk int, kind int, bucket int, blob binary"
     marks = anchors.groupBy("bucket").applyInArrow(shared_anchors, row)
     sent = blocks.cogroup(marks.groupBy("blk")).applyInArrow(
-        lambda d, m: send_stretches(d, m, parts), "bucket int, blk int, blob binary")
+        lambda d, m: send_stretches(d, m, 2 * parts), "bucket int, blk int, blob binary")
     flags = sent.groupBy("bucket").applyInArrow(index_bucket, row)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string" if with_text else "")
     return blocks.cogroup(marks.unionByName(flags).groupBy("blk")).applyInArrow(
-        lambda d, m: cut_block(d, m, parts, with_text), schema)
+        lambda d, m: cut_block(d, m, 2 * parts, with_text), schema)

@@ -15,7 +15,7 @@ IS_SPACE[list(SPACES)] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 BASE = 0x9E3779B97F4A7C15
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18
 _powers = [np.ones(1, U), np.ones(1, U)]
 
 
