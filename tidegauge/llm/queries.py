@@ -24,3 +24,75 @@ def op6_ngram_jaccard_join(spark, sf):
 def op1_suffix_array_dedup(spark, sf):
     from tidegauge.llm.suffix_dedup import remove_repeats
     return remove_repeats(table(spark, sf, "documents"), with_text=False)
+
+
+@query
+def op7_url_filters(spark, sf):
+    from tidegauge.llm.url_reputation import judge_pages
+    return judge_pages(table(spark, sf, "pages"))
+
+
+ORACLE["op7_url_filters"] = """
+with p as (
+  select page_id, coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
+         coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') as path from pages),
+rules(verdict, rule, name, start) as (values ('allow', 'org/', 'org', '/'), ('block', 'example.org/es/', 'example.org', '/es/'),
+  ('block', 'example.org/en/1', 'example.org', '/en/1'), ('allow', 'com/fr/', 'com', '/fr/'), ('block', 'com/de/', 'com', '/de/')),
+r as (
+  select p.*, (select arg_max(rules.rule, length(rules.rule)) from rules
+               where (host = name or ends_with(host, '.' || name)) and starts_with(path, start)) as rule from p),
+l as (select r.*, rules.verdict as ruled from r left join rules using (rule)),
+h as (
+  select host, count(ruled)::double as n, (count(*) filter (ruled = 'allow'))::double as good,
+         array_to_string(string_split(host, '.')[-2:], '.') as domain, string_split(host, '.')[-1] as suffix
+  from l group by host),
+d as (select suffix, domain, sum(n) as n, sum(good) as good from h group by all),
+s as (select suffix, sum(n) as n, sum(good) as good from d group by all),
+g as (select (sum(good) + 1) / (sum(n) + 2) as share from s),
+levels as (select 1 as level, n, good from s union all select 2, n, good from d union all select 3, n, good from h),
+m as (
+  select level, count(*) as m, sum(n) as pages, sum(n * n) as squares, sum(n * (good / n - share) ^ 2) as spread, any_value(share * (1 - share)) as noise
+  from levels, g where n > 0 group by level),
+e as (select level, (spread - noise * (m - 1)) / (noise * (pages - squares / pages - (m - 1))) as extra, m, pages - squares / pages - (m - 1) as room, noise from m),
+k as (select level, case when m < 2 or noise <= 0 or room <= 0 or extra <= 0 then 1000.0 else least(greatest(1.0 / extra - 1.0, 1.0), 1000.0) end as strength from e),
+w as (select coalesce(max(strength) filter (level = 1), 1000.0) as s1, coalesce(max(strength) filter (level = 2), 1000.0) as s2,
+             coalesce(max(strength) filter (level = 3), 1000.0) as s3 from k),
+b as (
+  select host, (h.good + s3 * ((d.good + s2 * ((s.good + s1 * share) / (s.n + s1))) / (d.n + s2))) / (h.n + s3) as mean, h.n, s3
+  from h join d using (suffix, domain) join s using (suffix), g, w)
+select page_id, l.host, path, rule,
+       coalesce(ruled, case when mean - 1.28 * sqrt(mean * (1 - mean) / (b.n + s3 + 1.0)) >= 0.5 then 'allow' else 'block' end) as verdict
+from l join b using (host)
+"""
+
+
+@query
+def op10_mixing_sources(spark, sf):
+    from tidegauge.llm.mixing import mix_sources
+    return mix_sources(table(spark, sf, "documents"))
+
+
+ORACLE["op10_mixing_sources"] = r"""
+with d as (
+  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
+         md5(coalesce(doc_id::varchar, 'null') || 'mix-1') as turn from documents),
+s as (select source, sum(size)::bigint as size from d group by source),
+w as (
+  select *, [1.0, 2.0, 3.0][(row_number() over (order by source is null, source) - 1) % 3 + 1]::double as weight, (3 * size)::double as most from s),
+v as (
+  select *, most / weight as ratio,
+         ((select sum(size) from s)::double - coalesce(sum(most) over (order by most / weight, source is null, source rows between unbounded preceding and 1 preceding), 0.0))
+         / sum(weight) over (order by most / weight, source is null, source rows between current row and unbounded following) as level from w),
+water as (select first(level order by ratio, source is null, source) as water from v where level <= ratio),
+t as (select source, size as source_size, least(most, coalesce(weight * water, most)) as target from v, water),
+q as (
+  select doc_id, d.size, source_size, target, sum(d.size) over (partition by d.source order by turn, doc_id, d.size rows unbounded preceding) as upto
+  from d join t on d.source is not distinct from t.source),
+f as (select size, (pass * source_size + upto)::double / target as finish from q, range(3) as p(pass) where size > 0 and target > 0),
+c as (select finish, sum(size) over (order by finish) as words from f),
+cut as (select coalesce(max(finish), 0.0) as cut from c where words <= (select sum(size) from s))
+select doc_id, size, source_size, target,
+       (size * (case when size = 0 or target = 0 then 0 else (upto::double / target <= cut)::int + ((source_size + upto)::double / target <= cut)::int
+                     + ((2 * source_size + upto)::double / target <= cut)::int end))::bigint as taken
+from q, cut
+"""
