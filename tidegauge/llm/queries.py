@@ -96,3 +96,9 @@ select doc_id, size, source_size, target,
                      + ((2 * source_size + upto)::double / target <= cut)::int end))::bigint as taken
 from q, cut
 """
+
+
+@query
+def op8_sentencepiece(spark, sf):
+    from tidegauge.llm.pieces import encode_texts
+    return encode_texts(table(spark, sf, "documents"))
