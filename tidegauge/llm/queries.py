@@ -102,3 +102,9 @@ from q, cut
 def op8_sentencepiece(spark, sf):
     from tidegauge.llm.pieces import encode_texts
     return encode_texts(table(spark, sf, "documents"))
+
+
+@query
+def op9_toxicity(spark, sf):
+    from tidegauge.llm.toxicity import toxicity_scores
+    return toxicity_scores(table(spark, sf, "documents"), table(spark, sf, "labels"))
