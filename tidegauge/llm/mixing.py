@@ -14,7 +14,7 @@ from tidegauge.session import persist_plan
 WEIGHTS = (1, 2, 3)              # of the sources by name, repeating
 MOST = 3                         # passes over a source
 SEED = "mix-1"
-SLICE_ROWS = 20000               # documents of a slice of the shuffled order
+SLICE_ROWS = 2000                # documents of a slice of the shuffled order
 STEPS = 1000                     # steps of virtual time counted at once
 WORD = r"[^\x20\x09-\x0D]+"
 

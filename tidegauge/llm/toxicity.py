@@ -18,7 +18,7 @@ from tidegauge.session import persist_plan
 FIT_ROWS = 20000                 # labelled texts, and hit texts for the classifier, at most (in hashed order)
 BEGINNINGS = (4, 5, 6)           # bytes of word beginnings
 TERMS = 512                      # of the lexicon
-LEAST_TEXTS = 5                  # labelled toxic texts that a term needs
+LEAST_TEXTS = 3                  # labelled toxic texts that a term needs
 VOTERS = 64                      # terms that vote on their own
 ROUNDS = 6
 THRESHOLD = 0.7
