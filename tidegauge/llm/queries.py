@@ -129,3 +129,9 @@ def op3_exact_top_k(spark, sf):
 def op4_embedding_near_dedup(spark, sf):
     from tidegauge.llm.near_vectors import near_vectors
     return near_vectors(table(spark, sf, "embeddings"))
+
+
+@query
+def op5_lm_scoring(spark, sf):
+    from tidegauge.llm.attention_lm import score_texts
+    return score_texts(table(spark, sf, "documents"))
