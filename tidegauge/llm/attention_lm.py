@@ -21,11 +21,11 @@ from tidegauge.session import persist_plan
 RANKS = "byte_bpe_multi_50k.tiktoken"
 FIT_TEXTS = 600                  # training texts the model learns from, in hashed order
 FIT_BYTES = 100000               # longer texts are not among them
-WINDOW, STEP = 32, 24
-WIDTH, HIDDEN, CLASSES = 16, 32, 64
-STEPS, BATCH, PACE = 500, 64, 0.01
+WINDOW, STEP = 16, 12
+WIDTH, HIDDEN, CLASSES = 16, 24, 64
+STEPS, BATCH, PACE = 1000, 128, 0.01
 SEED = 7
-SCORED = 2048                    # windows of a batch
+SCORED = 128                     # windows of a batch
 CHUNK_BYTES = 4 << 20
 
 
@@ -128,6 +128,7 @@ class Model:
         return z, q, k, v, a, m, r, t
 
     def log_classes(self, t):
+        """Log probability of every class."""
         u = t @ self.p["w"] + self.p["b"]
         u -= u.max(axis=-1, keepdims=True)
         return u - np.log(np.exp(u).sum(axis=-1, keepdims=True))
@@ -182,51 +183,98 @@ class Model:
         return self
 
     def score(self, counts, ids, end):
-        """log10 probability of each text."""
+        """log10 probability of each text.
+
+        As ``forward``, with joined products; logits are bounded, so no maximum is taken out.
+        """
+        p = self.p
         x, y, fresh, text = windows(counts, ids, end)
+        into = np.concatenate([p["q"] * np.float32(WIDTH ** -0.5), p["k"], p["v"]], axis=1)
+        upper, lower = p["h"][:WIDTH], p["o"] @ p["h"][WIDTH:]
+        seen = np.tril(np.ones((WINDOW, WINDOW), np.float32))
+        room = np.empty((SCORED * WINDOW, CLASSES), np.float32)    # one buffer for all batches
         out = np.zeros(len(counts))
         for a in range(0, len(x), SCORED):
-            t = self.forward(x[a:a + SCORED])[-1]
             keep = fresh[a:a + SCORED]
+            z = p["e"][x[a:a + SCORED]] + p["s"]
+            both = z @ into
+            w = both[..., :WIDTH] @ both[..., WIDTH:2 * WIDTH].transpose(0, 2, 1)
+            np.minimum(w, 80, out=w)
+            np.exp(w, out=w)
+            w *= seen
+            m = w @ both[..., 2 * WIDTH:]
+            m /= w.sum(axis=2, keepdims=True)
+            t = z[keep] @ upper + m[keep] @ lower
+            t += p["c"]
+            np.tanh(t, out=t)
+            u = np.matmul(t, p["w"], out=room[:len(t)])
+            u += p["b"]
             target = y[a:a + SCORED][keep]
-            logs = self.log_classes(t[keep])[np.arange(len(target)), self.of[target]] + self.within[target]
+            logs = u[np.arange(len(target)), self.of[target]] + self.within[target]
+            np.exp(u, out=u)
+            logs -= np.log(u @ np.ones(CLASSES, np.float32))
             out += np.bincount(np.repeat(text[a:a + SCORED], keep.sum(axis=1)), logs, len(counts))
         return out / np.log(10)
 
 
 def _counter(batches):
-    """How often each subword occurs, ends as well."""
-    encoder, end = encoding()
-    total = np.zeros(end + 1, np.int64)
+    """How often each subword occurs in training texts, ends as well."""
+    total = None
     for batch in batches:
-        texts = as_bytes(batch.column(0))
-        for a, b in pieces(texts, CHUNK_BYTES):
-            _, ids = subwords(encoder, texts[a:b])
-            total += np.bincount(ids, minlength=end + 1)
-            total[end] += b - a
-    used = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["subword", "n"])
+        for blob in batch.column("docs").to_pylist():
+            _, _, held, _, counts, ids, end = open_docs(blob)
+            total = np.zeros(end + 1, np.int64) if total is None else total
+            total += np.bincount(ids[np.repeat(~held, counts)], minlength=end + 1)
+            total[end] += np.count_nonzero(~held)
+    if total is not None:
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["subword", "n"])
 
 
-def fit_model(docs):
+def fit_model(docs, encoded):
     """The model, from counts over all training texts and windows of a bounded number of them."""
-    _, end = encoding()
-    rows = docs.where("not held_out").select("text").mapInArrow(_counter, "subword long, n long").groupBy("subword").agg(F.sum("n").alias("n"))
+    encoder, end = encoding()
+    rows = encoded.mapInArrow(_counter, "subword long, n long").groupBy("subword").agg(F.sum("n").alias("n"))
     counts = np.zeros(end + 1)
     for r in rows.collect():                                    # at most the vocabulary
         counts[r.subword] = r.n
     chosen = docs.where("not held_out").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= FIT_BYTES)
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(FIT_TEXTS).select("text").toArrow()
-    n, ids = subwords(encoding()[0], as_bytes(chosen.column(0))) if chosen.num_rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    ids = chosen.select(F.xxhash64("doc_id").alias("turn"), "doc_id").orderBy("turn", "doc_id").limit(FIT_TEXTS).select("doc_id").distinct()
+    texts = chosen.join(F.broadcast(ids), "doc_id").select("doc_id", "text").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])   # FIT_TEXTS ids
     model = Model(counts)
-    if len(n):
+    if texts.num_rows:
+        n, ids = subwords(encoder, as_bytes(texts.column("text")))
         x, y, fresh, _ = windows(n, ids, end)
         model.fit(x, y, fresh)
     return model
 
 
-def _sender(model, buckets):
-    """Per batch: its words with the places they occur at, by bucket, and its documents' scores."""
+def close_docs(number, null, held, words, counts, ids, end):
+    """Documents of a batch as one blob, subwords in 16 bits and compressed."""
+    raw = ids.astype(np.uint16).tobytes()
+    return pack(number, null, held, words, counts, np.array([len(raw), end]), np.frombuffer(pa.compress(raw, codec="zstd", asbytes=True), np.uint8))
+
+
+def open_docs(blob):
+    number, null, held, words, counts, (size, end), packed = unpack(blob, np.int64, bool, bool, np.int64, np.int64, np.int64, np.uint8)
+    ids = np.frombuffer(pa.decompress(packed.tobytes(), int(size), codec="zstd", asbytes=True), np.uint16)
+    return number, null, held, words, counts, ids.astype(np.int64), int(end)
+
+
+def _scorer(model):
+    def run(batches):
+        for batch in batches:
+            for key, blob in zip(batch.column("batch").to_pylist(), batch.column("docs").to_pylist()):
+                number, null, held, words, counts, ids, end = open_docs(blob)
+                cut = np.concatenate([[0], np.cumsum(counts)])
+                scores = [model.score(counts[a:a + 256], ids[cut[a]:cut[min(a + 256, len(counts))]], end) for a in range(0, len(counts), 256)]
+                out = pack(number, null, held, words, np.concatenate(scores) if scores else np.zeros(0))
+                yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([key], pa.int64()), pa.array([out], pa.binary())], ["kind", "batch", "blob"])
+    return run
+
+
+def _sender(buckets):
+    """Per batch: its words with the places they occur at, by bucket, and its documents' subwords."""
     def run(batches):
         encoder, end = encoding()
         task = TaskContext.get().partitionId() if TaskContext.get() else 0
@@ -235,16 +283,18 @@ def _sender(model, buckets):
             ids, held, texts = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False).astype(bool), as_bytes(batch.column(2))
             known = np.array(ids.is_null().to_numpy(zero_copy_only=False), bool)
             number = np.where(known, 0, ids.fill_null(0).to_numpy()).astype(np.int64)
-            scores, words, of, per_text = [], [], [], []
+            counts, subs, words, of, per_text = [], [], [], [], []
             for a, b in pieces(texts, CHUNK_BYTES):
-                counts, subs = subwords(encoder, texts[a:b])
-                scores.append(model.score(counts, subs, end))
+                n, ids_of = subwords(encoder, texts[a:b])
+                counts.append(n)
+                subs.append(ids_of)
                 for c, d in pieces(texts[a:b]):
                     hashes, n, _ = word_hashes(texts[a + c:a + d])
                     words.append(hashes)
                     of.append(np.repeat(np.arange(a + c, a + d), n))
                     per_text.append(n)
-            words, of, per_text, scores = (np.concatenate(x) if x else np.zeros(0) for x in (words, of, per_text, scores))
+            words, of, per_text, counts, subs = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (words, of, per_text, counts, subs))
+            words = words.astype(U)
             order = np.argsort(words, kind="stable")
             words, of = words[order], of[order].astype(np.int64)
             new = np.ones(len(words), bool)
@@ -266,7 +316,7 @@ def _sender(model, buckets):
                 mine = order[ends[k]:ends[k + 1]]
                 n = texts_with[mine]
                 at = np.repeat(head[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                docs = pack(number, known, held, per_text.astype(np.int64), scores) if k == key % buckets else b""
+                docs = close_docs(number, known, held, per_text.astype(np.int64), counts, subs, end) if k == key % buckets else None
                 if len(mine) or docs:
                     rows.append((k, key, pack(distinct[mine], learned[mine], n.astype(np.int32), of[at].astype(np.int32), times[at].astype(np.int32)), docs))
             if rows:
@@ -278,7 +328,7 @@ def _sender(model, buckets):
 def _count_bucket(table):
     """Counts of a bucket's words, as sums of log10(count + 1) and of known words by document.
 
-    Kind 0: sums for the documents of a batch. Kind 1: its documents. Kind 2: training tokens and
+    Kind 0: sums for the documents of a batch (kind 1: the documents). Kind 2: training tokens and
     distinct ones of the bucket.
     """
     batches, blobs = table.column("batch").to_pylist(), [unpack(b, U, np.int64, np.int32, np.int32, np.int32) for b in table.column("words").to_pylist()]
@@ -291,7 +341,6 @@ def _count_bucket(table):
         at += len(w)
         size = int(of.max()) + 1 if len(of) else 0
         rows.append((0, batch, pack(np.bincount(of, times * np.log10(c + 1), size), np.bincount(of, times * (c > 0), size).astype(np.int64)), 0, 0))
-    rows += [(1, batch, docs, 0, 0) for batch, docs in zip(batches, table.column("docs").to_pylist()) if docs]
     rows.append((2, None, None, int(count.sum()), int((count > 0).sum())))
     kinds = (pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
     return pa.table([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["kind", "batch", "blob", "tokens", "distinct"])
@@ -323,14 +372,16 @@ def score_texts(docs, buckets=None):
     spark = docs.sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
-    model = fit_model(docs)
-    sent = docs.mapInArrow(_sender(model, buckets), "bucket int, batch long, words binary, docs binary")
-    counted = sent.groupBy("bucket").applyInArrow(_count_bucket, "kind int, batch long, blob binary, tokens long, distinct long")
+    sent = persist_plan(docs.mapInArrow(_sender(buckets), "bucket int, batch long, words binary, docs binary"))
+    encoded = sent.where("docs is not null").select("batch", "docs")
+    model = fit_model(docs, encoded)
+    scored = encoded.mapInArrow(_scorer(model), "kind int, batch long, blob binary")
+    counted = sent.select("bucket", "batch", "words").groupBy("bucket").applyInArrow(_count_bucket, "kind int, batch long, blob binary, tokens long, distinct long")
     counted = persist_plan(counted)
     tokens, distinct = counted.where("kind = 2").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
     ends = docs.where("not held_out").count()
     train, kinds = tokens + ends, distinct + (ends > 0)
-    rows = counted.where("kind < 2").groupBy("batch").applyInArrow(
+    rows = counted.where("kind = 0").select("kind", "batch", "blob").unionByName(scored).groupBy("batch").applyInArrow(
         _add_up, "doc_id long, held_out boolean, n_words long, known_words long, logs double, score double")
     n_tokens = F.col("n_words") + 1
     return rows.select("doc_id", "held_out", n_tokens.alias("n_tokens"), (F.col("known_words") + (1 if ends else 0)).alias("n_known"),
