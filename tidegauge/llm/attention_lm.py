@@ -22,11 +22,12 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 FIT_TEXTS = 600                  # training texts the model learns from, in hashed order
 FIT_BYTES = 100000               # longer texts are not among them
 WINDOW, STEP = 16, 12
-WIDTH, HIDDEN, CLASSES = 16, 24, 64
+WIDTH, HIDDEN, CLASSES = 16, 24, 256
 STEPS, BATCH, PACE = 1000, 128, 0.01
 SEED = 7
-SCORED = 128                     # windows of a batch
+SCORED = 64                      # windows of a batch
 CHUNK_BYTES = 4 << 20
+PART_BYTES = 8 << 20             # texts sent together
 
 
 def held_out(doc_id):
@@ -278,7 +279,8 @@ def _sender(buckets):
     def run(batches):
         encoder, end = encoding()
         task = TaskContext.get().partitionId() if TaskContext.get() else 0
-        for turn, batch in enumerate(batches):
+        parts = (batch[x:y] for batch in batches for x, y in pieces(as_bytes(batch.column(2)), PART_BYTES))
+        for turn, batch in enumerate(parts):
             key = (task << 24) + turn
             ids, held, texts = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False).astype(bool), as_bytes(batch.column(2))
             known = np.array(ids.is_null().to_numpy(zero_copy_only=False), bool)
