@@ -220,6 +220,13 @@ def cumulative_by(df: DataFrame, by, order, weights: dict, target_rows=TARGET_RO
     return lay.done(running_sum(lay, weights))
 
 
+def join_keys(left: DataFrame, right: DataFrame, by) -> DataFrame:
+    """Inner join on ``by`` in which NULL keys meet; the keys stay once."""
+    right = right.withColumnsRenamed({k: f"_r_{k}" for k in by})
+    on = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in by]
+    return left.join(right, on).drop(*[f"_r_{k}" for k in by]) if by else left.crossJoin(right)
+
+
 def percentiles(df: DataFrame, by, value, at: dict, target_rows=TARGET_ROWS) -> DataFrame:
     """Exact percentiles with linear interpolation: ``out -> fraction``.
 
@@ -231,7 +238,7 @@ def percentiles(df: DataFrame, by, value, at: dict, target_rows=TARGET_ROWS) ->
                 .groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_w")))
     totals = counts.groupBy(*by).agg(F.sum("_w").alias("_total"))
     placed = cumulative_by(counts, by, ["_v"], {"_upto": F.col("_w")}, target_rows)
-    placed = placed.join(totals, by)
+    placed = join_keys(placed, totals, by)
     aggs = []
     for out, q in at.items():
         spot = (F.col("_total") - 1) * F.lit(float(q))          # 0-based rank

@@ -80,14 +80,3 @@ def asof_rows(left: DataFrame, right: DataFrame, by, left_time, right_time, valu
 def members_with_prices(members: DataFrame, prices: DataFrame, keys=("date", "ticker")):
     """Exploded index members with their prices; members without a price survive."""
     return members.join(prices, list(keys), "left")
-
-
-def pair_join(df: DataFrame, name="run", on=("date",), value="predicted_label"):
-    """Every unordered pair of runs on common dates.
-
-    Runs are few (one per trained model), so a date fans out by their number at most;
-    rows of one run never pair with each other.
-    """
-    a = df.select(*on, F.col(name).alias(f"{name}_a"), F.col(value).alias("_a"))
-    b = df.select(*on, F.col(name).alias(f"{name}_b"), F.col(value).alias("_b"))
-    return a.join(b, list(on)).where(F.col(f"{name}_a") < F.col(f"{name}_b"))

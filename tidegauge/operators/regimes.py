@@ -53,8 +53,8 @@ def fit_hidden_markov(df: DataFrame, features, ax: Axis = DAILY, states=(3,), se
         x = pdf[features].to_numpy("float64")
         columns = [*group, "dates", "states", "means", "variances", "transitions", "start", "centre", "scale",
                    "log_likelihood", "n_iter"]
-        if len(x) < 10 * k:
-            return pd.DataFrame(columns=columns)
+        if len(x) <= k:                                         # no rows to fit to: the series comes back without states
+            return pd.DataFrame([[*key, list(pdf[date]), [None] * len(x), None, None, None, None, None, None, None, 0]], columns=columns)
         centre, scale = x.mean(0), x.std(0)
         scale[scale == 0] = 1.0
         z = (x - centre) / scale

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 from tidegauge.functions import rolling as R
 from tidegauge.functions.scalars import finite
 from tidegauge.operators.axis import DAILY, Axis
-from tidegauge.operators.chunks import TARGET_ROWS, lay_out, positions
+from tidegauge.operators.chunks import TARGET_ROWS, join_keys, lay_out, positions
 
 
 def indexed(df: DataFrame, ax: Axis = DAILY, long_series=False, target_rows=TARGET_ROWS):
@@ -17,7 +17,7 @@ def indexed(df: DataFrame, ax: Axis = DAILY, long_series=False, target_rows=TARG
     else:
         df = df.withColumn("_i", F.row_number().over(ax.base()).cast("long"))
     n = df.groupBy(*ax.by).agg(F.count(F.lit(1)).alias("_n"))
-    return df.withColumn("_i", F.col("_i") - 1).join(n, list(ax.by))
+    return join_keys(df.withColumn("_i", F.col("_i") - 1), n, list(ax.by))
 
 
 def _roles(df, folds):

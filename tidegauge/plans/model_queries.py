@@ -10,7 +10,7 @@ from tidegauge.plans import views as V
 from tidegauge.plans.registry import query
 from tidegauge.plans.rolling_queries import STATES, W, states
 from tidegauge.plans.table_queries import COLS, LONG
-from tidegauge.session import scratch
+from tidegauge.session import persist_plan, scratch
 
 # -- regimes -----------------------------------------------------------------
 
@@ -200,20 +200,20 @@ def m19(spark, sf):
 
 # -- training ----------------------------------------------------------------
 
-FEATURES = [f"e{i}" for i in range(6)]
+FEATURES = [f"e{i}" for i in range(64)]
 N = 3
 
 
 def learning_rows(spark, sf):
-    """Six entries of every embedding as features, the class folded to three as label."""
+    """All entries of every embedding as features, the class folded to three as label."""
     t = V.table(spark, sf, "embeddings")
     return t.select(F.lit(1).alias("series_id"), F.date_add(F.lit("2020-01-01").cast("date"), F.col("vec_id").cast("int")).alias("date"),
                     (F.col("label") % N).alias("true_label"),
                     *[F.get("embedding", F.lit(i)).cast("double").alias(f) for i, f in enumerate(FEATURES)])
 
 
-def folds(spark, sf, k=3):
-    return P.expanding_folds(learning_rows(spark, sf), k=k)
+def folds(spark, sf, k=5):
+    return persist_plan(P.expanding_folds(learning_rows(spark, sf), k=k))
 
 
 @query("m6_logistic_importance")
@@ -226,7 +226,7 @@ def m6(spark, sf):
 def m7(spark, sf):
     rows = T.vectors(learning_rows(spark, sf), FEATURES)
     found = []
-    for name, params in (("forest", {"numTrees": 10}), ("boosted", {"maxIter": 3})):
+    for name, params in (("forest", {"numTrees": 50}), ("boosted", {"maxIter": 10})):
         found += [(name, f, v) for f, v in T.importances(T.fit(rows, name, params), FEATURES).items()]
     return spark.createDataFrame(found, "model string, feature string, importance double")
 
@@ -239,7 +239,7 @@ def m8(spark, sf):
 
 @query("m8_out_of_fold_rows")
 def m8_oof(spark, sf):
-    return T.cross_validate(folds(spark, sf), FEATURES, N, "forest", {"numTrees": 10})[0]
+    return T.cross_validate(folds(spark, sf), FEATURES, N, "forest", {"numTrees": 50})[0]
 
 
 @query("m9_final_fit")
@@ -252,21 +252,21 @@ def m9(spark, sf):
 
 @query("m10_permutation_importance")
 def m10(spark, sf):
-    _, fitted = T.cross_validate(folds(spark, sf, 2), FEATURES, N, "logistic")
-    return T.cv_importance(fitted, FEATURES, N, repeats=2)
+    _, fitted = T.cross_validate(folds(spark, sf), FEATURES, N, "logistic")
+    return T.cv_importance(fitted, FEATURES, N, repeats=5)
 
 
 @query("m25_random_search")
 def m25(spark, sf):
     space = {"C": {"type": "float", "low": 0.001, "high": 10.0, "log": True}, "penalty": {"type": "categorical", "choices": ["l1", "l2"]},
              "max_iter": {"type": "int", "low": 10, "high": 50, "step": 10}}
-    return T.random_search(folds(spark, sf, 2), FEATURES, N, space, trials=3).withColumn("params", F.to_json("params"))
+    return T.random_search(folds(spark, sf), FEATURES, N, space, trials=3).withColumn("params", F.to_json("params"))
 
 
 @query("m26_incremental_themes")
 def m26(spark, sf):
-    themes = {"one": FEATURES[:2], "two": FEATURES[2:4], "three": FEATURES[4:]}
-    return T.incremental_themes(folds(spark, sf, 2), list(themes), themes, N)
+    themes = {"one": FEATURES[:16], "two": FEATURES[16:40], "three": FEATURES[40:]}
+    return T.incremental_themes(folds(spark, sf), list(themes), themes, N)
 
 
 CONTEXT_SQL = "select date, case when date_diff('day', date '2020-01-01', date) % 4 <> 0 then true_label * 1.5::double end as pillar, case when date_diff('day', date '2020-01-01', date) > 3 then true_label end as target from v_pred where run = 'a'"
@@ -289,7 +289,7 @@ def g29(spark, sf):
 
 @query("g29_out_of_fold_stacking")
 def g29_oof(spark, sf):
-    f = folds(spark, sf, 2)
-    oof = [T.cross_validate(f, FEATURES, N, m, p, run=m)[0] for m, p in (("logistic", None), ("forest", {"numTrees": 5}))]
+    f = folds(spark, sf)
+    oof = [T.cross_validate(f, FEATURES, N, m, p, run=m)[0] for m, p in (("logistic", None), ("forest", {"numTrees": 50}))]
     context = learning_rows(spark, sf).select("date", F.col("e0").alias("pillar"), F.col("true_label").alias("target"))
     return T.stacking_features(oof[0].unionByName(oof[1]), ["logistic", "forest"], range(N), context, ["pillar"], "target", with_disagreement=False)

@@ -28,7 +28,8 @@ def build_session(app="tidegauge", master=None, **extra) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """Folder for written intermediates: the cluster's checkpoint folder.
 
-    Only when the cluster names none (tests, a laptop) is a temporary one made.
+    Only a local session that names none (tests, a laptop) gets a temporary one; on a
+    cluster, whose executors would not share it, that is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
@@ -36,6 +37,9 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.sparkContext.getCheckpointDir()
     if folder:
         return folder
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="tidegauge-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
