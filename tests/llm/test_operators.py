@@ -175,7 +175,7 @@ def test_attention_gradients_and_windows():
     assert fresh.sum() == (counts + 1).sum()                   # each subword and end once
     assert np.array_equal(np.concatenate([y[text == t][fresh[text == t]] for t in range(3)]), np.insert(ids, [0, 5, 45], end))
     _, g, _, _ = model.gradients(x, y, fresh)
-    for name, at in (("q", (1, 2)), ("o", (0, 3)), ("h", (4, 5)), ("s", (2, 1))):
+    for name, at in (("q", (1, 2)), ("o", (0, 3)), ("h", (4, 5)), ("s", (2, 1)), ("m", (3, 1))):
         old, loss = model.p[name][at], []
         for step in (1e-2, -1e-2):
             model.p[name][at] = old + step
@@ -183,9 +183,10 @@ def test_attention_gradients_and_windows():
         model.p[name][at] = old
         assert abs((loss[0] - loss[1]) / 2e-2 - g[name][at]) < 2e-3
     logs = model.log_classes(model.forward(x)[-1])
+    inner = model.log_within(model.forward(x)[-1].reshape(-1, attention_lm.HIDDEN), y.ravel()).reshape(y.shape)
     slow = np.zeros(3)
     for i in range(len(x)):
-        slow[text[i]] += sum(logs[i, k, model.of[y[i, k]]] + model.within[y[i, k]] for k in range(x.shape[1]) if fresh[i, k])
+        slow[text[i]] += sum(logs[i, k, model.of[y[i, k]]] + inner[i, k] for k in range(x.shape[1]) if fresh[i, k])
     assert np.allclose(model.score(counts, ids, end) * np.log(10), slow, atol=1e-2)
 
 

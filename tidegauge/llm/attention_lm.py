@@ -1,7 +1,8 @@
 """Texts scored by a causal self-attention model over subword ids, trained here in numpy.
 
-The model predicts the class of the next subword from a window; within a class, subwords follow
-their counts over all training texts. Windows overlap so that every subword but the first few
+The model predicts the class of the next subword from a window, and the subword within it.
+Classes are ranges of frequency over all training texts; in those of many rare subwords the
+subword follows its count alone. Windows overlap so that every subword but the first few
 has some context, and each is scored in one window only. Beside it, words are counted over all
 training texts for an add-one baseline: words go to buckets with their places, and only sums by
 document come back.
@@ -19,13 +20,16 @@ from tidegauge.llm.words import LOWER, U, as_bytes, joined, mix, pack, pieces, s
 from tidegauge.session import persist_plan
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-FIT_TEXTS = 600                  # training texts the model learns from, in hashed order
-FIT_BYTES = 100000               # longer texts are not among them
+FIT_TEXTS = 1200                 # training texts the model learns from, in hashed order
+FIT_BYTES = 10000                # longer texts are not among them
 WINDOW, STEP = 16, 12
-WIDTH, HIDDEN, CLASSES = 16, 24, 256
-STEPS, BATCH, PACE = 1000, 128, 0.01
+WIDTH, HIDDEN, CLASSES = 16, 32, 64
+MEMBERS = 512                    # subwords of a class that the model tells apart; larger classes by counts
+STEPS, BATCH, PACE = 1500, 128, 0.03
 SEED = 7
 SCORED = 64                      # windows of a batch
+TOLD = 4096                      # windows whose subwords are told apart together
+ROWS = 2048                      # of them, of one class, in memory at once
 CHUNK_BYTES = 4 << 20
 PART_BYTES = 8 << 20             # texts sent together
 
@@ -108,10 +112,17 @@ class Model:
         total = np.bincount(self.of, counts + 1.0, CLASSES)
         self.within = np.log((counts + 1.0) / total[self.of]).astype(np.float32)
         share = np.log((total + 1e-9) / total.sum())
+        self.rank = np.empty(size, np.int64)
+        self.rank[order] = np.arange(size)
+        self.edge = np.searchsorted(self.of[order], np.arange(CLASSES + 1))
+        self.known = self.within[order]
+        large = np.flatnonzero(np.diff(self.edge) > MEMBERS)
+        self.told = int(large[0]) if len(large) else CLASSES        # classes before it are told apart
         scale = lambda *s: (rng.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)      # noqa: E731
         self.p = {"e": (rng.standard_normal((size, WIDTH)) * 0.5).astype(np.float32), "s": (rng.standard_normal((WINDOW, WIDTH)) * 0.5).astype(np.float32),
                   "q": scale(WIDTH, WIDTH), "k": scale(WIDTH, WIDTH), "v": scale(WIDTH, WIDTH), "o": scale(WIDTH, WIDTH),
-                  "h": scale(2 * WIDTH, HIDDEN), "c": np.zeros(HIDDEN, np.float32), "w": scale(HIDDEN, CLASSES), "b": share.astype(np.float32)}
+                  "h": scale(2 * WIDTH, HIDDEN), "c": np.zeros(HIDDEN, np.float32), "w": scale(HIDDEN, CLASSES), "b": share.astype(np.float32),
+                  "m": np.zeros((HIDDEN, self.edge[self.told]), np.float32)}
         self.mask = np.where(np.tril(np.ones((WINDOW, WINDOW), bool)), 0, -1e9).astype(np.float32)
 
     def forward(self, x):
@@ -134,8 +145,31 @@ class Model:
         u -= u.max(axis=-1, keepdims=True)
         return u - np.log(np.exp(u).sum(axis=-1, keepdims=True))
 
+    def groups(self, target):
+        """Rows of each class that is told apart, with the range of its subwords by frequency."""
+        kind = self.of[target]
+        order = np.argsort(kind, kind="stable")
+        ends = np.searchsorted(kind[order], np.arange(self.told + 1))
+        for k in np.flatnonzero((np.diff(ends) > 0) & (np.diff(self.edge[:self.told + 1]) > 1)):
+            for at in range(ends[k], ends[k + 1], ROWS):
+                yield order[at:min(at + ROWS, ends[k + 1])], self.edge[k], self.edge[k + 1]
+
+    def log_members(self, t, rows, low, high):
+        """Log probability of the subwords ``low`` to ``high`` of a class, for some rows."""
+        u = t[rows] @ self.p["m"][:, low:high]
+        u += self.known[low:high]
+        u -= u.max(axis=1, keepdims=True)
+        return u - np.log(np.exp(u).sum(axis=1, keepdims=True))
+
+    def log_within(self, t, target):
+        """Log probability of each target within its class."""
+        out = self.within[target]
+        for rows, low, high in self.groups(target):
+            out[rows] = self.log_members(t, rows, low, high)[np.arange(len(rows)), self.rank[target[rows]] - low]
+        return out
+
     def gradients(self, x, y, fresh):
-        """Mean loss of the scored classes and its gradients."""
+        """Mean loss of the scored subwords and its gradients."""
         p = self.p
         z, q, k, v, a, m, r, t = self.forward(x)
         logs = self.log_classes(t)
@@ -147,7 +181,18 @@ class Model:
         du *= (fresh / np.float32(n))[..., None].astype(np.float32)
         flat = lambda d: d.reshape(-1, d.shape[-1])             # noqa: E731
         g = {"w": flat(t).T @ flat(du), "b": flat(du).sum(axis=0)}
-        dt = (du @ p["w"].T) * (1 - t * t)
+        dt = du @ p["w"].T
+        ft, chosen = t[fresh], y[fresh]
+        more, g["m"] = np.zeros_like(ft), np.zeros_like(p["m"])
+        loss -= self.log_within(ft, chosen).sum() / n
+        for rows, low, high in self.groups(chosen):
+            d = np.exp(self.log_members(ft, rows, low, high))
+            d[np.arange(len(rows)), self.rank[chosen[rows]] - low] -= 1
+            d /= np.float32(n)
+            g["m"][:, low:high] += ft[rows].T @ d
+            more[rows] = d @ p["m"][:, low:high].T
+        dt[fresh] += more
+        dt *= 1 - t * t
         g["h"], g["c"] = flat(r).T @ flat(dt), flat(dt).sum(axis=0)
         dr = dt @ p["h"].T
         dz, dmo = dr[..., :WIDTH], dr[..., WIDTH:]
@@ -195,6 +240,7 @@ class Model:
         seen = np.tril(np.ones((WINDOW, WINDOW), np.float32))
         room = np.empty((SCORED * WINDOW, CLASSES), np.float32)    # one buffer for all batches
         out = np.zeros(len(counts))
+        held = []                                                   # hidden rows and targets of the last windows
         for a in range(0, len(x), SCORED):
             keep = fresh[a:a + SCORED]
             z = p["e"][x[a:a + SCORED]] + p["s"]
@@ -211,10 +257,16 @@ class Model:
             u = np.matmul(t, p["w"], out=room[:len(t)])
             u += p["b"]
             target = y[a:a + SCORED][keep]
-            logs = u[np.arange(len(target)), self.of[target]] + self.within[target]
+            logs = u[np.arange(len(target)), self.of[target]]
             np.exp(u, out=u)
             logs -= np.log(u @ np.ones(CLASSES, np.float32))
-            out += np.bincount(np.repeat(text[a:a + SCORED], keep.sum(axis=1)), logs, len(counts))
+            of = np.repeat(text[a:a + SCORED], keep.sum(axis=1))
+            out += np.bincount(of, logs, len(counts))
+            held.append((t, target, of))
+            if len(held) * SCORED >= TOLD or a + SCORED >= len(x):
+                t, target, of = (np.concatenate(c) for c in zip(*held))
+                out += np.bincount(of, self.log_within(t, target), len(counts))
+                held = []
         return out / np.log(10)
 
 
