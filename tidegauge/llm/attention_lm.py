@@ -13,6 +13,7 @@ import base64
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import functions as F
 
@@ -30,7 +31,7 @@ SEED = 7
 SCORED = 64                      # windows of a batch
 TOLD = 4096                      # windows whose subwords are told apart together
 ROWS = 2048                      # of them, of one class, in memory at once
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 PART_BYTES = 8 << 20             # texts sent together
 
 
@@ -76,8 +77,8 @@ def subwords(encoder, texts):
     return np.bincount(text, n, len(texts)).astype(np.int64), ids
 
 
-def windows(counts, ids, end):
-    """Windows over each text and its end: inputs, targets, what is scored, and the text of each.
+def layout(counts, ids, end):
+    """Where windows lie: all subwords with an end before each text, and text and first target of each window.
 
     A text of n subwords has n + 1 targets. Window w covers targets w * STEP up to WINDOW more,
     and scores those that the window before did not.
@@ -86,15 +87,21 @@ def windows(counts, ids, end):
     number = 1 + np.maximum(-(-(targets - WINDOW) // STEP), 0)
     text = np.repeat(np.arange(len(counts)), number)
     first = (np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number)) * STEP
+    flat = np.full(len(ids) + len(counts) + 1, end, np.int32)       # every text after its own start mark
+    flat[np.arange(len(ids)) + np.repeat(np.arange(len(counts)), counts) + 1] = ids
+    return flat, np.cumsum(targets) - targets, counts, text, first
+
+
+def windows(laid, end, low=0, high=None):
+    """Windows ``low`` to ``high`` of a layout: inputs, targets, what is scored, and the text of each."""
+    flat, base, counts, text, first = laid
+    text, first = text[low:high], first[low:high]
     at = first[:, None] + np.arange(WINDOW)
-    flat = np.full(len(ids) + len(counts) + 1, end, np.int64)       # every text after its own start mark
-    base = np.cumsum(targets) - targets
-    inside = np.arange(len(ids)) + np.repeat(np.arange(len(counts)), counts) + 1
-    flat[inside] = ids
+    size = counts[text][:, None]
     spot = np.minimum(base[text][:, None] + at, len(flat) - 2)
-    real = at < targets[text][:, None]
+    real = at <= size
     x = np.where(real, flat[spot], end)
-    y = np.where(at < counts[text][:, None], flat[spot + 1], end)
+    y = np.where(at < size, flat[spot + 1], end)
     fresh = real & ((np.arange(WINDOW) >= WINDOW - STEP) | (first == 0)[:, None])
     return x, y, fresh, text
 
@@ -231,42 +238,45 @@ class Model:
     def score(self, counts, ids, end):
         """log10 probability of each text.
 
-        As ``forward``, with joined products; logits are bounded, so no maximum is taken out.
+        As ``forward``, with joined products; logits are clipped, so no maximum is taken out.
         """
         p = self.p
-        x, y, fresh, text = windows(counts, ids, end)
+        laid = layout(counts, ids, end)
         into = np.concatenate([p["q"] * np.float32(WIDTH ** -0.5), p["k"], p["v"]], axis=1)
         upper, lower = p["h"][:WIDTH], p["o"] @ p["h"][WIDTH:]
         seen = np.tril(np.ones((WINDOW, WINDOW), np.float32))
         room = np.empty((SCORED * WINDOW, CLASSES), np.float32)    # one buffer for all batches
         out = np.zeros(len(counts))
-        held = []                                                   # hidden rows and targets of the last windows
-        for a in range(0, len(x), SCORED):
-            keep = fresh[a:a + SCORED]
-            z = p["e"][x[a:a + SCORED]] + p["s"]
-            both = z @ into
-            w = both[..., :WIDTH] @ both[..., WIDTH:2 * WIDTH].transpose(0, 2, 1)
-            np.minimum(w, 80, out=w)
-            np.exp(w, out=w)
-            w *= seen
-            m = w @ both[..., 2 * WIDTH:]
-            m /= w.sum(axis=2, keepdims=True)
-            t = z[keep] @ upper + m[keep] @ lower
-            t += p["c"]
-            np.tanh(t, out=t)
-            u = np.matmul(t, p["w"], out=room[:len(t)])
-            u += p["b"]
-            target = y[a:a + SCORED][keep]
-            logs = u[np.arange(len(target)), self.of[target]]
-            np.exp(u, out=u)
-            logs -= np.log(u @ np.ones(CLASSES, np.float32))
-            of = np.repeat(text[a:a + SCORED], keep.sum(axis=1))
-            out += np.bincount(of, logs, len(counts))
-            held.append((t, target, of))
-            if len(held) * SCORED >= TOLD or a + SCORED >= len(x):
-                t, target, of = (np.concatenate(c) for c in zip(*held))
-                out += np.bincount(of, self.log_within(t, target), len(counts))
-                held = []
+        batches = (windows(laid, end, a, a + TOLD) for a in range(0, len(laid[3]), TOLD))
+        for x, y, fresh, text in batches:
+            hidden, targets, texts = [], [], []
+            for a in range(0, len(x), SCORED):
+                keep = fresh[a:a + SCORED]
+                z = p["e"][x[a:a + SCORED]] + p["s"]
+                both = z @ into
+                w = both[..., :WIDTH] @ both[..., WIDTH:2 * WIDTH].transpose(0, 2, 1)
+                np.clip(w, -80, 80, out=w)
+                np.exp(w, out=w)
+                w *= seen
+                m = w @ both[..., 2 * WIDTH:]
+                m /= w.sum(axis=2, keepdims=True)
+                t = z[keep] @ upper + m[keep] @ lower
+                t += p["c"]
+                np.tanh(t, out=t)
+                u = np.matmul(t, p["w"], out=room[:len(t)])
+                u += p["b"]
+                np.clip(u, -80, 80, out=u)
+                target = y[a:a + SCORED][keep]
+                logs = u[np.arange(len(target)), self.of[target]]
+                np.exp(u, out=u)
+                logs -= np.log(u @ np.ones(CLASSES, np.float32))
+                of = np.repeat(text[a:a + SCORED], keep.sum(axis=1))
+                out += np.bincount(of, logs, len(counts))
+                hidden.append(t)
+                targets.append(target)
+                texts.append(of)
+            of = np.concatenate(texts)
+            out += np.bincount(of, self.log_within(np.concatenate(hidden), np.concatenate(targets)), len(counts))
         return out / np.log(10)
 
 
@@ -297,7 +307,7 @@ def fit_model(docs, encoded):
     model = Model(counts)
     if texts.num_rows:
         n, ids = subwords(encoder, as_bytes(texts.column("text")))
-        x, y, fresh, _ = windows(n, ids, end)
+        x, y, fresh, _ = windows(layout(n, ids, end), end)
         model.fit(x, y, fresh)
     return model
 
@@ -320,7 +330,7 @@ def _scorer(model):
             for key, blob in zip(batch.column("batch").to_pylist(), batch.column("docs").to_pylist()):
                 number, null, held, words, counts, ids, end = open_docs(blob)
                 cut = np.concatenate([[0], np.cumsum(counts)])
-                scores = [model.score(counts[a:a + 256], ids[cut[a]:cut[min(a + 256, len(counts))]], end) for a in range(0, len(counts), 256)]
+                scores = [model.score(counts[a:b], ids[cut[a]:cut[b]], end) for a, b in pieces([range(n) for n in counts.tolist()])]
                 out = pack(number, null, held, words, np.concatenate(scores) if scores else np.zeros(0))
                 yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([key], pa.int64()), pa.array([out], pa.binary())], ["kind", "batch", "blob"])
     return run
@@ -331,7 +341,7 @@ def _sender(buckets):
     def run(batches):
         encoder, end = encoding()
         task = TaskContext.get().partitionId() if TaskContext.get() else 0
-        parts = (batch[x:y] for batch in batches for x, y in pieces(as_bytes(batch.column(2)), PART_BYTES))
+        parts = (batch[x:y] for batch in batches for x, y in pieces([range(n or 0) for n in pc.binary_length(batch.column(2)).to_pylist()], PART_BYTES))
         for turn, batch in enumerate(parts):
             key = (task << 24) + turn
             ids, held, texts = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False).astype(bool), as_bytes(batch.column(2))
