@@ -171,7 +171,7 @@ def test_attention_gradients_and_windows():
     model = attention_lm.Model(np.arange(60.0)[::-1])
     counts, end = np.array([0, 5, 40]), 59
     ids = np.random.default_rng(0).integers(0, 59, 45)
-    x, y, fresh, text = attention_lm.windows(counts, ids, end)
+    x, y, fresh, text = attention_lm.windows(attention_lm.layout(counts, ids, end), end)
     assert fresh.sum() == (counts + 1).sum()                   # each subword and end once
     assert np.array_equal(np.concatenate([y[text == t][fresh[text == t]] for t in range(3)]), np.insert(ids, [0, 5, 45], end))
     _, g, _, _ = model.gradients(x, y, fresh)
