@@ -10,6 +10,7 @@ document come back.
 from __future__ import annotations
 
 import base64
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ WIDTH, HIDDEN, CLASSES = 16, 32, 64
 MEMBERS = 512                    # subwords of a class that the model tells apart; larger classes by counts
 STEPS, BATCH, PACE = 1500, 128, 0.03
 SEED = 7
-SCORED = 64                      # windows of a batch
+SCORED = 256                     # windows of a batch
 TOLD = 4096                      # windows whose subwords are told apart together
 ROWS = 2048                      # of them, of one class, in memory at once
 CHUNK_BYTES = 1 << 20
@@ -68,8 +69,8 @@ def subwords(encoder, texts):
     _, index, number = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
     raw = data.tobytes()
     lists = [encoder.encode_ordinary(raw[a:b].decode()) for a, b in zip(starts[index].tolist(), ends[index].tolist())]
-    counts = np.fromiter((len(x) for x in lists), np.int64, len(lists))
-    flat = np.fromiter((i for x in lists for i in x), np.int64, counts.sum())
+    counts = np.fromiter(map(len, lists), np.int64, len(lists))
+    flat = np.fromiter(chain.from_iterable(lists), np.int64, counts.sum())
     begin = np.cumsum(counts) - counts
     n = counts[number]
     head = np.cumsum(n) - n
@@ -106,6 +107,17 @@ def windows(laid, end, low=0, high=None):
     return x, y, fresh, text
 
 
+def most(weights, bias):
+    """Bound of the logits, as hidden values lie between -1 and 1."""
+    return float((np.abs(weights).sum(axis=0) + np.abs(bias)).max(initial=0))
+
+
+def bounded(u):
+    """Logits clipped in place to what ``exp`` can take."""
+    np.maximum(u, -80, out=u)
+    np.minimum(u, 80, out=u)
+
+
 class Model:
     """Parameters of the attention model and the distribution of subwords within classes."""
 
@@ -175,6 +187,20 @@ class Model:
             out[rows] = self.log_members(t, rows, low, high)[np.arange(len(rows)), self.rank[target[rows]] - low]
         return out
 
+    def log_chosen(self, t, target):
+        """As ``log_within``, with clipped logits."""
+        free = most(self.p["m"], self.known[:self.edge[self.told]]) < 80
+        out, rank = self.within[target], self.rank[target]
+        for rows, low, high in self.groups(target):
+            u = t[rows] @ self.p["m"][:, low:high]
+            u += self.known[low:high]
+            if not free:
+                bounded(u)
+            logs = u[np.arange(len(rows)), rank[rows] - low]
+            np.exp(u, out=u)
+            out[rows] = logs - np.log(u @ np.ones(high - low, np.float32))
+        return out
+
     def gradients(self, x, y, fresh):
         """Mean loss of the scored subwords and its gradients."""
         p = self.p
@@ -245,38 +271,43 @@ class Model:
         into = np.concatenate([p["q"] * np.float32(WIDTH ** -0.5), p["k"], p["v"]], axis=1)
         upper, lower = p["h"][:WIDTH], p["o"] @ p["h"][WIDTH:]
         seen = np.tril(np.ones((WINDOW, WINDOW), np.float32))
+        ones = np.ones(max(WINDOW, CLASSES), np.float32)
+        free = most(p["w"], p["b"]) < 80                        # nothing to clip
         room = np.empty((SCORED * WINDOW, CLASSES), np.float32)    # one buffer for all batches
         out = np.zeros(len(counts))
         batches = (windows(laid, end, a, a + TOLD) for a in range(0, len(laid[3]), TOLD))
         for x, y, fresh, text in batches:
             hidden, targets, texts = [], [], []
             for a in range(0, len(x), SCORED):
-                keep = fresh[a:a + SCORED]
-                z = p["e"][x[a:a + SCORED]] + p["s"]
-                both = z @ into
+                n, keep = len(x[a:a + SCORED]), np.flatnonzero(fresh[a:a + SCORED])
+                z = p["e"].take(x[a:a + SCORED].ravel(), axis=0)
+                z.reshape(n, WINDOW, WIDTH)[...] += p["s"]
+                both = (z @ into).reshape(n, WINDOW, -1)
                 w = both[..., :WIDTH] @ both[..., WIDTH:2 * WIDTH].transpose(0, 2, 1)
-                np.clip(w, -80, 80, out=w)
+                bounded(w)
                 np.exp(w, out=w)
                 w *= seen
-                m = w @ both[..., 2 * WIDTH:]
-                m /= w.sum(axis=2, keepdims=True)
-                t = z[keep] @ upper + m[keep] @ lower
+                m = (w @ both[..., 2 * WIDTH:]).reshape(-1, WIDTH)
+                m /= (w.reshape(-1, WINDOW) @ ones[:WINDOW])[:, None]
+                t = z.take(keep, axis=0) @ upper
+                t += m.take(keep, axis=0) @ lower
                 t += p["c"]
                 np.tanh(t, out=t)
                 u = np.matmul(t, p["w"], out=room[:len(t)])
                 u += p["b"]
-                np.clip(u, -80, 80, out=u)
-                target = y[a:a + SCORED][keep]
+                if not free:
+                    bounded(u)
+                target = y[a:a + SCORED].ravel()[keep]
                 logs = u[np.arange(len(target)), self.of[target]]
                 np.exp(u, out=u)
-                logs -= np.log(u @ np.ones(CLASSES, np.float32))
-                of = np.repeat(text[a:a + SCORED], keep.sum(axis=1))
+                logs -= np.log(u @ ones[:CLASSES])
+                of = text[a:a + SCORED][keep // WINDOW]
                 out += np.bincount(of, logs, len(counts))
                 hidden.append(t)
                 targets.append(target)
                 texts.append(of)
             of = np.concatenate(texts)
-            out += np.bincount(of, self.log_within(np.concatenate(hidden), np.concatenate(targets)), len(counts))
+            out += np.bincount(of, self.log_chosen(np.concatenate(hidden), np.concatenate(targets)), len(counts))
         return out / np.log(10)
 
 
