@@ -82,20 +82,23 @@ def m4(spark, sf):
     return P.label_codes(V.table(spark, sf, "embeddings"), "label")
 
 
+INPUTS = [c for c in V.WIDE if c != "f_high"]
+
+
 @query("m5_training_matrix", f"""
-select * from (select date, f_high as y, last_value(f_urgent ignore nulls) over u as f_urgent, last_value(f_low ignore nulls) over u as f_low
+select * from (select date, f_high as y, {", ".join(f"last_value({c} ignore nulls) over u as {c}" for c in INPUTS)}
  from v_wide where f_high is not null window u as (order by date rows between unbounded preceding and current row)) t
-where f_urgent is not null and f_low is not null""", ["v_wide"])
+where {" and ".join(f"{c} is not null" for c in INPUTS)}""", ["v_wide"])
 def m5(spark, sf):
-    df = V.wide(spark, sf).select("date", F.col("f_high").alias("y"), "f_urgent", "f_low").withColumn("series_id", F.lit(1))
-    return P.training_matrix(df, ["f_urgent", "f_low"], "y").drop("series_id")
+    df = V.wide(spark, sf).select("date", F.col("f_high").alias("y"), *INPUTS).withColumn("series_id", F.lit(1))
+    return P.training_matrix(df, INPUTS, "y").drop("series_id")
 
 
-@query("m5_training_matrix_zero_fill", """
-select date, f_high as y, coalesce(f_urgent, 0) as f_urgent, coalesce(f_low, 0) as f_low from v_wide where f_high is not null""", ["v_wide"])
+@query("m5_training_matrix_zero_fill", f"""
+select date, f_high as y, {", ".join(f"coalesce({c}, 0) as {c}" for c in INPUTS)} from v_wide where f_high is not null""", ["v_wide"])
 def m5_zero(spark, sf):
-    df = V.wide(spark, sf).select("date", F.col("f_high").alias("y"), "f_urgent", "f_low", F.lit(None).cast("double").alias("f_empty"))
-    return P.training_matrix(df, ["f_urgent", "f_low", "f_empty"], "y", zero_fill=True)
+    df = V.wide(spark, sf).select("date", F.col("f_high").alias("y"), *INPUTS, F.lit(None).cast("double").alias("f_empty"))
+    return P.training_matrix(df, [*INPUTS, "f_empty"], "y", zero_fill=True)
 
 
 # -- label scores ------------------------------------------------------------

@@ -25,41 +25,36 @@ def written_csv(df, name):
     return path
 
 
-def one_series(spark, sf, name="1-URGENT"):
-    return V.series(spark, sf).where(F.col("series_id") == name).drop("series_id")
-
-
 FIVE = "day(date) % 5 = 0"
 
 
-@query("s1_gamma_csv", f"select date, value as gex_value from v_series where series_id = '1-URGENT' and not {FIVE}", ["v_series"])
+@query("s1_gamma_csv", f"select series_id, date, value as gex_value from v_series where not {FIVE}", ["v_series"])
 def s1(spark, sf):
     text = F.when(F.dayofmonth("date") % 5 == 0, "n/a").otherwise(F.col("value").cast("decimal(20,2)").cast("string"))
-    path = written_csv(one_series(spark, sf).select("date", F.lit("x").alias("note"), text.alias("gex")), "gamma")
-    return readers.gamma_csv(spark, path)
+    path = written_csv(V.series(spark, sf).select("series_id", "date", F.lit("x").alias("note"), text.alias("gex")), "gamma")
+    return readers.gamma_csv(spark, path, ["series_id"])
 
 
 @query("s2_freight_csv_folder", """
-select date, value from v_series where series_id = '1-URGENT' union all
-select date, value from v_series where series_id = '2-HIGH' and date not in (select date from v_series where series_id = '1-URGENT')""", ["v_series"])
+select date, min_by(value, series_id) as value from v_series group by date""", ["v_series"])
 def s2(spark, sf):
     folder = scratch(spark, "freight")
-    for i, name in enumerate(("1-URGENT", "2-HIGH")):
-        s = one_series(spark, sf, name).select(F.date_format("date", "M/d/yyyy").alias("Date"), F.format_number("value", 2).alias("Price"))
+    for i, name in enumerate(V.WIDE.values()):
+        s = V.series(spark, sf).where(F.col("series_id") == name).select(F.date_format("date", "M/d/yyyy").alias("Date"), F.format_number("value", 2).alias("Price"))
         bad = s.limit(2).select(F.lit("someday").alias("Date"), "Price")
         s.unionByName(bad).write.option("header", True).csv(f"{folder}/{i}")
-    return readers.freight_csvs(spark, [f"{folder}/0", f"{folder}/1"])
+    return readers.freight_csvs(spark, [f"{folder}/{i}" for i in range(len(V.WIDE))])
 
 
-PCR = """select date, cast(floor(open) as double) as equity_call_volume, cast(floor(close) as double) as equity_put_volume,
+PCR = """select series_id, date, cast(floor(open) as double) as equity_call_volume, cast(floor(close) as double) as equity_put_volume,
   cast(floor(open) + floor(close) as double) as equity_total_volume, case when day(date) % 4 <> 0 then round(close / open, 2) end as equity_pc_ratio
-  from v_bars where series_id = 'A'"""
+  from v_bars"""
 
 
 def put_call_rows(spark, sf):
-    bars = V.bars(spark, sf).where("series_id = 'A'")
+    bars = V.bars(spark, sf)
     call, put = F.floor("open").cast("double"), F.floor("close").cast("double")
-    return bars.select("date", call.alias("equity_call_volume"), put.alias("equity_put_volume"), (call + put).alias("equity_total_volume"),
+    return bars.select("series_id", "date", call.alias("equity_call_volume"), put.alias("equity_put_volume"), (call + put).alias("equity_total_volume"),
                        F.when(F.dayofmonth("date") % 4 != 0, F.round(F.try_divide("close", "open"), 2)).alias("equity_pc_ratio"))
 
 
@@ -68,22 +63,22 @@ def s3(spark, sf):
     def number(c):
         return F.concat(F.lit('"'), F.format_number(c, 0), F.lit('"'))
     rows = put_call_rows(spark, sf).select(F.concat_ws(",", F.date_format("date", "M/d/yyyy"), number("equity_call_volume"),
-        number("equity_put_volume"), number("equity_total_volume"), F.coalesce(F.col("equity_pc_ratio").cast("string"), F.lit(""))).alias("line"))
-    head = spark.createDataFrame([("Volume and ratio data, subject to change",), ("PRODUCT: EQUITY,EXCHANGE: X,,,",), ("DATE,CALL,PUT,TOTAL,P/C Ratio",)], "line string")
+        number("equity_put_volume"), number("equity_total_volume"), F.coalesce(F.col("equity_pc_ratio").cast("string"), F.lit("")), "series_id").alias("line"))
+    head = spark.createDataFrame([("Volume and ratio data, subject to change",), ("PRODUCT: EQUITY,EXCHANGE: X,,,",), ("DATE,CALL,PUT,TOTAL,P/C Ratio,SERIES",)], "line string")
     path = scratch(spark, "putcall")
     head.unionByName(rows).write.text(path)
-    return readers.put_call_csv(spark, path)
+    return readers.put_call_csv(spark, path, keys=["series_id"])
 
 
 @query("s4_fear_greed_json", """
-select date as reference_date, date as release_date, cast(floor(value) as bigint) as value from v_series where series_id = '3-MEDIUM'""", ["v_series"])
+select series_id, date as reference_date, date as release_date, cast(floor(value) as bigint) as value from v_series""", ["v_series"])
 def s4(spark, sf):
-    # one JSON array per file: rows are packed by year, as a provider's yearly files would be
-    s = one_series(spark, sf, "3-MEDIUM").groupBy(F.year("date").alias("y")).agg(F.collect_list(F.struct(
+    # one JSON array per file: rows are packed by series and year, as a provider's yearly files would be
+    s = V.series(spark, sf).groupBy("series_id", F.year("date").alias("y")).agg(F.collect_list(F.struct(
         F.col("date").cast("string").alias("date"), F.floor("value").cast("string").alias("value"))).alias("a"))
     path = scratch(spark, "feargreed")
-    s.select(F.to_json("a").alias("value"), "y").write.partitionBy("y").text(path)
-    return readers.fear_greed_json(spark, path)
+    s.select(F.to_json("a").alias("value"), "series_id", "y").write.partitionBy("series_id", "y").text(path)
+    return readers.fear_greed_json(spark, path, ["series_id"])
 
 
 @query("s5_confidence_json", """
@@ -112,35 +107,35 @@ def s6(spark, sf):
 
 
 @query("s7_margin_csv", """
-select last_day(date) as reference_date, last_day(last_day(date) + 1) as release_date, cast(max(floor(value)) as bigint) as debit_balances_margin_accounts,
+select series_id, last_day(date) as reference_date, last_day(last_day(date) + 1) as release_date, cast(max(floor(value)) as bigint) as debit_balances_margin_accounts,
   cast(min(floor(value)) as bigint) as free_credit_cash_accounts, count(*) as free_credit_margin_accounts
-from v_series where series_id = '1-URGENT' group by last_day(date)""", ["v_series"])
+from v_series group by series_id, last_day(date)""", ["v_series"])
 def s7(spark, sf):
     heads = list(readers.MARGIN)
-    m = one_series(spark, sf).groupBy(F.date_format("date", "yyyy-MM").alias("Year-Month")).agg(
+    m = V.series(spark, sf).groupBy("series_id", F.date_format("date", "yyyy-MM").alias("Year-Month")).agg(
         F.format_number(F.max(F.floor("value")), 0).alias(heads[0]), F.format_number(F.min(F.floor("value")), 0).alias(heads[1]),
         F.format_number(F.count("*"), 0).alias(heads[2]))
-    return readers.margin_csv(spark, written_csv(m, "margin"))
+    return readers.margin_csv(spark, written_csv(m, "margin"), ["series_id"])
 
 
 @query("s8_normalised_bars", """
-select date, open, high, low, close, case when day(date) % 2 = 0 then close else close / 2 end as adjusted_close, cast(volume as bigint) as volume, 'A' as ticker
-from v_bars where series_id = 'A'""", ["v_bars"])
+select date, open, high, low, close, case when day(date) % 2 = 0 then close else close / 2 end as adjusted_close, cast(volume as bigint) as volume, series_id as ticker
+from v_bars""", ["v_bars"])
 def s8(spark, sf):
-    b = V.bars(spark, sf).where("series_id = 'A'")
-    raw = b.select(F.col("date").alias("Date"), F.col("open").alias("1. open"), F.col("high").alias("2. high"), F.col("low").alias("Low"),
+    b = V.bars(spark, sf)
+    raw = b.select("series_id", F.col("date").alias("Date"), F.col("open").alias("1. open"), F.col("high").alias("2. high"), F.col("low").alias("Low"),
                    F.col("close").cast("string").alias("Close"), F.when(F.dayofmonth("date") % 2 != 0, F.col("close") / 2).alias("Adj Close"),
                    F.col("volume").alias("6. volume"), F.lit("junk").alias("extra"))
-    return readers.normalise_bars(raw, "A")
+    return readers.normalise_bars(raw, F.col("series_id"))
 
 
 @query("s9_normalised_vintages", """
-select reference_date, release_date, value, 'A' as series_id from v_vintage where series_id = 'A'""", ["v_vintage"])
+select reference_date, release_date, value, series_id from v_vintage""", ["v_vintage"])
 def s9(spark, sf):
-    raw = V.vintage(spark, sf).where("series_id = 'A'").select(
-        F.col("reference_date").cast("string").alias("date"), F.col("release_date").cast("string").alias("realtime_start"), F.col("value").cast("string").alias("value"))
+    raw = V.vintage(spark, sf).select(
+        "series_id",         F.col("reference_date").cast("string").alias("date"), F.col("release_date").cast("string").alias("realtime_start"), F.col("value").cast("string").alias("value"))
     twice = raw.unionByName(raw).unionByName(raw.limit(3).withColumn("date", F.lit("not a day")))
-    return readers.normalise_vintages(twice, "A")
+    return readers.normalise_vintages(twice, F.col("series_id"))
 
 
 S10_NAMES = {"A": "RGDPQOQFOR", "N": "T10Y2Y", "R": "CPIAUCSL"}
@@ -194,24 +189,24 @@ def s14_partitions(spark, sf):
 
 
 @query("s15_put_call_upsert", """
-select coalesce(n.date, o.date) as date, case when n.date is not null then n.c else o.c end as equity_call_volume, case when n.date is not null then n.p else o.p end as equity_put_volume,
+select coalesce(n.series_id, o.series_id) as series_id, coalesce(n.date, o.date) as date, case when n.date is not null then n.c else o.c end as equity_call_volume, case when n.date is not null then n.p else o.p end as equity_put_volume,
   round(case when n.date is not null then n.r else o.r end, 6) as equity_pc_ratio, case when n.date is not null then 'csv' else 'old' end as source
-from (select date, equity_call_volume * 10 as c, equity_put_volume as p, 1.0::double as r from pcr where day(date) % 3 = 0) o
-full join (select date, equity_call_volume as c, equity_put_volume as p, coalesce(equity_pc_ratio, case when equity_call_volume > 0 then equity_put_volume / equity_call_volume end) as r from pcr) n
-on o.date = n.date where coalesce(n.r, o.r) is not null""", ["v_bars"], {"pcr": PCR})
+from (select series_id, date, equity_call_volume * 10 as c, equity_put_volume as p, 1.0::double as r from pcr where day(date) % 3 = 0) o
+full join (select series_id, date, equity_call_volume as c, equity_put_volume as p, coalesce(equity_pc_ratio, case when equity_call_volume > 0 then equity_put_volume / equity_call_volume end) as r from pcr) n
+on o.series_id = n.series_id and o.date = n.date where coalesce(n.r, o.r) is not null""", ["v_bars"], {"pcr": PCR})
 def s15(spark, sf):
     rows = put_call_rows(spark, sf)
     target = rows.where(F.dayofmonth("date") % 3 == 0).select(
-        "date", (F.col("equity_call_volume") * 10).alias("equity_call_volume"), "equity_put_volume", "equity_total_volume",
+        "series_id", "date", (F.col("equity_call_volume") * 10).alias("equity_call_volume"), "equity_put_volume", "equity_total_volume",
         F.lit(1.0).alias("equity_pc_ratio"), F.lit("old").alias("source"))
-    df = sinks.put_call_upsert(target, rows, "csv")
-    return df.select("date", "equity_call_volume", "equity_put_volume", F.round("equity_pc_ratio", 6).alias("equity_pc_ratio"), "source")
+    df = sinks.put_call_upsert(target, rows, "csv", ["series_id"])
+    return df.select("series_id", "date", "equity_call_volume", "equity_put_volume", F.round("equity_pc_ratio", 6).alias("equity_pc_ratio"), "source")
 
 
-@query("s16_replace_table", "select date, f_low, f_high from v_wide", ["v_wide"])
+@query("s16_replace_table", "select * from v_wide", ["v_wide"])
 def s16(spark, sf):
     path = scratch(spark, "replaced")
-    wide = V.wide(spark, sf).select("date", "f_low", "f_high")
+    wide = V.wide(spark, sf)
     sinks.replace_table(wide.where("f_low is null"), path)
     sinks.replace_table(wide, path)
     return spark.read.parquet(path)
@@ -273,9 +268,9 @@ def c6(spark, sf):
 
 
 @query("c7_derived_ratio", """
-select date, round(coalesce(equity_pc_ratio, case when equity_call_volume > 0 then equity_put_volume / equity_call_volume end), 6) as ratio from pcr""", ["v_bars"], {"pcr": PCR})
+select series_id, date, round(coalesce(equity_pc_ratio, case when equity_call_volume > 0 then equity_put_volume / equity_call_volume end), 6) as ratio from pcr""", ["v_bars"], {"pcr": PCR})
 def c7(spark, sf):
-    return put_call_rows(spark, sf).select("date", F.round(C.put_call_ratio("equity_pc_ratio", "equity_put_volume", "equity_call_volume"), 6).alias("ratio"))
+    return put_call_rows(spark, sf).select("series_id", "date", F.round(C.put_call_ratio("equity_pc_ratio", "equity_put_volume", "equity_call_volume"), 6).alias("ratio"))
 
 
 @query("c9_table_labels", r"""

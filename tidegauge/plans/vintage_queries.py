@@ -61,15 +61,10 @@ def j1(spark, sf):
             .select("series_id", "date", "a", "b")
 
 
-@query("j2_side_by_side", """
-select coalesce(a.date, b.date, c.date) as date, a.value as urgent, b.value as high, c.value as low
-from (select * from v_series where series_id = '1-URGENT') a
-full join (select * from v_series where series_id = '2-HIGH') b on a.date = b.date
-full join (select * from v_series where series_id = '5-LOW') c on coalesce(a.date, b.date) = c.date""", ["v_series"])
+@query("j2_side_by_side", "select * from v_wide", ["v_wide"])
 def j2(spark, sf):
     s = V.series(spark, sf)
-    names = {"urgent": "1-URGENT", "high": "2-HIGH", "low": "5-LOW"}
-    return joins.side_by_side({n: s.where(F.col("series_id") == k) for n, k in names.items()})
+    return joins.side_by_side({n: s.where(F.col("series_id") == k) for n, k in V.WIDE.items()})
 
 
 SPINE = {"v_spine": """select cast(d as date) as date from (select unnest(generate_series(

@@ -2,13 +2,13 @@
 
 Every file is read as strings first and cast with ``try_cast`` semantics, so one bad
 field is a NULL and never a failed job. Directories and lists of paths work
-throughout.
+throughout. ``keys`` names columns that tell series apart in files of many.
 """
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidegauge.functions.scalars import date_text, grouped_number, month_end, percent_text, quarter_label
 from tidegauge.operators.vintage import REF, REL, first_release, keep_first, one_per_release
@@ -18,10 +18,11 @@ def _csv(spark: SparkSession, path) -> DataFrame:
     return spark.read.option("header", True).csv(path)
 
 
-def gamma_csv(spark, path):
+def gamma_csv(spark, path, keys=()):
     """``date, gex`` -> date, gex_value; unreadable rows dropped."""
     df = _csv(spark, path)
-    return df.select(date_text("date").alias("date"), F.col("gex").try_cast("double").alias("gex_value")).dropna()
+    return df.select(*keys, date_text("date").alias("date"), F.col("gex").try_cast("double").alias("gex_value")) \
+             .dropna(subset=["date", "gex_value"])
 
 
 def freight_csvs(spark, paths):
@@ -38,22 +39,26 @@ def freight_csvs(spark, paths):
 PUT_CALL = ["date", "equity_call_volume", "equity_put_volume", "equity_total_volume", "equity_pc_ratio"]
 
 
-def put_call_csv(spark, path, pattern="M/d/yyyy"):
-    """Preamble, header, then DATE, CALL, PUT, TOTAL, P/C Ratio.
+def put_call_csv(spark, path, pattern="M/d/yyyy", keys=()):
+    """Preamble, header, then DATE, CALL, PUT, TOTAL, P/C Ratio, and the keys if any.
 
     Whatever has no date in the first field is preamble or header, so files need not
     be scanned for where their table begins and may be split anywhere.
     """
-    raw = spark.read.schema(", ".join(f"{c} string" for c in PUT_CALL)).csv(path)
+    raw = spark.read.schema(", ".join(f"{c} string" for c in [*PUT_CALL, *keys])).csv(path)
     numbers = [grouped_number(c).alias(c) for c in PUT_CALL[1:]]
-    return raw.select(date_text("date", pattern).alias("date"), *numbers).dropna(subset=["date"])
+    return raw.select(*keys, date_text("date", pattern).alias("date"), *numbers).dropna(subset=["date"])
 
 
-def fear_greed_json(spark, path):
-    """``[{"date": ..., "value": ...}]`` -> reference_date, release_date, value."""
+def fear_greed_json(spark, path, keys=()):
+    """``[{"date": ..., "value": ...}]`` -> reference_date, release_date, value.
+
+    ``keys`` are folder names, as in ``series_id=x/``.
+    """
     raw = spark.read.schema("date string, value string").option("multiLine", True).json(path)
     day = F.to_date(F.try_to_timestamp("date"))
-    return raw.select(day.alias(REF), day.alias(REL), F.col("value").try_cast("double").cast("long").alias("value")).dropna()
+    return raw.select(*keys, day.alias(REF), day.alias(REL), F.col("value").try_cast("double").cast("long").alias("value")) \
+              .dropna(subset=[REF, "value"])
 
 
 # fixed values: the three arrays of a confidence file, in file order
@@ -93,13 +98,13 @@ MARGIN = {"Debit Balances in Customers' Securities Margin Accounts": "debit_bala
           "Free Credit Balances in Customers' Securities Margin Accounts": "free_credit_margin_accounts"}
 
 
-def margin_csv(spark, path):
+def margin_csv(spark, path, keys=()):
     """Monthly balances keyed ``YYYY-MM``, dated at the month end, released a month later."""
     df = _csv(spark, path)
     day = month_end(date_text("Year-Month", "yyyy-MM"))
     cols = [grouped_number(F.col(f"`{h}`"), "bigint").alias(n) if h in df.columns else F.lit(None).cast("bigint").alias(n)
             for h, n in MARGIN.items()]
-    return df.select(day.alias(REF), month_end(day, 1).alias(REL), *cols).dropna(subset=[REF])
+    return df.select(*keys, day.alias(REF), month_end(day, 1).alias(REL), *cols).dropna(subset=[REF])
 
 
 # fixed values: names a provider may give to the columns of a bar
@@ -110,8 +115,12 @@ BAR_ALIASES = {
 BAR_TYPES = {"date": "date", "volume": "bigint"}
 
 
+def _key(name):
+    return name if isinstance(name, Column) else F.lit(name)
+
+
 def normalise_bars(df: DataFrame, ticker):
-    """Any provider's bars as date, prices, volume, ticker.
+    """Any provider's bars as date, prices, volume, ticker (a name, or a column of names).
 
     The first matching name of a column wins; adjusted_close falls back to close, as a
     whole column when absent and row by row when missing. Other absences are errors.
@@ -125,14 +134,17 @@ def normalise_bars(df: DataFrame, ticker):
     if missing:
         raise ValueError(f"bars of {ticker} lack {missing}; found {df.columns}")
     found["adjusted_close"] = F.coalesce(found["adjusted_close"], found["close"]) if "adjusted_close" in found else found["close"]
-    return df.select(*[found[n].alias(n) for n in BAR_ALIASES], F.lit(ticker).alias("ticker"))
+    return df.select(*[found[n].alias(n) for n in BAR_ALIASES], _key(ticker).alias("ticker"))
 
 
 def normalise_vintages(df: DataFrame, series_id):
-    """``date, realtime_start, value`` -> distinct reference/release/value rows."""
+    """``date, realtime_start, value`` -> distinct reference/release/value rows.
+
+    ``series_id``: a name, or a column of names.
+    """
     return df.select(
         F.col("date").try_cast("date").alias(REF), F.col("realtime_start").try_cast("date").alias(REL),
-        F.col("value").try_cast("double").alias("value"), F.lit(series_id).alias("series_id")) \
+        F.col("value").try_cast("double").alias("value"), _key(series_id).alias("series_id")) \
         .dropna(subset=[REF, REL]).dropDuplicates([REF, REL, "value", "series_id"])
 
 

@@ -30,13 +30,13 @@ def upsert(target: DataFrame, source: DataFrame, keys, update=None):
     return joined.select(*cols)
 
 
-def put_call_upsert(target: DataFrame, source: DataFrame, label):
-    """Merge put/call rows by date, deriving a missing ratio; rows without one are skipped."""
+def put_call_upsert(target: DataFrame, source: DataFrame, label, keys=()):
+    """Merge put/call rows by date (and ``keys``), deriving a missing ratio; rows without one are skipped."""
     call, put, total, ratio = (dashed_number(F.col(c).cast("string")) for c in (
         "equity_call_volume", "equity_put_volume", "equity_total_volume", "equity_pc_ratio"))
-    clean = source.select("date", call.alias("equity_call_volume"), put.alias("equity_put_volume"), total.alias("equity_total_volume"),
+    clean = source.select(*keys, "date", call.alias("equity_call_volume"), put.alias("equity_put_volume"), total.alias("equity_total_volume"),
                           put_call_ratio(ratio, put, call).alias("equity_pc_ratio"), F.lit(label).alias("source"))
-    return upsert(target, clean.dropna(subset=["date", "equity_pc_ratio"]), ["date"])
+    return upsert(target, clean.dropna(subset=["date", "equity_pc_ratio"]), [*keys, "date"])
 
 
 def upsert_partitions(path, source: DataFrame, keys, partition):
