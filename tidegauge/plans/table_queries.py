@@ -198,11 +198,11 @@ def g26(spark, sf):
     return df.select(*[F.round(f"`{c}`", 4).alias(c) if c in rounded else F.col(f"`{c}`") for c in df.columns])
 
 
-@query("p1_feature_columns", "select date, open as x_open, high as x_high, low as x_low, close as x_close, volume as x_volume from v_bars where series_id = 'A'",
+@query("p1_feature_columns", "select series_id, date, open as x_open, high as x_high, low as x_low, close as x_close, volume as x_volume from v_bars",
        ["v_bars"])
 def p1(spark, sf):
-    df = M.scan(V.bars(spark, sf), {"series_id": "A", "no_such_column": 1})
-    return df.select("date", *[F.col(c).alias(f"x_{c}") for c in M.feature_columns(df)])
+    df = M.scan(V.bars(spark, sf), {"no_such_column": 1})
+    return df.select("series_id", "date", *[F.col(c).alias(f"x_{c}") for c in M.feature_columns(df)])
 
 
 @query("s17_filtered_scan", """
@@ -265,11 +265,11 @@ def p9(spark, sf):
 
 
 @query("w14_label_ahead", """
-select date, state as regime_t, lead(state, 126) over (order by date) as regime_t_plus_6m from v_state where series_id = '5-LOW'""",
+select series_id, date, state as regime_t, lead(state, 126) over (partition by series_id order by date) as regime_t_plus_6m from v_state""",
        ["v_series"], STATES)
 def labels_ahead(spark, sf):
-    df = states(spark, sf).where("series_id = '5-LOW'").select("date", F.col("state").alias("regime_t"))
-    return M.labels_ahead(df).select("date", "regime_t", "regime_t_plus_6m")
+    df = states(spark, sf).select("series_id", "date", F.col("state").alias("regime_t"))
+    return M.labels_ahead(df, by=["series_id"]).select("series_id", "date", "regime_t", "regime_t_plus_6m")
 
 
 # -- profiles ----------------------------------------------------------------
