@@ -181,3 +181,14 @@ def test_search_space():
     drawn = T.draw(space, 50, 1)
     assert drawn == T.draw(space, 50, 1)
     assert {d["n"] for d in drawn} == {10, 20, 30} and all(0.01 <= d["x"] <= 1 for d in drawn) and {d["c"] for d in drawn} == {"a", "b"}
+
+
+def test_search_ranks_refused_parameters_last(spark):
+    i = F.col("id")
+    folds = spark.range(60).select(
+        i.alias("date"), (i % 3).cast("double").alias("x"), (i % 2).cast("int").alias("true_label"), F.lit(1).alias("fold"),
+        F.when(i < 40, "train").otherwise("test").alias("role"))
+    rows = T.random_search(folds, ["x"], 2, {"max_iter": {"type": "categorical", "choices": [-1, 5]}}, trials=6).collect()
+    good = [r.mean_log_loss < float("inf") for r in rows]
+    assert {r.params["max_iter"]: r.mean_log_loss < float("inf") for r in rows} == {"5": True, "-1": False}
+    assert good == sorted(good, reverse=True)

@@ -9,6 +9,7 @@ import math
 from functools import reduce
 
 import numpy as np
+from pyspark.errors import IllegalArgumentException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -194,13 +195,13 @@ def draw(space: dict, trials, seed=42):
 
 
 def random_search(folds: DataFrame, features, n_classes, space, trials=50, model="logistic", seed=42, keys=("date",)):
-    """Trials ranked by mean log-loss over folds; a failing trial scores infinity."""
+    """Trials ranked by mean log-loss over folds; one with refused parameters scores infinity."""
     rows, folds = [], folds.persist()                       # read by every trial
     for i, params in enumerate(draw(space, trials, seed)):
         try:
             oof, _ = cross_validate(folds, features, n_classes, model, params, keys=keys)
             loss = E.log_loss(oof, range(n_classes), ("fold",)).agg(F.avg("log_loss")).first()[0]
-        except Exception:
+        except IllegalArgumentException:                    # parameters that Spark refuses
             loss = None
         rows.append((i, {k: str(v) for k, v in params.items()}, math.inf if loss is None else loss))
     folds.unpersist()
