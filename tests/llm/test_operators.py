@@ -190,6 +190,24 @@ def test_attention_gradients_and_windows():
     assert np.allclose(model.score(counts, ids, end) * np.log(10), slow, atol=1e-2)
 
 
+def test_all_windows_are_learnt_from(spark, monkeypatch):
+    """Long texts alone teach the model the order of their words, in every batch of every file."""
+    words = [f"w{chr(97 + i)}{chr(107 + i % 13)}" for i in range(20)]
+    text = " ".join(words * 130)
+    assert len(text) > attention_lm.FIT_BYTES
+    found = []
+    learn = attention_lm.learn
+    monkeypatch.setattr(attention_lm, "learn", lambda *a: found.append(learn(*a)) or found[-1])
+    monkeypatch.setattr(attention_lm, "FILES", 2)
+    rows = spark.createDataFrame([(i, text) for i in range(150)], "doc_id long, text string").repartition(3)
+    got = attention_lm.score_texts(rows).where("held_out").collect()
+    assert min(r.score / r.n_tokens for r in got) > -0.8       # a word's share of all is about -1.3
+    encoder, end = attention_lm.encoding()
+    n, ids = attention_lm.subwords(encoder, [text.encode()])
+    each = len(attention_lm.layout(n, ids, end)[3])
+    assert found[0][1] == each * (150 - len(got))
+
+
 @pytest.mark.parametrize("name", ["op7_url_filters", "op10_mixing_sources"])
 def test_sql_twins(name, spark, duck, sf):
     text, ok, _ = oracle.compare(spark, duck, queries.QUERIES[name], queries.ORACLE[name], sf)

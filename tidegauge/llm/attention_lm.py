@@ -2,7 +2,8 @@
 
 The model predicts the class of the next subword from a window, and the subword within it.
 Classes are ranges of frequency over all training texts; in those of many rare subwords the
-subword follows its count alone. Windows overlap so that every subword but the first few
+subword follows its count alone. A first fit to some texts gives the values that fits of all tasks
+to every window of all training texts start from; these are averaged round by round. Windows overlap so that every subword but the first few
 has some context, and each is scored in one window only. Beside it, words are counted over all
 training texts for an add-one baseline: words go to buckets with their places, and only sums by
 document come back.
@@ -19,15 +20,19 @@ from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from tidegauge.llm.words import LOWER, U, as_bytes, joined, mix, pack, pieces, span_hashes, unpack, word_hashes
-from tidegauge.session import persist_plan
+from tidegauge.session import persist_plan, scratch
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-FIT_TEXTS = 1200                 # training texts the model learns from, in hashed order
+FIT_TEXTS = 1200                 # training texts of the first fit, in hashed order; all are learnt from after it
 FIT_BYTES = 10000                # longer texts are not among them
 WINDOW, STEP = 16, 12
 WIDTH, HIDDEN, CLASSES = 16, 32, 64
 MEMBERS = 512                    # subwords of a class that the model tells apart; larger classes by counts
 STEPS, BATCH, PACE = 1500, 128, 0.03
+FILES, PARTS = 16, 4             # files of a group of rounds, and its rounds, each with a part of every file's batches
+LARGER, SLOWER = 512, 0.01       # as BATCH and PACE, in the rounds
+SLAB = 1 << 15                   # windows shuffled together
+BLOCK = 1 << 13                  # rows of parameters averaged together
 SEED = 7
 SCORED = 256                     # windows of a batch
 TOLD = 4096                      # windows whose subwords are told apart together
@@ -118,6 +123,25 @@ def bounded(u):
     np.minimum(u, 80, out=u)
 
 
+class Adam:
+    """Steps down gradients; embeddings move only where they occur."""
+
+    def __init__(self, params):
+        self.p, self.t = params, 0
+        self.first = {k: np.zeros_like(v) for k, v in params.items()}
+        self.second = {k: np.zeros_like(v) for k, v in params.items()}
+
+    def step(self, found, pace):
+        g, rows, de = found
+        self.t += 1
+        for k in self.p:
+            at = rows if k == "e" else slice(None)
+            d = de if k == "e" else g[k]
+            first = self.first[k][at] = 0.9 * self.first[k][at] + 0.1 * d
+            second = self.second[k][at] = 0.99 * self.second[k][at] + 0.01 * d * d
+            self.p[k][at] -= pace * (first / (1 - 0.9 ** self.t)) / (np.sqrt(second / (1 - 0.99 ** self.t)) + 1e-7)
+
+
 class Model:
     """Parameters of the attention model and the distribution of subwords within classes."""
 
@@ -245,22 +269,27 @@ class Model:
         return loss, g, rows, de
 
     def fit(self, x, y, fresh, steps=STEPS, seed=SEED):
-        """Adam on random batches of windows; embeddings move only where they occur."""
-        rng = np.random.default_rng(seed)
-        first = {k: np.zeros_like(v) for k, v in self.p.items()}
-        second = {k: np.zeros_like(v) for k, v in self.p.items()}
+        """Adam on random batches of windows."""
+        rng, adam = np.random.default_rng(seed), Adam(self.p)
         for t in range(1, steps + 1 if len(x) else 0):
             i = rng.integers(0, len(x), BATCH)
-            _, g, rows, de = self.gradients(x[i], y[i], fresh[i])
-            pace = PACE * min(1, t / 50) * (1 - 0.9 * t / steps)
-            for k in self.p:
-                at = rows if k == "e" else slice(None)
-                d = de if k == "e" else g[k]
-                first[k][at] = 0.9 * first[k][at] + 0.1 * d
-                second[k][at] = 0.99 * second[k][at] + 0.01 * d * d
-                self.p[k][at] -= pace * (first[k][at] / (1 - 0.9 ** t)) / (np.sqrt(second[k][at] / (1 - 0.99 ** t)) + 1e-7)
+            adam.step(self.gradients(x[i], y[i], fresh[i])[1:], PACE * min(1, t / 50) * (1 - 0.9 * t / steps))
         return self
 
+    def rows(self):
+        """All parameters as rows of WIDTH values, embeddings last."""
+        rest = np.concatenate([v.ravel() for k, v in self.p.items() if k != "e"])
+        return np.concatenate([np.pad(rest, (0, -len(rest) % WIDTH)).reshape(-1, WIDTH), self.p["e"]])
+
+    def take_rows(self, rows):
+        """The parameters from what ``rows`` gave."""
+        flat, at = rows.ravel(), 0
+        for k in self.p:
+            if k != "e":
+                self.p[k] = flat[at:at + self.p[k].size].reshape(self.p[k].shape).copy()
+                at += self.p[k].size
+        self.p["e"] = rows[len(rows) - len(self.p["e"]):].copy()
+
     def score(self, counts, ids, end):
         """log10 probability of each text.
 
@@ -325,8 +354,82 @@ def _counter(batches):
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["subword", "n"])
 
 
+def _trainer(model, pace):
+    """Per task: a fit to all training windows of its texts, as changes of the parameters by block.
+
+    A row of parameters weighs as much as windows moved it, an embedding as often as its subword occurred.
+    """
+    def run(batches):
+        adam, start, named, moved = None, model.rows(), None, 0
+        for batch in batches:
+            for key, blob in zip(batch.column("batch").to_pylist(), batch.column("docs").to_pylist()):
+                _, _, held, _, counts, ids, end = open_docs(blob)
+                ids, counts = ids[np.repeat(~held, counts)], counts[~held]
+                laid = layout(counts, ids, end)
+                if adam is None:
+                    adam, named, seen = Adam(model.p), key, np.zeros(end + 1)
+                rng = np.random.default_rng([SEED, key])
+                for low in range(0, len(laid[3]), SLAB):
+                    x, y, fresh, _ = windows(laid, end, low, low + SLAB)
+                    order = rng.permutation(len(x))
+                    for a in range(0, len(x), LARGER):
+                        i = order[a:a + LARGER]
+                        adam.step(model.gradients(x[i], y[i], fresh[i])[1:], pace * min(1, (adam.t + 1) / 50) * len(i) / LARGER)
+                    seen += np.bincount(x.ravel(), minlength=end + 1)
+                    moved += len(x)
+        if moved:
+            change = model.rows() - start
+            weight = np.concatenate([np.full(len(change) - len(seen), moved, np.float64), seen])
+            for at in range(0, len(change), BLOCK):
+                w = weight[at:at + BLOCK]
+                blob = pack((change[at:at + BLOCK] * w[:, None]).ravel(), w)
+                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([named], pa.int64()), pa.array([moved], pa.int64()), pa.array([blob], pa.binary())],
+                                                 ["block", "task", "windows", "blob"])
+    return run
+
+
+def _average(table):
+    """Mean change of a block of parameters over the tasks that moved it."""
+    table = table.sort_by("task")                                   # sums do not depend on arrival
+    change, weight = 0, 0
+    for blob in table.column("blob").to_pylist():
+        d, w = unpack(blob, np.float64, np.float64)
+        change, weight = change + d.reshape(-1, WIDTH), weight + w
+    mean = (change / np.maximum(weight, 1)[:, None]).astype(np.float32)
+    return pa.table([pa.array([table.column("block")[0].as_py()], pa.int64()), pa.array([pc.sum(table.column("windows")).as_py()], pa.int64()), pa.array([pack(mean.ravel())], pa.binary())],
+                    names=["block", "windows", "blob"])
+
+
+def learn(model, encoded):
+    """The model after a pass over every window of all training texts; the number of windows.
+
+    Files are taken in groups of a fixed size, so rounds grow with the data. In a round every task
+    moves its own copy of the model through its batches, and the copies are averaged.
+    """
+    spark, files = encoded.sparkSession, sorted(encoded.inputFiles())
+    turn = F.col("batch") % F.lit(1 << 24)
+    last = encoded.agg(F.max(turn)).first()[0]
+    if last is None:
+        return model, 0
+    parts = min(PARTS, last + 1)
+    rounds = [(files[at:at + FILES], part) for at in range(0, len(files), FILES) for part in range(parts)]
+    total = 0
+    for number, (names, part) in enumerate(rounds):
+        some = spark.read.schema(encoded.schema).parquet(*names).where("docs is not null").where(turn % parts == part)
+        pace = SLOWER * (1 - 0.9 * number / len(rounds))
+        moved = some.mapInArrow(_trainer(model, pace), "block long, task long, windows long, blob binary")
+        found = moved.groupBy("block").applyInArrow(_average, "block long, windows long, blob binary").collect()    # one model
+        rows = model.rows()
+        for r in found:
+            change, = unpack(r.blob, np.float32)
+            rows[r.block:r.block + BLOCK] += change.reshape(-1, WIDTH)
+        model.take_rows(rows)
+        total += found[0].windows if found else 0
+    return model, total
+
+
 def fit_model(docs, encoded):
-    """The model, from counts over all training texts and windows of a bounded number of them."""
+    """The model, from counts over all training texts, a first fit to some and a pass over all their windows."""
     encoder, end = encoding()
     rows = encoded.mapInArrow(_counter, "subword long, n long").groupBy("subword").agg(F.sum("n").alias("n"))
     counts = np.zeros(end + 1)
@@ -340,7 +443,7 @@ def fit_model(docs, encoded):
         n, ids = subwords(encoder, as_bytes(texts.column("text")))
         x, y, fresh, _ = windows(layout(n, ids, end), end)
         model.fit(x, y, fresh)
-    return model
+    return learn(model, encoded)[0]
 
 
 def close_docs(number, null, held, words, counts, ids, end):
@@ -455,6 +558,14 @@ def _add_up(table):
     return pa.table({"doc_id": pa.array(ids, mask=null), "held_out": held, "n_words": words, "known_words": known, "logs": logs, "score": score})
 
 
+def written(rows):
+    """Rows of large blobs as Parquet in the shared folder, so that files and columns can be read alone."""
+    path = scratch(rows.sparkSession, "sent")
+    small = {"parquet.block.size": 16 << 20, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1, "parquet.enable.dictionary": "false"}
+    rows.write.options(**small).parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def score_texts(docs, buckets=None):
     """Scores of every text: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -467,7 +578,7 @@ def score_texts(docs, buckets=None):
     spark = docs.sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
-    sent = persist_plan(docs.mapInArrow(_sender(buckets), "bucket int, batch long, words binary, docs binary"))
+    sent = written(docs.mapInArrow(_sender(buckets), "bucket int, batch long, words binary, docs binary"))
     encoded = sent.where("docs is not null").select("batch", "docs")
     model = fit_model(docs, encoded)
     scored = encoded.mapInArrow(_scorer(model), "kind int, batch long, blob binary")
