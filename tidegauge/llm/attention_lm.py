@@ -170,17 +170,20 @@ class Model:
 
     def forward(self, x):
         p = self.p
-        e = p["e"][x]
-        z = e + p["s"]
-        q, k, v = z @ p["q"], z @ p["k"], z @ p["v"]
+        z = p["e"].take(x.ravel(), axis=0).reshape(*x.shape, WIDTH)
+        z += p["s"]
+        flat = z.reshape(-1, WIDTH)
+        q, k, v = ((flat @ p[name]).reshape(z.shape) for name in "qkv")
         a = q @ k.transpose(0, 2, 1) * np.float32(WIDTH ** -0.5) + self.mask
         a -= a.max(axis=2, keepdims=True)
         np.exp(a, out=a)
         a /= a.sum(axis=2, keepdims=True)
         m = a @ v
-        r = np.concatenate([z, m @ p["o"]], axis=2)
-        t = np.tanh(r @ p["h"] + p["c"])
-        return z, q, k, v, a, m, r, t
+        r = np.concatenate([flat, m.reshape(-1, WIDTH) @ p["o"]], axis=1)
+        t = r @ p["h"]
+        t += p["c"]
+        np.tanh(t, out=t)
+        return z, q, k, v, a, m, r, t.reshape(*x.shape, HIDDEN)
 
     def log_classes(self, t):
         """Log probability of every class."""
@@ -229,44 +232,51 @@ class Model:
         """Mean loss of the scored subwords and its gradients."""
         p = self.p
         z, q, k, v, a, m, r, t = self.forward(x)
-        logs = self.log_classes(t)
-        target = self.of[y]
-        n = max(fresh.sum(), 1)
-        loss = -np.take_along_axis(logs, target[..., None], 2)[..., 0][fresh].sum() / n
-        du = np.exp(logs)
-        np.put_along_axis(du, target[..., None], np.take_along_axis(du, target[..., None], 2) - 1, 2)
-        du *= (fresh / np.float32(n))[..., None].astype(np.float32)
-        flat = lambda d: d.reshape(-1, d.shape[-1])             # noqa: E731
-        g = {"w": flat(t).T @ flat(du), "b": flat(du).sum(axis=0)}
-        dt = du @ p["w"].T
-        ft, chosen = t[fresh], y[fresh]
-        more, g["m"] = np.zeros_like(ft), np.zeros_like(p["m"])
-        loss -= self.log_within(ft, chosen).sum() / n
+        keep = np.flatnonzero(fresh)
+        t = t.reshape(-1, HIDDEN)
+        ft, chosen = t.take(keep, axis=0), y.ravel()[keep]
+        at, n = np.arange(len(keep)), max(len(keep), 1)
+        logs, target = self.log_classes(ft), self.of[chosen]
+        loss = -logs[at, target].sum() / n
+        du = np.exp(logs, out=logs)
+        du[at, target] -= 1
+        du /= np.float32(n)
+        g = {"w": ft.T @ du, "b": du.sum(axis=0), "m": np.zeros_like(p["m"])}
+        more = du @ p["w"].T
+        inner = self.within[chosen]
         for rows, low, high in self.groups(chosen):
-            d = np.exp(self.log_members(ft, rows, low, high))
-            d[np.arange(len(rows)), self.rank[chosen[rows]] - low] -= 1
+            d, spot, mine = self.log_members(ft, rows, low, high), self.rank[chosen[rows]] - low, at[:len(rows)]
+            inner[rows] = d[mine, spot]
+            np.exp(d, out=d)
+            d[mine, spot] -= 1
             d /= np.float32(n)
             g["m"][:, low:high] += ft[rows].T @ d
-            more[rows] = d @ p["m"][:, low:high].T
-        dt[fresh] += more
-        dt *= 1 - t * t
-        g["h"], g["c"] = flat(r).T @ flat(dt), flat(dt).sum(axis=0)
+            more[rows] += d @ p["m"][:, low:high].T
+        loss -= inner.sum() / n
+        more *= 1 - ft * ft
+        dt = np.zeros_like(t)
+        dt[keep] = more
+        g["h"], g["c"] = r.T @ dt, dt.sum(axis=0)
         dr = dt @ p["h"].T
-        dz, dmo = dr[..., :WIDTH], dr[..., WIDTH:]
-        g["o"] = flat(m).T @ flat(dmo)
-        dm = dmo @ p["o"].T
+        dz, dmo = dr[:, :WIDTH].copy(), np.ascontiguousarray(dr[:, WIDTH:])
+        g["o"] = m.reshape(-1, WIDTH).T @ dmo
+        dm = (dmo @ p["o"].T).reshape(m.shape)
         da = dm @ v.transpose(0, 2, 1)
         dv = a.transpose(0, 2, 1) @ dm
-        ds = a * (da - (da * a).sum(axis=2, keepdims=True)) * np.float32(WIDTH ** -0.5)
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
+        da -= (da * a).sum(axis=2, keepdims=True)
+        da *= a
+        da *= np.float32(WIDTH ** -0.5)
+        dq, dk = da @ k, da.transpose(0, 2, 1) @ q
+        flat = z.reshape(-1, WIDTH)
         for name, d in (("q", dq), ("k", dk), ("v", dv)):
-            g[name] = flat(z).T @ flat(d)
-            dz = dz + d @ p[name].T
-        g["s"] = dz.sum(axis=0)
-        rows, place = np.unique(x, return_inverse=True)
-        de = np.zeros((len(rows), WIDTH), np.float32)
-        np.add.at(de, place.ravel(), flat(dz))
-        return loss, g, rows, de
+            d = d.reshape(-1, WIDTH)
+            g[name] = flat.T @ d
+            dz += d @ p[name].T
+        g["s"] = dz.reshape(z.shape).sum(axis=0)
+        order = np.argsort(x.ravel(), kind="stable")
+        used = x.ravel()[order]
+        head = np.flatnonzero(np.concatenate([[True], used[1:] != used[:-1]]))
+        return loss, g, used[head], np.add.reduceat(dz.take(order, axis=0), head, axis=0)
 
     def fit(self, x, y, fresh, steps=STEPS, seed=SEED):
         """Adam on random batches of windows."""
