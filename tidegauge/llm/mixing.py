@@ -41,20 +41,20 @@ def targets(sources, total):
     return rows.select("source", F.col("size").alias("source_size"), F.least(F.col("most"), share).alias("target"))
 
 
-def mix_sources(docs):
+def mix_sources(docs, carry=()):
     """How much of every document the mix takes: doc_id, size, source_size, target, taken.
 
     ``docs`` has ``doc_id``, ``text``, ``source``; other columns are ignored. A size is the
     number of words, 0 for null and blank texts, which are never taken. Null is a source of its
     own. ``taken`` is the size times the passes that draw the document. Ties in the shuffled
     order, a hash of the id, go by id and size, so reruns agree; rows that repeat a doc_id
-    count each. An empty table gives an empty result.
+    count each; ``carry`` names columns that tell them apart, returned as well. An empty table gives an empty result.
 
     The order within a source is cut into slices by its hash, so a source with a third of all
     rows is summed in parts; a slice starts where the sums of the slices before it end.
     """
     sized = persist_plan(docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), "source",
+        F.col("doc_id").cast("long").alias("doc_id"), "source", *carry,
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(SEED))).alias("turn")))
     per_source = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("rows"))
@@ -68,18 +68,18 @@ def mix_sources(docs):
     earlier = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = persist_plan(sums.select("source", "slice", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("start"))
                           .join(wanted.withColumnRenamed("source", "_name"), F.col("source").eqNullSafe(F.col("_name"))).drop("_name"))
-    inside = Window.partitionBy("source", "slice").orderBy("turn", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy("source", "slice").orderBy("turn", "doc_id", "size", *carry).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cut = cut.withColumn("upto", F.sum("size").over(inside))
     same = F.col("l.source").eqNullSafe(F.col("r.source")) & (F.col("l.slice") == F.col("r.slice"))
     queued = persist_plan(cut.alias("l").join(starts.alias("r"), same).select(
-        "doc_id", "size", "source_size", "target", (F.col("r.start") + F.col("upto")).alias("end")))
+        *carry, "doc_id", "size", "source_size", "target", (F.col("r.start") + F.col("upto")).alias("end")))
     passes = F.explode(F.sequence(F.lit(0), F.lit(MOST - 1))).alias("pass")
     finish = F.try_divide((F.col("pass") * F.col("source_size") + F.col("end")).cast("double"), F.col("target"))
     times = queued.where("size > 0").select("size", "source_size", "target", "end", passes).withColumn("finish", finish)
     limit = _cut(times, total or 0)
     drawn = sum((F.when(F.try_divide((F.lit(k) * F.col("source_size") + F.col("end")).cast("double"), F.col("target")) <= F.lit(limit), 1).otherwise(0)
                  for k in range(MOST)), F.lit(0))
-    return queued.select("doc_id", "size", "source_size", "target", (F.col("size") * drawn).cast("long").alias("taken"))
+    return queued.select(*carry, "doc_id", "size", "source_size", "target", (F.col("size") * drawn).cast("long").alias("taken"))
 
 
 def _cut(times, budget):

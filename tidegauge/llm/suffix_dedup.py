@@ -426,7 +426,7 @@ def send_stretches(docs, marks, buckets):
 def cut_block(docs, marks, buckets, with_text):
     """Every document of a block without the bytes that earlier documents have."""
     ids, texts = sorted_block(docs)
-    out = {k: [] for k in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")}
+    out = {k: [] for k in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "text_sha256")}
     got = []
     bits = np.zeros(0, U)
     holders = np.zeros(0, np.int64)
@@ -457,8 +457,8 @@ def cut_block(docs, marks, buckets, with_text):
     for i in range(done, len(texts)):
         _append(out, ids[i], texts[i], 0, 0, texts[i], with_text)
     if not with_text:
-        del out["kept_text"]
-    kinds = {"kept_sha256": pa.string(), "kept_text": pa.string()}
+        del out["kept_text"], out["text_sha256"]
+    kinds = {"kept_sha256": pa.string(), "kept_text": pa.string(), "text_sha256": pa.string()}
     return pa.table({k: pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()})
 
 
@@ -468,6 +468,7 @@ def _append(out, doc, text, removed, spans, kept, with_text):
         out[k].append(v)
     if with_text:
         out["kept_text"].append(kept.decode("utf-8", "ignore"))
+        out["text_sha256"].append(hashlib.sha256(text).hexdigest())
 
 
 def remove_repeats(docs, with_text=True, buckets=None):
@@ -475,7 +476,7 @@ def remove_repeats(docs, with_text=True, buckets=None):
 
     ``docs`` (``doc_id``, ``text``; other columns are ignored) as UTF-8 bytes, null as empty.
     Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept_text, where
-    characters cut in two are left out. Rows with a null doc_id take no part; rows with the same
+    characters cut in two are left out, and text_sha256 of the whole text. Rows with a null doc_id take no part; rows with the same
     doc_id do not cut each other. Texts under 50 bytes, and empty tables, lose nothing.
 
     Documents are shuffled once into blocks, an exchange that the three passes over them reuse.
@@ -493,6 +494,6 @@ def remove_repeats(docs, with_text=True, buckets=None):
     sent = blocks.cogroup(marks.groupBy("blk")).applyInArrow(
         lambda d, m: send_stretches(d, m, 2 * parts), "bucket int, blk int, blob binary")
     flags = sent.groupBy("bucket").applyInArrow(index_bucket, row)
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string" if with_text else "")
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string, text_sha256 string" if with_text else "")
     return blocks.cogroup(marks.unionByName(flags).groupBy("blk")).applyInArrow(
         lambda d, m: cut_block(d, m, 2 * parts, with_text), schema)

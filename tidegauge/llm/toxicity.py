@@ -87,7 +87,7 @@ def find_terms(docs, labels):
     return hashes, on_bad, on_good, (bad + 0.5) / (bad + good + 1.0)
 
 
-def _hits(hashes):
+def _hits(hashes, carry=()):
     """Lexicon terms in each text: distinct ones by number, all of them, and words."""
     order = np.argsort(hashes)
     ranked = hashes[order]
@@ -111,8 +111,9 @@ def _hits(hashes):
                 lists += [(both[x:y] % TERMS).tolist() for x, y in zip(cut[:-1], cut[1:])]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(lists, pa.list_(pa.int32())),
-                 pa.array(np.concatenate(totals) if totals else [], pa.int64()), pa.array(np.concatenate(words) if words else [], pa.int64())],
-                ["doc_id", "hits", "total", "words"])
+                 pa.array(np.concatenate(totals) if totals else [], pa.int64()), pa.array(np.concatenate(words) if words else [], pa.int64()),
+                 *[batch.column(c) for c in carry]],
+                ["doc_id", "hits", "total", "words", *carry])
     return run
 
 
@@ -214,15 +215,15 @@ def train(x, y, rounds=400, ridge=1e-4):
     return w
 
 
-def _scorer(w, terms):
+def _scorer(w, terms, carry=()):
     def run(batches):
         for batch in batches:
             z = features(batch, terms) @ w
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(z, -50, 50))))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(z, -50, 50)))), *[batch.column(c) for c in carry]], ["doc_id", "score", *carry])
     return run
 
 
-def toxicity_scores(docs, labels):
+def toxicity_scores(docs, labels, carry=()):
     """Toxicity of every text: doc_id, held_out, score, predicted (score of at least 0.7).
 
     ``docs`` has ``doc_id`` and ``text``, ``labels`` has ``doc_id`` and ``toxic``; other columns
@@ -230,20 +231,21 @@ def toxicity_scores(docs, labels):
     them at most; null labels count as none, a document labelled twice as toxic if once. Null
     and empty texts are scored as texts without hits. Repeated rows are scored each; rows with
     a null doc_id score too, outside the held-out part. Without any term found, as for an empty
-    table of labels, every score is 0.
+    table of labels, every score is 0. ``carry`` names string columns that are returned as well.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carry)
+    more = "".join(f", {c} string" for c in carry)
     held = F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out")
     hashes, on_bad, on_good, share = find_terms(docs, labels)
     if not len(hashes):
-        return docs.select("doc_id", held, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
+        return docs.select("doc_id", held, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), *carry)
     terms = len(hashes)
-    hits = persist_plan(docs.mapInArrow(_hits(hashes), "doc_id long, hits array<int>, total long, words long"))
+    hits = persist_plan(docs.mapInArrow(_hits(hashes, carry), "doc_id long, hits array<int>, total long, words long" + more))
     model = label_model(hits, on_bad, on_good, share)
     chosen = hits.where(~held_out(F.col("doc_id")))
     some = lambda rows, n: rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).toArrow().to_batches()       # noqa: E731
     batches = some(chosen.where("total > 0"), FIT_ROWS // 2) + some(chosen.where("total = 0"), FIT_ROWS // 10)
     x = np.concatenate([features(b, terms) for b in batches])
     y = np.concatenate([1 / (1 + np.exp(-np.clip(posterior(votes(b, terms), model), -50, 50))) for b in batches])
-    scored = hits.mapInArrow(_scorer(train(x, y), terms), "doc_id long, score double")
-    return scored.select("doc_id", held, "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    scored = hits.mapInArrow(_scorer(train(x, y), terms, carry), "doc_id long, score double" + more)
+    return scored.select("doc_id", held, "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), *carry)
