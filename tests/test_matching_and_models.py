@@ -192,3 +192,24 @@ def test_search_ranks_refused_parameters_last(spark):
     good = [r.mean_log_loss < float("inf") for r in rows]
     assert {r.params["max_iter"]: r.mean_log_loss < float("inf") for r in rows} == {"5": True, "-1": False}
     assert good == sorted(good, reverse=True)
+
+
+def test_label_queries_fit_to_the_end(monkeypatch):
+    """Registered fits may take as many iterations, seeds and truncations as the whole job has."""
+    from tidegauge.plans import model_queries as M
+    asked = []
+
+    class Stop(Exception):
+        pass
+
+    def fit(df, features, **kw):
+        asked.append(kw)
+        raise Stop
+
+    monkeypatch.setattr(M.G, "fit_hidden_markov", fit)
+    monkeypatch.setattr(M, "market_features", lambda spark, sf: None)
+    for run in (M.m21, M.m21_summary, M.m22, M.m24):
+        with pytest.raises(Stop):
+            run(None, None)
+    assert all(k["max_iter"] == 1000 and k["tolerance"] == 1e-3 for k in asked)
+    assert len(asked[2]["seeds"]) == 10 and len([d for d in asked[2]["drop_last"] if d]) == 8

@@ -49,7 +49,7 @@ def fit_hidden_markov(df: DataFrame, features, ax: Axis = DAILY, states=(3,), se
     def fit(key, pdf):
         k, seed, out = (int(v) for v in key[-3:])
         pdf = pdf.sort_values(date)
-        pdf = pdf.iloc[:len(pdf) - out]
+        pdf = pdf.iloc[:max(len(pdf) - out, 0)]
         x = pdf[features].to_numpy("float64")
         columns = [*group, "dates", "states", "means", "variances", "transitions", "start", "centre", "scale",
                    "log_likelihood", "n_iter"]

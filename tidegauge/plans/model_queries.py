@@ -15,6 +15,7 @@ from tidegauge.session import persist_plan, scratch
 # -- regimes -----------------------------------------------------------------
 
 PAIR = ("ret_21", "vol_21")
+FULL = {"max_iter": 1000, "tolerance": 1e-3}                  # iterations of a fit at most, and what ends it
 
 
 def market_features(spark, sf):
@@ -25,19 +26,19 @@ def market_features(spark, sf):
 
 @query("m21_hidden_markov_labels")
 def m21(spark, sf):
-    fits = G.fit_hidden_markov(market_features(spark, sf), PAIR, max_iter=20)
+    fits = G.fit_hidden_markov(market_features(spark, sf), PAIR, **FULL)
     return G.decoded(fits, smoothing=200)
 
 
 @query("m21_state_summary")
 def m21_summary(spark, sf):
-    fits = G.fit_hidden_markov(market_features(spark, sf), PAIR, max_iter=20)
+    fits = G.fit_hidden_markov(market_features(spark, sf), PAIR, **FULL)
     return G.state_summary(fits, PAIR)
 
 
 @query("m22_label_stability")
 def m22(spark, sf):
-    fits = G.fit_hidden_markov(market_features(spark, sf), PAIR, seeds=(0, 42, 84), drop_last=(0, 200), max_iter=10)
+    fits = G.fit_hidden_markov(market_features(spark, sf), PAIR, seeds=range(0, 420, 42), drop_last=range(0, 1800, 200), **FULL)
     run = F.concat_ws("_", "seed", "drop_last").alias("run")
     mapping = G.state_mapping(fits.select("series_id", run, "means"), "0_0")
     rows = G.decoded(fits, smoothing=50).select("series_id", run, "date", F.col("state_smoothed").alias("state"))
@@ -111,7 +112,7 @@ def m23_summary(spark, sf):
 
 @query("m24_markov_state_numbers")
 def m24(spark, sf):
-    fits = G.fit_hidden_markov(market_features(spark, sf), PAIR, states=(2, 3, 4, 5), max_iter=10)
+    fits = G.fit_hidden_markov(market_features(spark, sf), PAIR, states=(2, 3, 4, 5), **FULL)
     return G.information_criteria(fits, len(PAIR))
 
 
