@@ -1,6 +1,10 @@
 """The numbered queries of this subpackage and their SQL twins."""
 from __future__ import annotations
 
+import zlib
+
+from pyspark.sql import functions as F
+
 QUERIES: dict = {}
 ORACLE: dict = {}
 
@@ -135,3 +139,85 @@ def op4_embedding_near_dedup(spark, sf):
 def op5_lm_scoring(spark, sf):
     from tidegauge.llm.attention_lm import score_texts
     return score_texts(table(spark, sf, "documents"))
+
+
+def planted_period(doc_id, words):
+    """Of one document in ten the words from some place on, replaced by a repetition of the first of them."""
+    check = zlib.crc32(str(doc_id).encode())
+    share, n = check // 10, len(words)
+    if doc_id is None or check % 10 or not n:
+        return words
+    a = share % n
+    p = 1 + (n - a) // (3 + share % 8)
+    return words[:a] + (words[a:a + p] * (-(-(n - a) // p)))[:n - a]
+
+
+@query
+def op13_periodic_runs(spark, sf):
+    from tidegauge.llm.periodic_runs import digests, find_runs
+    return digests(find_runs(table(spark, sf, "documents"), rewrite=planted_period))
+
+
+ORACLE["op13_periodic_runs"] = r"""
+with d as (
+  select row_number() over () as rid, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) as w,
+         xor(list_reduce(list_prepend(4294967295::ubigint, list_transform(range(1, length(doc_id::varchar) + 1), lambda k: ascii(substr(doc_id::varchar, k, 1))::ubigint)),
+             lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)::ubigint[]), lambda x, z: xor(x >> 1, (x & 1) * 3988292384::ubigint))), 4294967295::ubigint)::bigint as h
+  from documents),
+p as (
+  select *, len(w) as n, case when h % 10 = 0 and len(w) > 0 then (h // 10) % len(w) end as a from d),
+t as (
+  select rid, doc_id, n, case when a is null then w
+                      else list_transform(range(n), lambda i: case when i < a then w[i + 1] else w[a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) + 1] end) end as w
+  from p),
+words as (select rid, n, unnest(range(n)) as i, unnest(w) as word from t),
+pairs as (
+  select x.rid, x.i, y.i - x.i as q from words x join words y on x.rid = y.rid and x.word = y.word and y.i > x.i and 4 * (y.i - x.i) <= x.n),
+islands as (
+  select rid, q, i, i - row_number() over (partition by rid, q order by i) as island from pairs),
+found as (
+  select rid, min(i) as start, count(*) + q as length, q from islands group by rid, q, island having count(*) + q >= greatest(6, 4 * q)),
+runs as (select rid, start, length, min(q) as period from found group by rid, start, length),
+best as (
+  select *, row_number() over (partition by rid order by length::double / period desc, start, period) as place from runs),
+lines as (
+  select rid, count(*) as n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as said from runs group by rid),
+gone as (select distinct w.rid, w.i from words w join runs r on w.rid = r.rid and w.i >= r.start + r.period and w.i < r.start + r.length),
+kept as (
+  select rid, string_agg(word, ' ' order by i) as said from words anti join gone using (rid, i) group by rid)
+select doc_id, coalesce(n_runs, 0)::bigint as n_runs, start::bigint as start, length::bigint as length, period::bigint as period,
+       (1000 * length // period)::bigint as exponent_milli, sha256(coalesce(lines.said, '')) as runs_sha256, sha256(coalesce(kept.said, '')) as collapsed_sha256,
+       n::bigint as n_words
+from t left join lines using (rid) left join kept using (rid) left join best on best.rid = t.rid and place = 1
+"""
+
+
+@query
+def op12_hard_negatives(spark, sf):
+    from tidegauge.llm.hard_negatives import mine_negatives
+    rows = table(spark, sf, "embeddings")
+    return mine_negatives(rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))))
+
+
+ORACLE["op12_hard_negatives"] = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, list_inner_product(a.v, b.v)::bigint as score
+  from v a join v b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+p as (
+  select anchor_id, vec_id as positive_id, score as positive_score from s where same
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5),
+n as (
+  select p.*, vec_id as negative_id, score as negative_score, row_number() over (partition by p.anchor_id, positive_id order by score desc, vec_id)::int as rank
+  from p join s on p.anchor_id = s.anchor_id and not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from n where rank <= 10
+"""
+
+
+@query
+def op11_language_id(spark, sf):
+    from tidegauge.llm.language_id import predict_languages
+    return predict_languages(table(spark, sf, "documents"))
