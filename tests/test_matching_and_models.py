@@ -46,10 +46,27 @@ def runs_of(dates, y, c, least):
     return out
 
 
-def test_entries_match_as_by_hand(predictions):
+@pytest.fixture(scope="module")
+def dense(spark):
+    """Labels that change nearly every day for years, so that what is taken is handed on all the way."""
+    rng = random.Random(9)
+    rows = []
+    for run in ("x", "y", None):
+        t, p, day = 0, 0, DAY0 - dt.timedelta(days=40)
+        for i in range(900):
+            t = int(t == 0) if rng.random() < 0.95 else rng.randrange(3)
+            p = (int(p == 0) if rng.random() < 0.7 else p) if i % 300 > 30 else t
+            rows.append((run, day, t, p))
+            day += dt.timedelta(days=1 if rng.random() < 0.97 else rng.randint(2, 90))
+    return spark.createDataFrame(rows, "run string, date date, true_label int, predicted_label int").persist()
+
+
+@pytest.mark.parametrize("frame", ["predictions", "dense"])
+def test_entries_match_as_by_hand(frame, request):
+    predictions = request.getfixturevalue(frame)
     got = {(r.run, r.label, r.true_date): r.pred_date for r in X.match_entries(predictions).collect()}
     want = {}
-    for run in ("x", "y"):
+    for run in ("x", "y") if frame == "predictions" else ("x", "y", None):
         dates, t, p = labels(predictions, run)
         for c in range(3):
             free = starts(dates, p, c)
@@ -62,14 +79,21 @@ def test_entries_match_as_by_hand(predictions):
     assert got == want
 
 
-def test_spells_match_as_by_hand(predictions):
-    got = {(r.run, r.label, r.true_start): (r.pred_start, r.pred_end) for r in X.match_spells(predictions, min_days=2).collect()}
+def test_wide_windows_are_refused(predictions):
+    with pytest.raises(ValueError):
+        X.match_entries(predictions, early=20, late=20)
+
+
+@pytest.mark.parametrize("frame, least, rows", [("predictions", 2, None), ("predictions", 1, 20), ("dense", 1, None), ("dense", 1, 30)])
+def test_spells_match_as_by_hand(frame, least, rows, request):
+    predictions = request.getfixturevalue(frame).where("run is not null")
+    got = {(r.run, r.label, r.true_start): (r.pred_start, r.pred_end) for r in X.match_spells(predictions, min_days=least, target_rows=rows).collect()}
     want = {}
     for run in ("x", "y"):
         dates, t, p = labels(predictions, run)
         for c in range(3):
-            free = runs_of(dates, p, c, 2)
-            for a in runs_of(dates, t, c, 2):
+            free = runs_of(dates, p, c, least)
+            for a in runs_of(dates, t, c, least):
                 best, pick = 0, None
                 for b in free:
                     shared = (min(a[1], b[1]) - max(a[0], b[0])).days + 1
@@ -194,6 +218,25 @@ def test_search_ranks_refused_parameters_last(spark):
     assert good == sorted(good, reverse=True)
 
 
+def test_messages_follow_the_chain():
+    rng = np.random.default_rng(8)
+    for n in (1, 2, 7, 50, 333):
+        v, steps = rng.random(3), rng.random((n, 3, 3))
+        rows = [v / v.sum()]
+        for m in steps[1:]:
+            rows.append(rows[-1] @ m / (rows[-1] @ m).sum())
+        assert np.allclose(G._messages(v, steps), rows, rtol=1e-12)
+
+
+def test_label_stability_compares_each_experiment_with_its_own_reference(spark):
+    rng = np.random.default_rng(4)
+    rows = [("s", DAY0 + dt.timedelta(days=i), float(rng.normal((i // 60) % 3 * 4, 0.5)), float(rng.normal((i // 60) % 3, 0.5))) for i in range(360)]
+    df = spark.createDataFrame(rows, "series_id string, date date, a double, b double")
+    got = {(r.experiment, r.seed, r.drop_last): r.agreement for r in G.label_stability(df, ["a", "b"], seeds=(0, 42, 84), drop_last=(60, 355), smoothing=5).collect()}
+    assert set(got) == {("seeds", 42, 0), ("seeds", 84, 0), ("truncation", 42, 60), ("truncation", 42, 355)}
+    assert got["truncation", 42, 60] > 0.9
+
+
 def test_label_queries_fit_to_the_end(monkeypatch):
     """Registered fits may take as many iterations, seeds and truncations as the whole job has."""
     from tidegauge.plans import model_queries as M
@@ -212,4 +255,5 @@ def test_label_queries_fit_to_the_end(monkeypatch):
         with pytest.raises(Stop):
             run(None, None)
     assert all(k["max_iter"] == 1000 and k["tolerance"] == 1e-3 for k in asked)
-    assert len(asked[2]["seeds"]) == 10 and len([d for d in asked[2]["drop_last"] if d]) == 8
+    plans = asked[2]["plans"]
+    assert len({s for _, s, d in plans if not d}) == 10 and len([p for p in plans if p[2]]) == 8 and len(plans) == 18

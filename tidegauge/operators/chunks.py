@@ -20,7 +20,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from tidegauge.operators.axis import Axis
 from tidegauge.session import persist_plan
@@ -54,7 +54,13 @@ def lay_out(df: DataFrame, ax: Axis, target_rows=TARGET_ROWS) -> Layout:
     """Cut every group of more than ``target_rows`` rows on its first order column.
 
     Rows that share that column's value stay together; make them one row first.
+    ``target_rows=None`` takes groups ordered by a date as they are, without a pass that
+    sizes them: the calendar bounds them, whatever the data; others are cut as usual.
     """
+    if target_rows is None:
+        if isinstance(df.schema[ax.order[0]].dataType, T.DateType):
+            return Layout(df.withColumn(CHUNK, F.lit(0)), ax)
+        target_rows = TARGET_ROWS
     by = list(ax.by)
     counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     total = counts.agg(F.sum("_n")).first()[0] or 0

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidegauge.functions import rolling as R
 from tidegauge.operators.axis import DAILY, Axis
+from tidegauge.session import persist_plan
 
 
 def performance(df: DataFrame, state, price, ax: Axis = DAILY, by=()):
@@ -31,14 +32,16 @@ FIT_SCHEMA = """dates array<date>, states array<int>, means array<array<double>>
 
 
 def fit_hidden_markov(df: DataFrame, features, ax: Axis = DAILY, states=(3,), seeds=(42,), drop_last=(0,),
-                      max_iter=100, tolerance=1e-2):
+                      max_iter=100, tolerance=1e-2, plans=None):
     """One row per series, number of states, seed and number of last rows left out.
 
+    ``plans`` lists (states, seed, rows left out) to fit instead of all combinations.
+
     Features are standardised per series; means and variances are in those units,
     ``centre`` and ``scale`` lead back. ``states[i]`` is the decoded state of ``dates[i]``.
     """
     features, date = list(features), ax.order[0]
-    plans = [(k, s, d) for k in states for s in seeds for d in drop_last]
+    plans = plans or [(k, s, d) for k in states for s in seeds for d in drop_last]
     runs = F.explode(F.array(*[F.struct(F.lit(k).alias("n_states"), F.lit(s).alias("seed"), F.lit(d).alias("drop_last"))
                                for k, s, d in plans])).alias("_run")
     rows = df.dropna(subset=features).select(*ax.by, date, *features, runs).select(*ax.by, date, *features, "_run.*")
@@ -91,21 +94,16 @@ def _expectation_maximisation(x, k, seed, max_iter, tolerance, floor=1e-3):
         log_b = _densities(x, means, var)
         peak = log_b.max(1)
         b = np.exp(log_b - peak[:, None])
-        a, c = np.empty_like(b), np.empty(len(x))
-        prior = start
-        for t in range(len(x)):                                  # forward, scaled
-            row = prior * b[t]
-            c[t] = row.sum()
-            a[t] = row / c[t]
-            prior = a[t] @ trans
-        beta = np.ones_like(b)
-        for t in range(len(x) - 2, -1, -1):                      # backward, same scale
-            beta[t] = trans @ (b[t + 1] * beta[t + 1]) / c[t + 1]
+        a = _messages(start * b[0], trans[None] * b[:, None, :])         # forward, each row scaled to sum 1
+        c = np.concatenate([[(start * b[0]).sum()], ((a[:-1] @ trans) * b[1:]).sum(1)])
+        back = _messages(np.ones(k), (trans[None] * b[:, None, :]).transpose(0, 2, 1)[:0:-1], first=False)
+        beta = np.concatenate([back[::-1], np.full((1, k), 1 / k)])
         post = a * beta
         post /= post.sum(1, keepdims=True)
-        moves = trans * (a[:-1].T @ (b[1:] * beta[1:] / c[1:, None]))
+        ahead = b[1:] * beta[1:]
+        moves = trans * ((a[:-1] / ((a[:-1] @ trans) * ahead).sum(1)[:, None]).T @ ahead)
         start = post[0] / post[0].sum()
-        trans = moves / moves.sum(1, keepdims=True)
+        trans = np.where(moves.sum(1, keepdims=True) > 0, moves / np.maximum(moves.sum(1, keepdims=True), 1e-300), trans)
         weight = post.sum(0)[:, None] + 1e-300
         means = post.T @ x / weight
         var = np.maximum(post.T @ (x * x) / weight - means ** 2, 0) + floor
@@ -116,6 +114,36 @@ def _expectation_maximisation(x, k, seed, max_iter, tolerance, floor=1e-3):
     return start, trans, means, var, ll, n
 
 
+def _messages(v, steps, first=True):
+    """Row vectors ``v``, v @ steps[1], v @ steps[1] @ steps[2], ..., each scaled to sum 1.
+
+    With ``first=False`` the first one out is v @ steps[0]. Steps are multiplied up in all
+    blocks of about the root of their number side by side; then only the vectors between
+    blocks follow one another.
+    """
+    if first:
+        steps = steps[1:]
+    n, k = len(steps), len(v)
+    size = max(1, int(np.sqrt(n)))
+    blocks = -(-n // size)
+    padded = np.concatenate([steps, np.broadcast_to(np.eye(k), (blocks * size - n, k, k))]).reshape(blocks, size, k, k)
+    upto = np.empty_like(padded)
+    now = np.broadcast_to(np.eye(k), (blocks, k, k))
+    for j in range(size):
+        now = now @ padded[:, j]
+        now = now / now.max(axis=(1, 2), keepdims=True)
+        upto[:, j] = now
+    starts = np.empty((blocks, k))
+    at = v / v.sum()
+    for i in range(blocks):
+        starts[i] = at
+        at = at @ upto[i, -1]
+        at = at / at.sum()
+    out = np.einsum("bi,bsij->bsj", starts, upto).reshape(blocks * size, k)[:n]
+    out /= out.sum(1, keepdims=True)
+    return np.concatenate([[v / v.sum()], out]) if first else out
+
+
 def _most_likely_path(log_b, start, trans):
     log_t = np.log(trans + 1e-300)
     score = np.log(start + 1e-300) + log_b[0]
@@ -210,6 +238,30 @@ def label_distribution(states: DataFrame, by=("series_id",), state="state", date
     return n.withColumn("share", F.col("n") / F.sum("n").over(Axis((*by, date)).whole()))
 
 
+def label_stability(df: DataFrame, features, ax: Axis = DAILY, states=3, seeds=range(0, 420, 42), seed=42, drop_last=(), smoothing=50, **fit):
+    """Agreement of labelings in two experiments: by, experiment, seed, drop_last, agreement.
+
+    ``seeds``: fits to all rows, each compared with the first. ``truncation``: fits with
+    ``seed`` to all but so many last rows, each compared with the fit to all of them. A run
+    both experiments need is fitted once, and the fits are written before they are read.
+    A series without a fit to either side has no row.
+    """
+    runs = {"seeds": [(states, s, 0) for s in seeds], "truncation": [(states, seed, d) for d in (0, *drop_last)]}
+    fits = persist_plan(fit_hidden_markov(df, features, ax=ax, plans=list(dict.fromkeys(sum(runs.values(), []))), **fit))
+    by, out = list(ax.by), []
+    for name, plans in runs.items():
+        run = F.concat_ws("_", "seed", "drop_last").alias("run")
+        reference = f"{plans[0][1]}_{plans[0][2]}"
+        own = fits.join(F.broadcast(fits.sparkSession.createDataFrame(plans, "n_states int, seed int, drop_last int")),      # the runs of one experiment
+                        ["n_states", "seed", "drop_last"]).withColumn("run", run)
+        mapping = state_mapping(own.where("means is not null").select(*by, "run", "means"), reference, by=by, k=states)
+        rows = decoded(own, ax, smoothing).select(*by, run, ax.order[0], F.col("state_smoothed").alias("state"))
+        found = agreement_with(remapped(rows, mapping, by=by), reference, by=by, date=ax.order[0])
+        place = F.split("run", "_")
+        out.append(found.select(*by, F.lit(name).alias("experiment"), place[0].cast("int").alias("seed"), place[1].cast("int").alias("drop_last"), "agreement"))
+    return out[0].unionByName(out[1])
+
+
 # -- clustering --------------------------------------------------------------
 
 def _scaled(df, features):

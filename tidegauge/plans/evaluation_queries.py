@@ -321,7 +321,40 @@ def j9(spark, sf):
     return X.entry_candidates(smoothed(spark, sf))
 
 
-@query("j9_matched_entries")
+def _greedy(true, near, events):
+    """Each event of ``true`` in order takes the first of its ``near`` list that is free."""
+    return f"""with recursive c as (select *, row_number() over (partition by run, label order by {events}) as k, {near} as near from {true} t),
+    r as (select distinct run, label, 0::bigint as k, []::date[] as taken, null::date as event, null::date as pick from c
+      union all select run, label, k, case when pick is null then taken else list_append(taken, pick) end, event, pick from (
+        select c.run, c.label, c.k, c.{events} as event, taken, list_filter(near, lambda x: not list_contains(taken, x))[1] as pick
+        from r join c on r.run = c.run and r.label = c.label and c.k = r.k + 1) s)
+    select run, label, event, pick from r where pick is not null"""
+
+
+GREEDY = SMOOTH | {
+    "m_entries": _greedy("e_true", """(select list(p.date order by abs(p.date - t.date), p.date) from e_pred p
+      where p.run = t.run and p.label = t.label and p.date between t.date - 5 and t.date + 10)""", "date"),
+    "m_starts": _greedy("s_true", """(select list(p.start order by greatest(t.start, p.start) - least(t.stop, p.stop), p.start) from s_pred p
+      where p.run = t.run and p.label = t.label and t.start <= p.stop and p.start <= t.stop)""", "start"),
+    "m_spells": """select m.run, m.label, m.event as true_start, t.stop as true_end, cast(t.stop - t.start + 1 as int) as true_days,
+      p.start as pred_start, p.stop as pred_end, cast(p.stop - p.start + 1 as int) as pred_days
+      from m_starts m join s_true t on m.run = t.run and m.label = t.label and m.event = t.start join s_pred p on m.run = p.run and m.label = p.label and m.pick = p.start""",
+    "m_classes": "select distinct run, unnest([0, 1, 2]) as label from v_pair"}
+
+
+def _scored(events, hits, means):
+    """Counts, precision, recall and f1 per run and class, and means over the hits."""
+    return f"""
+select run, label, n_true, n_pred, n_hit, """ + ", ".join(f"round(coalesce({m}, 0), 6) as {m}" for m in means) + f""", round(p, 6) as precision, round(r, 6) as recall,
+  round(coalesce(2 * p * r / nullif(p + r, 0), 0), 6) as f1 from (
+  select *, coalesce(n_hit / nullif(n_pred, 0), 0) as p, coalesce(n_hit / nullif(n_true, 0), 0) as r from (
+    select k.*, (select count(*) from {events}_true e where e.run = k.run and e.label = k.label) as n_true,
+      (select count(*) from {events}_pred e where e.run = k.run and e.label = k.label) as n_pred, coalesce(n_hit, 0) as n_hit, """ + ", ".join(means) + f"""
+    from m_classes k left join (select run, label, count(*) as n_hit, """ + ", ".join(f"{x} as {m}" for m, x in means.items()) + f" from {hits} group by 1, 2) h using (run, label)) a) b"
+
+
+@query("j9_matched_entries", """
+select run, label, event as true_date, pick as pred_date, cast(pick - event as int) as lag_days from m_entries""", ["v_series"], GREEDY)
 def j9_matched(spark, sf):
     return X.match_entries(smoothed(spark, sf))
 
@@ -334,17 +367,20 @@ def j10(spark, sf):
     return X.overlapping_spells(smoothed(spark, sf))
 
 
-@query("j10_matched_spells")
+@query("j10_matched_spells", "select * from m_spells", ["v_series"], GREEDY)
 def j10_matched(spark, sf):
     return X.match_spells(smoothed(spark, sf))
 
 
-@query("m14_entry_scores")
+@query("m14_entry_scores", _scored("e", "m_entries", {"mean_lag_days": "avg(pick - event)"}), ["v_series"], GREEDY)
 def m14(spark, sf):
     return rounded(X.entry_scores(smoothed(spark, sf), K), ["run", "label"], exact=["n_true", "n_pred", "n_hit"])
 
 
-@query("m15_spell_scores")
+@query("m15_spell_scores", _scored("s", "m_spells", {
+    "avg_start_diff": "avg(pred_start - true_start)", "avg_end_diff": "avg(pred_end - true_end)", "avg_duration_ratio": "avg(pred_days / true_days)",
+    "starts_within_tolerance": "avg(cast(pred_start - true_start between -10 and 0 as int))",
+    "ends_within_tolerance": "avg(cast(pred_end - true_end between 0 and 10 as int))"}), ["v_series"], GREEDY)
 def m15(spark, sf):
     return rounded(X.spell_scores(smoothed(spark, sf), K), ["run", "label"], exact=["n_true", "n_pred", "n_hit"])
 

@@ -38,11 +38,7 @@ def m21_summary(spark, sf):
 
 @query("m22_label_stability")
 def m22(spark, sf):
-    fits = G.fit_hidden_markov(market_features(spark, sf), PAIR, seeds=range(0, 420, 42), drop_last=range(0, 1800, 200), **FULL)
-    run = F.concat_ws("_", "seed", "drop_last").alias("run")
-    mapping = G.state_mapping(fits.select("series_id", run, "means"), "0_0")
-    rows = G.decoded(fits, smoothing=50).select("series_id", run, "date", F.col("state_smoothed").alias("state"))
-    return G.agreement_with(G.remapped(rows, mapping), "0_0")
+    return G.label_stability(market_features(spark, sf), PAIR, drop_last=range(200, 1800, 200), **FULL)
 
 
 # three labelings of the same days: the states, a rotation with flips, a swap with flips
