@@ -104,3 +104,11 @@ def finite(x) -> Column:
 
 def days_between(later, earlier) -> Column:
     return F.datediff(_c(later), _c(earlier))
+
+
+def digamma(x) -> Column:
+    """Logarithmic derivative of the gamma function, for positive x: the asymptotic series eight steps on."""
+    x = F.col(x) if isinstance(x, str) else x
+    y = x + F.lit(8.0)
+    series = F.ln(y) - 1 / (2 * y) - 1 / (12 * y ** 2) + 1 / (120 * y ** 4) - 1 / (252 * y ** 6) + 1 / (240 * y ** 8)
+    return series - sum((1 / (x + F.lit(float(i))) for i in range(1, 8)), 1 / x)

@@ -7,10 +7,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from tidegauge.functions.scalars import digamma
 from tidegauge.operators.axis import Axis
-from tidegauge.operators.chunks import cumulative_by, percentiles
+from tidegauge.operators.chunks import TARGET_ROWS, by_chunk, cumulative_by, percentiles
 from tidegauge.operators.impute import interpolate
 from tidegauge.operators.profile import COLUMNS, moments
+from tidegauge.session import persist_plan
 
 # fixed values: MacKinnon (1994) p-value polynomials and (2010) critical values, constant only
 ADF_BOUNDS = (-18.83, -1.61, 2.74)
@@ -159,6 +161,57 @@ def mutual_information(long: DataFrame, labels: DataFrame, bins=10, date="date",
     return joint.groupBy("column_name").agg(F.sum(term).alias("mutual_information"))
 
 
+def neighbour_information(long: DataFrame, labels: DataFrame, neighbours=3, date="date", label="label", target_rows=TARGET_ROWS):
+    """Mutual information of each column with the label, by distances to nearest neighbours.
+
+    Around each value an open interval reaches to its k-th nearest value of the same label; m
+    is the number of values of any label in it (for a distance of 0, of equal ones). The
+    estimate is psi(n) + <psi(k)> - <psi(n of the label)> - <psi(m)>, and 0 at least; k is
+    ``neighbours``, or one less than the label has values. Labels with one value do not take
+    part. ``labels``: date, label.
+
+    Equal values of a label are one row with their number. Neighbours lie at most k rows away
+    in the label's order, and the numbers in the intervals are differences of one running
+    sum over all values and interval ends, so no task needs a whole column.
+    """
+    rows = long.where("value is not null").join(labels.dropna(subset=[label]).select(date, F.col(label).alias("_label")), date)
+    points = rows.groupBy("column_name", "_label", "value").agg(F.count(F.lit(1)).alias("_w"))
+    sizes = points.groupBy("column_name", "_label").agg(F.sum("_w").alias("_of_label")).where("_of_label > 1")
+    points = persist_plan(points.join(sizes, ["column_name", "_label"]).withColumn("_k", F.least(F.lit(neighbours), F.col("_of_label") - 1)))
+    v, none = F.col("value"), F.array().cast("array<double>")
+
+    def reach(d, a):
+        def away(i):
+            return (F.lag if i < 0 else F.lead)(F.struct("value", "_w"), abs(i)).over(a.base())
+        steps = [i for i in range(-neighbours, neighbours + 1) if i]
+        d = d.withColumns({f"_p{i}": away(i) for i in steps})
+        far = {i: F.abs(F.col(f"`_p{i}`.value") - v) for i in steps}
+        times = [F.array_repeat(F.lit(0.0), F.least(F.col("_w") - 1, F.lit(neighbours)).cast("int"))]
+        times += [F.coalesce(F.array_repeat(far[i], F.least(F.col(f"`_p{i}`._w"), F.lit(neighbours)).cast("int")), none) for i in steps]
+        d = d.withColumn("_d", F.element_at(F.array_sort(F.flatten(F.array(*times))), F.col("_k").cast("int")))
+
+        def end(side):
+            met = [F.when(far[i] == F.col("_d"), F.col(f"`_p{i}`.value")) for i in steps if i * side > 0]
+            return F.coalesce(*met, v + side * F.col("_d"))
+        return d.select(*a.keys, "_w", "_of_label", "_k", "_d", end(-1).alias("_low"), end(1).alias("_high"))
+
+    ends = by_chunk(points, Axis(("column_name", "_label"), ("value",)), reach, neighbours, neighbours, target_rows=target_rows)
+    # an end comes before the values equal to it (0) or after them (2)
+    zero = F.col("_d") == 0
+    both = F.array(F.struct(F.when(zero, v).otherwise(F.col("_low")).alias("at"), F.when(zero, 0).otherwise(2).alias("side"), F.lit(-1).alias("sign")),
+                   F.struct(F.when(zero, v).otherwise(F.col("_high")).alias("at"), F.when(zero, 2).otherwise(0).alias("side"), F.lit(1).alias("sign")))
+    asked = ends.select("column_name", "_label", "value", "_w", "_of_label", "_k", F.explode(both).alias("_e")).select("*", "_e.at", "_e.side", "_e.sign", F.lit(0).cast("long").alias("_add")).drop("_e")
+    marks = points.groupBy("column_name", "value").agg(F.sum("_w").alias("_add")).select("column_name", F.col("value").alias("at"), F.lit(1).alias("side"), "_add")
+    placed = cumulative_by(asked.unionByName(marks, allowMissingColumns=True), ["column_name"], ["at", "side"], {"_upto": F.col("_add")}, target_rows)
+    inside = placed.where("side <> 1").groupBy("column_name", "_label", "value").agg(
+        F.first("_w").alias("_w"), F.first("_of_label").alias("_of_label"), F.first("_k").alias("_k"), F.sum(F.col("sign") * F.col("_upto")).alias("_m"))
+
+    def mean(c):
+        return F.sum(F.col("_w") * digamma(F.col(c).cast("double"))) / F.sum("_w")
+    estimate = digamma(F.sum("_w").cast("double")) + mean("_k") - mean("_of_label") - mean("_m")
+    return inside.groupBy("column_name").agg(F.greatest(estimate, F.lit(0.0)).alias("mutual_information"))
+
+
 # -- redundancy --------------------------------------------------------------
 
 def average_ranks(long: DataFrame, target_rows=None):
@@ -226,10 +279,10 @@ def prune_inflated(pairs: DataFrame, columns, threshold=7.5):
     return columns
 
 
-def reduce_features(long: DataFrame, labels: DataFrame, columns, correlation=0.9, inflation=7.5, bins=10):
+def reduce_features(long: DataFrame, labels: DataFrame, columns, correlation=0.9, inflation=7.5, neighbours=3):
     """Statistics slice, mutual information, rank-correlation and inflation pruning."""
     part = statistics_slice(long).persist()                            # read four times below
-    scores = {r[0]: r[1] for r in mutual_information(part, labels, bins).collect()}     # one row per column
+    scores = {r[0]: r[1] for r in neighbour_information(part, labels, neighbours).collect()}     # one row per column
     live = [c for c in columns if c in scores]
     kept = prune_correlated(spearman(part, live), scores, live, correlation)
     wide = part.groupBy("date").agg(*[F.max(F.when(F.col("column_name") == c, F.col("value"))).alias(c) for c in kept])

@@ -179,6 +179,32 @@ def m17(spark, sf):
     return df.select("column_name", F.round("mutual_information", 6).alias("mutual_information"))
 
 
+def _psi(x):
+    return (f"(ln({x} + 8.0) - 1 / (2 * ({x} + 8.0)) - 1 / (12 * ({x} + 8.0) ** 2) + 1 / (120 * ({x} + 8.0) ** 4) - 1 / (252 * ({x} + 8.0) ** 6) + 1 / (240 * ({x} + 8.0) ** 8) - "
+            + " - ".join(f"1 / ({x} + {i}.0)" for i in range(8)) + ")")
+
+
+LABELLED = "select v.column_name, v.date, v.value, s.state from v_long v join v_state s on s.date = v.date and s.series_id = '1-URGENT' where v.value is not null"
+
+
+@query("m17_neighbour_information", f"""
+select column_name, round(greatest({_psi("count(*)")} + avg({_psi("k")}) - avg({_psi("n")}) - avg({_psi("m")}), 0), 6) as mutual_information from reach group by column_name""",
+       ["v_gaps"], LONG | STATES | {
+    "v_lab": LABELLED,
+    "sized": "select * from (select *, count(*) over (partition by column_name, state) as n from v_lab) t where n > 1",
+    "far": """select a.column_name, a.date, a.state, any_value(a.value) as value, any_value(a.n) as n, any_value(least(3, a.n - 1)) as k,
+      list_sort(list(abs(b.value - a.value)))[least(3, any_value(a.n) - 1)] as d, list(b.value) as others
+      from sized a join sized b on a.column_name = b.column_name and a.state = b.state and a.date <> b.date group by 1, 2, 3""",
+    "ends": """select *, coalesce(list_max(list_filter(others, lambda x: x < value and value - x = d)), value - d) as low,
+      coalesce(list_min(list_filter(others, lambda x: x > value and x - value = d)), value + d) as high from far""",
+    "reach": """select e.column_name, e.date, any_value(e.n) as n, any_value(e.k) as k, count(*) as m from ends e join sized b
+      on e.column_name = b.column_name and ((e.d = 0 and b.value = e.value) or (e.d > 0 and b.value > low and b.value < high)) group by 1, 2"""})
+def m17_neighbours(spark, sf):
+    labels = states(spark, sf).where("series_id = '1-URGENT'").select("date", F.col("state").alias("label"))
+    df = S.neighbour_information(Q.to_long(V.wide(spark, sf), COLS), labels)
+    return df.select("column_name", F.round("mutual_information", 6).alias("mutual_information"))
+
+
 @query("m18_spearman_pairs", "select a, b, round(r, 6) as correlation from (" + " union all ".join(
     f"select '{a}' as a, '{b}' as b, corr({a}, {b}) as r from ranked" for i, a in enumerate(COLS) for b in COLS[i:]) + ") t", ["v_gaps"], SLICE | {
     "rk": """select column_name, date, (2 * rank() over (partition by column_name order by value) + count(*) over (partition by column_name, value) - 1) / 2.0 as r from sliced""",
