@@ -1,18 +1,23 @@
-"""Exponential smoothing: the one window family that is recursive.
+"""Exponential smoothing, the one window family that is recursive.
 
 ``y = (d * y_before + a * x) / (d + a)`` with ``d = (1 - a) ** rows since the last
-observation``; the first observation seeds it. A row without an observation keeps
-the last y. Spark has no recursive window, so each series (or each chunk of a long
-one) is smoothed by pandas' compiled ``ewm`` inside a grouped map.
+observation``; the first observation seeds it. A row without an observation keeps the last y.
+
+Windows cannot recur, so a series is cut into parts of a year (or some hundred rows), each an
+array. One fold over the parts finds the state each begins with, and every part is replayed from
+its state, all in built-in expressions and step by step as the formula is written. A series that
+is too long for one task is cut into chunks first: a chunk maps the y it gets to
+``slope * y + level``, those maps are composed, one entry per chunk, and the chunks are then
+folded side by side.
 """
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tidegauge.operators.axis import Axis
-from tidegauge.operators.chunks import CHUNK, hot_rows, lay_out
+from tidegauge.operators.chunks import CHUNK, TARGET_ROWS, hot_rows, lay_out
+
+PART_ROWS = 366                  # of a part on other axes than days
 
 
 def span(n):
@@ -26,121 +31,95 @@ def wilder(n):
 def smooth(df: DataFrame, ax: Axis, specs: dict, long_series=False, target_rows=None) -> DataFrame:
     """Add ``out`` columns; ``specs`` maps out -> (column, alpha, least observations).
 
-    ``long_series=True`` checks group sizes and smooths hot groups chunk by chunk.
+    Series ordered by a date are bounded by the calendar and folded whole; others, and all
+    with ``long_series=True``, are sized, and those of more than ``target_rows`` rows are cut.
     """
-    if long_series:
-        lay = lay_out(df, ax, **({"target_rows": target_rows} if target_rows else {}))
-        if lay.hot:
-            return _smooth_chunks(lay, specs)
-        df = lay.done(lay.df)
-    order = list(ax.order)
-    schema = _widened(df, specs)
-    names = [f.name for f in schema]
-
-    def run(pdf):
-        pdf = pdf.sort_values(order)
-        for out, (col, alpha, least) in specs.items():
-            pdf[out] = _ewm(pdf[col].astype("float64"), alpha, least)
-        return pdf[names]
-
-    return df.groupBy(*ax.by).applyInPandas(run, schema)
-
-
-def _ewm(x, alpha, least):
-    return x.ewm(alpha=alpha, adjust=False, ignore_na=False, min_periods=least).mean()
-
-
-def _widened(df, specs):
-    return T.StructType([*df.schema.fields,
-                         *[T.StructField(o, T.DoubleType()) for o in specs]])
-
-
-# -- long series -------------------------------------------------------------
-# A chunk maps the smoothed value it receives, y_in, to slope * y_in + level at its
-# end. Pass 1 finds that line per chunk, a fold over the chunks (one row each) gives
-# every y_in, pass 2 smooths each chunk from its y_in.
-
-def _smooth_chunks(lay, specs) -> DataFrame:
-    by, order = list(lay.ax.by), list(lay.ax.order)
-    group = [*by, CHUNK]
-    fields = {f.name: f for f in lay.df.schema.fields}
-    base = [fields[c] for c in group]
-    state = ("lead", "seed", "slope", "level", "tail", "seen")
-    line_schema = T.StructType([*base, *[
-        T.StructField(f"{o}_{s}", T.DoubleType()) for o in specs for s in state]])
-
-    def line(key, pdf):
-        pdf = pdf.sort_values(order)
-        row = list(key)
-        for out, (col, alpha, _) in specs.items():
-            row += _line(pdf[col].to_numpy("float64"), alpha)
-        return pd.DataFrame([row], columns=[f.name for f in line_schema])
-
-    needed = sorted({col for col, _, _ in specs.values()})
-    lines = hot_rows(lay).select(*group, *order, *needed).groupBy(*group).applyInPandas(line, line_schema)
-
-    start = ("y", "gap", "n")
-    start_schema = T.StructType([*base, *[
-        T.StructField(f"_{o}_{s}", T.DoubleType()) for o in specs for s in start]])
-
-    def fold(pdf):
-        pdf = pdf.sort_values(CHUNK).reset_index(drop=True)
-        out = pdf[group].copy()
-        for name, (_, alpha, _) in specs.items():
-            parts = pdf[[f"{name}_{s}" for s in state]].itertuples(index=False)
-            for i, s in enumerate(zip(*_fold(parts, alpha))):
-                out[f"_{name}_{start[i]}"] = s
-        return out[[f.name for f in start_schema]]
-
-    starts = lines.groupBy(*by).applyInPandas(fold, start_schema)
-    schema = _widened(lay.df, specs)
-    names = [f.name for f in schema]
-
-    def run(pdf):
-        pdf = pdf.sort_values(order)
-        for out, (col, alpha, least) in specs.items():
-            y, gap, n = (pdf[f"_{out}_{s}"].iloc[0] for s in start)
-            x = pdf[col].astype("float64")
-            seeded = not np.isnan(y)
-            head = np.concatenate([[y], np.full(int(gap), np.nan)]) if seeded else []
-            full = _ewm(pd.Series(np.concatenate([head, x.to_numpy()])), alpha, 0)
-            values = full.to_numpy()[len(head):]
-            enough = n + x.notna().cumsum().to_numpy() >= least
-            pdf[out] = np.where(enough, values, np.nan)
-        return pdf[names]
-
-    # one row per chunk of a hot series; the others start from nothing
-    joined = lay.df.join(F.broadcast(starts), group, "left").na.fill(
-        0.0, subset=[f"_{o}_{s}" for o in specs for s in ("gap", "n")])
-    return joined.groupBy(*group).applyInPandas(run, schema).drop(CHUNK)
-
-
-def _line(x, alpha):
-    """(leading gap, first value, slope, level, trailing gap, observations) of a chunk."""
-    at = np.flatnonzero(~np.isnan(x))
-    if len(at) == 0:
-        return [float(len(x)), np.nan, 1.0, 0.0, float(len(x)), 0.0]
-    body = x[at[0]:]
-    unit, rest = body.copy(), body.copy()
-    unit[~np.isnan(unit)] = 0.0
-    unit[0], rest[0] = 1.0, 0.0
-    slope = _ewm(pd.Series(unit), alpha, 0).iloc[-1]
-    level = _ewm(pd.Series(rest), alpha, 0).iloc[-1]
-    return [float(at[0]), x[at[0]], slope, level, float(len(x) - 1 - at[-1]), float(len(at))]
-
-
-def _fold(parts, alpha):
-    """Smoothed value, rows since the last observation and count before each chunk."""
-    y, gap, n, out = np.nan, 0.0, 0.0, []
-    for lead, seed, slope, level, tail, seen in parts:
-        out.append((y, gap, n))
-        if seen == 0:
-            gap += lead
-            continue
-        if np.isnan(y):
-            first = seed
-        else:
-            d = (1 - alpha) ** (gap + lead + 1)
-            first = (d * y + alpha * seed) / (d + alpha)
-        y, gap, n = slope * first + level, tail, n + seen
-    return out
+    lay = lay_out(df, ax, target_rows or (TARGET_ROWS if long_series else None))
+    names = {o: f"_{i}" for i, o in enumerate(specs)}
+    series = _folded(lay)
+    begin = {n: NOTHING for n in names.values()}
+    if lay.hot:
+        series = series.join(F.broadcast(_starts(lay, specs, names)), [*ax.by, CHUNK], "left")
+        begin = {n: f"coalesce({n}_in, {NOTHING})" for n in begin}
+    begin = _struct(begin)
+    after = _struct({n: _after(f"s.{n}", *specs[o][:2]) for o, n in names.items()})
+    states = f"""aggregate(_parts, named_struct('now', {begin}, 'all', filter(array({begin}), x -> false)),
+      (acc, p) -> named_struct('now', aggregate(p.rows, acc.now, (s, r) -> {after}), 'all', concat(acc.all, array(acc.now))), acc -> acc.all)"""
+    parts = series.select(*ax.by, F.expr(f"explode(arrays_zip(_parts, {states})) as _z")).select(*ax.by, "_z._parts.rows", F.col("_z.1").alias("_begin"))
+
+    values = _struct({n: f"if(t.{n}.n >= {specs[o][2]}, t.{n}.y, null)" for o, n in names.items()})
+    none = _struct({n: "cast(null as double)" for n in names.values()})
+    replayed = f"""aggregate(rows, named_struct('now', _begin, 'all', filter(array({none}), x -> false)),
+      (acc, r) -> transform(array(transform(array(acc.now), s -> {after})[0]), t -> named_struct('now', t, 'all', concat(acc.all, array({values}))))[0], acc -> acc.all)"""
+    rows = parts.select(*ax.by, F.expr(f"explode(arrays_zip(rows, {replayed})) as _z"))
+    kept = {c: F.col(f"`{c}`") if c in ax.by else F.col(f"_z.rows.`{c}`") for c in df.columns if c not in specs}
+    return rows.select(*[v.alias(c) for c, v in kept.items()], *[F.col(f"_z.1.{n}").alias(o) for o, n in names.items()])
+
+
+# Expressions are SQL texts here: nested lambdas are many calls each when built as columns.
+
+#: State before the first observation: y, decay since the last observation, number of observations.
+NOTHING = "named_struct('y', cast(null as double), 'd', 1D, 'n', 0L)"
+
+
+def _struct(fields):
+    return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
+
+
+def _observed(col):
+    return f"nullif(cast(r.`{col}` as double), double('NaN'))"
+
+
+def _after(s, col, alpha):
+    """State ``s`` after row ``r``."""
+    x, d, a = _observed(col), f"{s}.d * {1 - alpha!r}D", f"{float(alpha)!r}D"
+    seen = _struct({"y": f"if({s}.y is null or {s}.y = {x}, {x}, ({d} * {s}.y + {a} * {x}) / ({d} + {a}))", "d": "1D", "n": f"{s}.n + 1L"})
+    return f"if({x} is null, " + _struct({"y": f"{s}.y", "d": f"if({s}.y is null, 1D, {d})", "n": f"{s}.n"}) + f", {seen})"
+
+
+def _folded(lay):
+    """The rows of a series (or chunk) in order, as an array of parts that are arrays of rows."""
+    df, ax = lay.df, lay.ax
+    if isinstance(df.schema[ax.order[0]].dataType, T.DateType):
+        df = df.withColumn("_part", F.year(ax.order[0]))
+    else:
+        df = df.withColumn("_part", F.floor((F.row_number().over(lay.local.base()) - 1) / PART_ROWS))
+    group = [*ax.by, CHUNK]
+    payload = [*ax.order, *[c for c in df.columns if c not in (*group, *ax.order, "_part")]]
+    parts = df.groupBy(*group, "_part").agg(F.array_sort(F.collect_list(F.struct(*[F.col(f"`{c}`") for c in payload]))).alias("rows"))
+    return parts.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("_part", "rows"))).alias("_parts"))
+
+
+# -- cut series --------------------------------------------------------------
+
+def _starts(lay, specs, names):
+    """State at the start of every chunk of a cut series; there are 2 * MAX_CUTS chunks at most."""
+    by = list(lay.ax.by)
+    chunks = _folded(type(lay)(hot_rows(lay), lay.ax, lay.cuts))
+    lines = chunks.withColumn("_rows", F.expr("flatten(transform(_parts, p -> p.rows))")).select(
+        *by, CHUNK, *[F.expr(_line(*specs[o][:2])).alias(n) for o, n in names.items()])
+    series = lines.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(CHUNK, *names.values()))).alias("_lines"))
+    begins = ", ".join(_begins(specs[o][1], n) for o, n in names.items())
+    rows = series.select(*by, F.expr(f"explode(arrays_zip(_lines, {begins})) as _z"))
+    return rows.select(*by, F.col(f"_z._lines.{CHUNK}").alias(CHUNK), *[F.col(f"_z.{i}").alias(f"{n}_in") for i, n in enumerate(names.values(), 1)])
+
+
+def _line(col, alpha):
+    """What a chunk does: decay up to its first observation, that one, slope and level from there on, decay after the last, observations."""
+    x, d, a = _observed(col), f"s.d * {1 - alpha!r}D", f"{float(alpha)!r}D"
+    as_was = {c: f"s.{c}" for c in ("lead", "seed", "slope", "level", "d", "n")}
+    seeded = _struct({"lead": d, "seed": x, "slope": "1D", "level": "0D", "d": "1D", "n": "s.n + 1L"})
+    moved = _struct(as_was | {"slope": f"{d} * s.slope / ({d} + {a})", "level": f"({d} * s.level + {a} * {x}) / ({d} + {a})", "d": "1D", "n": "s.n + 1L"})
+    zero = _struct({"lead": "1D", "seed": "cast(null as double)", "slope": "1D", "level": "0D", "d": "1D", "n": "0L"})
+    return f"aggregate(_rows, {zero}, (s, r) -> if({x} is null, {_struct(as_was | {'d': d})}, if(s.seed is null, {seeded}, {moved})))"
+
+
+def _begins(alpha, n):
+    """The states that the chunks of a series begin with."""
+    s, c, a = "acc.now", f"p.{n}", f"{float(alpha)!r}D"
+    d = f"{s}.d * {c}.lead"
+    first = f"if({s}.y is null, {c}.seed, ({d} * {s}.y + {a} * {c}.seed) / ({d} + {a}))"
+    after = f"if({c}.seed is null, " + _struct({"y": f"{s}.y", "d": f"if({s}.y is null, 1D, {s}.d * {c}.d)", "n": f"{s}.n"}) + ", " + \
+        _struct({"y": f"{c}.slope * {first} + {c}.level", "d": f"{c}.d", "n": f"{s}.n + {c}.n"}) + ")"
+    return f"""aggregate(_lines, named_struct('now', {NOTHING}, 'all', filter(array({NOTHING}), x -> false)),
+      (acc, p) -> named_struct('now', {after}, 'all', concat(acc.all, array(acc.now))), acc -> acc.all)"""
