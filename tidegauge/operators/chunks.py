@@ -18,7 +18,7 @@ plan as constants, so that re-run tasks after an executor loss see the same chun
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
@@ -32,15 +32,19 @@ CHUNK = "_chunk"
 
 @dataclass(frozen=True)
 class Layout:
-    """Rows with their chunk number. ``cuts`` is None when no group is hot."""
+    """Rows with their chunk number. ``cuts`` is None when no group is hot.
+
+    ``every``: all groups are cut, at the same places.
+    """
 
     df: DataFrame
     ax: Axis
     cuts: DataFrame | None = None
+    every: bool = False
 
     @property
     def hot(self):
-        return self.cuts is not None
+        return self.cuts is not None or self.every
 
     @property
     def local(self) -> Axis:
@@ -94,8 +98,27 @@ def lay_out(df: DataFrame, ax: Axis, target_rows=TARGET_ROWS) -> Layout:
     return Layout(marked, ax, cuts)
 
 
+def by_years(df: DataFrame, ax: Axis) -> Layout:
+    """Every series cut at the turns of the years of its date.
+
+    The cut of a time axis that no column splits further: its years are scanned side by
+    side, and what a year hands over is one row of a table with one row a year.
+    """
+    return Layout(df.withColumn(CHUNK, F.coalesce(F.year(ax.order[0]), F.lit(-9999))), ax, every=True)
+
+
+def filled(df: DataFrame, ax: Axis, columns) -> DataFrame:
+    """``columns`` filled forward along the axis; one without a key is scanned by years."""
+    if ax.by:
+        return df.withColumns({c: F.last(c, True).over(ax.past()) for c in columns})
+    lay = by_years(df, ax)
+    return lay.done(fill_forward(lay, {c: F.col(f"`{c}`") for c in columns}))
+
+
 def hot_rows(lay: Layout) -> DataFrame:
     """The rows of the groups that were cut."""
+    if lay.every:
+        return lay.df
     return lay.df.join(F.broadcast(lay.cuts.select(*lay.ax.by)), list(lay.ax.by), "left_semi")
 
 
@@ -106,7 +129,7 @@ def _handed_over(lay: Layout, summary: DataFrame, carried: dict) -> DataFrame:
     one per group), so it fits in a broadcast.
     """
     by = list(lay.ax.by)
-    before = (Window.partitionBy(*by).orderBy(CHUNK)
+    before = (Window.partitionBy(*by or [F.lit(0)]).orderBy(CHUNK)
               .rowsBetween(Window.unboundedPreceding, -1))
     small = summary.select(*by, CHUNK, *[fn(before).alias(n) for n, fn in carried.items()])
     return lay.df.join(F.broadcast(small), [*by, CHUNK], "left")
@@ -179,13 +202,13 @@ def with_halo(lay: Layout, before: int, after: int = 0) -> DataFrame:
     by = list(lay.ax.by)
     df = positions(lay, "_pos")
     ends = (hot_rows(lay).groupBy(*by, CHUNK).agg(F.count(F.lit(1)).alias("_n")))
-    upto = Window.partitionBy(*by).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, 0)
+    upto = Window.partitionBy(*by or [F.lit(0)]).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, 0)
     spans = (ends.withColumn("_to", F.sum("_n").over(upto))
              .groupBy(*by)
              .agg(F.collect_list(F.struct(
                  F.col(CHUNK).alias("c"), (F.col("_to") - F.col("_n") + 1).alias("lo"),
                  F.col("_to").alias("hi"))).alias("_spans")))    # one entry per chunk
-    df = df.join(F.broadcast(spans), by, "left")
+    df = df.join(F.broadcast(spans), by, "left") if by else df.withColumn("_spans", spans.scalar())
     pos = F.col("_pos")
     wanted = F.filter("_spans", lambda s: (s["lo"] - before <= pos) & (pos <= s["hi"] + after))
     homes = F.when(F.col("_spans").isNotNull(), F.transform(wanted, lambda s: s["c"])) \
@@ -198,17 +221,17 @@ def with_halo(lay: Layout, before: int, after: int = 0) -> DataFrame:
 
 def by_chunk(df: DataFrame, ax: Axis, build, before: int, after: int = 0, fill=(),
              target_rows=TARGET_ROWS) -> DataFrame:
-    """Run ``build(df, axis)`` over long series.
+    """Run ``build(df, axis)`` over long series; an axis without a key is cut by years.
 
     ``before`` and ``after`` are the rows its frames (all steps together) look at.
     ``build`` must pass ``axis.keys`` through. Columns it fills forward are named in
     ``fill``: they are filled here, across chunks, as ``_f_<column>``.
     """
-    lay = lay_out(df, ax, target_rows)
+    lay = lay_out(df, ax, target_rows) if ax.by else by_years(df, ax)
     if not lay.hot:
         return build(df, ax)
     if fill:
-        lay = Layout(fill_forward(lay, {f"_f_{c}": F.col(c) for c in fill}), ax, lay.cuts)
+        lay = replace(lay, df=fill_forward(lay, {f"_f_{c}": F.col(c) for c in fill}))
     out = build(with_halo(lay, before, after), lay.local.carrying("_halo"))
     return out.where(~F.col("_halo")).drop("_halo", CHUNK)
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from tidegauge.functions import rolling as R
 from tidegauge.functions.scalars import clip
 from tidegauge.operators.axis import Axis
-from tidegauge.operators.chunks import TARGET_ROWS, by_chunk, cumulative_by, lay_out, running_sum
+from tidegauge.operators.chunks import TARGET_ROWS, by_chunk, cumulative_by, filled, lay_out, running_sum
 
 TRUE, PRED = "true_label", "predicted_label"
 RUNS = Axis(("run",))
@@ -181,13 +181,13 @@ def pair_agreement(df: DataFrame, runs, date="date"):
 def majority_vote(df: DataFrame, runs, date="date"):
     """Most frequent label per date (smallest on ties) and its share of the runs.
 
-    A run's label is filled forward, then backward, over dates it lacks. The window
-    runs over one row per date.
+    A run's label is filled forward, then backward, over dates it lacks. The dates are
+    filled year by year; what is left before a run's first label takes that label.
     """
-    wide = on_dates(df, runs, date).withColumn("_k", F.lit(1))
-    ax = Axis(("_k",), (date,))
-    wide = wide.withColumns({r: R.ffill(ax, r) for r in runs})
-    wide = wide.withColumns({r: R.bfill(ax, r) for r in runs})
+    wide = on_dates(df, runs, date)
+    first = wide.agg(F.struct(*[F.min_by(F.col(f"`{r}`"), F.when(F.col(f"`{r}`").isNotNull(), F.col(date))).alias(r) for r in runs])).scalar()      # one row
+    wide = filled(wide, Axis((), (date,)), runs).withColumn("_first", first)
+    wide = wide.withColumns({r: F.coalesce(F.col(f"`{r}`"), F.col("_first")[r]) for r in runs})
     long = wide.select(date, F.explode(F.array(*[F.col(f"`{r}`") for r in runs])).alias("label")).where("label is not null")
     counts = long.groupBy(date, "label").agg(F.count(F.lit(1)).alias("n"))
     return counts.groupBy(date).agg(
@@ -206,16 +206,14 @@ def spells(df: DataFrame, label, ax: Axis = RUNS, min_days=1, long_series=False,
     """Maximal runs of equal labels: start, end, rows and calendar days (both ends count)."""
     date = ax.order[0]
     df = df.select(*ax.by, *ax.order, F.col(label).alias("label"))
-    if long_series:
-        # a label change is known from the previous row, carried across chunk borders
-        def mark(d, a):
-            return d.select(*a.keys, "label", R.changed(a, "label").alias("_new"))
-        df = by_chunk(df, ax, mark, before=1, target_rows=target_rows)
-        lay = lay_out(df, ax, target_rows)
-        df = lay.done(running_sum(lay, {"block": F.col("_new")}))
-    else:
-        df = df.withColumn("_new", R.changed(ax, "label"))
-        df = df.withColumn("block", R.running_sum(ax, "_new"))
+    target_rows = target_rows if long_series else None
+
+    # a label change is known from the previous row, carried across chunk borders
+    def mark(d, a):
+        return d.select(*a.keys, "label", R.changed(a, "label").alias("_new"))
+    df = by_chunk(df, ax, mark, before=1, target_rows=target_rows)
+    lay = lay_out(df, ax, target_rows)
+    df = lay.done(running_sum(lay, {"block": F.col("_new")}))
     g = df.groupBy(*ax.by, "block", "label").agg(
         F.min(date).alias("start"), F.max(date).alias("end"), F.count(F.lit(1)).alias("n_rows"))
     g = g.withColumn("days", F.datediff("end", "start") + 1)

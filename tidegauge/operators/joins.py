@@ -6,7 +6,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from tidegauge.operators.axis import Axis
-from tidegauge.operators.chunks import TARGET_ROWS, fill_forward, lay_out
+from tidegauge.operators.chunks import TARGET_ROWS, by_years, fill_forward, lay_out
 
 
 def business_days(bounds: DataFrame, start="start", end="end", out="date"):
@@ -48,8 +48,9 @@ def asof(left: DataFrame, right: DataFrame, by, left_time, right_time, values,
 
     ``right`` has one row per key and time. Its latest row is taken even where its
     values are NULL. Both sides are stacked and the right row is carried forward,
-    releases sorting before the rows that may see them. ``long_series=True`` cuts hot
-    keys into chunks and carries the last release across the cuts.
+    releases sorting before the rows that may see them. Hot keys are cut into chunks
+    and the last release is carried across the cuts, with ``long_series=True`` also where the
+    time is a date; without keys the years are the chunks.
     """
     by = list(by)
     rows = left.select(*by, F.col(left_time).alias("_t"), F.lit(1).alias("_side"),
@@ -58,11 +59,8 @@ def asof(left: DataFrame, right: DataFrame, by, left_time, right_time, values,
                         F.struct(*values).alias("_r"))
     both = rows.unionByName(news, allowMissingColumns=True)
     ax = Axis(tuple(by), ("_t", "_side"))
-    if long_series:
-        lay = lay_out(both, ax, target_rows)
-        both = lay.done(fill_forward(lay, {"_r": F.col("_r")}))
-    else:
-        both = both.withColumn("_r", F.last("_r", True).over(ax.past()))
+    lay = lay_out(both, ax, target_rows if long_series else None) if by else by_years(both, ax)
+    both = lay.done(fill_forward(lay, {"_r": F.col("_r")}))
     return both.where("_side = 1").select("_l.*", "_r.*")
 
 

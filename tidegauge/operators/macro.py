@@ -97,8 +97,7 @@ def margin_signals(raw: DataFrame, index_close: DataFrame, ax=MONTHLY):
     # both ends of the reference dates: one row, read as scalar subqueries
     first, last = (raw.agg(f(REF)).scalar() for f in (F.min, F.max))
     monthly = month_end_last(index_close.where(F.col("date").between(first, last)), "close")
-    seen = asof(pit.select(REF).distinct().withColumn("_all", F.lit(1)), monthly.withColumn("_all", F.lit(1)),
-                ["_all"], REF, "date", ["close"]).drop("_all")
+    seen = asof(pit.select(REF).distinct(), monthly, [], REF, "date", ["close"])
     df = padded(pit.join(seen, REF, "left"), ax, "debit_balances_pit")
     debt = "_f_debit_balances_pit"
     credit = sum((F.coalesce(F.col(f"{c}_pit"), F.lit(0.0)) for c in values[1:]), F.lit(0.0))

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidegauge.functions import rolling as R
 from tidegauge.operators.axis import Axis
+from tidegauge.operators.chunks import by_chunk, filled
 from tidegauge.operators.joins import business_days
 from tidegauge.operators.vintage import REF, REL, keep_first, latest_reference
 
@@ -20,6 +21,7 @@ NOT_FEATURES = (
     "sp500_adjusted_close", "sp500_volume", "equity_call_volume", "equity_put_volume", "equity_total_volume")
 
 HORIZON = 126
+MOST_KEYS = 2000                 # that a pivot looks up
 
 
 def feature_columns(df: DataFrame, also=()):
@@ -36,19 +38,21 @@ def scan(df: DataFrame, filters: dict | None):
 
 def labels_ahead(labels: DataFrame, state="regime_t", horizon=HORIZON, by=()):
     """Labels with the label ``horizon`` rows later; the last rows have none."""
-    ax = Axis(tuple(by) or ("_one",))
-    df = labels if by else labels.withColumn("_one", F.lit(1))
-    return df.withColumn("regime_t_plus_6m", R.lead(ax, state, horizon)).drop("_one")
+    def ahead(d, a):
+        return d.withColumn("regime_t_plus_6m", R.lead(a, state, horizon))
+    return by_chunk(labels, Axis(tuple(by)), ahead, before=0, after=horizon, target_rows=None)
 
 
 def pivot_named(df: DataFrame, key, values, name, date="date", keys=None):
     """Long to wide, mean on duplicates; ``name(value, key)`` names each column.
 
-    Keys become columns, so their number is bounded by the width of a table; pass
-    ``keys`` where they are known to save the pass that looks them up.
+    Keys become columns, so more than MOST_KEYS of them are an error; pass ``keys`` where
+    they are known to save the pass that looks them up.
     """
     if keys is None:
-        keys = [r[0] for r in df.select(key).distinct().orderBy(key).collect()]
+        keys = [r[0] for r in df.select(key).distinct().orderBy(key).limit(MOST_KEYS + 1).collect()]
+        if len(keys) > MOST_KEYS:
+            raise ValueError(f"{key} has more than {MOST_KEYS} values, too many to become columns")
     return df.groupBy(date).agg(*[
         F.avg(F.when(F.col(key) == k, F.col(v))).alias(name(v, k)) for k in keys for v in values])
 
@@ -87,9 +91,8 @@ def latest_known(spine: DataFrame, vintages: dict, date="date"):
         structs[prefix] = [f"{prefix}ref_date", *[prefix + c for c in cols]]
         parts.append(latest_reference(df, cols).select(
             F.col(REL).alias("_t"), F.lit(0).alias("_side"), row.alias(f"_r_{prefix}")))
-    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).withColumn("_k", F.lit(1))
-    w = Axis(("_k",), ("_t", "_side")).past()
-    both = both.withColumns({f"_r_{p}": F.last(f"_r_{p}", True).over(w) for p in vintages})
+    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    both = filled(both, Axis((), ("_t", "_side")), [f"_r_{p}" for p in vintages])
     cols = [F.col(f"_r_{p}")[c].alias(c) for p, cs in structs.items() for c in cs]
     return both.where("_side = 1").select(F.col("_t").alias(date), *cols)
 

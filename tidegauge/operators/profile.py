@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidegauge.functions.scalars import days_between
 from tidegauge.operators.axis import Axis
-from tidegauge.operators.chunks import percentiles
+from tidegauge.operators.chunks import TARGET_ROWS, percentiles
 
 COLUMNS = Axis(("column_name",))
 
@@ -81,11 +81,11 @@ def null_counts(wide: DataFrame, columns):
         "column_name", "null_count", (100 * F.try_divide("null_count", "_rows")).alias("null_pct"))
 
 
-def describe(long: DataFrame, by=("column_name",), x="value", target_rows=None):
+def describe(long: DataFrame, by=("column_name",), x="value", target_rows=TARGET_ROWS):
     """count, mean, std, min, quartiles (linear interpolation) and max.
 
-    A column of a dated table has one value per date; for groups without such a bound
-    give ``target_rows`` (see ``chunks``).
+    Groups of more than ``target_rows`` distinct values are cut (see ``chunks``); ``None``
+    says that there are none.
     """
     by = list(by)
     plain = long.groupBy(*by).agg(
@@ -249,6 +249,6 @@ def release_lags(df: DataFrame, date, reference, by):
     return describe(df.withColumn("value", days_between(date, reference).cast("double")), by)
 
 
-def five_numbers(long: DataFrame, by, x="value", target_rows=None):
+def five_numbers(long: DataFrame, by, x="value", target_rows=TARGET_ROWS):
     """min, quartiles and max per group."""
     return describe(long, by, x, target_rows).select(*by, "count", "min", "p25", "p50", "p75", "max")

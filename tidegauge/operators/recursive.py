@@ -12,10 +12,12 @@ folded side by side.
 """
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tidegauge.operators.axis import Axis
-from tidegauge.operators.chunks import CHUNK, TARGET_ROWS, hot_rows, lay_out
+from tidegauge.operators.chunks import CHUNK, TARGET_ROWS, by_years, hot_rows, lay_out
 
 PART_ROWS = 366                  # of a part on other axes than days
 
@@ -33,8 +35,9 @@ def smooth(df: DataFrame, ax: Axis, specs: dict, long_series=False, target_rows=
 
     Series ordered by a date are bounded by the calendar and folded whole; others, and all
     with ``long_series=True``, are sized, and those of more than ``target_rows`` rows are cut.
+    A time axis without a key is cut by years.
     """
-    lay = lay_out(df, ax, target_rows or (TARGET_ROWS if long_series else None))
+    lay = lay_out(df, ax, target_rows or (TARGET_ROWS if long_series else None)) if ax.by else by_years(df, ax)
     names = {o: f"_{i}" for i, o in enumerate(specs)}
     series = _folded(lay)
     begin = {n: NOTHING for n in names.values()}
@@ -95,7 +98,7 @@ def _folded(lay):
 def _starts(lay, specs, names):
     """State at the start of every chunk of a cut series; there are 2 * MAX_CUTS chunks at most."""
     by = list(lay.ax.by)
-    chunks = _folded(type(lay)(hot_rows(lay), lay.ax, lay.cuts))
+    chunks = _folded(replace(lay, df=hot_rows(lay)))
     lines = chunks.withColumn("_rows", F.expr("flatten(transform(_parts, p -> p.rows))")).select(
         *by, CHUNK, *[F.expr(_line(*specs[o][:2])).alias(n) for o, n in names.items()])
     series = lines.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(CHUNK, *names.values()))).alias("_lines"))

@@ -15,6 +15,7 @@ from tidegauge.functions import rolling as R
 from tidegauge.functions.scalars import band, flag, side
 from tidegauge.operators import recursive
 from tidegauge.operators.axis import DAILY, Axis
+from tidegauge.operators.chunks import by_chunk, filled
 
 
 def padded(df, ax: Axis, *cols):
@@ -246,30 +247,29 @@ def technical_second(tech: DataFrame, price: DataFrame, ax=DAILY):
 
 
 def volatility_table(vix: DataFrame, vvix: DataFrame, skew: DataFrame, bars: DataFrame, ax=Axis(by=()),
-                     atr_window=14, group="market"):
+                     atr_window=14):
     """Fear gauges and ATR side by side, one row per date.
 
     The four inputs (``date, value``; bars with prices) are stacked long and pivoted
-    by one grouping instead of chained outer joins.
+    by one grouping instead of chained outer joins. The one time axis is cut by years.
     """
-    one = Axis((group,), ax.order)
+    one = Axis((), ax.order)
     named = [df.select(F.lit(n).alias("_name"), *ax.order, F.col("value"))
              for n, df in (("vix", vix), ("vvix", vvix), ("skew_index", skew))]
-    long = reduce(DataFrame.unionByName, named).withColumn(group, F.lit(1))
+    long = reduce(DataFrame.unionByName, named)
     gauge = one.within("_name")
     long = long.withColumns({"_s20": R.sma(gauge, "value", 20), "_s50": R.sma(gauge, "value", 50)})
-    tr = bars.withColumn(group, F.lit(1)).withColumn("_tr", R.true_range(one)).select(group, *ax.order, "_tr")
+    tr = by_chunk(bars, one, lambda d, a: d.withColumn("_tr", R.true_range(a)), before=1).select(*ax.order, "_tr")
     atr = recursive.smooth(tr, one, {"atr": ("_tr", recursive.wilder(atr_window), atr_window)})
-    both = long.unionByName(atr.select(group, *ax.order, "atr"), allowMissingColumns=True)
+    both = long.unionByName(atr.select(*ax.order, "atr"), allowMissingColumns=True)
 
     def of(name, col="value"):
         return F.max(F.when(F.col("_name") == name, F.col(col)))
-    table = both.groupBy(group, *ax.order).agg(
+    table = both.groupBy(*ax.order).agg(
         of("vix").alias("vix"), of("vix", "_s20").alias("vix_sma_20"), of("vix", "_s50").alias("vix_sma_50"),
         of("vvix").alias("vvix"), F.max("atr").alias("atr"), of("skew_index").alias("skew_index"))
-    filled = {c: R.ffill(one, c) for c in ("vix", "vix_sma_20", "vix_sma_50", "vvix", "skew_index")}
     cols = ["vix", "vix_sma_20", "vix_sma_50", "vvix", "atr", "skew_index"]
-    return some_present(table.withColumns(filled), cols).select(*ax.order, *cols)
+    return some_present(filled(table, one, [c for c in cols if c != "atr"]), cols).select(*ax.order, *cols)
 
 
 def volatility_second(df: DataFrame, ax=DAILY, price="close_price"):

@@ -3,19 +3,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidegauge.functions import rolling as R
 from tidegauge.functions.scalars import finite
 from tidegauge.operators.axis import DAILY, Axis
-from tidegauge.operators.chunks import TARGET_ROWS, join_keys, lay_out, positions
+from tidegauge.operators.chunks import TARGET_ROWS, filled, join_keys, lay_out, positions
 
 
 def indexed(df: DataFrame, ax: Axis = DAILY, long_series=False, target_rows=TARGET_ROWS):
     """Add ``_i`` (0-based row number) and ``_n`` (rows of the series)."""
-    if long_series:
-        lay = lay_out(df, ax, target_rows)
-        df = lay.done(positions(lay, "_i"))
-    else:
-        df = df.withColumn("_i", F.row_number().over(ax.base()).cast("long"))
+    lay = lay_out(df, ax, target_rows if long_series else None)
+    df = lay.done(positions(lay, "_i"))
     n = df.groupBy(*ax.by).agg(F.count(F.lit(1)).alias("_n"))
     return join_keys(df.withColumn("_i", F.col("_i") - 1), n, list(ax.by))
 
@@ -95,4 +91,4 @@ def training_matrix(df: DataFrame, features, target, ax: Axis = DAILY, zero_fill
         seen = df.agg(*[F.count(f).alias(f) for f in features]).first()
         kept = [f for f in features if seen[f]]
         return df.drop(*[f for f in features if f not in kept]).na.fill(0.0, subset=kept)
-    return df.withColumns({f: R.ffill(ax, f) for f in features}).dropna(subset=list(features))
+    return filled(df, ax, features).dropna(subset=list(features))

@@ -16,10 +16,10 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidegauge.functions import rolling as R
 from tidegauge.functions.scalars import clip, logit
 from tidegauge.operators import evaluate as E
 from tidegauge.operators.axis import Axis
+from tidegauge.operators.chunks import filled
 from tidegauge.operators.splits import class_weights
 
 FEATURES, WEIGHT = "features", "weight"
@@ -232,7 +232,5 @@ def stacking_features(predictions: DataFrame, runs, classes, context: DataFrame,
     if with_disagreement:
         clipped = predictions.select(date, *[clip(f"p{c}").alias(f"p{c}") for c in classes])
         wide = wide.join(E.disagreement(clipped, classes, (date,)), date)
-    df = wide.join(context, date, "left").withColumn("_k", F.lit(1))
-    ax = Axis(("_k",), (date,))                              # one row per date
-    df = df.withColumns({c: R.ffill(ax, c) for c in fill}).drop("_k")
+    df = filled(wide.join(context, date, "left"), Axis((), (date,)), fill)       # one row per date
     return df.dropna(subset=[c for c in df.columns if c != date] + [target])

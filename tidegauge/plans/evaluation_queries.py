@@ -90,8 +90,7 @@ select * from (select date, f_high as y, {", ".join(f"last_value({c} ignore null
  from v_wide where f_high is not null window u as (order by date rows between unbounded preceding and current row)) t
 where {" and ".join(f"{c} is not null" for c in INPUTS)}""", ["v_wide"])
 def m5(spark, sf):
-    df = V.wide(spark, sf).select("date", F.col("f_high").alias("y"), *INPUTS).withColumn("series_id", F.lit(1))
-    return P.training_matrix(df, INPUTS, "y").drop("series_id")
+    return P.training_matrix(V.wide(spark, sf).select("date", F.col("f_high").alias("y"), *INPUTS), INPUTS, "y", Axis(()))
 
 
 @query("m5_training_matrix_zero_fill", f"""

@@ -87,13 +87,26 @@ select date, max(case when series_id = '1-URGENT' then value end) as smci_pct_dm
 def s5(spark, sf):
     names = ("1-URGENT", "2-HIGH", "5-LOW")
     point = F.array(F.col("date").cast("string"), F.col("value").cast("decimal(20,2)").cast("string"))
-    one = V.series(spark, sf).where(F.col("series_id").isin(*names)).groupBy().agg(*[
+    # a file per year, as a provider that cuts them would give
+    one = V.series(spark, sf).where(F.col("series_id").isin(*names)).groupBy(F.year("date").alias("y")).agg(*[
         F.collect_list(F.when(F.col("series_id") == n, point)).alias(f"a{i}") for i, n in enumerate(names)])
     path = scratch(spark, "confidence")
-    one.select(F.to_json(F.array("a0", "a1", "a2")).alias("value")).write.text(path)
+    one.select(F.to_json(F.array("a0", "a1", "a2")).alias("value"), "y").write.partitionBy("y").text(path)
     return readers.confidence_json(spark, path)
 
 
+@query("s5_confidence_json_every_series", """
+select series_id, date, floor(value / 1000) as smci_pct_dmci_ratio, value as smci_value, floor(value) as dmci_value from v_series""", ["v_series"])
+def s5_every(spark, sf):
+    v = F.col("value")
+    parts = (F.floor(v / 1000), v.cast("decimal(20,2)"), F.floor(v))
+    points = [F.collect_list(F.array(F.col("date").cast("string"), x.cast("string"))) for x in parts]
+    files = V.series(spark, sf).groupBy("series_id", F.year("date").alias("y")).agg(F.to_json(F.array(*points)).alias("value"))
+    path = scratch(spark, "confidence")
+    files.write.partitionBy("series_id", "y").text(path)
+    return readers.confidence_json(spark, path, ["series_id"])
+
+
 @query("s6_survey_csv", """
 select date as reference_date, last_day(date + 1) as release_date, f_urgent as bullish_pct, f_high as neutral_pct, f_medium as bearish_pct,
   cast(null as double) as total_pct, f_none as bullish_8wk_ma_pct, f_low as bull_bear_spread_pct

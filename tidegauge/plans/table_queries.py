@@ -172,32 +172,46 @@ MASTER = STATES | RATIO | {
     "m_spine": """select cast(d as date) as date from (select unnest(generate_series((select min(date) from m_labels),
        (select max(date) from m_labels), interval 1 day)) as d) t where isodow(cast(d as date)) < 6""",
     **{f"m_{s}": f"""select release_date, max(reference_date) as reference_date, max_by(value, reference_date) as value,
-       max_by(coalesce(value2, -1), reference_date) as v2 from v_vintage where series_id = '{s}' group by release_date""" for s in "AR"},
+       max_by(coalesce(value2, -1), reference_date) as v2 from v_vintage where series_id = '{s}' group by release_date""" for s in "ANR"},
     "m_pivot": "select date, " + ", ".join(f"{e} as {quoted(n)}" for n, e in _ratio_pivot(False)) + " from v_ratio group by date"}
-MASTER_DAILY = [p + c for p in DAILY_PARTS for c in ("open", "high", "low", "close", "volume")]
-MASTER_SQL = ("select s.date, l.regime_t, l.regime_t_plus_6m, "
-              + ", ".join(f"{p[:-1]}.{c} as {p}{c}" for p in DAILY_PARTS for c in ("open", "high", "low", "close", "volume")) + ", "
+
+
+def master_sql(daily, vintages):
+    return ("select s.date, l.regime_t, l.regime_t_plus_6m, "
+              + ", ".join(f"{p[:-1]}.{c} as {p}{c}" for p in daily for c in ("open", "high", "low", "close", "volume")) + ", "
               + ", ".join(f"{p[:-1]}.reference_date as {p}ref_date, {p[:-1]}.value as {p}value, case when {p[:-1]}.v2 >= 0 then {p[:-1]}.v2 end as {p}value2"
-                          for p in VINTAGE_PARTS) + ", "
+                          for p in vintages) + ", "
               + ", ".join(f"round(p.{quoted(n)}, 4) as {quoted(n)}" for n, _ in _ratio_pivot(False))
               + " from m_spine s join m_labels l on s.date = l.date "
-              + " ".join(f"left join v_bars {p[:-1]} on {p[:-1]}.date = s.date and {p[:-1]}.series_id = '{k}'" for p, k in DAILY_PARTS.items())
-              + " " + " ".join(f"asof left join m_{k} {p[:-1]} on s.date >= {p[:-1]}.release_date" for p, k in VINTAGE_PARTS.items())
+              + " ".join(f"left join v_bars {p[:-1]} on {p[:-1]}.date = s.date and {p[:-1]}.series_id = '{k}'" for p, k in daily.items())
+              + " " + " ".join(f"asof left join m_{k} {p[:-1]} on s.date >= {p[:-1]}.release_date" for p, k in vintages.items())
               + " left join m_pivot p on p.date = s.date where l.regime_t is not null")
 
 
-@query("g26_master_table", MASTER_SQL, ["v_series", "v_bars", "v_vintage"], MASTER)
-def g26(spark, sf):
+def master(spark, sf, daily, vintages):
     bars, releases = V.bars(spark, sf), V.vintage(spark, sf)
     labels = states(spark, sf).where("series_id = '1-URGENT'").select("date", F.col("state").alias("regime_t"))
     wide = M.pivot_named(ratios(spark, sf), "ratio_name", ["raw_ratio", "gap"], M.ratio_name, keys=RATIO_KEYS)
-    df = M.master_table(
-        labels, {p: bars for p in DAILY_PARTS}, {p: releases for p in VINTAGE_PARTS}, [wide],
-        filters={p: {"series_id": k, "absent": "x"} for p, k in {**DAILY_PARTS, **VINTAGE_PARTS}.items()})
+    df = M.master_table(labels, {p: bars for p in daily}, {p: releases for p in vintages}, [wide],
+                        filters={p: {"series_id": k, "absent": "x"} for p, k in {**daily, **vintages}.items()})
     rounded = {n for n, _ in _ratio_pivot(False)}
     return df.select(*[F.round(f"`{c}`", 4).alias(c) if c in rounded else F.col(f"`{c}`") for c in df.columns])
 
 
+EVERY_DAILY = {"bar_a_": "A", "bar_n_": "N", "bar_r_": "R"}
+EVERY_VINTAGE = {"cpi_": "A", "gdp_": "N", "nfp_": "R"}
+
+
+@query("g26_master_table_every_series", master_sql(EVERY_DAILY, EVERY_VINTAGE), ["v_series", "v_bars", "v_vintage"], MASTER)
+def g26_every(spark, sf):
+    return master(spark, sf, EVERY_DAILY, EVERY_VINTAGE)
+
+
+@query("g26_master_table", master_sql(DAILY_PARTS, VINTAGE_PARTS), ["v_series", "v_bars", "v_vintage"], MASTER)
+def g26(spark, sf):
+    return master(spark, sf, DAILY_PARTS, VINTAGE_PARTS)
+
+
 @query("p1_feature_columns", "select series_id, date, open as x_open, high as x_high, low as x_low, close as x_close, volume as x_volume from v_bars",
        ["v_bars"])
 def p1(spark, sf):

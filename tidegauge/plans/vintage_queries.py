@@ -90,6 +90,20 @@ def j3(spark, sf):
         "bar_": V.bars(spark, sf).where("series_id = 'A'").drop("series_id")})
 
 
+BARS = ("open", "high", "low", "close", "volume")
+
+
+@query("j3_left_joins_every_series", "select s.date, " + ", ".join(
+    [f"{n}.value as {n}_value" for n in V.WIDE] + [f"bar_{k}.{c} as bar_{k}_{c}" for k in "anr" for c in BARS]) + " from v_spine s "
+    + " ".join(f"left join v_series {n} on s.date = {n}.date and {n}.series_id = '{k}'" for n, k in V.WIDE.items()) + " "
+    + " ".join(f"left join v_bars bar_{k} on s.date = bar_{k}.date and bar_{k}.series_id = '{k.upper()}'" for k in "anr"), ["v_series", "v_bars"], SPINE)
+def j3_every(spark, sf):
+    series, bars = V.series(spark, sf), V.bars(spark, sf)
+    frames = {f"{n}_": series.where(F.col("series_id") == k).drop("series_id") for n, k in V.WIDE.items()}
+    frames |= {f"bar_{k}_": bars.where(F.col("series_id") == k.upper()).drop("series_id") for k in "anr"}
+    return joins.on_spine(spine(spark, sf), frames)
+
+
 ASOF_SQL = """
 select s.series_id, s.date, r.reference_date, r.value, case when r.v2 >= 0 then r.v2 end as value2
 from (select series_id, cast(d as date) as date from (

@@ -65,16 +65,16 @@ def fear_greed_json(spark, path, keys=()):
 CONFIDENCE = ("smci_pct_dmci_ratio", "smci_value", "dmci_value")
 
 
-def confidence_json(spark, path):
-    """``[[[date, value], ...] x 3]`` -> three columns side by side by date."""
+def confidence_json(spark, path, keys=()):
+    """``[[[date, value], ...] x 3]`` -> three columns side by side by date (and ``keys``, folders of the path)."""
     text = spark.read.option("wholetext", True).text(path)
     arrays = F.from_json("value", "array<array<array<string>>>")
-    rows = (text.select(arrays.alias("a")).where(F.size("a") == 3)
-                .select(F.posexplode("a").alias("which", "points"))
-                .select("which", F.explode("points").alias("p"))
-                .select("which", F.to_date(F.try_to_timestamp(F.get("p", F.lit(0)))).alias("date"),
+    rows = (text.select(*keys, arrays.alias("a")).where(F.size("a") == 3)
+                .select(*keys, F.posexplode("a").alias("which", "points"))
+                .select(*keys, "which", F.explode("points").alias("p"))
+                .select(*keys, "which", F.to_date(F.try_to_timestamp(F.get("p", F.lit(0)))).alias("date"),
                         F.get("p", F.lit(1)).try_cast("double").alias("v")))
-    return rows.dropna(subset=["date"]).groupBy("date").agg(*[
+    return rows.dropna(subset=["date"]).groupBy(*keys, "date").agg(*[
         F.max(F.when(F.col("which") == i, F.col("v"))).alias(n) for i, n in enumerate(CONFIDENCE)])
 
 
