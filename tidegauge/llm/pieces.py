@@ -1,14 +1,20 @@
 """Pieces of a merge-type sentence-piece vocabulary with seeded merge dropout.
 
-Texts are cut where no piece can cross (before blanks, around line ends). Every different
-segment of a batch, in one of a few variants, is merged once: all segments advance together,
-each merging the best-scored candidate of its agenda in a step. A keyed hash of the segment,
-its variant and the candidate's span skips candidates. Characters outside the vocabulary, and
+Texts are cut where no piece can cross (before blanks, around line ends). A segment merges the
+best-scored candidate of its agenda again and again; a keyed hash of the document, the segment's
+place in it and the candidate's span skips candidates for good. Every different segment of a
+batch is merged once without skips. An occurrence whose hash skips none of the merges made there
+has those pieces; every other one is merged by itself. Characters outside the vocabulary, and
 the vocabulary's own mark for a blank, become byte pieces, so every text decodes to itself.
+
+Short segments advance together, one merge each in a step. A long one, as of a line without
+blanks, has a heap of candidates and links between neighbours.
 """
 from __future__ import annotations
 
 import hashlib
+from functools import cached_property
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -17,13 +23,30 @@ from tidegauge.llm.words import U, as_bytes, mix, pieces as ranges, span_hashes
 
 MODEL = "piece_bpe_32k.model"    # among the public tokenizers of the machine
 DROPOUT = 0.1                    # share of candidate merges that are skipped
-VARIANTS = 4                     # segmentations drawn from for one segment
+LONG = 96                        # symbols from which a segment has an agenda of its own
 SEED = 20
 CHUNK_BYTES = 4 << 20
 MARK = "▁"                  # a blank in pieces
 NEVER = np.int64(1) << 40
 
 
+def skipped(keys, begins, ends, dropout):
+    """Whether the coin of each candidate skips it."""
+    return mix(keys + (begins.astype(U) << U(32)) + ends.astype(U)) >> U(32) < U(int(dropout * (1 << 32)))
+
+
+def skipped_one(key, begin, end, dropout):
+    """The same for one candidate, in plain integers."""
+    whole = (1 << 64) - 1
+    h = (key + (begin << 32) + end) & whole
+    h ^= h >> 30
+    h = h * 0xBF58476D1CE4E5B9 & whole
+    h ^= h >> 27
+    h = h * 0x94D049BB133111EB & whole
+    h ^= h >> 31
+    return h >> 32 < int(dropout * (1 << 32))
+
+
 def model_path(name=MODEL):
     import public_tokenizers
     return public_tokenizers.path(name)
@@ -85,28 +108,53 @@ class Vocabulary:
         end = np.concatenate([spot[1:], [len(body)]]) - head[owner[spot]]
         return owner[spot], piece[spot], end
 
-    def segment(self, data, starts, ends, codes, dropout):
-        """Pieces of each span: their number, and all of them in order. ``codes`` key the dropout."""
+    def segment(self, data, starts, ends, keys=None, dropout=0.0):
+        """Pieces of each span and merges made in it: numbers, and all of them in order; merges as begins and ends.
+
+        ``keys`` give the coins of each span's candidates; without them none is skipped.
+        """
         owner, piece, end = self.symbols(data, starts, ends)
-        done_owner, done_piece, done_end = [], [], []
-        least = U(int(dropout * (1 << 32)))
+        size = np.bincount(owner, minlength=len(starts))
+        long = np.flatnonzero(size >= LONG)
+        own = [(owner, piece, end)]
+        merged = []
+        if len(long):
+            apart = np.isin(owner, long)
+            own[0] = (owner[~apart], piece[~apart], end[~apart])
+            first = np.cumsum(size) - size
+            for k in long.tolist():
+                part = slice(first[k], first[k] + size[k])
+                kept, made = self.agenda(piece[part].tolist(), end[part].tolist(), None if keys is None else int(keys[k]), dropout)
+                own.append((np.full(len(kept), k), np.array(kept), None))
+                merged.append((np.full(len(made[0]), k), *(np.array(x, np.int64) for x in made)))
+        owner, piece = self._together(len(starts), *own[0], keys, dropout, merged)
+        owner, piece = np.concatenate([owner, *(x[0] for x in own[1:])]), np.concatenate([piece, *(x[1] for x in own[1:])])
+        order = np.argsort(owner, kind="stable")
+        of, begin, until = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (list(zip(*merged)) or [[], [], []]))
+        by_span = np.argsort(of, kind="stable")
+        return (np.bincount(owner, minlength=len(starts)), piece[order]), (np.bincount(of, minlength=len(starts)), begin[by_span], until[by_span])
+
+    def _together(self, n, owner, piece, end, keys, dropout, merged):
+        """One merge of each span in a step, the best of its candidates."""
+        done_owner, done_piece = [], []
         while len(piece):
             key = (piece[:-1] << 20) | piece[1:]
             i = np.minimum(np.searchsorted(self.pair_key, key), len(self.pair_key) - 1)
             fits = np.flatnonzero((self.pair_key[i] == key) & (owner[:-1] == owner[1:]))
-            if len(fits) and dropout:
-                begin = np.where((fits > 0) & (owner[fits - 1] == owner[fits]), end[fits - 1], 0)
-                coin = mix(codes[owner[fits]] + (begin.astype(U) << U(32)) + end[fits + 1].astype(U)) >> U(32)
-                fits = fits[coin >= least]
-            rank = self.pair_rank[i[fits]] * NEVER + fits      # the best candidate, ties to the left
+            begin = np.where((fits > 0) & (owner[fits - 1] == owner[fits]), end[fits - 1], 0)
+            if len(fits) and keys is not None:
+                stays = ~skipped(keys[owner[fits]], begin, end[fits + 1], dropout)
+                fits, begin = fits[stays], begin[stays]
+            rank = self.pair_rank[i[fits]] * NEVER + np.arange(len(fits))      # the best candidate, ties to the left
             first = np.flatnonzero(np.concatenate([[True], owner[fits][1:] != owner[fits][:-1]])) if len(fits) else fits
-            best = np.minimum.reduceat(rank, first) % NEVER if len(fits) else fits
-            live = np.zeros(len(starts), bool)
+            which = np.minimum.reduceat(rank, first) % NEVER if len(fits) else fits
+            best = fits[which]
+            live = np.zeros(n, bool)
             live[owner[best]] = True
             over = ~live[owner]
             done_owner.append(owner[over])
             done_piece.append(piece[over])
-            done_end.append(end[over])
+            merged.append((owner[best], begin[which], end[best + 1]))
             piece = piece.copy()
             piece[best] = self.pair_id[i[best]]
             end = end.copy()
@@ -114,9 +162,44 @@ class Vocabulary:
             keep = live[owner]
             keep[best + 1] = False
             owner, piece, end = owner[keep], piece[keep], end[keep]
-        owner, piece, end = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (done_owner, done_piece, done_end))
-        order = np.argsort(owner, kind="stable")
-        return np.bincount(owner, minlength=len(starts)), piece[order]
+        return (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (done_owner, done_piece))
+
+    @cached_property
+    def pairs(self):
+        """Rank and piece of every pair that merges."""
+        return dict(zip(self.pair_key.tolist(), zip(self.pair_rank.tolist(), self.pair_id.tolist())))
+
+    def agenda(self, piece, end, key, dropout):
+        """Pieces of one span, and the merges made, from a heap of candidates."""
+        pairs, n = self.pairs, len(piece)
+        begin, after, before = [0, *end[:-1]], list(range(1, n + 1)), list(range(-1, n - 1))
+        made = ([], [])
+
+        def found(lefts):
+            """Candidates that begin at these symbols and are not skipped: rank, symbol, its piece and the next."""
+            out = []
+            for i in lefts:
+                j = after[i]
+                pair = pairs.get((piece[i] << 20) | piece[j]) if j < n else None
+                if pair and (key is None or not skipped_one(key, begin[i], end[j], dropout)):
+                    out.append((pair[0], i, piece[i], piece[j], pair[1]))
+            return out
+        heap = found(range(n))
+        heapify(heap)
+        while heap:
+            _, i, left, right, new = heappop(heap)
+            j = after[i]
+            if piece[i] != left or j >= n or piece[j] != right:
+                continue                                        # one of the two has merged since
+            made[0].append(begin[i])
+            made[1].append(end[j])
+            piece[i], piece[j], end[i] = new, -1, end[j]
+            after[i] = after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            for c in found([i] if before[i] < 0 else [before[i], i]):
+                heappush(heap, c)
+        return [p for p in piece if p >= 0], made
 
     def decode(self, ids):
         """Bytes of a sequence of pieces."""
@@ -139,16 +222,21 @@ def encode_batch(vocabulary, ids, texts, dropout=DROPOUT, seed=SEED):
     starts = np.flatnonzero(cut)
     ends = np.concatenate([starts[1:], [len(data)]])
     text = np.searchsorted(offsets, starts, "right") - 1
-    first = np.searchsorted(starts, offsets[:-1])
-    turn = (np.arange(len(starts)) - first[text]).astype(U)
-    variant = mix(mix(ids.view(U) + U(seed))[text] + turn) % U(VARIANTS)
-    code = mix(span_hashes(data, starts, ends) + variant + U(seed))
-    code, index, number = np.unique(code, return_index=True, return_inverse=True)
-    counts, flat = vocabulary.segment(data, starts[index], ends[index], code, dropout)
-    begin = np.cumsum(counts) - counts
-    n = counts[number]
+    _, index, number = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    (counts, flat), (merges, begins, until) = vocabulary.segment(data, starts[index], ends[index])
+    begin, n = (np.cumsum(counts) - counts)[number], counts[number]
+    if dropout:
+        keys = mix(mix(ids.view(U) + U(seed))[text] + (starts - offsets[text]).astype(U))
+        made = merges[number]
+        head = np.cumsum(made) - made
+        spot = np.repeat((np.cumsum(merges) - merges)[number] - head, made) + np.arange(made.sum())
+        of = np.repeat(np.arange(len(starts)), made)
+        own = np.unique(of[skipped(keys[of], begins[spot], until[spot], dropout)])
+        (more, tail), _ = vocabulary.segment(data, starts[own], ends[own], keys[own], dropout)
+        begin[own], n[own] = len(flat) + np.cumsum(more) - more, more
+        flat = np.concatenate([flat, tail])
     head = np.cumsum(n) - n
-    pieces = flat[np.repeat(begin[number] - head, n) + np.arange(n.sum())]
+    pieces = flat[np.repeat(begin - head, n) + np.arange(n.sum())]
     return np.bincount(text, n, len(texts)).astype(np.int64), pieces
 
 
@@ -175,7 +263,8 @@ def encode_texts(docs, model=MODEL, dropout=DROPOUT, seed=SEED):
 
     ``docs`` has ``doc_id`` and ``text``; other columns are ignored. Null texts count as empty
     and have no pieces. A null doc_id keys the dropout as 0. Rows with one doc_id and text get
-    the same pieces, so reruns agree. An empty table gives an empty result.
+    the same pieces, so reruns agree; every occurrence of a segment has coins of its own. An
+    empty table gives an empty result. The time of a segment without blanks is n log n.
     """
     from pyspark.sql import functions as F
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
