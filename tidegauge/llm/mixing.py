@@ -14,8 +14,7 @@ from tidegauge.session import persist_plan
 WEIGHTS = (1, 2, 3)              # of the sources by name, repeating
 MOST = 3                         # passes over a source
 SEED = "mix-1"
-SLICE_ROWS = 2000                # documents of a slice of the shuffled order
-STEPS = 1000                     # steps of virtual time counted at once
+PART_ROWS = 1 << 20              # documents of a part of the shuffled order, about
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -50,67 +49,54 @@ def mix_sources(docs, carry=()):
     order, a hash of the id, go by id and size, so reruns agree; rows that repeat a doc_id
     count each; ``carry`` names columns that tell them apart, returned as well. An empty table gives an empty result.
 
-    The order within a source is cut into slices by its hash, so a source with a third of all
-    rows is summed in parts; a slice starts where the sums of the slices before it end.
+    The queues of all sources are one global range sort; a part starts where the sums of its
+    source's parts before it end. A part is cut on the whole order, at last on a number of the
+    row, so a source, an id or a null id with a third of all rows is spread over many parts.
     """
+    spark = docs.sparkSession
     sized = persist_plan(docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), "source", *carry,
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(SEED))).alias("turn")))
-    per_source = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("rows"))
-    known = persist_plan(per_source)
-    total, rows = known.agg(F.sum("size"), F.max("rows")).first()
+    known = persist_plan(sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("rows")))
+    total, rows = known.agg(F.sum("size"), F.sum("rows")).first()
     wanted = persist_plan(targets(known.drop("rows"), total or 0))
-    slices = max(1, -(-(rows or 0) // SLICE_ROWS))
-    hashed = F.conv(F.substring("turn", 1, 8), 16, 10).cast("long")
-    cut = sized.withColumn("slice", F.floor(hashed * slices / F.lit(float(1 << 32))).cast("long"))
-    sums = cut.groupBy("source", "slice").agg(F.sum("size").alias("words"))
-    earlier = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = persist_plan(sums.select("source", "slice", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("start"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(rows or 0) // PART_ROWS))
+    order = ["turn", "doc_id", "size", *carry, "_nth"]
+    numbered = sized.withColumn("_nth", F.monotonically_increasing_id())             # of written rows, so the same again
+    cut = persist_plan(numbered.repartitionByRange(parts, "source", *order)).withColumn("part", F.spark_partition_id())
+    sums = cut.groupBy("source", "part").agg(F.sum("size").alias("words"))
+    earlier = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = persist_plan(sums.select("source", "part", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("start"))
                           .join(wanted.withColumnRenamed("source", "_name"), F.col("source").eqNullSafe(F.col("_name"))).drop("_name"))
-    inside = Window.partitionBy("source", "slice").orderBy("turn", "doc_id", "size", *carry).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy("source", "part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cut = cut.withColumn("upto", F.sum("size").over(inside))
-    same = F.col("l.source").eqNullSafe(F.col("r.source")) & (F.col("l.slice") == F.col("r.slice"))
+    same = F.col("l.source").eqNullSafe(F.col("r.source")) & (F.col("l.part") == F.col("r.part"))
     queued = persist_plan(cut.alias("l").join(starts.alias("r"), same).select(
         *carry, "doc_id", "size", "source_size", "target", (F.col("r.start") + F.col("upto")).alias("end")))
     passes = F.explode(F.sequence(F.lit(0), F.lit(MOST - 1))).alias("pass")
     finish = F.try_divide((F.col("pass") * F.col("source_size") + F.col("end")).cast("double"), F.col("target"))
-    times = queued.where("size > 0").select("size", "source_size", "target", "end", passes).withColumn("finish", finish)
-    limit = _cut(times, total or 0)
+    times = queued.where("size > 0").select("size", "source_size", "target", "end", passes).select("size", finish.alias("finish"))
+    limit = _cut(times.where("finish is not null"), total or 0, parts)
     drawn = sum((F.when(F.try_divide((F.lit(k) * F.col("source_size") + F.col("end")).cast("double"), F.col("target")) <= F.lit(limit), 1).otherwise(0)
                  for k in range(MOST)), F.lit(0))
     return queued.select(*carry, "doc_id", "size", "source_size", "target", (F.col("size") * drawn).cast("long").alias("taken"))
 
 
-def _cut(times, budget):
+def _cut(times, budget, parts):
     """The latest finish time with which all words up to it stay within the budget.
 
-    Words are counted by steps of time, then by finer steps of the one that crosses the
-    budget, until that step is one time only. Documents of the same time go or stay together.
+    Times are sorted globally by ranges; whole parts are taken up to the one that crosses the
+    budget, and within it the times up to the crossing. Documents of the same time go or stay
+    together.
     """
-    low, before = 0.0, 0
-    top = times.agg(F.max("finish")).first()[0]
-    if top is None:
-        return 0.0
-    high = top
-    for _ in range(6):
-        width = (high - low) / STEPS
-        if width <= 0 or low + width == low:
-            break
-        step = F.least(F.floor((F.col("finish") - F.lit(low)) / F.lit(width)), F.lit(STEPS - 1))
-        inside = times.where((F.col("finish") >= F.lit(low)) & (F.col("finish") <= F.lit(high)))
-        counted = inside.groupBy(step.alias("step")).agg(F.sum("size").alias("words"), F.min("finish").alias("first"), F.max("finish").alias("last"))
-        upto = F.sum("words").over(Window.orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        over = (counted.withColumn("upto", upto).where(F.col("upto") + F.lit(before) > F.lit(budget)).orderBy("step").limit(1)).first()
-        if over is None:
-            return high
-        before += over["upto"] - over["words"]
-        low, high = over["first"], over["last"]
-        if low == high:
-            break
-    return _below(times, low)
-
-
-def _below(times, time):
-    """The latest finish time under ``time``."""
-    return times.where(F.col("finish") < F.lit(time)).agg(F.coalesce(F.max("finish"), F.lit(0.0))).first()[0]
+    words = times.groupBy("finish").agg(F.sum("size").alias("words"))
+    ranged = persist_plan(words.repartitionByRange(parts, "finish")).withColumn("part", F.spark_partition_id())
+    limit = before = 0
+    for r in ranged.groupBy("part").agg(F.sum("words").alias("words"), F.max("finish").alias("last")).orderBy("part").collect():
+        if before + r.words > budget:                           # one row a part comes here
+            upto = F.sum("words").over(Window.partitionBy("part").orderBy("finish").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+            fits = ranged.where(F.col("part") == r.part).withColumn("upto", upto).where(F.col("upto") + F.lit(before) <= F.lit(budget))
+            return float(max(limit, fits.agg(F.coalesce(F.max("finish"), F.lit(0.0))).first()[0]))
+        before, limit = before + r.words, r.last
+    return float(limit)
