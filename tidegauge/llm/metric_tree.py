@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Window, functions as F
 
+from tidegauge.llm.hard_negatives import best as first_rows, products
 from tidegauge.llm.words import pack, unpack
 from tidegauge.session import persist_plan
 
@@ -19,6 +20,7 @@ ROUTERS = 256                    # vectors that centre pages, in hashed order
 PAGE = 2048                      # vectors of a page; a router with more has several pages
 QUERIES = 1024                   # queries of a block
 SLACK = 1e-6                     # of a squared distance, for rounding
+CANCEL = 1e-12                   # of the squared length, for differences of great numbers
 
 
 def integers(lists, width):
@@ -76,9 +78,10 @@ def _page(salts):
         far = table.column("far").to_numpy()
         order = np.lexsort((table.column("vec_id").to_numpy(), far))
         vectors = np.frombuffer(b"".join(table.column("vector").to_pylist()), np.float64).reshape(len(far), -1)[order]
-        blob = pack(table.column("vec_id").to_numpy()[order], vectors.astype(np.int32).ravel(), far[order])
+        wide = bool(np.abs(vectors).max(initial=0) > 2 ** 24)    # whole numbers up to there are exact in 32 bits
+        blob = pack(table.column("vec_id").to_numpy()[order], (vectors if wide else vectors.astype(np.float32)).ravel(), far[order])
         page = key[0].as_py()
-        return pa.table({"page": [page], "router": [page // salts], "radius": [float(far.max())], "blob": pa.array([blob], pa.binary())})
+        return pa.table({"page": [page], "router": [page // salts], "radius": [float(far.max())], "wide": [wide], "blob": pa.array([blob], pa.binary())})
     return run
 
 
@@ -94,13 +97,16 @@ def search_pages(pages, queries, k, routers, reach):
     to_router = np.sqrt(np.maximum(lengths[:, None] + reach - 2 * seen, 0))
     start = np.where(router_ids == ids[:, None], -np.inf, seen)
     floor = np.sort(start, axis=1)[:, -k] if start.shape[1] >= k else np.full(len(ids), -np.inf)
+    floor = floor - CANCEL * reach                              # these are rounded, what they are held against is exact
+    apart = np.sqrt(CANCEL * reach) + 1e-6
     which = np.array([p[0] for p in pages])
     radius = np.array([p[1] for p in pages])
-    gap = np.maximum(to_router[:, which] - radius, 0)
-    bound = (lengths[:, None] + reach - gap ** 2) / 2 * (1 + SLACK) + SLACK
+    gap = np.maximum(to_router[:, which] - radius - apart, 0)
+    bound = (lengths[:, None] + reach - gap ** 2) / 2 + SLACK * (1 + np.sqrt(lengths * reach))[:, None]
+    norms = np.sqrt(lengths)
     out = []
     for q in range(len(ids)):
-        best_ids, best = np.zeros(0, np.int64), np.zeros(0)
+        best_ids, best = np.zeros(0, np.int64), np.zeros(0, np.int64)
         least = floor[q]                                        # no score under it can be among the best
         for p in np.argsort(-bound[q], kind="stable"):
             if bound[q, p] < least:
@@ -108,16 +114,14 @@ def search_pages(pages, queries, k, routers, reach):
             _, _, entry_ids, entries, far = pages[p]
             room = np.sqrt(max(lengths[q] + reach - 2 * least, 0) * (1 + SLACK) + SLACK) if np.isfinite(least) else np.inf
             d = to_router[q, which[p]]
-            a, b = np.searchsorted(far, d - room - 1e-6), np.searchsorted(far, d + room + 1e-6, "right")
+            a, b = np.searchsorted(far, d - room - apart), np.searchsorted(far, d + room + apart, "right")
             if a >= b:
                 continue
-            score = entries[a:b] @ vectors[q]
+            score = products(vectors[q], norms[q], entries[a:b], np.array([np.sqrt(reach)]))
             fits = (score >= least) & (entry_ids[a:b] != ids[q])
-            best_ids, best = np.concatenate([best_ids, entry_ids[a:b][fits]]), np.concatenate([best, score[fits]])
-            order = np.lexsort((best_ids, -best))[:k]
-            best_ids, best = best_ids[order], best[order]
+            best_ids, best = first_rows(np.concatenate([best_ids, entry_ids[a:b][fits]]), np.concatenate([best, score[fits]]), k)
             if len(best) == k:
-                least = max(least, best[-1])
+                least = max(least, float(best[-1]))
         out.append((np.full(len(best), ids[q]), best_ids, best))
     return [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 3
 
@@ -127,8 +131,8 @@ def _searcher(k, routers, reach, width):
         if not left.num_rows or not right.num_rows:
             return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
         pages = []
-        for router, radius, blob in zip(left.column("router").to_pylist(), left.column("radius").to_pylist(), left.column("blob").to_pylist()):
-            ids, flat, far = unpack(blob, np.int64, np.int32, np.float64)
+        for router, radius, wide, blob in zip(*(left.column(c).to_pylist() for c in ("router", "radius", "wide", "blob"))):
+            ids, flat, far = unpack(blob, np.int64, np.float64 if wide else np.float32, np.float64)
             pages.append((router, radius, ids, flat.reshape(len(ids), width).astype(np.float64), far))
         ids = right.column("vec_id").to_numpy()
         vectors = np.frombuffer(b"".join(right.column("vector").to_pylist()), np.float64).reshape(len(ids), width)
@@ -141,8 +145,8 @@ def top_inner_products(vectors, every=50, k=5, groups=None):
     """The ``k`` best other vectors of each query: query_id, rank, vec_id, score.
 
     ``vectors``: ``vec_id``, ``embedding``; other columns are ignored. Queries are rows whose id
-    is divisible by ``every``. Scores are inner products of floor(256 x); ties go to the smaller
-    id. Null vectors, such with null or non-finite numbers and null ids take no part; shorter
+    is divisible by ``every``. Scores are inner products of floor(256 x), exact, and end at the
+    range of a long; ties go to the smaller id. Null vectors, such with null or non-finite numbers and null ids take no part; shorter
     vectors count as padded with zeros. Of rows that repeat an id one stays.
     """
     spark = vectors.sparkSession
@@ -158,13 +162,13 @@ def top_inner_products(vectors, every=50, k=5, groups=None):
     reach = float(reach or 0)
     salts = max(1, -(-n // (ROUTERS * PAGE // 4)))
     paged = read.mapInArrow(_assigner(centres, reach, salts), "page long, vec_id long, vector binary, far double")
-    pages = paged.groupBy("page").applyInArrow(_page(salts), "page long, router long, radius double, blob binary")
+    pages = paged.groupBy("page").applyInArrow(_page(salts), "page long, router long, radius double, wide boolean, blob binary")
     queries = read.where(F.col("vec_id") % every == 0).select("vec_id", "vector")
     blocks = max(1, -(-queries.count() // QUERIES))
     block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
     asked = queries.select(block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"), "vec_id", "vector")
     parts = pages.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.hash("page"), F.lit(groups)).alias("part"),
-                         "router", "radius", "blob")
+                         "router", "radius", "wide", "blob")
     found = parts.groupBy("block", "part").cogroup(asked.groupBy("block", "part")).applyInArrow(
         _searcher(k, (router_ids, centres), reach, width), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")

@@ -129,6 +129,17 @@ def op3_exact_top_k(spark, sf):
     return top_inner_products(table(spark, sf, "embeddings"))
 
 
+ORACLE["op3_exact_top_k"] = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select a.vec_id as query_id, b.vec_id, list_inner_product(a.v, b.v)::bigint as score from v a join v b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id)
+select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score from s
+qualify row_number() over (partition by query_id order by score desc, vec_id) <= 5
+"""
+
+
 @query
 def op4_embedding_near_dedup(spark, sf):
     from tidegauge.llm.near_vectors import near_vectors
