@@ -105,6 +105,18 @@ def test_chat_escapes_and_ranks(spark):
     assert chat_trees.format_trees(nodes.limit(0)).count() == 0
 
 
+def test_chat_without_a_name_and_long_chains(spark):
+    rows = [(None, 2, "assistant", "yes", 0, "n"), (None, 1, "user", "go", 0, "n"), (5, 1, None, None, 0, "n"), (5, 1, None, None, 0, "n")]
+    rows += [(9, i, "assistant" if i % 2 else "user", f"turn {i}", 0, "n") for i in range(300)]
+    talk = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, node int, tree string")
+    got = {r.conv_id: r for r in chat_trees.digests(chat_trees.format_trees(chat_trees.as_chains(talk))).collect()}
+    assert {i: r.n_turns for i, r in got.items()} == {None: 2, 5: 2, 9: 300}
+    assert got[None].turns_sha256 == hashlib.sha256(b"user\ngo\nassistant\nyes\n").hexdigest() and got[None].loss_chars == 3
+    assert got[9].loss_sha256 == hashlib.sha256("".join(f"turn {i}" for i in range(1, 300, 2)).encode()).hexdigest()
+    loop = spark.createDataFrame([(1, 1, 2, 0.0, "a", "b"), (1, 2, 1, 0.0, "a", "b"), (1, 3, 3, 1.0, "a", "c")], "tree long, node long, parent long, score double, role string, text string")
+    assert [chat_trees.parse(r.formatted) for r in chat_trees.format_trees(loop).collect()] == [[("a", "c")]]
+
+
 def test_chat_query(spark, sf):
     rows = spark.read.parquet(f"{sf}/conversations.parquet").toPandas().sort_values(["conv_id", "turn"])
     got = {r.conv_id: r for r in queries.QUERIES["op2_chat_formatting"](spark, sf).collect()}
@@ -140,6 +152,18 @@ def test_top_k(vectors):
     assert metric_tree.top_inner_products(vectors.where("vec_id in (0, 50)")).count() == 2
 
 
+def test_top_k_of_great_numbers(spark):
+    rows = [(1e7, 1.0), (1e7, 0.0), (1.0, 2.0), (1.0, 0.5), (-3e7, 1e7), (3e12, 2.0), (0.0, 0.0)]
+    vectors = spark.createDataFrame([(i, list(v), "x", 0) for i, v in enumerate(rows)], "vec_id long, embedding array<float>, rank string, score int")
+    known = [[int(np.floor(256 * float(np.float32(x)))) for x in v] for v in rows]
+    want = set()
+    for q in range(len(rows)):
+        scores = {i: min(max(sum(a * b for a, b in zip(known[q], w)), -2 ** 63), 2 ** 63 - 1) for i, w in enumerate(known) if i != q}
+        want |= {(q, r + 1, i, s) for r, (i, s) in enumerate(sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:5])}
+    assert {tuple(r) for r in metric_tree.top_inner_products(vectors, every=1).collect()} == want
+    assert (0, 2, 1, 6553600000000000000) in want or (0, 1, 1, 6553600000000000000) in want
+
+
 def test_near_vectors(vectors, monkeypatch):
     known = {i: x / np.linalg.norm(x) for i, x in whole(vectors).items() if np.any(x)}
     want = classes(known, lambda a, b: a @ b >= 0.9)

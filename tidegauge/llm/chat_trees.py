@@ -16,6 +16,7 @@ from tidegauge.session import persist_plan
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 LEARNED = "assistant"
+UNNAMED = -(1 << 63)             # tree of the rows without a conv_id
 PAIRS = {"\\\\": "\\", "\\|": "|", "\\n": "\n"}
 TURN = re.compile(re.escape(OPEN) + r"([^\n]*)\n(.*?)" + re.escape(CLOSE) + "\n", re.S)
 
@@ -123,12 +124,18 @@ def _digest(batches):
 
 def digests(formatted):
     """What is read back from each conversation: digests of its turns and of its masked text."""
-    return formatted.mapInArrow(_digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    found = formatted.mapInArrow(_digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return found.withColumn("conv_id", F.nullif("conv_id", F.lit(UNNAMED)))
 
 
 def as_chains(conversations):
-    """Conversations by turn as trees of one branch; turns of the same number go by role and text."""
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    rows = conversations.where("conv_id is not null").select("conv_id", "role", "text", F.row_number().over(order).cast("long").alias("node"))
-    return rows.select(F.col("conv_id").alias("tree"), "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"),
+    """Conversations by turn as trees of one branch; turns of the same number go by role and text.
+
+    Rows without a conv_id are one conversation, named UNNAMED as a tree; ``digests`` gives it
+    its null back. Rows that repeat a turn all stay. Other columns are ignored.
+    """
+    order = Window.partitionBy("tree").orderBy("turn", "role", "text")
+    named = conversations.select(F.coalesce(F.col("conv_id").cast("long"), F.lit(UNNAMED)).alias("tree"), "turn", "role", "text")
+    rows = named.select("tree", "role", "text", F.row_number().over(order).cast("long").alias("node"))
+    return rows.select("tree", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"),
                        F.lit(0.0).alias("score"), "role", "text")
