@@ -28,11 +28,17 @@ SEED = 20
 CHUNK_BYTES = 4 << 20
 MARK = "▁"                  # a blank in pieces
 NEVER = np.int64(1) << 40
+NONE = np.int64(1) << 22         # beyond every rank
 
 
-def skipped(keys, begins, ends, dropout):
+def begins(at, owner, end):
+    """Where some symbols begin in their spans."""
+    return np.where((at > 0) & (owner[at - 1] == owner[at]), end[at - 1], 0)
+
+
+def skipped(keys, begin, ends, dropout):
     """Whether the coin of each candidate skips it."""
-    return mix(keys + (begins.astype(U) << U(32)) + ends.astype(U)) >> U(32) < U(int(dropout * (1 << 32)))
+    return mix(keys + (begin.astype(U) << U(32)) + ends.astype(U)) >> U(32) < U(int(dropout * (1 << 32)))
 
 
 def skipped_one(key, begin, end, dropout):
@@ -72,6 +78,8 @@ class Vocabulary:
         ids = {names[i]: i for i in range(size) if plain[i]}
         chars = sorted((int.from_bytes(c.replace(MARK, " ").encode(), "big"), i) for c, i in ids.items() if len(c) == 1)
         self.char_key, self.char_id = (np.array(x, np.int64) for x in zip(*chars))
+        self.ascii_id = np.full(128, -1)
+        self.ascii_id[self.char_key[self.char_key < 128]] = self.char_id[self.char_key < 128]
         order = sorted(ids.values(), key=lambda i: (-model.get_score(i), i))
         rank = {i: r for r, i in enumerate(order)}
         merges = sorted(((ids[name[:k]] << 20) | ids[name[k:]], i) for name, i in ids.items()
@@ -96,11 +104,16 @@ class Vocabulary:
         for k in range(4):
             more = k < width
             key[more] = (key[more] << 8) | body[lead[more] + k]
-        i = np.minimum(np.searchsorted(self.char_key, key), len(self.char_key) - 1)
-        known = (self.char_key[i] == key) & (key != int.from_bytes(MARK.encode(), "big"))
+        char = self.ascii_id[np.where(width == 1, key & 127, 0)]
+        more = np.flatnonzero((width > 1) & (key != int.from_bytes(MARK.encode(), "big")))
+        i = np.minimum(np.searchsorted(self.char_key, key[more]), len(self.char_key) - 1)
+        char[width > 1] = -1
+        char[more] = np.where(self.char_key[i] == key[more], self.char_id[i], -1)
+        char[(width == 1) & (key > 127)] = -1
+        known = char >= 0
         taken = np.repeat(known, width)
         piece = self.byte_id[body]
-        piece[lead[known]] = self.char_id[i[known]]
+        piece[lead[known]] = char[known]
         first = np.zeros(len(body), bool)
         first[lead] = True
         keep = first | ~taken
@@ -134,34 +147,43 @@ class Vocabulary:
         by_span = np.argsort(of, kind="stable")
         return (np.bincount(owner, minlength=len(starts)), piece[order]), (np.bincount(of, minlength=len(starts)), begin[by_span], until[by_span])
 
+    def candidates(self, at, owner, piece, end, keys, dropout):
+        """Rank and piece of the pairs that begin at some symbols; NONE where none merges or its coin skips it."""
+        rank, new = np.full(len(at), NONE), np.zeros(len(at), np.int64)
+        follows = np.flatnonzero(at + 1 < len(piece))
+        follows = follows[owner[at[follows]] == owner[at[follows] + 1]]
+        left = at[follows]
+        key = (piece[left] << 20) | piece[left + 1]
+        i = np.minimum(np.searchsorted(self.pair_key, key), len(self.pair_key) - 1)
+        fits = np.flatnonzero(self.pair_key[i] == key)
+        i, left, follows = i[fits], left[fits], follows[fits]
+        if keys is not None:
+            stays = ~skipped(keys[owner[left]], begins(left, owner, end), end[left + 1], dropout)
+            i, follows = i[stays], follows[stays]
+        rank[follows], new[follows] = self.pair_rank[i], self.pair_id[i]
+        return rank, new
+
     def _together(self, n, owner, piece, end, keys, dropout, merged):
-        """One merge of each span in a step, the best of its candidates."""
+        """One merge of each span in a step, the best of its candidates, ties to the left."""
         done_owner, done_piece = [], []
+        rank, new = self.candidates(np.arange(len(piece)), owner, piece, end, keys, dropout)
         while len(piece):
-            key = (piece[:-1] << 20) | piece[1:]
-            i = np.minimum(np.searchsorted(self.pair_key, key), len(self.pair_key) - 1)
-            fits = np.flatnonzero((self.pair_key[i] == key) & (owner[:-1] == owner[1:]))
-            begin = np.where((fits > 0) & (owner[fits - 1] == owner[fits]), end[fits - 1], 0)
-            if len(fits) and keys is not None:
-                stays = ~skipped(keys[owner[fits]], begin, end[fits + 1], dropout)
-                fits, begin = fits[stays], begin[stays]
-            rank = self.pair_rank[i[fits]] * NEVER + np.arange(len(fits))      # the best candidate, ties to the left
-            first = np.flatnonzero(np.concatenate([[True], owner[fits][1:] != owner[fits][:-1]])) if len(fits) else fits
-            which = np.minimum.reduceat(rank, first) % NEVER if len(fits) else fits
-            best = fits[which]
-            live = np.zeros(n, bool)
-            live[owner[best]] = True
-            over = ~live[owner]
-            done_owner.append(owner[over])
-            done_piece.append(piece[over])
-            merged.append((owner[best], begin[which], end[best + 1]))
-            piece = piece.copy()
-            piece[best] = self.pair_id[i[best]]
-            end = end.copy()
-            end[best] = end[best + 1]
-            keep = live[owner]
+            first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+            best = np.minimum.reduceat(rank * NEVER + np.arange(len(piece)), first)
+            some = best < NONE * NEVER
+            best = best[some] % NEVER
+            keep = np.repeat(some, np.diff(np.concatenate([first, [len(piece)]])))
+            if not some.all():
+                done_owner.append(owner[~keep])
+                done_piece.append(piece[~keep])
+            merged.append((owner[best], begins(best, owner, end), end[best + 1]))
+            piece[best], end[best] = new[best], end[best + 1]
             keep[best + 1] = False
-            owner, piece, end = owner[keep], piece[keep], end[keep]
+            place = np.cumsum(keep)[best] - 1
+            owner, piece, end, rank, new = owner[keep], piece[keep], end[keep], rank[keep], new[keep]
+            before = place[place > 0] - 1                       # the pairs on both sides of a merge are other ones now
+            both = np.concatenate([place, before[owner[before] == owner[before + 1]]])
+            rank[both], new[both] = self.candidates(both, owner, piece, end, keys, dropout)
         return (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (done_owner, done_piece))
 
     @cached_property
@@ -223,7 +245,7 @@ def encode_batch(vocabulary, ids, texts, dropout=DROPOUT, seed=SEED):
     ends = np.concatenate([starts[1:], [len(data)]])
     text = np.searchsorted(offsets, starts, "right") - 1
     _, index, number = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-    (counts, flat), (merges, begins, until) = vocabulary.segment(data, starts[index], ends[index])
+    (counts, flat), (merges, since, until) = vocabulary.segment(data, starts[index], ends[index])
     begin, n = (np.cumsum(counts) - counts)[number], counts[number]
     if dropout:
         keys = mix(mix(ids.view(U) + U(seed))[text] + (starts - offsets[text]).astype(U))
@@ -231,7 +253,7 @@ def encode_batch(vocabulary, ids, texts, dropout=DROPOUT, seed=SEED):
         head = np.cumsum(made) - made
         spot = np.repeat((np.cumsum(merges) - merges)[number] - head, made) + np.arange(made.sum())
         of = np.repeat(np.arange(len(starts)), made)
-        own = np.unique(of[skipped(keys[of], begins[spot], until[spot], dropout)])
+        own = np.unique(of[skipped(keys[of], since[spot], until[spot], dropout)])
         (more, tail), _ = vocabulary.segment(data, starts[own], ends[own], keys[own], dropout)
         begin[own], n[own] = len(flat) + np.cumsum(more) - more, more
         flat = np.concatenate([flat, tail])
