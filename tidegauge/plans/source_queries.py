@@ -16,7 +16,7 @@ from tidegauge.plans.evaluation_queries import importances, IMP
 from tidegauge.plans.registry import query
 from tidegauge.plans.rolling_queries import STATES, W, states
 from tidegauge.session import scratch
-from tidegauge.sources import readers, sinks
+from tidegauge.sources import readers, sinks, tables
 
 
 def written_csv(df, name):
@@ -196,9 +196,9 @@ select coalesce(s.series_id, t.series_id) as series_id, coalesce(s.date, t.date)
 def s14_partitions(spark, sf):
     target, source = upsert_sides(spark, sf)
     path = scratch(spark, "table")
-    target.write.partitionBy("series_id").parquet(path)
-    sinks.upsert_partitions(path, source.where("series_id in ('1-URGENT', '2-HIGH')"), ["date"], "series_id")
-    return spark.read.parquet(path).select("series_id", "date", "value", "note")
+    tables.replace_table(target, path, "series_id")
+    tables.upsert_table(path, source.where("series_id in ('1-URGENT', '2-HIGH')"), ["date"])
+    return tables.read_table(spark, path).select("series_id", "date", "value", "note")
 
 
 @query("s15_put_call_upsert", """
@@ -220,9 +220,9 @@ def s15(spark, sf):
 def s16(spark, sf):
     path = scratch(spark, "replaced")
     wide = V.wide(spark, sf)
-    sinks.replace_table(wide.where("f_low is null"), path)
-    sinks.replace_table(wide, path)
-    return spark.read.parquet(path)
+    tables.replace_table(wide.where("f_low is null"), path)
+    tables.replace_table(wide, path)
+    return tables.read_table(spark, path)
 
 
 @query("s18_report_files", "select theme as run, feature, fold, importance from v_imp", [], IMP)
@@ -233,6 +233,27 @@ def s18(spark, sf):
     return spark.read.schema(schema).option("header", True).csv(f"{folder}/importances").select("run", "feature", "fold", "importance")
 
 
+@query("s18_all_report_files", """
+select 'importances' as report, theme as run, feature as name, cast(fold as varchar) as fold, round(importance, 6) as value from v_imp
+union all select 'fold_metrics', theme, 'best', cast(fold as varchar), round(max(importance), 6) from v_imp group by theme, fold
+union all select 'summary', theme, 'count', null, count(*) from v_imp group by theme
+union all select 'out_of_fold', theme, feature, null, round(sum(importance), 6) from v_imp group by theme, feature""", [], IMP)
+def s18_all(spark, sf):
+    folder = scratch(spark, "reports")
+    rows = importances(spark, sf).withColumnRenamed("theme", "run")
+    sinks.save_reports(folder, rows.groupBy("run", "fold").agg(F.round(F.max("importance"), 6).alias("best")), rows.groupBy("run").agg(F.count(F.lit(1)).alias("count")),
+                       rows.groupBy("run", "feature").agg(F.round(F.sum("importance"), 6).alias("total")), rows)
+
+    def back(name, kind, schema, of, fold, value):
+        df = getattr(spark.read.schema(schema).option("header", True) if kind == "csv" else spark.read.schema(schema), kind)(f"{folder}/{name}")
+        return df.select(F.lit(name).alias("report"), "run", of.alias("name"), fold.cast("string").alias("fold"), F.round(F.col(value).cast("double"), 6).alias("value"))
+    none = F.lit(None)
+    return back("importances", "csv", "feature string, fold int, importance double, run string", F.col("feature"), F.col("fold"), "importance") \
+        .unionByName(back("fold_metrics", "csv", "fold int, best double, run string", F.lit("best"), F.col("fold"), "best")) \
+        .unionByName(back("summary", "json", "count long, run string", F.lit("count"), none, "count")) \
+        .unionByName(back("out_of_fold", "csv", "feature string, total double, run string", F.col("feature"), none, "total"))
+
+
 @query("s18_feature_lists", "select distinct theme, feature from v_imp", [], IMP)
 def s18_lists(spark, sf):
     folder = scratch(spark, "lists")

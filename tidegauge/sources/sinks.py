@@ -1,10 +1,9 @@
-"""Keyed merges, table replacement and report files."""
+"""Keyed merges and report files; see ``tables`` for where they are kept."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
 from tidegauge.functions.scalars import dashed_number, put_call_ratio
-from tidegauge.session import persist_plan
 
 
 def upsert(target: DataFrame, source: DataFrame, keys, update=None):
@@ -39,23 +38,6 @@ def put_call_upsert(target: DataFrame, source: DataFrame, label, keys=()):
     return upsert(target, clean.dropna(subset=["date", "equity_pc_ratio"]), [*keys, "date"])
 
 
-def upsert_partitions(path, source: DataFrame, keys, partition):
-    """Upsert into a Parquet table, rewriting only the partitions the source touches.
-
-    The merged rows are checkpointed before the old files go, so a lost executor can
-    never need a file already replaced.
-    """
-    spark = source.sparkSession
-    touched = source.select(partition).distinct()
-    target = spark.read.parquet(path).join(F.broadcast(touched), partition, "left_semi")    # partition values only
-    merged = persist_plan(upsert(target, source, [*keys, partition]))
-    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
-
-
-def replace_table(df: DataFrame, path):
-    df.write.mode("overwrite").parquet(path)
-
-
 def save_reports(folder, folds: DataFrame = None, summary: DataFrame = None, oof: DataFrame = None, importances: DataFrame = None):
     """Fold metrics, summary, out-of-fold rows and importances, split by run where they have one."""
     for name, df, kind in (("fold_metrics", folds, "csv"), ("summary", summary, "json"),
