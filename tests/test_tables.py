@@ -44,7 +44,7 @@ def test_upserts_rewrite_touched_partitions(spark):
     tables.replace_table(frame(spark, OLD), path, "part")
     tables.upsert_table(path, frame(spark, [("a", 2, None), ("a", 3, 7.0), ("c", 1, 8.0)]), ["key"])
     tables.upsert_table(path, frame(spark, [(None, 1, 5.0), ("c", 2, 9.0)]), ["key"])
-    want = [("a", 1, 1.0), ("a", 2, None), ("a", 3, 7.0), ("b", 1, 3.0), ("c", 1, 8.0), ("c", 2, 9.0), (None, 1, 5.0)]
+    want = [("a", 1, 1.0), ("a", 2, None), ("a", 3, 7.0), ("b", 1, 3.0), ("c", 1, 8.0), ("c", 2, 9.0), (None, 1, 4.0), (None, 1, 5.0)]      # null matches no key
     assert rows(tables.read_table(spark, path)) == sorted(want, key=str)
     manifest = spark.read.schema(tables.MANIFEST).json(f"{path}/manifest")
     first = manifest.where("version = 1").select("folder").first()[0]

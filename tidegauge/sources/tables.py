@@ -92,7 +92,8 @@ def replace_table(df: DataFrame, path, partition=None):
 def upsert_table(path, source: DataFrame, keys):
     """Upsert into a partitioned table, rewriting only the partitions that ``source`` touches.
 
-    Columns of ``source`` but the keys and the partition are updated; it has one row per key.
+    Columns of ``source`` but the keys and the partition are updated; it has one row per key. A
+    null in a key or the partition matches nothing, so such rows are added.
     The touched partitions are joined, never collected, and the old files stay as they are, so
     a lost executor can always read them again.
     """
