@@ -257,3 +257,30 @@ def test_label_queries_fit_to_the_end(monkeypatch):
     assert all(k["max_iter"] == 1000 and k["tolerance"] == 1e-3 for k in asked)
     plans = asked[2]["plans"]
     assert len({s for _, s, d in plans if not d}) == 10 and len([p for p in plans if p[2]]) == 8 and len(plans) == 18
+
+
+def test_agreement_of_a_thousand_runs(spark):
+    rng = np.random.default_rng(6)
+    label = rng.integers(0, 4, (1000, 12))
+    rows = [(f"r{i}", DAY0 + dt.timedelta(days=d), None if (i + d) % 7 == 0 else int(label[i, d])) for i in range(1000) for d in range(12)]
+    got = E.pair_agreement(spark.createDataFrame(rows, "run string, date date, predicted_label int"), [f"r{i}" for i in range(1000)]).collect()
+    assert len(got) == 1000 * 999 // 2
+    known = np.array([[(i + d) % 7 != 0 for d in range(12)] for i in range(1000)])
+    for r in got[::997]:
+        a, b = int(r.run_a[1:]), int(r.run_b[1:])
+        both = known[a] & known[b]
+        assert a < b and (r.n_common, r.n_agree) == (both.sum(), (both & (label[a] == label[b])).sum())
+
+
+def test_moments_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(60, 150))
+    x[rng.random(x.shape) < 0.1] = np.nan
+    cols = [f"c{i:03d}" for i in range(150)]
+    df = spark.createDataFrame([tuple(None if np.isnan(v) else float(v) for v in r) for r in x], ", ".join(f"{c} double" for c in cols))
+    got = {(r.a, r.b): r for r in Q.moments(df, cols).collect()}
+    assert len(got) == 150 * 151 // 2
+    for i, j in ((0, 0), (3, 70), (64, 149), (149, 149), (63, 64)):
+        both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+        assert got[cols[i], cols[j]].n == both.sum()
+        assert got[cols[i], cols[j]].covariance == pytest.approx(np.cov(x[both, i], x[both, j])[0, 1])

@@ -7,14 +7,15 @@ scores on counts per distinct score.
 from __future__ import annotations
 
 from functools import reduce
-from itertools import combinations
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from tidegauge.functions import rolling as R
 from tidegauge.functions.scalars import clip
 from tidegauge.operators.axis import Axis
 from tidegauge.operators.chunks import TARGET_ROWS, by_chunk, cumulative_by, filled, lay_out, running_sum
+from tidegauge.operators.profile import block_sums
 
 TRUE, PRED = "true_label", "predicted_label"
 RUNS = Axis(("run",))
@@ -164,18 +165,32 @@ def on_dates(df: DataFrame, runs, date="date", value=PRED):
 def pair_agreement(df: DataFrame, runs, date="date"):
     """Share of common dates on which two runs predict the same, for every pair of runs.
 
-    The runs stand side by side, one row per date, and all pairs are counted in one
-    aggregation; no pair rows are formed.
+    The labels of a date stand side by side, and blocks of runs are compared by the products
+    of their one-hot planes, summed over the dates: the plan does not grow with the runs, and
+    no pair rows are formed before the sums. Without any date there are no rows.
     """
-    wide = on_dates(df, runs, date)
-    pairs = list(combinations(runs, 2))
-    aggs = []
-    for i, (a, b) in enumerate(pairs):
-        both = F.col(f"`{a}`").isNotNull() & F.col(f"`{b}`").isNotNull()
-        aggs += [F.count_if(both).alias(f"n{i}"), F.count_if(F.col(f"`{a}`") == F.col(f"`{b}`")).alias(f"s{i}")]
-    rows = F.explode(F.array(*[F.struct(F.lit(a).alias("run_a"), F.lit(b).alias("run_b"), F.col(f"n{i}").alias("n_common"),
-                                        F.col(f"s{i}").alias("n_agree")) for i, (a, b) in enumerate(pairs)])).alias("r")
-    return wide.agg(*aggs).select(rows).select("r.*").withColumn("agreement", F.try_divide("n_agree", "n_common"))
+    spark, names = df.sparkSession, np.array(list(runs), dtype=object)
+    places = spark.createDataFrame([(r, i) for i, r in enumerate(runs)], "run string, _i int")
+    codes = df.where(F.col(PRED).isNotNull()).join(F.broadcast(places), "run")      # the given runs
+    codes = codes.groupBy(date, "_i").agg(F.max(PRED).cast("string").alias("_l"))
+    rows = codes.groupBy(date).agg(F.collect_list("_i").alias("_i"), F.collect_list("_l").alias("_l")).select("_i", "_l")      # a label per run
+
+    def sums(x, left, right):
+        a, b = x[:, left], x[:, right]
+        planes = [((a == c).astype("float64"), (b == c).astype("float64")) for c in range(int(x.max(initial=-1)) + 1)]
+        return (a >= 0).astype("float64").T @ (b >= 0).astype("float64"), sum((p.T @ q for p, q in planes), np.zeros((a.shape[1], b.shape[1])))
+
+    def partial(batches):
+        for pdf in batches:
+            size = pdf["_i"].map(len).to_numpy()
+            x = np.full((len(pdf), len(names)), -1)
+            if size.sum():
+                _, label = np.unique(np.concatenate(pdf["_l"].to_numpy()).astype(str), return_inverse=True)
+                x[np.repeat(np.arange(len(pdf)), size), np.concatenate(pdf["_i"].to_numpy())] = label
+            yield from block_sums(x, names, sums, diagonal=False)
+    found = rows.mapInPandas(partial, "a string, b string, s0 double, s1 double").groupBy("a", "b").agg(F.sum("s0").alias("n"), F.sum("s1").alias("s"))
+    return found.select(F.col("a").alias("run_a"), F.col("b").alias("run_b"), F.col("n").cast("long").alias("n_common"), F.col("s").cast("long").alias("n_agree"),
+                        F.try_divide("s", "n").alias("agreement"))
 
 
 def majority_vote(df: DataFrame, runs, date="date"):

@@ -95,30 +95,63 @@ def describe(long: DataFrame, by=("column_name",), x="value", target_rows=TARGET
     return plain.join(quartiles, by, "left")
 
 
+BLOCK = 64                       # columns of a block
+CHUNK_BYTES = 1 << 26            # of rows reduced to sums at once
+
+
+def _gathered(arrays):
+    """Rows of several batches in one array of about CHUNK_BYTES."""
+    held, size = [], 0
+    for x in arrays:
+        held.append(x)
+        size += x.nbytes
+        if size >= CHUNK_BYTES:
+            yield np.concatenate(held)
+            held, size = [], 0
+    if held:
+        yield np.concatenate(held)
+
+
+def block_sums(x, names, sums, diagonal=True):
+    """Sums over the rows of ``x`` of all pairs of its columns, two blocks of columns at a time.
+
+    ``sums`` (x, slice of columns, slice of columns) gives matrices; they come as rows a, b,
+    s0, s1, ... of the upper triangle.
+    """
+    n = len(names)
+    for i in range(0, n, BLOCK):
+        for j in range(i, n, BLOCK):
+            left, right = slice(i, min(i + BLOCK, n)), slice(j, min(j + BLOCK, n))
+            found = sums(x, left, right)
+            a, b = np.indices(found[0].shape).reshape(2, -1)
+            upper = a + i < b + j if not diagonal else a + i <= b + j
+            a, b = a[upper], b[upper]
+            yield pd.DataFrame({"a": names[a + i], "b": names[b + j], **{f"s{k}": m[a, b] for k, m in enumerate(found)}})
+
+
 def moments(wide: DataFrame, columns):
     """Pairwise-complete counts, covariances and correlations of all column pairs.
 
-    Every task reduces its rows to one matrix of partial sums (size: columns squared)
-    before anything is shuffled; no row pairs are formed. Values are centred on the
-    column means first, so the sums do not cancel.
+    Rows become matrices of partial sums before anything is shuffled, one for two blocks of
+    columns at a time, so a task holds CHUNK_BYTES of rows and matrices of BLOCK by BLOCK,
+    however many columns there are; no row pairs are formed. Values are centred on the column
+    means first, so the sums do not cancel.
     """
     columns = list(columns)
     data = wide.select(*[F.col(c).cast("double").alias(c) for c in columns])
     means = data.agg(*[F.avg(c).alias(c) for c in columns]).first()
     centre = np.array([means[c] or 0.0 for c in columns])
-    n = len(columns)
     names = np.array(columns, dtype=object)
 
+    def sums(x, left, right):
+        a, b = x[:, left] - centre[left], x[:, right] - centre[right]
+        m, w = (~np.isnan(a)).astype("float64"), (~np.isnan(b)).astype("float64")
+        a, b = np.nan_to_num(a), np.nan_to_num(b)
+        return m.T @ w, a.T @ w, m.T @ b, (a * a).T @ w, m.T @ (b * b), a.T @ b
+
     def partial(batches):
-        sums = np.zeros((6, n, n))
-        for pdf in batches:
-            x = pdf.to_numpy("float64") - centre
-            m = (~np.isnan(x)).astype("float64")
-            x = np.nan_to_num(x)
-            sums += np.stack([m.T @ m, x.T @ m, m.T @ x, (x * x).T @ m, m.T @ (x * x), x.T @ x])
-        i, j = np.triu_indices(n)
-        yield pd.DataFrame({"a": names[i], "b": names[j],
-                            **{f"s{k}": sums[k][i, j] for k in range(6)}})
+        for x in _gathered(pdf.to_numpy("float64") for pdf in batches):
+            yield from block_sums(x, names, sums)
 
     schema = "a string, b string, " + ", ".join(f"s{k} double" for k in range(6))
     s = data.mapInPandas(partial, schema).groupBy("a", "b").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(6)])

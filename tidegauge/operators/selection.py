@@ -242,12 +242,17 @@ def _matrix(pairs, columns):
 def prune_correlated(pairs: DataFrame, scores: dict, columns, threshold=0.9):
     """By falling score, keep a feature and drop what correlates with it beyond the threshold."""
     columns = sorted(columns, key=lambda c: (-scores.get(c, -1.0), c))
-    m, kept, gone = np.abs(_matrix(pairs, columns)), [], set()
-    for i, c in enumerate(columns):
-        if i in gone:
-            continue
-        kept.append(c)
-        gone |= {j for j in np.flatnonzero(m[i] > threshold) if j != i} | {i}
+    near = {c: [] for c in columns}
+    close = pairs.where("a <> b").where(F.abs("correlation") > threshold).where(~F.isnan("correlation"))
+    for a, b in close.select("a", "b").toLocalIterator():               # only pairs beyond the threshold come here
+        if a in near and b in near:
+            near[a].append(b)
+            near[b].append(a)
+    kept, gone = [], set()
+    for c in columns:
+        if c not in gone:
+            kept.append(c)
+            gone.update(near[c])
     return kept
 
 
