@@ -20,6 +20,7 @@ from tidegauge.functions.scalars import clip, logit
 from tidegauge.operators import evaluate as E
 from tidegauge.operators.axis import Axis
 from tidegauge.operators.chunks import filled
+from tidegauge.operators.many_models import mean_losses, search_logistic
 from tidegauge.operators.splits import class_weights
 
 FEATURES, WEIGHT = "features", "weight"
@@ -195,18 +196,30 @@ def draw(space: dict, trials, seed=42):
 
 
 def random_search(folds: DataFrame, features, n_classes, space, trials=50, model="logistic", seed=42, keys=("date",)):
-    """Trials ranked by mean log-loss over folds; one with refused parameters scores infinity."""
-    rows, folds = [], folds.persist()                       # read by every trial
-    for i, params in enumerate(draw(space, trials, seed)):
+    """Trials ranked by mean log-loss over folds; one with refused parameters scores infinity.
+
+    Logistic trials of all folds are fitted in the same passes (see ``many_models``); trees of
+    one trial and fold after the other.
+    """
+    rows, sets = [], draw(space, trials, seed)
+    if model == "logistic":
+        losses = mean_losses(search_logistic(folds, features, n_classes, sets), trials)
+        return _ranked(folds.sparkSession, [(i, p, loss) for i, (p, loss) in enumerate(zip(sets, losses))])
+    folds = folds.persist()                                 # read by every trial
+    for i, params in enumerate(sets):
         try:
             oof, _ = cross_validate(folds, features, n_classes, model, params, keys=keys)
             loss = E.log_loss(oof, range(n_classes), ("fold",)).agg(F.avg("log_loss")).first()[0]
         except IllegalArgumentException:                    # parameters that Spark refuses
             loss = None
-        rows.append((i, {k: str(v) for k, v in params.items()}, math.inf if loss is None else loss))
+        rows.append((i, params, math.inf if loss is None else loss))
     folds.unpersist()
-    rows = [(p + 1, *r) for p, r in enumerate(sorted(rows, key=lambda r: (r[2], r[0])))]
-    return folds.sparkSession.createDataFrame(rows, "place int, trial int, params map<string,string>, mean_log_loss double")
+    return _ranked(folds.sparkSession, rows)
+
+
+def _ranked(spark, rows):
+    rows = [(p + 1, i, {k: str(v) for k, v in params.items()}, loss) for p, (i, params, loss) in enumerate(sorted(rows, key=lambda r: (r[2], r[0])))]
+    return spark.createDataFrame(rows, "place int, trial int, params map<string,string>, mean_log_loss double")
 
 
 def incremental_themes(folds: DataFrame, ranked_themes, theme_features: dict, n_classes, current=None, model="logistic", params=None, keys=("date",)):

@@ -283,7 +283,7 @@ def m10(spark, sf):
 def m25(spark, sf):
     space = {"C": {"type": "float", "low": 0.001, "high": 10.0, "log": True}, "penalty": {"type": "categorical", "choices": ["l1", "l2"]},
              "max_iter": {"type": "int", "low": 10, "high": 50, "step": 10}}
-    return T.random_search(folds(spark, sf), FEATURES, N, space, trials=3).withColumn("params", F.to_json("params"))
+    return T.random_search(folds(spark, sf), FEATURES, N, space, trials=50).withColumn("params", F.to_json("params"))
 
 
 @query("m26_incremental_themes")
