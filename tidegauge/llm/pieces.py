@@ -25,7 +25,7 @@ MODEL = "piece_bpe_32k.model"    # among the public tokenizers of the machine
 DROPOUT = 0.1                    # share of candidate merges that are skipped
 LONG = 96                        # symbols from which a segment has an agenda of its own
 SEED = 20
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20            # of texts encoded at once
 MARK = "▁"                  # a blank in pieces
 NEVER = np.int64(1) << 40
 NONE = np.int64(1) << 22         # beyond every rank
