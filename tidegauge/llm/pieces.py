@@ -28,6 +28,7 @@ SEED = 20
 CHUNK_BYTES = 1 << 20            # of texts encoded at once
 MARK = "▁"                  # a blank in pieces
 NEVER = np.int64(1) << 40
+SLOT_BITS = 20                   # of the table of pairs
 NONE = np.int64(1) << 22         # beyond every rank
 
 
@@ -87,10 +88,34 @@ class Vocabulary:
         self.pair_key = np.array([m[0] for m in merges], np.int64)
         self.pair_id = np.array([m[1] for m in merges], np.int64)
         self.pair_rank = np.array([rank[m[1]] for m in merges], np.int64)
+        self.slot = np.zeros(1 << SLOT_BITS, np.int32)         # one pair of each slot; the rest is searched for
+        at = self.slots(self.pair_key)
+        self.slot[at] = np.arange(len(at))
+        rest = self.slot[at] != np.arange(len(at))
+        self.rest = np.flatnonzero(rest)
+        self.crowded = np.zeros(1 << SLOT_BITS, bool)
+        self.crowded[at[rest]] = True
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
         self.raw_size = np.array([len(r) for r in raw], np.int64)
         self.raw_at = np.cumsum(self.raw_size) - self.raw_size
 
+    def slots(self, key):
+        return ((key.view(U) * U(0x9E3779B97F4A7C15)) >> U(64 - SLOT_BITS)).view(np.int64)
+
+    def found(self, key):
+        """Which of some pairs merge, and their numbers."""
+        at = self.slots(key)
+        i = self.slot[at]
+        fits = self.pair_key[i] == key
+        more = np.flatnonzero(~fits & self.crowded[at])
+        if len(more):
+            keys = self.pair_key[self.rest]
+            k = np.minimum(np.searchsorted(keys, key[more]), len(keys) - 1)
+            hit = keys[k] == key[more]
+            i[more[hit]], fits[more[hit]] = self.rest[k[hit]], True
+        fits = np.flatnonzero(fits)
+        return fits, i[fits]
+
     def symbols(self, data, starts, ends):
         """First pieces of each span: segment, piece and end of each within its segment."""
         n = ends - starts
@@ -154,9 +179,8 @@ class Vocabulary:
         follows = follows[owner[at[follows]] == owner[at[follows] + 1]]
         left = at[follows]
         key = (piece[left] << 20) | piece[left + 1]
-        i = np.minimum(np.searchsorted(self.pair_key, key), len(self.pair_key) - 1)
-        fits = np.flatnonzero(self.pair_key[i] == key)
-        i, left, follows = i[fits], left[fits], follows[fits]
+        fits, i = self.found(key)
+        left, follows = left[fits], follows[fits]
         if keys is not None:
             stays = ~skipped(keys[owner[left]], begins(left, owner, end), end[left + 1], dropout)
             i, follows = i[stays], follows[stays]
