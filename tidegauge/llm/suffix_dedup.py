@@ -250,7 +250,7 @@ class RunIndex:
         letters, dense = np.unique(data, return_inverse=True)
         n = len(data) + len(sizes)
         starts = np.concatenate([[0], np.cumsum(sizes + 1)])[:-1]
-        symbols = np.zeros(n, np.int64)                         # 0 ends a string
+        symbols = np.zeros(n, np.uint16)                        # 0 ends a string
         body = np.ones(n, bool)
         body[starts + sizes] = False
         symbols[body] = dense + 1
@@ -260,20 +260,23 @@ class RunIndex:
         self.doc_of = np.repeat(docs, sizes + 1)
         before = symbols[order - 1]
         head = np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]]))
-        run, length = before[head], np.diff(np.concatenate([head, [n]]))
-        by = np.argsort(run, kind="stable")
-        self.run_key = run[by] * (n + 1) + head[by]
-        self.run_symbol, self.run_head, self.run_length = run[by], head[by], length[by]
-        total = np.concatenate([[0], np.cumsum(length[by])])[:-1]
+        run, length = before[head].astype(np.int64), np.diff(np.concatenate([head, [n]]))
+        self.first_row = np.concatenate([[0], np.cumsum(np.bincount(before, minlength=self.width))])
+        # an empty run at row 0 for every symbol, so that each step finds a run of its symbol
+        run, head, length = (np.concatenate(x) for x in ((np.arange(self.width), run), (np.zeros(self.width, np.int64), head),
+                                                         (np.zeros(self.width, np.int64), length)))
+        by = np.argsort(run.astype(np.uint16), kind="stable")
+        run, head, length = run[by], head[by], length[by]
         # runs are ordered by symbol, so the rows before a run, of smaller symbols included, are its target
-        self.run_target = total
-        counts = np.bincount(before, minlength=self.width)
-        self.first_row = np.concatenate([[0], np.cumsum(counts)])
+        target = np.cumsum(length) - length
+        self.kind = np.int32 if self.width * (n + 1) < 1 << 31 else np.int64
+        self.run_key = (run * (n + 1) + head).astype(self.kind)
+        self.run_shift, self.run_end = (target - head).astype(self.kind), (target + length).astype(self.kind)
 
     def _sorted(self):
         """Rows ordered by 50 symbols, ties by place; keeps heads of contexts of 49 and samples of 50."""
         n, bits = self.n, int(self.n).bit_length()
-        rank, depth = self.symbols, 1
+        rank, depth = self.symbols.astype(np.int64), 1
         order = None
         size = self.width.bit_length()
         while (depth + 1) * size + bits <= 63 and depth < 8:
@@ -295,12 +298,13 @@ class RunIndex:
         tail[:n - short] = last[short:]
         a, b = last[order], tail[order]
         new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-        self.group = np.cumsum(new) - 1
-        self.group_head = np.concatenate([np.flatnonzero(new), [n]])
+        kind = np.int32 if n < 1 << 30 else np.int64
+        self.group = np.cumsum(new, dtype=kind) - kind(1)
+        self.group_head = np.concatenate([np.flatnonzero(new), [n]]).astype(kind)
         full = rank[order]
         head = np.flatnonzero(np.concatenate([[True], full[1:] != full[:-1]]))
         repeated = np.diff(np.concatenate([head, [n]])) > 1
-        self.sampled, self.sample = head[repeated], order[head[repeated]]
+        self.sampled, self.sample = head[repeated].astype(kind), order[head[repeated]]
         return order
 
     @staticmethod
@@ -311,38 +315,51 @@ class RunIndex:
         rank[order] = np.cumsum(np.concatenate([[False], value[1:] != value[:-1]]))
         return rank
 
-    def target(self, symbol, row):
-        """Row that stepping back by ``symbol`` leads to: smaller rows, and its occurrences before ``row``."""
-        i = np.searchsorted(self.run_key, symbol * (self.n + 1) + row) - 1
-        i0 = np.maximum(i, 0)
-        found = (i >= 0) & (self.run_symbol[i0] == symbol)
-        inside = np.minimum(row - self.run_head[i0], self.run_length[i0])
-        return np.where(found, self.run_target[i0] + inside, self.first_row[symbol])
+    def target(self, key, row):
+        """Row that stepping back leads to: smaller rows, and the symbol's occurrences before ``row``.
+
+        ``key``: symbol * (n + 1) + row.
+        """
+        i = np.searchsorted(self.run_key, key, "right") - 1
+        return np.minimum(self.run_shift[i] + row, self.run_end[i])
 
     def first_documents(self):
         """For each place of the indexed strings, the first document with the 50 bytes from there.
 
-        All strings stream from right to left at once. A match of 50 is cut to 49 by widening
-        its rows before it grows again. -1 where no other place has the bytes or none start.
+        All strings stream from right to left at once, in the order of their rows, which a stable
+        sort by the next symbol keeps: contexts are equally long, so their rows are the same or
+        apart. A match of 50 is cut to 49 by widening its rows before it grows again. The strings
+        are indexed themselves, so a lone row stays one. -1 where no other place has the bytes or
+        none start.
         """
         out = np.full(self.n, -1, np.int64)
-        order = np.argsort(-self.sizes, kind="stable")
-        sizes, starts = self.sizes[order], self.starts[order]
-        low, high = np.zeros(len(order), np.int64), np.full(len(order), self.n, np.int64)
-        for t in range(int(sizes[0]) if len(sizes) else 0):
-            live = int(np.searchsorted(-sizes, -t, "left"))     # strings with more than t symbols
-            a, b = low[:live], high[:live]
+        at = self.starts + self.sizes - 1
+        last = self.starts
+        low, high = np.zeros(len(at), self.kind), np.full(len(at), self.n, self.kind)
+        group, group_head = self.group, self.group_head
+        t = 0
+        while len(at):
             if t >= LENGTH:
-                group = self.group[a]
-                a, b = self.group_head[group], self.group_head[group + 1]
-            at = starts[:live] + sizes[:live] - 1 - t
+                g = group[low]
+                low, high = group_head[g], group_head[g + 1]
             symbol = self.symbols[at]
-            low[:live], high[:live] = self.target(symbol, a), self.target(symbol, b)
+            turn = np.argsort(symbol, kind="stable")
+            at, last, low, high = at[turn], last[turn], low[turn], high[turn]
+            base = symbol[turn].astype(self.kind) * self.kind(self.n + 1)
+            wide = np.flatnonzero(high - low > 1)
+            top = high[wide]
+            low = self.target(base + low, low)
+            high = low + self.kind(1)
+            high[wide] = self.target(base[wide] + top, top)
             if t >= LENGTH - 1:
-                many = np.flatnonzero(high[:live] - low[:live] > 1)
-                rows = low[many]
-                i = np.searchsorted(self.sampled, rows)
+                many = wide[high[wide] - low[wide] > 1]
+                i = np.searchsorted(self.sampled, low[many])
                 out[at[many]] = self.doc_of[self.sample[i]]
+                live = at > last
+                if not live.all():
+                    at, last, low, high = at[live], last[live], low[live], high[live]
+            at = at - 1
+            t += 1
         return out
 
 
