@@ -95,11 +95,16 @@ def stretches(texts):
 
 
 def split_hashes(hashes, buckets):
-    """Sorted distinct hashes by bucket."""
-    hashes = np.unique(hashes)
-    bucket = ((hashes >> U(40)) % U(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    return hashes[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
+    """Order of the distinct hashes by bucket, where each bucket ends, and each hash's number in sorted order."""
+    order = np.argsort(hashes)
+    value = hashes[order]
+    new = np.ones(len(value), bool)
+    new[1:] = value[1:] != value[:-1]
+    number = np.empty(len(value), np.int64)
+    number[order] = np.cumsum(new) - 1
+    bucket = ((value[new] >> U(40)) % U(buckets)).astype(np.int64)
+    by = np.argsort(bucket, kind="stable")
+    return by, np.searchsorted(bucket[by], np.arange(buckets + 1)), number
 
 
 def sorted_block(table):
@@ -168,16 +173,17 @@ def block_stretches(texts, marks, buckets):
         data, offsets, text, first, last, place = stretches(texts[a:b])
         kept.append((a, b, data, offsets, text, first, last, place, byte_hash(data, place, ANCHOR)))
     everything = np.concatenate([k[-1] for k in kept]) if kept else np.zeros(0, U)
-    hashes, ends = split_hashes(everything, buckets)
-    flags = np.zeros(len(hashes), np.int8)
+    by, ends, number = split_hashes(everything, buckets)
+    flags = np.zeros(len(by), np.int8)
     for k, blob in marks.items():
         shared, busy = unpack(blob, np.uint8, np.uint8)
         m = ends[k + 1] - ends[k]
-        flags[ends[k]:ends[k + 1]] = np.unpackbits(shared)[:m] + np.unpackbits(busy)[:m]
-    order = np.argsort(hashes)
-    hashes, flags = hashes[order], flags[order]
+        flags[by[ends[k]:ends[k + 1]]] = np.unpackbits(shared)[:m] + np.unpackbits(busy)[:m]
+    flags = flags[number]
+    at = 0
     for a, b, data, offsets, text, first, last, place, own in kept:
-        flag = flags[np.searchsorted(hashes, own)] if len(own) else np.zeros(0, np.int8)
+        flag = flags[at:at + len(own)]
+        at += len(own)
         plain, busy = flag == 1, flag == 2
         t, f, z, p = text[busy], first[busy], last[busy], place[busy]
         edge = p - (LENGTH - ANCHOR - CONTEXT)                   # starts from here on hold the bytes after the anchor
@@ -188,8 +194,8 @@ def block_stretches(texts, marks, buckets):
         yield a, b, data, offsets, *(np.concatenate(c) for c in zip(*parts))
 
 
-def distinct_stretches(texts, marks, anchor_buckets, buckets):
-    """Pieces as above, and the block's distinct stretches by bucket.
+def distinct_stretches(texts, marks, anchor_buckets, buckets, with_bytes):
+    """Pieces as above, and the block's distinct stretches by bucket, with their bytes if asked for.
 
     Every stretch gets its number among the distinct ones, whose first holder is the earliest
     text. Returns (pieces with numbers, sizes, keys, holders, bytes, bucket ends).
@@ -212,15 +218,17 @@ def distinct_stretches(texts, marks, anchor_buckets, buckets):
     number, index = turn[number], index[order]
     ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
     at = 0
-    pulled = np.empty(len(index), object)
+    pulled = np.empty(len(index) if with_bytes else 0, object)
     for piece, s, w in zip(got, size, where):
         n = len(s)
         piece.append(number[at:at + n])
-        mine = np.flatnonzero((index >= at) & (index < at + n))
+        at += n
+        if not with_bytes:
+            continue
+        mine = np.flatnonzero((index >= at - n) & (index < at))
         raw = piece[2].tobytes()
-        for i, f, m in zip(mine.tolist(), w[index[mine] - at].tolist(), s[index[mine] - at].tolist()):
+        for i, f, m in zip(mine.tolist(), w[index[mine] - at + n].tolist(), s[index[mine] - at + n].tolist()):
             pulled[i] = raw[f:f + m]
-        at += n
     return got, sizes[index], keys[index], holders[index], pulled, ends
 
 
@@ -430,7 +438,7 @@ def send_stretches(docs, marks, buckets):
     ids, texts = sorted_block(docs)
     rows = []
     if marks.num_rows:
-        _, sizes, keys, holders, strings, ends = distinct_stretches(texts, _marks(marks, 0), buckets // 2, buckets)
+        _, sizes, keys, holders, strings, ends = distinct_stretches(texts, _marks(marks, 0), buckets // 2, buckets, True)
         for k, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
             if b > a:
                 rows.append((k, squeeze(sizes[a:b].astype(np.uint8), keys[a:b], ids[holders[a:b]],
@@ -448,7 +456,7 @@ def cut_block(docs, marks, buckets, with_text):
     bits = np.zeros(0, U)
     holders = np.zeros(0, np.int64)
     if marks.num_rows:
-        got, _, _, holders, _, ends = distinct_stretches(texts, _marks(marks, 0), buckets // 2, buckets)
+        got, _, _, holders, _, ends = distinct_stretches(texts, _marks(marks, 0), buckets // 2, buckets, False)
         bits = np.zeros(len(holders), U)
         for k, blob in _marks(marks, 1).items():
             bits[ends[k]:ends[k + 1]] = expand(blob, U)[0]
@@ -460,8 +468,8 @@ def cut_block(docs, marks, buckets, with_text):
         flag = np.repeat(later, n) | (((np.repeat(bits[number], n) >> inner.astype(U)) & U(1)) > 0)
         starts = (np.repeat(first, n) + inner)[flag]
         depth = np.zeros(len(data) + 1, np.int32)
-        np.add.at(depth, starts, 1)
-        np.add.at(depth, starts + LENGTH, -1)
+        depth[starts] += 1                                      # a start lies in one stretch only
+        depth[starts + LENGTH] -= 1
         gone = np.cumsum(depth[:-1]) > 0
         for i in range(a, b):
             s, e = offsets[i - a], offsets[i - a + 1]
