@@ -374,17 +374,20 @@ class RunIndex:
 def index_bucket(table):
     """Flags of every block's stretches: the starts whose string an earlier document has."""
     blocks = table.column("blk").to_numpy()
-    sizes, keys, docs, raws, counts = [], [], [], [], []
-    for blob in table.column("blob").to_pylist():
-        s, k, d, raw = expand(blob, np.uint8, U, np.int64, np.uint8)
+    sizes, keys, docs, raws, codes, counts = [], [], [], [], [], []
+    for blob in table.column("blob"):                           # one blob at a time: hashing takes many times its bytes
+        s, k, d, raw = expand(blob.as_py(), np.uint8, U, np.int64, np.uint8)
+        ends = np.cumsum(s, dtype=np.int64)
         sizes.append(s.astype(np.int64))
         keys.append(k)
         docs.append(d)
         raws.append(raw)
+        codes.append(span_hashes(raw, ends - sizes[-1], ends) ^ mix(k))
         counts.append(len(s))
-    sizes, keys, docs, data = (np.concatenate(x) for x in (sizes, keys, docs, raws))
+    sizes, keys, docs, code = (np.concatenate(x) for x in (sizes, keys, docs, codes))
+    data = memoryview(np.concatenate(raws))
+    del raws, codes
     at = np.concatenate([[0], np.cumsum(sizes)])
-    code = span_hashes(data, at[:-1], at[1:]) ^ mix(keys)
     order = np.lexsort((docs, code))
     new = np.concatenate([[True], code[order][1:] != code[order][:-1]])
     number = np.empty(len(order), np.int64)
@@ -395,9 +398,6 @@ def index_bucket(table):
     place[by] = np.arange(len(own))
     number, own = place[number], own[by]
     key, size = keys[own], sizes[own]
-    raw = data.tobytes()
-    strings = [raw[a:b] for a, b in zip(at[own].tolist(), at[own + 1].tolist())]
-    del raw
     by_number = np.argsort(number, kind="stable")
     upto = np.searchsorted(number[by_number], np.arange(len(own) + 1))
     bits = np.zeros(len(number), U)
@@ -408,7 +408,8 @@ def index_bucket(table):
         goal = (total[a - 1] if a else 0) + INDEX_BYTES
         b = int(ends[max(np.searchsorted(ends, a, "right"), min(np.searchsorted(total[ends - 1], goal), len(ends) - 1))])
         part = a + np.argsort(docs[own[a:b]], kind="stable")
-        index = RunIndex([strings[i] for i in part], size[part], docs[own[part]])
+        strings = [data[x:y] for x, y in zip(at[own[part]].tolist(), at[own[part] + 1].tolist())]
+        index = RunIndex(strings, size[part], docs[own[part]])
         starts = np.empty(b - a, np.int64)
         starts[part - a] = index.starts
         rows = by_number[upto[a]:upto[b]]
