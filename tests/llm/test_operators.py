@@ -93,6 +93,30 @@ def test_common_parts_and_large_groups(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in jaccard_join.shingle_classes(data).collect()} == want
 
 
+def test_steps_of_large_groups_do_not_grow_with_their_unlike_texts(spark, monkeypatch):
+    """A candidate group of texts near the limit, many blocks: the same classes in as many steps as ever."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(70):
+        w = list(base)
+        for k in rng.sample(range(len(w)), rng.choice([1, 3, 4, 5])):
+            w[k] = f"x{rng.randint(0, 9999)}"
+        rows.append((i, " ".join(w)))
+    data = spark.createDataFrame(rows, "doc_id long, text string")
+    want = classes({i: shingles(t) for i, t in rows}, lambda a, b: 100 * len(a & b) >= 75 * len(a | b))
+    steps, persist = [], jaccard_join.persist_plan
+
+    def counted(df):
+        steps.append(df.columns)
+        assert len(steps) < 16                                  # one text a round took four steps a text
+        return persist(df)
+    monkeypatch.setattr(jaccard_join, "persist_plan", counted)
+    monkeypatch.setattr(jaccard_join, "LOCAL", 16)
+    assert {r.doc_id: r.component_id for r in jaccard_join.shingle_classes(data).collect()} == want
+    assert ["rep", "known"] in steps
+
+
 def test_chat_escapes_and_ranks(spark):
     for text in ("", "<|im_end|>", "a\\|<|b", "\\", "<", "<|<|\\n\n", "x<"):
         formatted, mask = chat_trees.render(["user", "assistant"], [text, text])

@@ -23,7 +23,7 @@ SMALLEST = 32                    # sets below it use one part a shingle
 LOADS = (1.0, 1.5, 2.0, 2.4)     # shingles a part at the top of each band; the last holds on
 SLOT_BITS = 20                   # width of a part of the sketch
 BUSY = 16                        # texts from which a part counts as common
-LOCAL = 8192                     # texts of a group resolved in one task
+LOCAL = 4096                     # texts of a group resolved in one task
 KEY_MASK = U((1 << 40) - 1)
 ROWS = "kind int, a long, b long, x int, y int, n int"
 
@@ -166,22 +166,26 @@ def similar(a, b):
 
 
 def folded(sets):
-    """Sketches folded to 1024 bits, which keeps the lower bound."""
-    out = np.zeros((len(sets), 16), U)
+    """Sketches folded to 4096 bits, which keeps the lower bound."""
+    out = np.zeros((len(sets), 64), U)
     for i, s in enumerate(sets):
-        slot = s >> U(54)
+        slot = s >> U(52)
         np.bitwise_xor.at(out[i], (slot >> U(6)).astype(np.int64), U(1) << (slot & U(63)))
     return out
 
 
-def resolve(ids, sets):
-    """Smallest id linked, directly or not, to each set of a group; ``ids`` ascend."""
+def resolve(ids, sets, known=None, cut=None):
+    """Smallest id linked, directly or not, to each set of a group.
+
+    ``known``: such ids of links found before. ``cut``: only sets before it are compared with
+    those from it on.
+    """
     n = len(ids)
-    label = np.arange(n)
+    label = np.array(ids if known is None else known)
     sizes = np.fromiter((len(s) for s in sets), np.int64, n)
     bits = folded(sets) if n > 2 else None
-    for i in range(n - 1):
-        rest = np.arange(i + 1, n)
+    for i in range(n - 1 if cut is None else cut):
+        rest = np.arange(i + 1 if cut is None else cut, n)
         small, large = np.minimum(sizes[i], sizes[rest]), np.maximum(sizes[i], sizes[rest])
         rest = rest[(label[rest] != label[i]) & (LEAST[1] * small >= LEAST[0] * large)]
         if n > 2 and len(rest):
@@ -191,7 +195,7 @@ def resolve(ids, sets):
             if label[j] != label[i] and similar(sets[i], sets[j]):
                 low, high = sorted((label[i], label[j]))
                 label[label == high] = low
-    return np.asarray(ids)[label]
+    return label
 
 
 def _sketcher(buckets):
@@ -222,51 +226,38 @@ def _resolve_bin(table):
     return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
 
-def _against_lead(batches):
-    """Shared and united shingles of each text and its group's leading one."""
-    for batch in batches:
-        ours, theirs = as_bytes(batch.column("text")), as_bytes(batch.column("lead_text"))
-        known, both, union = {}, [], []
-        for mine, lead in zip(shingle_sets(ours, WIDTH), theirs):
-            if lead not in known:
-                known = {lead: shingle_sets([lead], WIDTH)[0]}
-            n = len(np.intersect1d(mine, known[lead], assume_unique=True))
-            both.append(n)
-            union.append(len(mine) + len(known[lead]) - n)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("component"), batch.column("rep"), batch.column("lead"), pa.array(both, pa.int64()),
-             pa.array(union, pa.int64())], ["component", "rep", "lead", "both", "united"])
+def _resolve_block(table):
+    """Links inside one block of a large group."""
+    return pa.table({"rep": table.column("rep"),
+                     "known": resolve(table.column("rep").to_numpy(), shingle_sets(as_bytes(table.column("text")), WIDTH))})
+
+
+def _resolve_pair(table):
+    """Links between two blocks of a large group, as pairs of the classes they join."""
+    table = table.sort_by([("block", "ascending"), ("rep", "ascending")])
+    block, known = table.column("block").to_numpy(), table.column("known").to_numpy()
+    cut = int(np.count_nonzero(block == block[0])) if len(block) else 0
+    now = resolve(known, shingle_sets(as_bytes(table.column("text")), WIDTH), known, cut)
+    both = np.unique(np.stack([known, now], axis=1)[known != now], axis=0)
+    return pa.table({"a": both[:, 0], "b": both[:, 1]})
 
 
 def _large_groups(texts, large):
-    """Exact links of groups too large for one task: (links, remaining groups).
+    """Exact links of groups too large for one task.
 
-    Each round compares a whole group with one leading text in parallel. Jaccard distance is a
-    metric, so of the texts linked with it only those stay that a text not linked could reach:
-    their distance is at least the nearest unlinked one's less 1/4.
+    A group is dealt into blocks of about half as many texts as a task takes. Blocks are
+    resolved one by one, then every two blocks of a group against each other, where only texts
+    that no link joins yet are compared.
     """
-    links, done = None, None
-    lead_of = large.groupBy("component").agg(F.min("rep").alias("lead"))
-    left = large
-    while left.limit(1).count():
-        leads = persist_plan(lead_of.join(texts.withColumnRenamed("text", "lead_text"), F.col("lead") == F.col("rep"))
-                             .select("component", "lead", "lead_text"))
-        rows = left.join(leads, "component").join(texts, "rep").select("component", "rep", "lead", "text", "lead_text")
-        met = persist_plan(rows.mapInArrow(_against_lead, "component long, rep long, lead long, both long, united long"))
-        near = F.expr(f"{LEAST[1]} * both >= {LEAST[0]} * united")
-        new = met.where(near).select(F.col("lead").alias("a"), F.col("rep").alias("b"))
-        links = persist_plan(new if links is None else links.unionByName(new))
-        gap = 1.0 - F.col("both") / F.greatest("united", F.lit(1))
-        limit = met.where(~near).groupBy("component").agg(F.min(gap).alias("nearest"), F.min("rep").alias("next"))
-        kept = persist_plan(met.where("rep <> lead").join(limit, "component")
-                            .where(~near | (gap >= F.col("nearest") - 0.25 - 1e-9)).select("component", "rep", "next"))
-        small = kept.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") <= LOCAL).select("component")
-        now = persist_plan(kept.join(small, "component", "left_semi").select("component", "rep"))
-        done = now if done is None else done.unionByName(now)
-        kept = kept.join(small, "component", "left_anti")
-        lead_of = kept.groupBy("component").agg(F.min("next").alias("lead"))
-        left = kept.select("component", "rep")
-    return links, done
+    sizes = large.groupBy("component").agg(F.ceil(F.count("*") * 2 / LOCAL).cast("int").alias("blocks"))
+    dealt = large.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    rows = persist_plan(dealt.join(texts, "rep").select("component", "blocks", "block", "rep", "text"))
+    inside = persist_plan(rows.groupBy("component", "block").applyInArrow(_resolve_block, "rep long, known long"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    pairs = (rows.join(inside, "rep").select("component", "block", "rep", "known", "text", other).where("other <> block")
+             .withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}))
+    across = pairs.groupBy("component", "low", "high").applyInArrow(_resolve_pair, "a long, b long")
+    return persist_plan(inside.select(F.col("rep").alias("a"), F.col("known").alias("b")).where("a <> b").unionByName(across))
 
 
 def _common_links(rows, info):
@@ -320,18 +311,13 @@ def shingle_classes(docs, buckets=None):
     large = persist_plan(members.join(sizes.where(F.col("n") > LOCAL), "component", "left_semi"))
     small = members.join(sizes.where(F.col("n") <= LOCAL), "component", "left_semi")
     texts = docs.withColumnRenamed("doc_id", "rep")
-    links, rest = None, None
-    if large.limit(1).count():
-        texts = persist_plan(texts.join(members, "rep", "left_semi"))
-        links, rest = _large_groups(texts, large)
-    if rest is not None:
-        small = small.unionByName(rest)
+    links = _large_groups(texts, large) if large.limit(1).count() else None
     bins = 4 * buckets
     binned = small.join(texts, "rep").select("component", "rep", "text",
                                              F.pmod(F.hash("component"), F.lit(bins)).alias("bin"))
     found = binned.groupBy("bin").applyInArrow(_resolve_bin, "a long, b long").where("a <> b")
     if links is not None:
-        found = components(found.unionByName(links.where("a <> b"))).select(F.col("id").alias("a"), F.col("component").alias("b"))
+        found = components(found.unionByName(links)).select(F.col("id").alias("a"), F.col("component").alias("b"))
     classes = persist_plan(reps.join(found, reps.rep == found.a, "left").select("sign", F.coalesce("b", "rep").alias("class")))
     return texts_of.join(classes, "sign", "left").select(
         "doc_id", F.col("n_shingles").cast("long").alias("n_shingles"),
