@@ -284,3 +284,17 @@ def test_moments_in_blocks(spark, monkeypatch):
         both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
         assert got[cols[i], cols[j]].n == both.sum()
         assert got[cols[i], cols[j]].covariance == pytest.approx(np.cov(x[both, i], x[both, j])[0, 1])
+
+
+def test_label_scores_of_billions_of_rows(spark, monkeypatch):
+    """Products of four counts pass a long's range; the scores depend on the shares alone."""
+    monkeypatch.setattr(E, "confusion", lambda df, by: df)
+
+    def scores(times):
+        rows = [("x", t, p, n * times) for t, p, n in ((0, 0, 3), (0, 1, 1), (1, 1, 5), (1, 0, 2), (2, 2, 4), (2, 1, 1))]
+        counts = spark.createDataFrame(rows, "run string, true_label int, predicted_label int, n long")
+        return E.label_scores(counts, weights={0: 3.0}).first().asDict()
+    small = scores(1)
+    assert small["mcc"] == pytest.approx((12 * 16 - (4 * 5 + 7 * 7 + 5 * 4)) / ((16 ** 2 - 25 - 49 - 16) * (16 ** 2 - 16 - 49 - 25)) ** 0.5)
+    large = scores(500_000_000)
+    assert {k: round(v, 9) for k, v in large.items() if k != "run"} == {k: round(v, 9) for k, v in small.items() if k != "run"}

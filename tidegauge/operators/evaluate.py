@@ -68,9 +68,11 @@ def label_scores(df: DataFrame, classes=None, weights: dict | None = None, by=("
         w = F.coalesce(F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])[F.col("label")], F.lit(1.0))
         aggs += [F.try_divide(F.sum(F.col(m) * w), F.sum(w)).alias(f"{m}_custom_weighted") for m in ("precision", "recall", "f1")]
     right, total = F.sum("tp"), F.sum("support")
-    tt, pp, tp = (F.sum(F.col(a) * F.col(b)) for a, b in (("support", "support"), ("predicted", "predicted"), ("support", "predicted")))
-    spread = (total * total - pp) * (total * total - tt)
-    mcc = _zero(F.try_divide((right * total - tp).cast("double"), F.sqrt(spread.cast("double"))))
+    wide = {c: F.col(c).cast("decimal(19,0)") for c in ("support", "predicted")}        # squares of counts pass a long's range
+    tt, pp, tp = (F.sum(wide[a] * wide[b]) for a, b in (("support", "support"), ("predicted", "predicted"), ("support", "predicted")))
+    hits, rows = right.cast("decimal(19,0)"), total.cast("decimal(19,0)")
+    spread = (rows * rows - pp).cast("double") * (rows * rows - tt).cast("double")
+    mcc = _zero(F.try_divide((hits * rows - tp).cast("double"), F.sqrt(spread)))
     return s.groupBy(*by).agg(F.try_divide(right, total).alias("accuracy"), *aggs, mcc.alias("mcc"))
 
 
