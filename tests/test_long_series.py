@@ -105,3 +105,26 @@ def test_copies_of_one_value_stay_together(spark):
     df = spark.createDataFrame([("a", 1.0)] * 50 + [("a", float(i)) for i in range(100)], "g string, v double")
     got = chunks.percentiles(df, ["g"], "v", {"m": 0.5}, target_rows=5).first().m
     assert got == df.agg(F.percentile("v", 0.5)).first()[0]
+
+
+def test_chunks_are_found_by_halving(spark):
+    """Every row's chunk is the number of cuts at or before it; no row is held against all cuts."""
+    data = spark.createDataFrame([("a", None if i % 50 == 7 else float(i * 7919 % 1000) / 3) for i in range(1000)] + [("b", 1.0), (None, 2.0)], "k string, t double")
+    lay = chunks.lay_out(data, chunks.Axis(("k",), ("t",)), 30)
+    cuts = {r.k: r._cuts for r in lay.cuts.collect()}
+    assert len(cuts["a"]) > 20
+    for r in lay.df.collect():
+        assert r._chunk == sum(c <= r.t for c in cuts.get(r.k, [])) if r.t is not None else r._chunk == 0
+    assert "lambda" not in lay.df._jdf.queryExecution().toString()
+
+
+def test_a_layout_reads_its_rows_once_and_counts_them_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def passed(r):
+        seen.add(1)
+        return r
+    data = spark.createDataFrame(spark.sparkContext.parallelize([("a", float(i)) for i in range(400)], 2).map(passed), "k string, t double")
+    out = chunks.percentiles(data, ["k"], "t", {"p": 0.5}, target_rows=50)
+    assert out.first().p == 199.5
+    assert seen.value <= 800                                    # one pass counts, one writes

@@ -66,17 +66,18 @@ def lay_out(df: DataFrame, ax: Axis, target_rows=TARGET_ROWS) -> Layout:
             return Layout(df.withColumn(CHUNK, F.lit(0)), ax)
         target_rows = TARGET_ROWS
     by = list(ax.by)
-    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n")).first()[0] or 0
-    limit = max(target_rows, math.ceil(total / MAX_CUTS))
-    hot = counts.where(F.col("_n") > limit)
-    most = hot.agg(F.max("_n")).first()[0]
-    if most is None:
+
+    def sized(rows):
+        return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    total, most = sized(df).agg(F.sum("_n"), F.max("_n")).first()
+    limit = max(target_rows, math.ceil((total or 0) / MAX_CUTS))
+    if most is None or most <= limit:
         return Layout(df.withColumn(CHUNK, F.lit(0)), ax)
 
     # the rows are read several times from here on: write them once, so that a costly
     # plan is not repeated and every pass sees the same rows
     df = persist_plan(df)
+    hot = sized(df).where(F.col("_n") > limit)
     first = F.col(ax.order[0])
     pieces = math.ceil(most / limit)
     grid = [i / pieces for i in range(1, pieces)]
@@ -90,12 +91,12 @@ def lay_out(df: DataFrame, ax: Axis, target_rows=TARGET_ROWS) -> Layout:
               .agg(F.percentile_approx(first, grid, 2000).alias("_grid"))
               .select(*by, F.array_distinct(thinned).alias("_cuts")))
     cuts = df.sparkSession.createDataFrame(rows.collect(), rows.schema)
-    marked = (df.join(F.broadcast(cuts), by, "left")
-                .withColumn(CHUNK, F.when(
-                    F.col("_cuts").isNotNull(),
-                    F.size(F.filter("_cuts", lambda c: c <= first))).otherwise(0))
-                .drop("_cuts"))
-    return Layout(marked, ax, cuts)
+    # the number of cuts at or before the row, found by halving: a step is a column of its own
+    marked = df.join(F.broadcast(cuts), by, "left").withColumn(CHUNK, F.lit(0))
+    for step in (1 << i for i in reversed(range(pieces.bit_length()))):
+        beyond = F.get("_cuts", F.col(CHUNK) + (step - 1)) <= first
+        marked = marked.withColumn(CHUNK, F.col(CHUNK) + F.when(beyond, step).otherwise(0))
+    return Layout(marked.drop("_cuts"), ax, cuts)
 
 
 def by_years(df: DataFrame, ax: Axis) -> Layout:
@@ -265,9 +266,10 @@ def percentiles(df: DataFrame, by, value, at: dict, target_rows=TARGET_ROWS) ->
     by = list(by)
     counts = (df.where(F.col(value).isNotNull())
                 .groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_w")))
-    totals = counts.groupBy(*by).agg(F.sum("_w").alias("_total"))
-    placed = cumulative_by(counts, by, ["_v"], {"_upto": F.col("_w")}, target_rows)
-    placed = join_keys(placed, totals, by)
+    ax = Axis(tuple(by), ("_v",))
+    lay = lay_out(counts, ax, target_rows) if target_rows is not None else Layout(counts.withColumn(CHUNK, F.lit(0)), ax)
+    totals = lay.df.groupBy(*by).agg(F.sum("_w").alias("_total"))
+    placed = join_keys(lay.done(running_sum(lay, {"_upto": F.col("_w")})), totals, by)
     aggs = []
     for out, q in at.items():
         spot = (F.col("_total") - 1) * F.lit(float(q))          # 0-based rank
