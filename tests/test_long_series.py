@@ -128,3 +128,9 @@ def test_a_layout_reads_its_rows_once_and_counts_them_once(spark):
     out = chunks.percentiles(data, ["k"], "t", {"p": 0.5}, target_rows=50)
     assert out.first().p == 199.5
     assert seen.value <= 800                                    # one pass counts, one writes
+
+
+def test_releases_of_both_sides_are_written_once(spark):
+    from tidegauge.plans.vintage_queries import asof_parts
+    for side in asof_parts(spark, "/root/testdata/sf0.001"):
+        assert "lineitem" not in side._jdf.queryExecution().toString() and "Join" not in side._jdf.queryExecution().optimizedPlan().toString()

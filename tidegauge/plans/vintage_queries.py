@@ -10,6 +10,7 @@ from tidegauge.operators.axis import DAILY, Axis
 from tidegauge.plans import views as V
 from tidegauge.plans.registry import query
 from tidegauge.plans.signal_queries import any_present, rank as _rank
+from tidegauge.session import persist_plan
 
 PIT = """select series_id, reference_date, min(release_date) as release_date,
   min_by(value, release_date) filter (where value is not null) as value_pit,
@@ -113,7 +114,7 @@ asof left join v_latest r on s.series_id = r.series_id and s.date >= r.release_d
 
 
 def asof_parts(spark, sf):
-    releases = V.vintage(spark, sf)
+    releases = persist_plan(V.vintage(spark, sf))               # read for both sides, and by the passes of a layout
     left = joins.business_days(joins.span_of(releases, "release_date", ["series_id"]))
     return left, T.latest_reference(releases, ["value", "value2"], ["series_id"])
 
