@@ -17,6 +17,7 @@ from tidegauge.operators.evaluate import FLOAT_EPSILON, TRUE
 from tidegauge.session import scratch
 
 BLOCK_ROWS = 4096
+CACHE_ROWS = 256                 # rows whose scores under all trials stay in a core's cache
 FAN_IN = 64                      # sums of tasks that one task adds
 
 
@@ -72,6 +73,24 @@ def _scores(x, centre, scale, w):
     return z, _softmax((z @ w.transpose(1, 0, 2).reshape(size, trials * classes)).reshape(len(x), trials, classes))
 
 
+def _slope(x, label, centre, scale, w, weight):
+    """Gradient of the weighted log-loss for every trial, some rows at a time: (features + 1, trials, classes)."""
+    trials, size, classes = w.shape
+    flat = np.ascontiguousarray(w.transpose(1, 2, 0)).reshape(size, classes * trials)
+    total = np.zeros(flat.shape)
+    for a in range(0, len(x), CACHE_ROWS):
+        now = label[a:a + CACHE_ROWS]
+        z = np.ones((len(now), size))
+        z[:, :-1] = (x[a:a + CACHE_ROWS] - centre) / scale
+        p = (z @ flat).reshape(len(z), classes, trials)
+        p -= p.max(axis=1, keepdims=True)
+        np.exp(p, out=p)
+        p *= (weight[now][:, None] / p.sum(axis=1))[:, None, :]
+        p[np.arange(len(z)), now] -= weight[now][:, None]
+        total += z.T @ p.reshape(len(z), -1)
+    return total.reshape(size, classes, trials).transpose(0, 2, 1)
+
+
 def search_logistic(folds: DataFrame, features, n_classes, trials, balanced=True):
     """Held-out log-loss of every trial and fold: (trial, fold, log_loss, rows).
 
@@ -88,6 +107,8 @@ def search_logistic(folds: DataFrame, features, n_classes, trials, balanced=True
     path = scratch(spark, "blocks")
     rows = folds.dropna(subset=[*features, TRUE]).select(F.col("fold").cast("long").alias("fold"), "role", F.col(TRUE).cast("long").alias(TRUE),
                                                          F.array(*[F.col(f).cast("double") for f in features]).alias("x"))
+    # a single series comes in one partition; dealt out, its blocks keep all cores busy
+    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows.mapInArrow(_pack(d), "fold long, role string, n long, x binary, label binary").write.parquet(path)
     blocks = spark.read.parquet(path)
     train, test = blocks.where("role = 'train'"), blocks.where("role = 'test'")
@@ -117,10 +138,7 @@ def search_logistic(folds: DataFrame, features, n_classes, trials, balanced=True
         live = np.flatnonzero(last > k)
 
         def slope(f, x, label, now={f: a[live] for f, a in ahead.items()}):
-            z, p = _scores(x, centre[f], scale[f], now[f])
-            p[np.arange(len(x)), :, label] -= 1
-            p *= weight[f][label][:, None, None]
-            return (z.T @ p.reshape(len(x), -1)).reshape(d + 1, len(live), n_classes)
+            return _slope(x, label, centre[f], scale[f], now[f], weight[f])
         for f, s in _summed(train, slope, d).items():
             g = s.reshape(d + 1, len(live), n_classes).transpose(1, 0, 2).copy()
             g[:, :d] += (ridge[live] / size[f])[:, None, None] * ahead[f][live][:, :d]
