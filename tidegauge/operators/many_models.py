@@ -18,6 +18,7 @@ from tidegauge.session import scratch
 
 BLOCK_ROWS = 4096
 CACHE_ROWS = 256                 # rows whose scores under all trials stay in a core's cache
+ROWS_A_TASK = 20_000             # about; fewer rows in all stay as they come
 FAN_IN = 64                      # sums of tasks that one task adds
 
 
@@ -74,21 +75,25 @@ def _scores(x, centre, scale, w):
 
 
 def _slope(x, label, centre, scale, w, weight):
-    """Gradient of the weighted log-loss for every trial, some rows at a time: (features + 1, trials, classes)."""
+    """Gradient of the weighted log-loss for every trial: (features + 1, trials, classes).
+
+    Scores become probabilities some rows at a time, class by class; the products are those of
+    whole blocks, so sums do not depend on how many rows that is.
+    """
+    z = np.concatenate([(x - centre) / scale, np.ones((len(x), 1))], axis=1)
     trials, size, classes = w.shape
-    flat = np.ascontiguousarray(w.transpose(1, 2, 0)).reshape(size, classes * trials)
-    total = np.zeros(flat.shape)
+    flat = w.transpose(1, 0, 2).reshape(size, trials * classes)
+    p = (z @ flat).reshape(len(x), trials, classes)
     for a in range(0, len(x), CACHE_ROWS):
         now = label[a:a + CACHE_ROWS]
-        z = np.ones((len(now), size))
-        z[:, :-1] = (x[a:a + CACHE_ROWS] - centre) / scale
-        p = (z @ flat).reshape(len(z), classes, trials)
-        p -= p.max(axis=1, keepdims=True)
-        np.exp(p, out=p)
-        p *= (weight[now][:, None] / p.sum(axis=1))[:, None, :]
-        p[np.arange(len(z)), now] -= weight[now][:, None]
-        total += z.T @ p.reshape(len(z), -1)
-    return total.reshape(size, classes, trials).transpose(0, 2, 1)
+        by_class = np.ascontiguousarray(p[a:a + CACHE_ROWS].transpose(2, 0, 1))
+        by_class -= by_class.max(axis=0)
+        np.exp(by_class, out=by_class)
+        by_class /= by_class.sum(axis=0)
+        by_class[now, np.arange(len(now))] -= 1
+        by_class *= weight[now][:, None]
+        p[a:a + CACHE_ROWS] = by_class.transpose(1, 2, 0)
+    return (z.T @ p.reshape(len(x), -1)).reshape(size, trials, classes)
 
 
 def search_logistic(folds: DataFrame, features, n_classes, trials, balanced=True):
@@ -107,8 +112,9 @@ def search_logistic(folds: DataFrame, features, n_classes, trials, balanced=True
     path = scratch(spark, "blocks")
     rows = folds.dropna(subset=[*features, TRUE]).select(F.col("fold").cast("long").alias("fold"), "role", F.col(TRUE).cast("long").alias(TRUE),
                                                          F.array(*[F.col(f).cast("double") for f in features]).alias("x"))
-    # a single series comes in one partition; dealt out, its blocks keep all cores busy
-    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = math.ceil(rows.count() / ROWS_A_TASK)
+    if parts > 1:                                               # a long series comes in one partition
+        rows = rows.repartition(parts)
     rows.mapInArrow(_pack(d), "fold long, role string, n long, x binary, label binary").write.parquet(path)
     blocks = spark.read.parquet(path)
     train, test = blocks.where("role = 'train'"), blocks.where("role = 'test'")
