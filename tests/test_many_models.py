@@ -77,3 +77,32 @@ def test_close_to_the_library(folds):
 
 def test_no_rows(folds):
     assert search_logistic(folds.limit(0), NAMES, 3, TRIALS) == []
+
+
+def test_gradients_class_by_class_are_those_of_whole_blocks():
+    import numpy as np
+    from tidegauge.operators import many_models as M
+    rng = np.random.default_rng(4)
+    x, label, w, weight = rng.normal(size=(601, 7)), rng.integers(0, 3, 601), rng.normal(size=(5, 8, 3)), np.array([.2, .5, .3])
+    z, p = M._scores(x, 0.1, 1.5, w)
+    p[np.arange(601), :, label] -= 1
+    p *= weight[label][:, None, None]
+    want = (z.T @ p.reshape(601, -1)).reshape(8, 5, 3)
+    assert np.array_equal(M._slope(x, label, 0.1, 1.5, w, weight), want)
+
+
+def test_rows_of_one_partition_are_dealt_out(spark, monkeypatch):
+    """A long series comes in one partition: its blocks go to several files, with the same losses."""
+    from pyspark.sql import functions as F
+    from tidegauge.operators import many_models as M
+    rows = spark.range(0, 900, 1, 1).select((F.col("id") % 3).alias("true_label"), F.lit(1).alias("fold"), F.when(F.col("id") % 5 == 0, "test").otherwise("train").alias("role"),
+                                            ((F.col("id") % 3) + (F.col("id") * 7919 % 101) / 40).alias("a"), ((F.col("id") * 31 % 17) / 9).alias("b"))
+    trials = [{"C": 1.0, "max_iter": 5}, {"C": 0.1, "penalty": "l1", "max_iter": 3}]
+    one, paths = M.search_logistic(rows, ["a", "b"], 3, trials), []
+    scratch = M.scratch
+    monkeypatch.setattr(M, "scratch", lambda *a: paths.append(scratch(*a)) or paths[-1])
+    monkeypatch.setattr(M, "ROWS_A_TASK", 200)
+    many = M.search_logistic(rows, ["a", "b"], 3, trials)
+    assert len(spark.read.parquet(paths[0]).inputFiles()) == 5
+    assert [r[:2] + r[3:] for r in one] == [r[:2] + r[3:] for r in many]
+    assert max(abs(a[2] - b[2]) for a, b in zip(one, many)) < 1e-9

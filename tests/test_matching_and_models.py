@@ -298,3 +298,21 @@ def test_label_scores_of_billions_of_rows(spark, monkeypatch):
     assert small["mcc"] == pytest.approx((12 * 16 - (4 * 5 + 7 * 7 + 5 * 4)) / ((16 ** 2 - 25 - 49 - 16) * (16 ** 2 - 16 - 49 - 25)) ** 0.5)
     large = scores(500_000_000)
     assert {k: round(v, 9) for k, v in large.items() if k != "run"} == {k: round(v, 9) for k, v in small.items() if k != "run"}
+
+
+def test_linear_models_get_a_long_series_dealt_out(spark, monkeypatch):
+    """Rows of one partition reach a linear fit in several, a forest's as they are."""
+    rows = spark.range(0, 300, 1, 1).select((F.col("id") % 3).cast("int").alias("true_label"), ((F.col("id") % 3) + (F.col("id") * 7919 % 101) / 40).alias("a"))
+    got = []
+
+    class Seen:
+        def __init__(self, stages):
+            pass
+
+        def fit(self, df):
+            got.append(df.rdd.getNumPartitions())
+    monkeypatch.setattr(T, "Pipeline", Seen)
+    monkeypatch.setattr(T, "ROWS_A_TASK", 100)
+    for model in ("logistic", "forest"):
+        T.fit(T.vectors(rows, ["a"]), model)
+    assert got[0] == 3 and got[1] == 1

@@ -24,6 +24,7 @@ from tidegauge.operators.many_models import mean_losses, search_logistic
 from tidegauge.operators.splits import class_weights
 
 FEATURES, WEIGHT = "features", "weight"
+ROWS_A_TASK = 20_000             # training rows of a linear model in one task, about
 
 
 # -- models ------------------------------------------------------------------
@@ -65,11 +66,19 @@ def with_weights(df: DataFrame, balanced=True):
 
 
 def fit(train: DataFrame, model="logistic", params=None, balanced=True) -> PipelineModel:
-    """``train`` has ``features`` and ``true_label`` coded 0..k-1."""
-    train = with_weights(train, balanced).persist()          # read once per iteration
+    """``train`` has ``features`` and ``true_label`` coded 0..k-1.
+
+    A long series comes in one partition. Linear models get it dealt out; forests draw their
+    rows by partition, so theirs stay.
+    """
+    train = rows = with_weights(train, balanced).persist()   # read once per iteration
     try:
-        return Pipeline(stages=MODELS[model](params, train.count())).fit(train)
+        n = train.count()
+        if model == "logistic" and n > ROWS_A_TASK:
+            rows = train.repartition(math.ceil(n / ROWS_A_TASK)).persist()
+        return Pipeline(stages=MODELS[model](params, n)).fit(rows)
     finally:
+        rows.unpersist()
         train.unpersist()
 
 
