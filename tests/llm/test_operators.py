@@ -109,7 +109,7 @@ def test_steps_of_large_groups_do_not_grow_with_their_unlike_texts(spark, monkey
 
     def counted(df):
         steps.append(df.columns)
-        assert len(steps) < 16                                  # one text a round took four steps a text
+        assert len(steps) < 16                                  # one text a round took five steps a text
         return persist(df)
     monkeypatch.setattr(jaccard_join, "persist_plan", counted)
     monkeypatch.setattr(jaccard_join, "LOCAL", 16)
