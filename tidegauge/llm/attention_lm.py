@@ -27,6 +27,7 @@ FIT_TEXTS = 1200                 # training texts of the first fit, in hashed or
 FIT_BYTES = 10000                # longer texts are not among them
 WINDOW, STEP = 16, 12
 WIDTH, HIDDEN, CLASSES = 16, 32, 64
+TOGETHER = 24                    # members of small classes that a product takes together
 MEMBERS = 512                    # subwords of a class that the model tells apart; larger classes by counts
 STEPS, BATCH, PACE = 1500, 128, 0.03
 FILES, PARTS = 16, 4             # files of a group of rounds, and its rounds, each with a part of every file's batches
@@ -37,8 +38,11 @@ SEED = 7
 SCORED = 256                     # windows of a batch
 TOLD = 4096                      # windows whose subwords are told apart together
 ROWS = 2048                      # of them, of one class, in memory at once
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
+SEGMENTS = 1 << 17               # different segments a task keeps the subwords of
 PART_BYTES = 8 << 20             # texts sent together
+SEEN = np.tril(np.ones((WINDOW, WINDOW), np.float32))
+ONES = np.ones(max(WINDOW, CLASSES), np.float32)
 
 
 def held_out(doc_id):
@@ -54,11 +58,40 @@ def encoding(name=RANKS):
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), len(ranks)
 
 
-def subwords(encoder, texts):
+class Segments:
+    """Subwords of segments, each encoded once, found by hash; forgotten when there are more than SEGMENTS."""
+
+    def __init__(self, encoder):
+        self.encoder = encoder
+        self.clear()
+
+    def clear(self):
+        self.hashes, self.begin, self.counts, self.flat = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def places(self, hashes, text):
+        """Where the segments of sorted ``hashes`` stand in ``begin`` and ``counts``; ``text(i)`` is read of new ones."""
+        at = np.searchsorted(self.hashes, hashes)
+        new = np.flatnonzero(self.hashes[np.minimum(at, len(self.hashes) - 1)] != hashes) if len(self.hashes) else np.arange(len(hashes))
+        if len(new) and len(self.hashes) and len(self.hashes) + len(new) > SEGMENTS:
+            self.clear()
+            return self.places(hashes, text)
+        if len(new):
+            lists = [self.encoder.encode_ordinary(text(i)) for i in new.tolist()]
+            counts = np.fromiter(map(len, lists), np.int64, len(lists))
+            spot = at[new]
+            self.begin = np.insert(self.begin, spot, len(self.flat) + np.cumsum(counts) - counts)
+            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(lists), np.int64, counts.sum())])
+            self.hashes, self.counts = np.insert(self.hashes, spot, hashes[new]), np.insert(self.counts, spot, counts)
+            at = np.searchsorted(self.hashes, hashes)
+        return at
+
+
+def subwords(encoder, texts, known=None):
     """Subwords of every lower-cased text: their numbers, and all of them in order.
 
-    Texts are cut before blanks and around line ends, and each different segment is encoded once.
+    Texts are cut before blanks and around line ends, and each different segment that ``known`` lacks is encoded once.
     """
+    known = known or Segments(encoder)
     data = LOWER[np.frombuffer(b"".join(texts), np.uint8)]
     sizes = np.fromiter((len(t) for t in texts), np.int64, len(texts))
     offsets = np.concatenate([[0], np.cumsum(sizes)])
@@ -71,15 +104,13 @@ def subwords(encoder, texts):
     starts = np.flatnonzero(cut)
     ends = np.concatenate([starts[1:], [len(data)]])
     text = np.searchsorted(offsets, starts, "right") - 1
-    _, index, number = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    hashes, index, number = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
     raw = data.tobytes()
-    lists = [encoder.encode_ordinary(raw[a:b].decode()) for a, b in zip(starts[index].tolist(), ends[index].tolist())]
-    counts = np.fromiter(map(len, lists), np.int64, len(lists))
-    flat = np.fromiter(chain.from_iterable(lists), np.int64, counts.sum())
-    begin = np.cumsum(counts) - counts
-    n = counts[number]
+    first, last = starts[index], ends[index]
+    at = known.places(hashes, lambda i: raw[first[i]:last[i]].decode())[number]
+    n = known.counts[at]
     head = np.cumsum(n) - n
-    ids = flat[np.repeat(begin[number] - head, n) + np.arange(n.sum())]
+    ids = known.flat[np.repeat(known.begin[at] - head, n) + np.arange(n.sum())]
     return np.bincount(text, n, len(texts)).astype(np.int64), ids
 
 
@@ -134,12 +165,26 @@ class Adam:
     def step(self, found, pace):
         g, rows, de = found
         self.t += 1
+        pace, low, high = pace / (1 - 0.9 ** self.t), 0.9, 0.99
         for k in self.p:
-            at = rows if k == "e" else slice(None)
             d = de if k == "e" else g[k]
-            first = self.first[k][at] = 0.9 * self.first[k][at] + 0.1 * d
-            second = self.second[k][at] = 0.99 * self.second[k][at] + 0.01 * d * d
-            self.p[k][at] -= pace * (first / (1 - 0.9 ** self.t)) / (np.sqrt(second / (1 - 0.99 ** self.t)) + 1e-7)
+            first, second = (x[k][rows] if k == "e" else x[k] for x in (self.first, self.second))
+            first *= low
+            first += (1 - low) * d
+            second *= high
+            d = d * d
+            d *= 1 - high
+            second += d
+            np.multiply(second, 1 / (1 - 0.99 ** self.t), out=d)
+            np.sqrt(d, out=d)
+            d += 1e-7
+            np.divide(first, d, out=d)
+            d *= pace
+            if k == "e":
+                self.first[k][rows], self.second[k][rows] = first, second
+                self.p[k][rows] -= d
+            else:
+                self.p[k] -= d
 
 
 class Model:
@@ -161,6 +206,19 @@ class Model:
         self.known = self.within[order]
         large = np.flatnonzero(np.diff(self.edge) > MEMBERS)
         self.told = int(large[0]) if len(large) else CLASSES        # classes before it are told apart
+        several = np.flatnonzero(np.diff(self.edge[:self.told + 1]) > 1)
+        self.turn = np.full(CLASSES, len(several), np.uint8)        # of the classes with several members, others last
+        self.turn[several] = np.arange(len(several))
+        self.alone = [(i, i + 1, self.edge[k], self.edge[k + 1], None) for i, k in enumerate(several)]
+        self.blocks = []                                            # turns, members and which member is of which turn
+        for i, k in enumerate(several):
+            a, low = self.blocks[-1][0::2][:2] if self.blocks else (0, 0)
+            if self.blocks and self.edge[k + 1] - low <= TOGETHER:
+                self.blocks.pop()
+            else:
+                a, low = i, self.edge[k]
+            own = (several[a:i + 1, None] == self.of[order[low:self.edge[k + 1]]]).astype(np.float32) if i > a else None
+            self.blocks.append((a, i + 1, low, self.edge[k + 1], own))
         scale = lambda *s: (rng.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)      # noqa: E731
         self.p = {"e": (rng.standard_normal((size, WIDTH)) * 0.5).astype(np.float32), "s": (rng.standard_normal((WINDOW, WIDTH)) * 0.5).astype(np.float32),
                   "q": scale(WIDTH, WIDTH), "k": scale(WIDTH, WIDTH), "v": scale(WIDTH, WIDTH), "o": scale(WIDTH, WIDTH),
@@ -217,66 +275,124 @@ class Model:
     def log_chosen(self, t, target):
         """As ``log_within``, with clipped logits."""
         free = most(self.p["m"], self.known[:self.edge[self.told]]) < 80
-        out, rank = self.within[target], self.rank[target]
-        for rows, low, high in self.groups(target):
-            u = t[rows] @ self.p["m"][:, low:high]
-            u += self.known[low:high]
-            if not free:
-                bounded(u)
-            logs = u[np.arange(len(rows)), rank[rows] - low]
-            np.exp(u, out=u)
-            out[rows] = logs - np.log(u @ np.ones(high - low, np.float32))
+        turn = self.turn[self.of[target]]
+        order = np.argsort(turn, kind="stable")
+        ends, chosen = np.searchsorted(turn[order], np.arange(len(self.alone) + 1)), target[order]
+        t, rank, logs = t.take(order, axis=0), self.rank[chosen], self.within[chosen]
+        for i, _, low, high, _ in self.alone:
+            for a in range(ends[i], ends[i + 1], ROWS):
+                b = min(a + ROWS, ends[i + 1])
+                u = t[a:b] @ self.p["m"][:, low:high]
+                u += self.known[low:high]
+                if not free:
+                    bounded(u)
+                mine = u[np.arange(b - a), rank[a:b] - low]
+                np.exp(u, out=u)
+                logs[a:b] = mine - np.log(u @ np.ones(high - low, np.float32))
+        out = np.empty_like(logs)
+        out[order] = logs
         return out
 
+    def joined(self):
+        """Joined parameters: of queries, keys and values, and of hidden values after those and the output."""
+        p = self.p
+        return (np.concatenate([p["q"] * np.float32(WIDTH ** -0.5), p["k"], p["v"]], axis=1),
+                np.concatenate([p["h"][:WIDTH], p["o"] @ p["h"][WIDTH:]]))
+
+    def attend(self, x, into):
+        """Inputs beside what each place attends to, joined products and weights, for whole windows.
+
+        As in ``forward``, but the maximum is taken out only where ``exp`` could not take a logit.
+        """
+        n = len(x)
+        both = np.empty((n, WINDOW, 2 * WIDTH), np.float32)
+        z = self.p["e"].take(x.ravel(), axis=0)
+        z.reshape(n, -1)[...] += self.p["s"].ravel()
+        made = (z @ into).reshape(n, WINDOW, -1)
+        w = made[..., :WIDTH] @ made[..., WIDTH:2 * WIDTH].transpose(0, 2, 1)
+        if max(w.max(initial=0), -w.min(initial=0)) > 80:
+            w += self.mask
+            w -= w.max(axis=2, keepdims=True)
+        np.exp(w, out=w)
+        w *= SEEN
+        w /= (w.reshape(-1, WINDOW) @ ONES[:WINDOW]).reshape(n, WINDOW, 1)
+        both[..., :WIDTH] = z.reshape(n, WINDOW, WIDTH)
+        np.matmul(w, made[..., 2 * WIDTH:], out=both[..., WIDTH:])
+        return z, both, made, w
+
     def gradients(self, x, y, fresh):
-        """Mean loss of the scored subwords and its gradients."""
+        """Mean loss of the scored subwords and its gradients. Scored places are taken by class."""
         p = self.p
-        z, q, k, v, a, m, r, t = self.forward(x)
+        into, hidden = self.joined()
+        z, both, made, a = self.attend(x, into)
         keep = np.flatnonzero(fresh)
-        t = t.reshape(-1, HIDDEN)
-        ft, chosen = t.take(keep, axis=0), y.ravel()[keep]
-        at, n = np.arange(len(keep)), max(len(keep), 1)
-        logs, target = self.log_classes(ft), self.of[chosen]
-        loss = -logs[at, target].sum() / n
-        du = np.exp(logs, out=logs)
-        du[at, target] -= 1
-        du /= np.float32(n)
-        g = {"w": ft.T @ du, "b": du.sum(axis=0), "m": np.zeros_like(p["m"])}
+        chosen = y.ravel()[keep]
+        turn = self.turn[self.of[chosen]]
+        order = np.argsort(turn, kind="stable")
+        keep, chosen, turn = keep[order], chosen[order], turn[order]
+        target, rank, at, n = self.of[chosen], self.rank[chosen], np.arange(len(keep)), max(len(keep), 1)
+        seen = both.reshape(-1, 2 * WIDTH).take(keep, axis=0)
+        t = seen @ hidden
+        t += p["c"]
+        np.tanh(t, out=t)
+
+        def slopes(u, spot, free, own=None):
+            """Log probability of the targets; logits become slopes of the mean loss. ``own``: which of them count."""
+            if not free:
+                u -= u.max(axis=1, keepdims=True)
+            mine = at[:len(u)]
+            logs = u[mine, spot]
+            np.exp(u, out=u)
+            if own is not None:
+                u *= own
+            total = u @ np.ones(u.shape[1], np.float32)
+            u *= (np.float32(1 / n) / total)[:, None]
+            u[mine, spot] -= np.float32(1 / n)
+            return logs - np.log(total)
+
+        du = t @ p["w"]
+        du += p["b"]
+        loss = -slopes(du, target, most(p["w"], p["b"]) < 80).sum() / n
+        g = {"w": t.T @ du, "b": np.ones(len(du), np.float32) @ du, "m": np.zeros_like(p["m"])}
         more = du @ p["w"].T
-        inner = self.within[chosen]
-        for rows, low, high in self.groups(chosen):
-            d, spot, mine = self.log_members(ft, rows, low, high), self.rank[chosen[rows]] - low, at[:len(rows)]
-            inner[rows] = d[mine, spot]
-            np.exp(d, out=d)
-            d[mine, spot] -= 1
-            d /= np.float32(n)
-            g["m"][:, low:high] += ft[rows].T @ d
-            more[rows] += d @ p["m"][:, low:high].T
+        inner, free = self.within[chosen], most(p["m"], self.known[:self.edge[self.told]]) < 80
+        ends = np.searchsorted(turn, np.arange(len(self.alone) + 1))
+        for i, j, low, high, own in self.blocks if free else self.alone:
+            members, known = p["m"][:, low:high], self.known[low:high]
+            for b in range(ends[i], ends[j], ROWS):
+                e = min(b + ROWS, ends[j])
+                d = t[b:e] @ members
+                d += known
+                inner[b:e] = slopes(d, rank[b:e] - low, free, None if own is None else own.take(turn[b:e] - i, axis=0))
+                g["m"][:, low:high] += t[b:e].T @ d
+                more[b:e] += d @ members.T
         loss -= inner.sum() / n
-        more *= 1 - ft * ft
-        dt = np.zeros_like(t)
-        dt[keep] = more
-        g["h"], g["c"] = r.T @ dt, dt.sum(axis=0)
-        dr = dt @ p["h"].T
-        dz, dmo = dr[:, :WIDTH].copy(), np.ascontiguousarray(dr[:, WIDTH:])
-        g["o"] = m.reshape(-1, WIDTH).T @ dmo
-        dm = (dmo @ p["o"].T).reshape(m.shape)
-        da = dm @ v.transpose(0, 2, 1)
-        dv = a.transpose(0, 2, 1) @ dm
-        da -= (da * a).sum(axis=2, keepdims=True)
+        t *= t
+        np.subtract(1, t, out=t)
+        more *= t
+        dh = seen.T @ more
+        g["c"], g["o"] = np.ones(len(more), np.float32) @ more, dh[WIDTH:] @ p["h"][WIDTH:].T
+        g["h"] = np.concatenate([dh[:WIDTH], p["o"].T @ dh[WIDTH:]])
+        back = np.zeros(both.shape, np.float32)
+        back.reshape(-1, 2 * WIDTH)[keep] = more @ hidden.T
+        dm, dmade = back[..., WIDTH:], np.empty(made.shape, np.float32)
+        np.matmul(a.transpose(0, 2, 1), dm, out=dmade[..., 2 * WIDTH:])
+        da = dm @ made[..., 2 * WIDTH:].transpose(0, 2, 1)
         da *= a
-        da *= np.float32(WIDTH ** -0.5)
-        dq, dk = da @ k, da.transpose(0, 2, 1) @ q
-        flat = z.reshape(-1, WIDTH)
-        for name, d in (("q", dq), ("k", dk), ("v", dv)):
-            d = d.reshape(-1, WIDTH)
-            g[name] = flat.T @ d
-            dz += d @ p[name].T
-        g["s"] = dz.reshape(z.shape).sum(axis=0)
-        order = np.argsort(x.ravel(), kind="stable")
-        used = x.ravel()[order]
+        a *= (da.reshape(-1, WINDOW) @ ONES[:WINDOW]).reshape(len(x), WINDOW, 1)
+        da -= a
+        np.matmul(da, made[..., WIDTH:2 * WIDTH], out=dmade[..., :WIDTH])
+        np.matmul(da.transpose(0, 2, 1), made[..., :WIDTH], out=dmade[..., WIDTH:2 * WIDTH])
+        dmade = dmade.reshape(len(z), -1)
+        dinto, dz = z.T @ dmade, dmade @ into.T
+        dz.reshape(back[..., :WIDTH].shape)[...] += back[..., :WIDTH]
+        g["q"], g["k"], g["v"] = dinto[:, :WIDTH] * np.float32(WIDTH ** -0.5), dinto[:, WIDTH:2 * WIDTH], dinto[:, 2 * WIDTH:]
+        g["s"] = (np.ones(len(x), np.float32) @ dz.reshape(len(x), -1)).reshape(WINDOW, WIDTH)
+        used = x.ravel()
+        order = np.argsort(used.astype(np.uint16) if len(p["e"]) <= 1 << 16 else used, kind="stable")
+        used = used[order]
         head = np.flatnonzero(np.concatenate([[True], used[1:] != used[:-1]]))
-        return loss, g, used[head], np.add.reduceat(dz.take(order, axis=0), head, axis=0)
+        return loss, g, used[head], np.add.reduceat(dz.T.take(order, axis=1), head, axis=1).T
 
     def fit(self, x, y, fresh, steps=STEPS, seed=SEED):
         """Adam on random batches of windows."""
@@ -307,10 +423,7 @@ class Model:
         """
         p = self.p
         laid = layout(counts, ids, end)
-        into = np.concatenate([p["q"] * np.float32(WIDTH ** -0.5), p["k"], p["v"]], axis=1)
-        upper, lower = p["h"][:WIDTH], p["o"] @ p["h"][WIDTH:]
-        seen = np.tril(np.ones((WINDOW, WINDOW), np.float32))
-        ones = np.ones(max(WINDOW, CLASSES), np.float32)
+        into, last = self.joined()
         free = most(p["w"], p["b"]) < 80                        # nothing to clip
         room = np.empty((SCORED * WINDOW, CLASSES), np.float32)    # one buffer for all batches
         out = np.zeros(len(counts))
@@ -318,18 +431,8 @@ class Model:
         for x, y, fresh, text in batches:
             hidden, targets, texts = [], [], []
             for a in range(0, len(x), SCORED):
-                n, keep = len(x[a:a + SCORED]), np.flatnonzero(fresh[a:a + SCORED])
-                z = p["e"].take(x[a:a + SCORED].ravel(), axis=0)
-                z.reshape(n, WINDOW, WIDTH)[...] += p["s"]
-                both = (z @ into).reshape(n, WINDOW, -1)
-                w = both[..., :WIDTH] @ both[..., WIDTH:2 * WIDTH].transpose(0, 2, 1)
-                bounded(w)
-                np.exp(w, out=w)
-                w *= seen
-                m = (w @ both[..., 2 * WIDTH:]).reshape(-1, WIDTH)
-                m /= (w.reshape(-1, WINDOW) @ ones[:WINDOW])[:, None]
-                t = z.take(keep, axis=0) @ upper
-                t += m.take(keep, axis=0) @ lower
+                keep = np.flatnonzero(fresh[a:a + SCORED])
+                t = self.attend(x[a:a + SCORED], into)[1].reshape(-1, 2 * WIDTH).take(keep, axis=0) @ last
                 t += p["c"]
                 np.tanh(t, out=t)
                 u = np.matmul(t, p["w"], out=room[:len(t)])
@@ -339,7 +442,7 @@ class Model:
                 target = y[a:a + SCORED].ravel()[keep]
                 logs = u[np.arange(len(target)), self.of[target]]
                 np.exp(u, out=u)
-                logs -= np.log(u @ ones[:CLASSES])
+                logs -= np.log(u @ ONES[:CLASSES])
                 of = text[a:a + SCORED][keep // WINDOW]
                 out += np.bincount(of, logs, len(counts))
                 hidden.append(t)
@@ -480,10 +583,22 @@ def _scorer(model):
     return run
 
 
+def word_pairs(texts, first):
+    """Different pairs of word and text, in order, with how often each occurs; and the words of each text."""
+    hashes, n, _ = word_hashes(texts)
+    order = np.argsort(hashes, kind="stable")                      # texts of a word stay in order
+    words, of = hashes[order].astype(U), np.repeat(np.arange(first, first + len(n), dtype=np.int32), n)[order]
+    new = np.ones(len(words), bool)
+    new[1:] = (words[1:] != words[:-1]) | (of[1:] != of[:-1])
+    head = np.flatnonzero(new)
+    return words[head], of[head], np.diff(np.concatenate([head, [len(words)]])).astype(np.int32), n
+
+
 def _sender(buckets):
     """Per batch: its words with the places they occur at, by bucket, and its documents' subwords."""
     def run(batches):
         encoder, end = encoding()
+        kept = Segments(encoder)
         task = TaskContext.get().partitionId() if TaskContext.get() else 0
         parts = (batch[x:y] for batch in batches for x, y in pieces([range(n or 0) for n in pc.binary_length(batch.column(2)).to_pylist()], PART_BYTES))
         for turn, batch in enumerate(parts):
@@ -491,45 +606,39 @@ def _sender(buckets):
             ids, held, texts = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False).astype(bool), as_bytes(batch.column(2))
             known = np.array(ids.is_null().to_numpy(zero_copy_only=False), bool)
             number = np.where(known, 0, ids.fill_null(0).to_numpy()).astype(np.int64)
-            counts, subs, words, of, per_text = [], [], [], [], []
+            found, counts, subs = [], [], []
             for a, b in pieces(texts, CHUNK_BYTES):
-                n, ids_of = subwords(encoder, texts[a:b])
+                n, ids_of = subwords(encoder, texts[a:b], kept)
                 counts.append(n)
-                subs.append(ids_of)
-                for c, d in pieces(texts[a:b]):
-                    hashes, n, _ = word_hashes(texts[a + c:a + d])
-                    words.append(hashes)
-                    of.append(np.repeat(np.arange(a + c, a + d), n))
-                    per_text.append(n)
-            words, of, per_text, counts, subs = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (words, of, per_text, counts, subs))
-            words = words.astype(U)
-            order = np.argsort(words, kind="stable")
-            words, of = words[order], of[order].astype(np.int64)
-            new = np.ones(len(words), bool)
-            new[1:] = (words[1:] != words[:-1]) | (of[1:] != of[:-1])
-            head = np.flatnonzero(new)
-            times = np.diff(np.concatenate([head, [len(words)]]))
-            words, of = words[head], of[head]
+                subs.append(ids_of.astype(np.uint16))               # as they are sent
+                found += [word_pairs(texts[a + c:a + d], a + c) for c, d in pieces(texts[a:b])]
+            del texts
+            counts, subs = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (counts, subs))
+            words, of, times, per_text = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, t) for t in (U, np.int32, np.int32, np.int64))
+            del found
+            docs = close_docs(number, known, held, per_text.astype(np.int64), counts, subs, end)
+            del subs
+            order = np.argsort(words, kind="stable")                # pieces, and so texts, stay in order
+            words, of, times = words[order], of[order], times[order]
             new = np.ones(len(words), bool)
             new[1:] = words[1:] != words[:-1]
             head = np.flatnonzero(new)
             texts_with = np.diff(np.concatenate([head, [len(words)]]))
             distinct = words[head]
-            learned = np.add.reduceat(np.where(held[of], 0, times), head) if len(head) else np.zeros(0, np.int64)
+            learned = np.add.reduceat(np.where(held[of], 0, times).astype(np.int64), head) if len(head) else np.zeros(0, np.int64)
             bucket = (mix(distinct) % U(buckets)).astype(np.int64)
+            del words, new
             order = np.argsort(bucket, kind="stable")
             ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            rows = []
-            for k in range(buckets):
+            for k in range(buckets):                                # a row at a time, so that a batch's rows are not held together
                 mine = order[ends[k]:ends[k + 1]]
                 n = texts_with[mine]
                 at = np.repeat(head[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                docs = close_docs(number, known, held, per_text.astype(np.int64), counts, subs, end) if k == key % buckets else None
-                if len(mine) or docs:
-                    rows.append((k, key, pack(distinct[mine], learned[mine], n.astype(np.int32), of[at].astype(np.int32), times[at].astype(np.int32)), docs))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary(), pa.binary()))],
-                                                 ["bucket", "batch", "words", "docs"])
+                own = docs if k == key % buckets else None
+                if len(mine) or own:
+                    row = (k, key, pack(distinct[mine], learned[mine], n.astype(np.int32), of[at], times[at]), own)
+                    yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(row, (pa.int32(), pa.int64(), pa.binary(), pa.binary()))],
+                                                     ["bucket", "batch", "words", "docs"])
     return run
 
 
